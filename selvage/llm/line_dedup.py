@@ -59,12 +59,9 @@ class LineRuns:
     def merged(entries: DataFrame) -> DataFrame:
         return entries.groupBy(*_HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"))
 
-    def union(self) -> DataFrame:
-        tables = [self.spark.table(run) for run in self.runs()]
-        out = tables[0]
-        for more in tables[1:]:
-            out = out.unionByName(more)
-        return out
+    def entries(self, runs: list[str]) -> DataFrame:
+        """The rows of these runs. Read as plain files: a union of bucketed tables would claim to be dealt by hash even where the scan isn't."""
+        return self.spark.read.parquet(*[f"{shared_dir(self.spark)}/{run}" for run in runs])
 
     def add(self, batch: DataFrame) -> None:
         """batch: _h1, _h2, n_docs, holder, one row for each hash; its documents precede those of earlier batches."""
@@ -73,15 +70,12 @@ class LineRuns:
             fresh = fresh.join(self.spark.table(run).where("holder is not null").select(*_HASH).hint("merge"), _HASH, "left_anti")
         if self.runs():
             seen = batch.select(*_HASH, "n_docs", F.lit(None).cast("long").alias("holder"))
-            batch = self.merged(fresh.unionByName(seen.withColumn("n_docs", F.col("n_docs"))).unionByName(fresh.withColumn("n_docs", -F.col("n_docs"))))
+            batch = self.merged(seen.unionByName(fresh.withColumn("n_docs", F.lit(0).cast("long"))))
         self._write(batch, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            entries = self.spark.table(old[0])
-            for run in old[1:]:
-                entries = entries.unionByName(self.spark.table(run))
-            self._write(self.merged(entries), level + 1)
+            self._write(self.merged(self.entries(old)), level + 1)
             for run in old:
                 self._drop(run)
             level += 1
@@ -122,7 +116,7 @@ def drop_shared_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text",
         for n in range(len(edges) + 1):
             own = lines.where(F.col("_batch") == n).select("_d", *_HASH).distinct()
             runs.add(own.groupBy(*_HASH).agg(F.count("*").alias("n_docs"), F.max("_d").alias("holder")))
-        frequent = written(runs.merged(runs.union()).where(F.col("n_docs") >= min_docs).select(*_HASH, "holder"), "frequent")
+        frequent = written(runs.merged(runs.entries(runs.runs())).where(F.col("n_docs") >= min_docs).select(*_HASH, "holder"), "frequent")
     finally:
         runs.close()
     gone = lines.join(frequent, _HASH).where(F.col("_d") != F.col("holder"))
