@@ -30,6 +30,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .order_minhash import edit_pairs
+
+    pairs = edit_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"), F.col("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import drop_shared_lines
 
@@ -56,6 +63,7 @@ FROM m GROUP BY doc_id
 QUERIES = {
     "op2_vector_packing": op2_vector_packing,
     "op3_token_counts": op3_token_counts,
+    "op7_order_minhash": op7_order_minhash,
     "op10_line_dedup": op10_line_dedup,
 }
 
