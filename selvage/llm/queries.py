@@ -14,6 +14,13 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_forest import near_duplicates
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -61,6 +68,7 @@ FROM m GROUP BY doc_id
 """
 
 QUERIES = {
+    "op1_minhash_forest": op1_minhash_forest,
     "op2_vector_packing": op2_vector_packing,
     "op3_token_counts": op3_token_counts,
     "op7_order_minhash": op7_order_minhash,
