@@ -44,6 +44,16 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"), F.col("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    machine = train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = score_toxicity(docs, machine, to="score")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import drop_shared_lines
 
@@ -72,6 +82,7 @@ QUERIES = {
     "op2_vector_packing": op2_vector_packing,
     "op3_token_counts": op3_token_counts,
     "op7_order_minhash": op7_order_minhash,
+    "op8_toxicity": op8_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
 
