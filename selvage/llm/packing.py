@@ -25,26 +25,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shingles import chunks
+
 _UNITS = re.compile(r"[^ \t\r\n]+")
+#: Fixed: this vocabulary's pattern of pre-tokens, with the letters, digits and white space of Latin-1 in lower case written out.
+_LETTER, _DIGIT, _BLANK = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_BLANK}{_LETTER}{_DIGIT}]+")
 PIECES = "id long, start long, length long, segments long, loss_tokens long, doc_tokens long, sequence long, offset long, ids binary"
 
 
 class Tokens:
     """Ids of whole texts as little-endian unsigned 32-bit numbers.
 
-    For vocabularies that drop white space, as its pre-tokens never cross it: each distinct run of other characters is
-    encoded by the library once and remembered."""
+    For vocabularies in lower case that drop white space, as their pre-tokens never cross it. A Latin-1 text, which no
+    normal form changes, is lowered and cut into pre-tokens here; of another text the runs between white space are
+    taken as they are. The library encodes each distinct piece once; pieces in use are remembered in two generations of
+    at most `remember` each."""
 
-    def __init__(self, path: str, remember: int = 300_000, longest: int = 48):
+    def __init__(self, path: str, remember: int = 350_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.remember, self.longest = remember, longest
 
-    def encode(self, text: str | None) -> bytes:
-        units, known = _UNITS.findall(text or ""), self.known
-        new = [u for u in dict.fromkeys(units) if u not in known]
+    def _pieces(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return _UNITS.findall(text)
+        if any(s in text for s in self.special):
+            return _UNITS.findall(text)
+        return _PIECES.findall(text.lower())
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        cut, known, before, new = [self._pieces(t or "") for t in texts], self.known, self.before, []
+        for u in set().union(*cut):
+            if u not in known:
+                if u in before:
+                    known[u] = before[u]
+                else:
+                    new.append(u)
         if new:
             got = self.library.encode(new, is_pretokenized=True, add_special_tokens=False)
             ids, owner = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
@@ -52,13 +75,12 @@ class Tokens:
             raw, at = ids.tobytes(), 0
             for u, end in zip(new, (4 * ends).tolist()):
                 known[u], at = raw[at:end], end
-        out = b"".join(map(known.__getitem__, units))
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        for u in new:
+            if len(u) > self.longest:
+                del known[u]
         if len(known) > self.remember:
-            known.clear()
-        elif new:
-            for u in new:
-                if len(u) > self.longest:
-                    del known[u]
+            self.before, self.known = known, {}
         return out
 
 
@@ -73,15 +95,11 @@ def tokenize(df: DataFrame, path: str, end: int, id_col: str = "doc_id", text: s
     def work(batches):
         tokens, last = _tokens(path), struct.pack("<I", end)
         for batch in batches:
-            ids, size, keys = [], 0, batch.column(0)
-            begun = 0
-            for n, t in enumerate(batch.column(1)):
-                ids.append(tokens.encode(t.as_py()) + last)
-                size += len(ids[-1])
-                if size >= 32 << 20:
-                    yield pa.RecordBatch.from_arrays([keys.slice(begun, n + 1 - begun), batch.column(2).slice(begun, n + 1 - begun), pa.array(ids, pa.binary())], names=["id", "deal", "ids"])
-                    ids, size, begun = [], 0, n + 1
-            yield pa.RecordBatch.from_arrays([keys.slice(begun), batch.column(2).slice(begun), pa.array(ids, pa.binary())], names=["id", "deal", "ids"])
+            at = 0
+            for run in chunks([t or "" for t in batch.column(1).to_pylist()], 2_000_000):
+                ids = pa.array([x + last for x in tokens.encode(run)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), batch.column(2).slice(at, len(run)), ids], names=["id", "deal", "ids"])
+                at += len(run)
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(id_col), F.col(text)).alias("deal"))
     out = rows.mapInArrow(work, "id long, deal long, ids binary")

@@ -83,11 +83,11 @@ def minhashes(sets: np.ndarray, sizes: np.ndarray, count: int, seed: int = 1) ->
 
 
 def chunks(texts: list, most: int = 4_000_000):
-    """Runs of texts, or of tuples of texts, of about `most` bytes."""
+    """Runs of texts, or of tuples of texts, of about `most` bytes (or characters)."""
     run, size = [], 0
     for t in texts:
         run.append(t)
-        size += len(t) if isinstance(t, bytes) else sum(map(len, t))
+        size += len(t) if isinstance(t, (bytes, str)) else sum(map(len, t))
         if size >= most:
             yield run
             run, size = [], 0

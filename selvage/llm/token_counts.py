@@ -82,9 +82,9 @@ class RankMerger:
 
 
 class TokenCounter:
-    """Counts of whole texts; remembers those of short units, up to `remember` of them."""
+    """Counts of whole texts; remembers those of short units in two generations of at most `remember` each."""
 
-    def __init__(self, path: str, remember: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, remember: int = 350_000, longest: int = 48):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -96,10 +96,10 @@ class TokenCounter:
         special = sorted((t["content"] for t in added), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.known: dict[str, int] = {}
+        self.before: dict[str, int] = {}
         self.remember, self.longest = remember, longest
 
-    def _learn(self, units: set[str]) -> dict[str, int]:
-        units = list(units)
+    def _learn(self, units: list[str]) -> dict[str, int]:
         pieces = [_PIECES.findall(u) for u in units]
         distinct = list({p for own in pieces for p in own})
         count = dict(zip(distinct, self.merger.counts([p.encode() for p in distinct]).tolist()))
@@ -113,15 +113,16 @@ class TokenCounter:
                 runs = self.special.split(runs[0])
                 extra[n] = len(runs) - 1
             units.append([u for run in runs for u in _UNITS.findall(run)])
-        new = set().union(*units) - self.known.keys()
-        fresh = self._learn(new) if new else {}
-        if len(self.known) + len(fresh) > self.remember:
-            self.known = {u: self.known[u] for u in set().union(*units) if u in self.known}
+        new = [u for u in set().union(*units) if u not in self.known]
+        self.known |= {u: self.before[u] for u in new if u in self.before}
+        fresh = self._learn([u for u in new if u not in self.before])
         self.known |= fresh
         out = [e + sum(map(self.known.__getitem__, own)) for e, own in zip(extra, units)]
         for u in fresh:
             if len(u) > self.longest:
                 del self.known[u]
+        if len(self.known) > self.remember:
+            self.before, self.known = self.known, {}
         return out
 
 
