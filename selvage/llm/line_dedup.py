@@ -18,6 +18,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import WS, discard, lower_ascii, parts, shared_dir, written
 
@@ -86,7 +87,7 @@ class LineRuns:
         self.levels = []
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without(text: pd.Series, drop: pd.Series) -> pd.Series:
     """The texts without the lines at the given places."""
 

@@ -37,6 +37,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op4_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .perplexity import judge
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .order_minhash import edit_pairs
 
@@ -81,6 +88,7 @@ QUERIES = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_vector_packing": op2_vector_packing,
     "op3_token_counts": op3_token_counts,
+    "op4_perplexity_rules": op4_perplexity_rules,
     "op7_order_minhash": op7_order_minhash,
     "op8_toxicity": op8_toxicity,
     "op10_line_dedup": op10_line_dedup,
