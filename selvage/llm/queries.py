@@ -44,6 +44,26 @@ def op4_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
 
 
+#: Fixed: the contract's rules (verdict, host, path).
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .host_reputation import judge_urls
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = judge_urls(pages, table(spark, sf_dir, "labels"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad", F.round("bad_rate", 9).alias("bad_rate"))
+
+
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derivatives, responses_of
+
+    responses = responses_of(table(spark, sf_dir, "pages").select("page_id", "url", "html"), date="2024-01-01T00:00:00Z")
+    records = derivatives(responses, keep=["page_id"])
+    return records.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", F.to_json("headers").alias("headers"), F.decode("block", "utf-8").alias("block"), "block_digest", "payload_digest")
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .order_minhash import edit_pairs
 
@@ -89,9 +109,63 @@ QUERIES = {
     "op2_vector_packing": op2_vector_packing,
     "op3_token_counts": op3_token_counts,
     "op4_perplexity_rules": op4_perplexity_rules,
+    "op5_host_reputation": op5_host_reputation,
     "op7_order_minhash": op7_order_minhash,
     "op8_toxicity": op8_toxicity,
+    "op9_warc_derivatives": op9_warc_derivatives,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES = {"op10_line_dedup": OP10_SQL}
+OP5_SQL = r"""
+WITH p AS (
+  SELECT page_id, url,
+    translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages
+), k AS (
+  SELECT doc_id AS page_id, max(CAST(toxic = 1 OR quality = 0 AS INT)) AS bad FROM labels WHERE doc_id IS NOT NULL AND (toxic = 1 OR quality = 0) IS NOT NULL GROUP BY 1
+), parts AS (
+  SELECT host, string_split(host, '.') AS a FROM (SELECT DISTINCT host FROM p)
+), names AS (
+  SELECT host, coalesce(a[-1], '') AS l1, coalesce(a[-2], '') AS l2, coalesce(a[-3], '') AS l3 FROM parts
+), reg AS (
+  SELECT host,
+    CASE WHEN d THEN l2 || '.' || l1 ELSE l1 END AS suffix,
+    CASE WHEN d THEN l3 || '.' || l2 || '.' || l1 WHEN l2 <> '' THEN l2 || '.' || l1 ELSE l1 END AS domain
+  FROM (SELECT *, (length(l1) = 2 AND l2 IN ('ac','co','com','edu','gov','net','org') AND l3 <> '') AS d FROM names)
+), h AS (
+  SELECT p.host, suffix, domain, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM (SELECT DISTINCT page_id, host FROM p) p LEFT JOIN k USING (page_id) JOIN reg USING (host) GROUP BY ALL
+), d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL
+), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL
+), s1 AS (SELECT s.*, coalesce((SELECT sum(bad) / nullif(sum(n), 0) FROM s), 0) AS above FROM s
+), sw AS (
+  SELECT (sum(n * pow(bad / n - above, 2)) - sum(above * (1 - above))) / greatest(sum(n) - count(*), 1) AS b, sum(n * above * (1 - above)) / sum(n) AS m FROM s1 WHERE n > 0
+), s2 AS (
+  SELECT s1.*, (bad + w * above) / (n + w) AS rate FROM s1, (SELECT CASE WHEN b > 0 THEN least(greatest(m / b - 1, 1.0), 1e4) ELSE 1e4 END AS w FROM sw)
+), d1 AS (SELECT d.*, s2.rate AS above FROM d JOIN s2 USING (suffix)
+), dw AS (
+  SELECT (sum(n * pow(bad / n - above, 2)) - sum(above * (1 - above))) / greatest(sum(n) - count(*), 1) AS b, sum(n * above * (1 - above)) / sum(n) AS m FROM d1 WHERE n > 0
+), d2 AS (
+  SELECT d1.*, (bad + w * above) / (n + w) AS rate FROM d1, (SELECT CASE WHEN b > 0 THEN least(greatest(m / b - 1, 1.0), 1e4) ELSE 1e4 END AS w FROM dw)
+), h1 AS (SELECT h.*, d2.rate AS above FROM h JOIN d2 USING (domain)
+), hw AS (
+  SELECT (sum(n * pow(bad / n - above, 2)) - sum(above * (1 - above))) / greatest(sum(n) - count(*), 1) AS b, sum(n * above * (1 - above)) / sum(n) AS m FROM h1 WHERE n > 0
+), h2 AS (
+  SELECT h1.*, w, (bad + w * above) / (n + w) AS rate FROM h1, (SELECT CASE WHEN b > 0 THEN least(greatest(m / b - 1, 1.0), 1e4) ELSE 1e4 END AS w FROM hw)
+), r AS (
+  SELECT host, CAST(n AS BIGINT) AS n_labelled, CAST(bad AS BIGINT) AS n_bad, rate, greatest(rate - 1.645 * sqrt(rate * (1 - rate) / (n + w + 1)), 0) AS lower FROM h2
+), j AS (
+  SELECT p.page_id, p.host, p.path, r.n_labelled, r.n_bad, r.rate, r.lower,
+    CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+         WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+         WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM p LEFT JOIN r USING (host)
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN lower > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+  n_labelled, n_bad, round(rate, 9) AS bad_rate
+FROM j
+"""
+
+ORACLES = {"op5_host_reputation": OP5_SQL, "op10_line_dedup": OP10_SQL}
