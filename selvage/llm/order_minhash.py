@@ -88,8 +88,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(filled == 0, F.lit(1.0)).otherwise(equal / filled)
 
 
-def with_next(df: DataFrame, id_col: str, carry: list[str], rows_per_block: int = 2000, ranges: int = 64) -> DataFrame:
-    """df with next_<c> for each c in `carry`: the value in the next row in descending order of id; after the last, the first.
+def with_next(df: DataFrame, id_col: str, carry: list[str], derive: dict[str, Column] | None = None, rows_per_block: int = 2000, ranges: int = 64) -> DataFrame:
+    """df with the columns `derive`, and next_<c> for each c in `carry` and `derive`: the value in the next row in descending order of id; after the last, the first.
 
     Rows go to blocks by id: `ranges` ranges of about as many rows each, every one cut evenly to about rows_per_block
     rows. A window looks ahead within the block, and the first row of each block is also given to the block before it.
@@ -116,18 +116,19 @@ def with_next(df: DataFrame, id_col: str, carry: list[str], rows_per_block: int
     if n_blocks * 32 < 8 << 20:
         given = F.broadcast(given)
     heads_of = rows.join(given, "_key").drop("_block").withColumnRenamed("_to", "_block").withColumn("_given", F.lit(True))
-    both = rows.withColumn("_given", F.lit(False)).unionByName(heads_of)
+    derive = derive or {}
+    # derived here, after the few heads are found, so that each row's are computed once
+    both = rows.withColumn("_given", F.lit(False)).unionByName(heads_of).withColumns(derive)
     within = Window.partitionBy("_block").orderBy(F.asc("_given"), F.desc("_key"), *[F.asc(c) for c in carry])
-    return both.withColumns({f"next_{c}": F.lead(c).over(within) for c in carry}).where(~F.col("_given")).drop("_key", "_given")
+    return both.withColumns({f"next_{c}": F.lead(c).over(within) for c in [*carry, *derive]}).where(~F.col("_given")).drop("_key", "_given")
 
 
 def edit_pairs(df: DataFrame, id_col: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """For each row: n_chars, its text's fingerprint, an edited text (its last half replaced by as much of the next
     text's start) with its fingerprint, and the likeness to that and to the next text."""
     rows = df.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("fp", fingerprint(F.col("text"), **params))
     # compact on the way: the slots' digits in one string
-    rows = with_next(rows.withColumn("fp", F.array_join("fp", "")), id_col, ["text", "fp"])
+    rows = with_next(rows, id_col, ["text"], {"fp": F.array_join(fingerprint(F.col("text"), **params), "")})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
