@@ -196,7 +196,7 @@ def pack(examples: DataFrame, width: int = 4096, max_segments: int = 512, max_lo
     shards = shards or max(1, round((examples.agg(F.sum("n_tokens")).first()[0] or 0) / shard_tokens))
     limits = (width, max_segments, max_loss or width)
 
-    def work(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def work(key, rows):
         rows = rows.sort_values(["id", "deal"], kind="stable", ignore_index=True)
         tokens, loss = rows["n_tokens"].to_numpy(np.int64), rows["loss_tokens"].to_numpy(np.int64)
         ids, raw = rows["id"].tolist(), rows["ids"].tolist()

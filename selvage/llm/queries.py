@@ -64,6 +64,20 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", F.to_json("headers").alias("headers"), F.decode("block", "utf-8").alias("block"), "block_digest", "payload_digest")
 
 
+#: Shares of expected tokens that op6 mixes to.
+DOMAIN_TARGETS = {"high": 0.85, "low": 0.1, "toxic": 0.05}
+
+
+def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    domain = F.when(F.col("toxic") == 1, F.lit("toxic")).when(F.col("quality") == 1, F.lit("high")).when(F.col("quality") == 0, F.lit("low"))
+    weights = train(docs, table(spark, sf_dir, "labels"), domain, list(DOMAIN_TARGETS))
+    mixed = mix(docs, weights, DOMAIN_TARGETS)
+    return mixed.select("doc_id", "n_words", F.round(F.col("posterior")[0], 6).alias("p_high"), F.round(F.col("posterior")[1], 6).alias("p_low"), F.round(F.col("posterior")[2], 6).alias("p_toxic"), F.round("rate", 6).alias("rate"), "copies")
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .order_minhash import edit_pairs
 
@@ -110,6 +124,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_perplexity_rules": op4_perplexity_rules,
     "op5_host_reputation": op5_host_reputation,
+    "op6_soft_mixing": op6_soft_mixing,
     "op7_order_minhash": op7_order_minhash,
     "op8_toxicity": op8_toxicity,
     "op9_warc_derivatives": op9_warc_derivatives,
