@@ -6,6 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sales_reports
+
+MODULES = [sales_reports]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+for module in MODULES:
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
+
+FLAGSHIP = "graded_master"
