@@ -205,10 +205,11 @@ def log_perplexity(docs: DataFrame, model: DataFrame, order: int, shard_entries:
     found = None
     for shard in range(shards):
         part = model if shards == 1 else model.where(F.col("context").isNull() | (F.pmod("context", F.lit(shards)) == shard))
-        entries = part.select("key", "value").toPandas()  # at most about shard_entries rows of 12 bytes
-        by_key = np.argsort(entries["key"].to_numpy())
-        shared = spark.sparkContext.broadcast((entries["key"].to_numpy()[by_key], entries["value"].to_numpy()[by_key]))
-
+        entries = part.select("key", "value").toArrow()  # at most about shard_entries rows of 12 bytes
+        keys, values = (entries[c].to_numpy() for c in ("key", "value"))
+        by_key = np.argsort(keys)
+        shared = spark.sparkContext.broadcast((keys[by_key], values[by_key]))
+        del entries, keys, values
         got = docs.withColumn("_score", _scorer(shared, order, shard, shards)("_lang", "_text")).select(*[c for c in docs.columns if c != "_text"], "_score.*")
         if shards > 1:
             got = written(got.dropDuplicates(["_id", "_r"]), "scores")
