@@ -42,12 +42,12 @@ def graded_master(spark, sf_dir):
     return out.select("sku", "season", "category", "stock_in", "net_sales_qty", F.bround("sell_through_rate", 6).alias("sell_through_rate"), "perf_pct", "perf_band", "perf_group_n", "perf_group_n_eligible", "perf_reliable")
 
 
-@query(f"""WITH {MASTER_SQL} SELECT sku, season, product_name, category, designer, list_price, stock_in, sales_qty, return_qty, round_even(sales_amount, 2) AS sales_amount, stock_on_hand,
+@query(f"""WITH {MASTER_SQL} SELECT sku, season, product_name, category, designer, list_price, stock_in, sales_qty, return_qty, round_even(sales_amount, 4) AS sales_amount, stock_on_hand,
   first_sale_date, last_sale_date, round_even(return_rate, 6) AS return_rate, round_even(avg_selling_price, 6) AS avg_selling_price, round_even(discount_depth, 6) AS discount_depth, round_even(weeks_on_sale, 6) AS weeks_on_sale, is_sample, is_gift FROM master""")
 def sku_season_master(spark, sf_dir):
     r = lambda c, n: F.bround(c, n).alias(c)
     return master(spark, sf_dir).select(
-        "sku", "season", "product_name", "category", "designer", "list_price", "stock_in", "sales_qty", "return_qty", r("sales_amount", 2), "stock_on_hand",
+        "sku", "season", "product_name", "category", "designer", "list_price", "stock_in", "sales_qty", "return_qty", r("sales_amount", 4), "stock_on_hand",
         "first_sale_date", "last_sale_date", r("return_rate", 6), r("avg_selling_price", 6), r("discount_depth", 6), r("weeks_on_sale", 6), "is_sample", "is_gift",
     )
 
