@@ -107,6 +107,11 @@ def unpivoted(df: DataFrame, ids: list[str], columns: list[str], name: str, valu
     return df.select(*ids, pairs.alias("_pair")).select(*ids, "_pair.*")
 
 
+def let(body, **values: Column) -> Column:
+    """body(struct of the values), with each value computed once."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two arrays, in double precision."""
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))

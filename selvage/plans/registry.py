@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import findings, people, sales_reports
+from . import findings, people, sales_reports, search
 
-MODULES = [sales_reports, findings, people]
+MODULES = [sales_reports, findings, people, search]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 for module in MODULES:
