@@ -88,7 +88,9 @@ def with_posteriors(df: DataFrame, weights: np.ndarray, text: str = "text") -> D
 
     @F.pandas_udf("_tokens long, " + ", ".join(f"_p{k} double" for k in range(n)))
     def score(texts: pd.Series) -> pd.DataFrame:
-        x = np.stack([features(t) for t in texts]) @ weights if len(texts) else np.zeros((0, n))
+        x = np.zeros((len(texts), n))
+        for at in range(0, len(texts), 250):
+            x[at : at + 250] = np.stack([features(t) for t in texts[at : at + 250]]) @ weights
         p = np.exp(x - x.max(1, keepdims=True)) if len(x) else x
         p = p / p.sum(1, keepdims=True)
         return pd.DataFrame({"_tokens": np.array([n_words(t) for t in texts], np.int64)} | {f"_p{k}": p[:, k] for k in range(n)})

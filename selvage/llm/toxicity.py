@@ -21,6 +21,7 @@ output's name is replaced; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -198,39 +199,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     return fit([r["_text"] for r in rows], [r["_y"] for r in rows], **params)
 
 
-def score_toxicity(df: DataFrame, machine: Machine, text: str = "text", to: str = "toxicity", remember: int = 400_000) -> DataFrame:
-    """df with column `to`, 0..1, of every whole text."""
+def score_toxicity(df: DataFrame, machine: Machine, text: str = "text", to: str = "toxicity", remember: int = 250_000, at_once: int = 4000) -> DataFrame:
+    """df with column `to`, 0..1, of every whole text. A task remembers the margins of at most `remember` words and computes `at_once` new ones at a time."""
     shared = df.sparkSession.sparkContext.broadcast(machine)  # at most `landmarks` words' subsequences
 
     @F.pandas_udf("double")
-    def scores(texts: pd.Series) -> pd.Series:
-        own, known = shared.value, _known(id(shared))
-        out = np.empty(len(texts))
-        for n, t in enumerate(texts):
-            units = set(units_of(t))
-            new = [u for u in units if u not in known]
-            if new:
-                words = [word_of(u) for u in new]
-                long = [n for n, w in enumerate(words) if len(w) >= 3]
-                got = np.full(len(new), own.offset)
-                for i in range(0, len(long), 50_000):
-                    part = long[i : i + 50_000]
-                    got[part] = own.margins([words[k] for k in part])
-                known.update(zip(new, got.tolist()))
-            out[n] = max(map(known.__getitem__, units), default=own.offset)
-            if len(known) > remember:
-                known.clear()
-        return pd.Series(own.score(np.maximum(out, own.offset)))
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own, known = shared.value, {}
+        for texts in batches:
+            out = np.full(len(texts), own.offset)
+            for n, t in enumerate(texts):
+                units = set(units_of(t))
+                new = [u for u in units if u not in known]
+                for i in range(0, len(new), at_once):
+                    part = new[i : i + at_once]
+                    words = [word_of(u) for u in part]
+                    margins = own.margins([w if len(w) >= 3 else "" for w in words])
+                    known.update(zip(part, np.where([len(w) >= 3 for w in words], margins, own.offset).tolist()))
+                out[n] = max(map(known.__getitem__, units), default=own.offset)
+                if len(known) > remember:
+                    known.clear()
+            yield pd.Series(own.score(np.maximum(out, own.offset)))
 
     return df.withColumn(to, scores(F.col(text)))
-
-
-_MEMORY: dict[int, dict[str, float]] = {}
-
-
-def _known(of: int) -> dict[str, float]:
-    """Margins that this worker remembers for one machine; those of an earlier one go."""
-    if of not in _MEMORY:
-        _MEMORY.clear()
-        _MEMORY[of] = {}
-    return _MEMORY[of]
