@@ -52,3 +52,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def parts(df: DataFrame, least: int = 1) -> int:
     """Shuffle partitions of the session."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def aside(df: DataFrame, but: tuple[str, ...] = ()) -> tuple[list[Column], list[Column]]:
+    """Selections that put df's columns (without those in `but`) under names that no operator uses, and back."""
+    kept = [(f"_u{n}_", c) for n, c in enumerate(df.columns) if c not in but]
+    return [F.col(f"`{c}`").alias(u) for u, c in kept], [F.col(u).alias(c) for u, c in kept]

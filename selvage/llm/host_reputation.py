@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import lower_ascii, written
+from ._common import aside, lower_ascii, written
 
 #: Fixed: labels that form a suffix together with a country's.
 SECOND_LEVEL = ["ac", "co", "com", "edu", "gov", "net", "org"]
@@ -96,7 +96,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     rates = reputations(seen.join(known, "_page", "left").select("host", "bad"))
     lower = F.greatest(F.col("rate") - bound * F.col("deviation"), F.lit(0.0))
     rates = rates.select(F.col("host").alias("_host"), F.col("n").alias("n_labelled"), F.col("bad").alias("n_bad"), F.col("rate").alias("bad_rate"), lower.alias("bad_lower"))
-    judged = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in out], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    put, back = aside(pages, out)
+    judged = pages.select(*put, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     judged = judged.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).join(rates, F.col("host") == F.col("_host"), "left")
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("bad_lower") > limit, F.lit("block")).otherwise(F.lit("allow")))
-    return judged.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", verdict).drop("_rule", "_host")
+    return judged.select(*back, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "n_labelled", "n_bad", "bad_rate", "bad_lower")

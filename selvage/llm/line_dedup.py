@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WS, discard, lower_ascii, parts, shared_dir, written
+from ._common import WS, aside, discard, lower_ascii, parts, shared_dir, written
 
 _HASH = ["_h1", "_h2"]
 _NO_ID = -(1 << 63)
@@ -62,7 +62,7 @@ class LineRuns:
 
     def entries(self, runs: list[str]) -> DataFrame:
         """The rows of these runs. Read as plain files: a union of bucketed tables would claim to be dealt by hash even where the scan isn't."""
-        return self.spark.read.parquet(*[f"{shared_dir(self.spark)}/{run}" for run in runs])
+        return self.spark.read.schema("_h1 long, _h2 long, n_docs long, holder long").parquet(*[f"{shared_dir(self.spark)}/{run}" for run in runs])
 
     def add(self, batch: DataFrame) -> None:
         """batch: _h1, _h2, n_docs, holder, one row for each hash; its documents precede those of earlier batches."""
@@ -122,9 +122,12 @@ def drop_shared_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text",
         runs.close()
     gone = lines.join(frequent, _HASH).where(F.col("_d") != F.col("holder"))
     drops = gone.groupBy("_d", "_r").agg(F.collect_set("_pos").alias("_drop"))
-    docs = df.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "_r": F.xxhash64(text)})
+    put, back = aside(df, ("n_lines", "n_dropped"))
+    docs = df.select(*put, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_d"), F.xxhash64(text).alias("_r"))
+    own = f"_u{df.columns.index(text)}_"  # the text's name while it is aside
     out = docs.join(drops, ["_d", "_r"], "left")
-    short = F.when(F.col("_drop").isNotNull(), _without(F.when(F.col("_drop").isNotNull(), F.col(text)), F.col("_drop"))).otherwise(F.col(text))
-    n_lines = (F.length(F.coalesce(text, F.lit(""))) - F.length(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"))) + 1).cast("long")
-    out = out.withColumn("n_lines", n_lines).withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long")).withColumn(text, short)
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    short = F.when(F.col("_drop").isNotNull(), _without(F.when(F.col("_drop").isNotNull(), F.col(own)), F.col("_drop"))).otherwise(F.col(own))
+    whole = F.coalesce(F.col(own), F.lit(""))
+    n_lines = (F.length(whole) - F.length(F.replace(whole, F.lit("\n"))) + 1).cast("long")
+    out = out.withColumn("_n", n_lines).withColumn("_gone", F.coalesce(F.size("_drop"), F.lit(0)).cast("long")).withColumn(own, short)
+    return out.select(*back, F.col("_n").alias("n_lines"), F.col("_gone").alias("n_dropped"))

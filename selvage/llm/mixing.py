@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import aside, written
 
 _SIZE = 1024
 
@@ -83,7 +83,7 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str]
 
 
 def with_posteriors(df: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
-    """df with _tokens (words) and _p0, _p1, ... of every whole text."""
+    """df (columns of other names) with _tokens (words) and _p0, _p1, ... of every whole text."""
     n = weights.shape[1]
 
     @F.pandas_udf("_tokens long, " + ", ".join(f"_p{k} double" for k in range(n)))
@@ -95,7 +95,7 @@ def with_posteriors(df: DataFrame, weights: np.ndarray, text: str = "text") -> D
         p = p / p.sum(1, keepdims=True)
         return pd.DataFrame({"_tokens": np.array([n_words(t) for t in texts], np.int64)} | {f"_p{k}": p[:, k] for k in range(n)})
 
-    return df.withColumn("_posterior", score(F.col(text))).select(*[F.col(f"`{c}`") for c in df.columns], "_posterior.*")
+    return df.withColumn("_posterior", score(F.col(text))).select(*df.columns, "_posterior.*")
 
 
 def rate_of(thetas: list[np.ndarray], least: float) -> Column:
@@ -142,9 +142,7 @@ def mix(df: DataFrame, weights: np.ndarray, targets: dict[str, float], id_col: s
     out = ("n_words", "posterior", "rate", "copies")
     posteriors = written(with_posteriors(df.select(F.col(text).alias("_text")), weights, "_text").drop("_text"), "posteriors")
     thetas, _ = fit_rates(posteriors, list(targets.values()), least_rate, total)
-    rows = with_posteriors(df, weights, text).withColumn("_rate", rate_of(thetas, least_rate))
+    put, back = aside(df, out)
     chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    return rows.select(
-        *[F.col(f"`{c}`") for c in df.columns if c not in out],
-        F.col("_tokens").alias("n_words"), F.array(*[F.col(f"_p{k}") for k in range(len(targets))]).alias("posterior"), F.col("_rate").alias("rate"), F.floor(F.col("_rate") + chance).cast("int").alias("copies"),
-    )
+    rows = with_posteriors(df.select(*put, F.col(text).alias("_text"), chance.alias("_chance")), weights, "_text").withColumn("_rate", rate_of(thetas, least_rate))
+    return rows.select(*back, F.col("_tokens").alias("n_words"), F.array(*[F.col(f"_p{k}") for k in range(len(targets))]).alias("posterior"), F.col("_rate").alias("rate"), F.floor(F.col("_rate") + F.col("_chance")).cast("int").alias("copies"))
