@@ -1,9 +1,10 @@
 """Quality rules: simple counts of a text, and the band of its perplexity under a model of its own language.
 
 The model is a modified Kneser-Ney model of the bytes of the corpus (A-Z in lower case), of order `order`, one for each
-language. Spark counts the n-grams of every whole text and derives continuation counts, discounts and probabilities;
-the result is a table of (hash, value), of which scoring tasks get sorted arrays. A hash packs 19 bits of the
-language, 4 of the kind of entry, and the n-gram itself. Entries are dealt to shards by the byte before the last, so
+language and half of the texts. Halves are dealt by a hash of the text, and a text is scored by the model of the other
+half, so neither it nor its copies make themselves likely. Spark counts the n-grams of every whole text and derives
+continuation counts, discounts and probabilities; the result is a table of (hash, value), of which scoring tasks get
+sorted arrays. A hash packs 19 bits of language and half, 4 of the kind of entry, and the n-gram itself. Entries are dealt to shards by the byte before the last, so
 that all an n-gram needs is in one shard; one shard has about `shard_entries` entries at most, and texts are scored in
 one pass for each shard. The number of entries is bounded by the n-grams of a language, not by the documents.
 
@@ -84,7 +85,7 @@ def _grams(text: bytes, order: int) -> np.ndarray:
 
 
 def _lang(c: Column) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(c, F.lit(""))), F.lit(1 << 19))
+    return F.pmod(F.xxhash64(F.coalesce(c, F.lit(""))), F.lit(1 << 18))
 
 
 def count_grams(docs: DataFrame, order: int) -> DataFrame:
@@ -224,17 +225,20 @@ def judge(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     """df without its text: the counts, log_perplexity (per byte), base_failed and kept. The model is that of all of df's texts."""
     out = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", "base_failed", "kept")
     carry = [c for c in df.columns if c not in (*out, text)]
-    docs = df.select(_lang(F.col(lang)).alias("_lang"), F.col(text).alias("_text"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text)).alias("_r"), *[F.col(f"`{c}`").alias(f"c_{n}") for n, c in enumerate(carry)])
-    model = written(kneser_ney(written(count_grams(docs.select("_lang", "_text"), order), "grams"), order), "model")
+    half = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(2)), F.lit(2))
+    docs = df.select(_lang(F.col(lang)).alias("_of"), half.alias("_half"), F.col(text).alias("_text"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text)).alias("_r"), *[F.col(f"`{c}`").alias(f"c_{n}") for n, c in enumerate(carry)])
+    grams = count_grams(docs.select((F.col("_of") * 2 + F.col("_half")).alias("_lang"), "_text"), order)
+    model = written(kneser_ney(written(grams, "grams"), order), "model")
     # the counts' own pass over the text is the scores' pass: both come from the same scan
-    scored = written(log_perplexity(docs.withColumn("_counts", rule_counts("_text")), model, order), "scored")
+    asked = docs.withColumn("_lang", F.col("_of") * 2 + 1 - F.col("_half")).withColumn("_counts", rule_counts("_text"))
+    scored = written(log_perplexity(asked, model, order), "scored")
     x = F.when(F.col("_bytes") > 0, F.col("_sum") / F.col("_bytes"))
     scored = scored.withColumn("log_perplexity", x)
     error = F.sqrt(F.greatest(F.col("_squares") / F.col("_bytes") - F.col("log_perplexity") ** 2, F.lit(0.0)) / F.col("_bytes"))
-    middle = scored.groupBy("_lang").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("_middle"))
-    off = scored.join(F.broadcast(middle), "_lang").groupBy("_lang").agg(F.first("_middle").alias("_middle"), F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("_middle")), 0.5, 10_000).alias("_spread"))
-    band = off.select("_lang", "_middle", F.greatest(width * 1.4826 * F.col("_spread"), F.lit(least)).alias("_band"))  # one row for each language
-    judged = scored.join(F.broadcast(band), "_lang", "left")
+    middle = scored.groupBy("_of").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("_middle"))
+    off = scored.join(F.broadcast(middle), "_of").groupBy("_of").agg(F.first("_middle").alias("_middle"), F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("_middle")), 0.5, 10_000).alias("_spread"))
+    band = off.select("_of", "_middle", F.greatest(width * 1.4826 * F.col("_spread"), F.lit(least)).alias("_band"))  # one row for each language
+    judged = scored.join(F.broadcast(band), "_of", "left")
     n = F.col("_counts.n_words")
     failed = (n < 10) | (100 * F.col("_counts.n_repeat_words") > 20 * n)
     inside = F.abs(F.col("log_perplexity") - F.col("_middle")) <= F.col("_band") + errors * error
