@@ -1,8 +1,9 @@
 """Judgement of urls by rules and by an empirical-Bayes reputation of their hosts.
 
 Labelled pages say which outcomes a host had. A host's rate of bad pages is shrunk towards that of its registered
-domain, the domain's towards its suffix's, and the suffix's towards that of all labelled pages. At each step a
-beta-binomial prior, fitted by moments to the rates of all units of that step, gives the weight of the parent's rate.
+domain, the domain's towards its suffix's, and the suffix's towards that of all labelled pages, each time without the
+unit's own outcomes, so that none counts twice. At each step a beta-binomial prior, fitted by moments to the rates of
+all units of that step, gives the weight of the parent's rate.
 A host is blocked if the lower posterior bound of its bad rate is over `limit`, so that few outcomes block nobody.
 
 The registered domain is the suffix and one label more; a suffix is the last label, or the last two if these are one
@@ -47,7 +48,7 @@ def registered(host: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """Struct of the verdict and the text of the longest rule (verdict, host, path) that fits; null if none does."""
-    out = F.lit(None)
+    out = F.lit(None).cast("struct<verdict:string,rule:string>")
     for verdict, of_host, of_path in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r)):
         fits = ((host == of_host) | host.endswith("." + of_host)) & path.startswith(of_path)
         out = F.when(fits, F.struct(F.lit(verdict).alias("verdict"), F.lit(of_host + of_path).alias("rule"))).otherwise(out)
@@ -70,15 +71,22 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     hosts = written(hosts, "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    whole = suffixes.agg(F.try_divide(F.sum("bad"), F.sum("n"))).first()[0] or 0.0
+    n, bad = suffixes.agg(F.sum("n"), F.sum("bad")).first()  # two numbers
+    whole = bad / n if n else 0.0
 
     def shrunk(units: DataFrame) -> DataFrame:
         weight = F.lit(_prior_weight(units))
         return units.withColumn("weight", weight).withColumn("rate", (F.col("bad") + weight * F.col("above")) / (F.col("n") + weight))
 
-    suffix_rates = shrunk(suffixes.withColumn("above", F.lit(whole)))
-    domain_rates = shrunk(domains.join(suffix_rates.select("suffix", F.col("rate").alias("above")), "suffix"))
-    host_rates = shrunk(hosts.join(domain_rates.select("domain", F.col("rate").alias("above")), "domain"))
+    def below(units: DataFrame, parents: DataFrame, by: str) -> DataFrame:
+        """units with the rate of their parent without them."""
+        joined = units.join(parents.select(by, *[F.col(c).alias(f"_{c}") for c in ("n", "bad", "above", "weight")]), by)
+        rest = F.col("_bad") - F.col("bad") + F.col("_weight") * F.col("_above")
+        return joined.withColumn("above", rest / (F.col("_n") - F.col("n") + F.col("_weight"))).drop("_n", "_bad", "_above", "_weight")
+
+    suffix_rates = shrunk(suffixes.withColumn("above", (F.lit(float(bad or 0)) - F.col("bad") + whole) / (F.lit(float(n or 0)) - F.col("n") + 1)))
+    domain_rates = shrunk(below(domains, suffix_rates, "suffix"))
+    host_rates = shrunk(below(hosts, domain_rates, "domain"))
     deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("weight") + 1))
     return host_rates.select("host", "n", "bad", "rate", deviation.alias("deviation"))
 

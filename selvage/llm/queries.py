@@ -152,17 +152,18 @@ WITH p AS (
   SELECT p.host, suffix, domain, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM (SELECT DISTINCT page_id, host FROM p) p LEFT JOIN k USING (page_id) JOIN reg USING (host) GROUP BY ALL
 ), d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL
 ), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL
-), s1 AS (SELECT s.*, coalesce((SELECT sum(bad) / nullif(sum(n), 0) FROM s), 0) AS above FROM s
+), tot AS (SELECT coalesce(sum(bad), 0) AS tb, coalesce(sum(n), 0) AS tn FROM s
+), s1 AS (SELECT s.*, (tb - bad + coalesce(tb / nullif(tn, 0), 0)) / (tn - n + 1) AS above FROM s, tot
 ), sw AS (
   SELECT (sum(n * pow(bad / n - above, 2)) - sum(above * (1 - above))) / greatest(sum(n) - count(*), 1) AS b, sum(n * above * (1 - above)) / sum(n) AS m FROM s1 WHERE n > 0
 ), s2 AS (
-  SELECT s1.*, (bad + w * above) / (n + w) AS rate FROM s1, (SELECT CASE WHEN b > 0 THEN least(greatest(m / b - 1, 1.0), 1e4) ELSE 1e4 END AS w FROM sw)
-), d1 AS (SELECT d.*, s2.rate AS above FROM d JOIN s2 USING (suffix)
+  SELECT s1.*, w, (bad + w * above) / (n + w) AS rate FROM s1, (SELECT CASE WHEN b > 0 THEN least(greatest(m / b - 1, 1.0), 1e4) ELSE 1e4 END AS w FROM sw)
+), d1 AS (SELECT d.*, (s2.bad - d.bad + s2.w * s2.above) / (s2.n - d.n + s2.w) AS above FROM d JOIN s2 USING (suffix)
 ), dw AS (
   SELECT (sum(n * pow(bad / n - above, 2)) - sum(above * (1 - above))) / greatest(sum(n) - count(*), 1) AS b, sum(n * above * (1 - above)) / sum(n) AS m FROM d1 WHERE n > 0
 ), d2 AS (
-  SELECT d1.*, (bad + w * above) / (n + w) AS rate FROM d1, (SELECT CASE WHEN b > 0 THEN least(greatest(m / b - 1, 1.0), 1e4) ELSE 1e4 END AS w FROM dw)
-), h1 AS (SELECT h.*, d2.rate AS above FROM h JOIN d2 USING (domain)
+  SELECT d1.*, w, (bad + w * above) / (n + w) AS rate FROM d1, (SELECT CASE WHEN b > 0 THEN least(greatest(m / b - 1, 1.0), 1e4) ELSE 1e4 END AS w FROM dw)
+), h1 AS (SELECT h.*, (d2.bad - h.bad + d2.w * d2.above) / (d2.n - h.n + d2.w) AS above FROM h JOIN d2 USING (domain)
 ), hw AS (
   SELECT (sum(n * pow(bad / n - above, 2)) - sum(above * (1 - above))) / greatest(sum(n) - count(*), 1) AS b, sum(n * above * (1 - above)) / sum(n) AS m FROM h1 WHERE n > 0
 ), h2 AS (
