@@ -9,8 +9,8 @@ that all an n-gram needs is in one shard; one shard has about `shard_entries` en
 one pass for each shard. The number of entries is bounded by the n-grams of a language, not by the documents.
 
 A language's band is its median of the log-perplexity, up and down by `width` times the spread (1.4826 times the median
-absolute deviation) or `least` nats, whichever is more; a text's own band is wider by three standard errors, so short
-texts aren't judged by a few letters.
+absolute deviation) or `least_up` and `least_down` nats, whichever is more; a text's own band is wider by three standard
+errors, so short texts aren't judged by a few letters.
 
 Defined cases: null text has no words, no bytes, log-perplexity null, and fails the base rules; a null language is a
 language of its own; repeated rows count as often as they come; other columns pass through, and those of the outputs'
@@ -221,7 +221,7 @@ def log_perplexity(docs: DataFrame, model: DataFrame, order: int, shard_entries:
     return found
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 5, width: float = 10.0, least: float = 0.25, errors: float = 3.0) -> DataFrame:
+def judge(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 5, width: float = 10.0, least_up: float = 0.8, least_down: float = 0.6, errors: float = 3.0) -> DataFrame:
     """df without its text: the counts, log_perplexity (per byte), base_failed and kept. The model is that of all of df's texts."""
     out = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", "base_failed", "kept")
     carry = [c for c in df.columns if c not in (*out, text)]
@@ -237,9 +237,10 @@ def judge(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     error = F.sqrt(F.greatest(F.col("_squares") / F.col("_bytes") - F.col("log_perplexity") ** 2, F.lit(0.0)) / F.col("_bytes"))
     middle = scored.groupBy("_of").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("_middle"))
     off = scored.join(F.broadcast(middle), "_of").groupBy("_of").agg(F.first("_middle").alias("_middle"), F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("_middle")), 0.5, 10_000).alias("_spread"))
-    band = off.select("_of", "_middle", F.greatest(width * 1.4826 * F.col("_spread"), F.lit(least)).alias("_band"))  # one row for each language
+    limit = lambda least: F.greatest(width * 1.4826 * F.col("_spread"), F.lit(least))
+    band = off.select("_of", "_middle", limit(least_up).alias("_up"), limit(least_down).alias("_down"))  # one row for each language
     judged = scored.join(F.broadcast(band), "_of", "left")
     n = F.col("_counts.n_words")
     failed = (n < 10) | (100 * F.col("_counts.n_repeat_words") > 20 * n)
-    inside = F.abs(F.col("log_perplexity") - F.col("_middle")) <= F.col("_band") + errors * error
+    inside = F.col("log_perplexity").between(F.col("_middle") - F.col("_down") - errors * error, F.col("_middle") + F.col("_up") + errors * error)
     return judged.select(*[F.col(f"c_{n}").alias(c) for n, c in enumerate(carry)], "_counts.*", "log_perplexity", failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"))
