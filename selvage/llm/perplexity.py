@@ -234,7 +234,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     scored = written(log_perplexity(asked, model, order), "scored")
     x = F.when(F.col("_bytes") > 0, F.col("_sum") / F.col("_bytes"))
     scored = scored.withColumn("log_perplexity", x)
-    error = F.sqrt(F.greatest(F.col("_squares") / F.col("_bytes") - F.col("log_perplexity") ** 2, F.lit(0.0)) / F.col("_bytes"))
+    error = F.sqrt(F.try_divide(F.greatest(F.try_divide("_squares", "_bytes") - F.col("log_perplexity") ** 2, F.lit(0.0)), F.col("_bytes")))
     middle = scored.groupBy("_of").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("_middle"))
     off = scored.join(F.broadcast(middle), "_of").groupBy("_of").agg(F.first("_middle").alias("_middle"), F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("_middle")), 0.5, 10_000).alias("_spread"))
     limit = lambda least: F.greatest(width * 1.4826 * F.col("_spread"), F.lit(least))
