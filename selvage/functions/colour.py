@@ -35,7 +35,7 @@ def lab_of_hex(hex_: Column) -> tuple[Column, Column, Column]:
 
 
 def hex_of_lab(lightness: Column, a: Column, b: Column) -> Column:
-    """"#RRGGBB", clipped to what can be shown."""
+    """"#RRGGBB", clipped to what can be shown; null for null."""
     fy = (lightness + 16) / 116
     xyz = []
     for f, white in zip((fy + a / 500, fy, fy - b / 200), _WHITE):
@@ -46,7 +46,7 @@ def hex_of_lab(lightness: Column, a: Column, b: Column) -> Column:
         c = F.greatest(F.least(_dot(row, xyz), F.lit(1.0)), F.lit(0.0))
         c = F.when(c <= 0.0031308, 12.92 * c).otherwise(1.055 * F.pow(c, 1 / 2.4) - 0.055)
         out.append(F.lpad(F.hex(F.round(c * 255).cast("long")), 2, "0"))
-    return F.concat(F.lit("#"), *out)
+    return F.when(lightness.isNotNull(), F.concat(F.lit("#"), *out))
 
 
 def chroma(a: Column, b: Column) -> Column:
