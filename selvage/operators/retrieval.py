@@ -23,14 +23,23 @@ def centred(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return out.withColumn(vector, F.when(F.col("_n") > 0, F.transform(vector, lambda x: x / F.col("_n"))).otherwise(F.col(vector))).drop("_n")
 
 
-def similarities(queries: DataFrame, vectors: DataFrame, unit: bool = False) -> DataFrame:
-    """query, id, label and similarity of every query with every vector but itself.
+def against_all(queries: DataFrame, rows: DataFrame, on: Column, block: int = 2000) -> DataFrame:
+    """Every query of a stated set beside every row that `on` admits, in blocks of about `block` queries, of which one at a time is sent to the tasks; the rows stay where they are."""
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for n in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n)
+        part = rows.join(F.broadcast(own), on)
+        out = part if out is None else out.unionByName(part)
+    return out
+
 
-    queries: a stated set (query, q), so it is sent to all tasks; vectors stay where they are."""
+def similarities(queries: DataFrame, vectors: DataFrame, unit: bool = False) -> DataFrame:
+    """query, id, label and similarity of every query (query, q) with every vector but itself."""
     sim = dot(F.col("q"), F.col("embedding"))
     if not unit:
         sim = F.try_divide(sim, norm(F.col("q")) * norm(F.col("embedding")))
-    pairs = vectors.join(F.broadcast(queries), F.col("id") != F.col("query"))
+    pairs = against_all(queries, vectors, F.col("id") != F.col("query"))
     return pairs.select("query", "id", *[c for c in vectors.columns if c not in ("id", "embedding")], F.bround(sim, 6).alias("similarity"))
 
 
