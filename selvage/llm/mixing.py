@@ -146,9 +146,11 @@ def fit_rates(posteriors: DataFrame, targets: list[float], least: float = 0.0, t
     want = share * total
     inverse = np.linalg.pinv(moments[np.ix_(use, use)], rcond=1e-9)
     thetas: list[np.ndarray] = []
-    ahead = have
+    ahead, off = have, []
     for _ in range(rounds):
-        if np.abs(np.where(use, have - want, 0.0)).max() <= close * total:
+        off.append(np.abs(np.where(use, have - want, 0.0)).max())
+        # done when close, or when eight steps have brought nothing: least_rate may keep the targets out of reach
+        if off[-1] <= close * total or (len(off) > 8 and min(off[-8:]) > 0.99 * min(off[:-8])):
             break
         theta = np.zeros(n)
         theta[use] = inverse @ (ahead - want)[use]
