@@ -134,3 +134,12 @@ def bootstrap_lift(df: DataFrame, rules: list[tuple[str, str]], part: list[str],
         return pd.DataFrame({"motif": [frame["motif"][0]], "n": [total], "lift_points": [float(n @ d / total * 100)], "low": [low], "high": [high]})
 
     return counted.groupBy("motif").applyInPandas(work, "motif string, n long, lift_points double, low double, high double")
+
+
+def candidate_features(df: DataFrame, leave_out: list[str], least: int = 2, most: int = 40, filled: float = 0.05) -> list[str]:
+    """Text columns with `least` to `most` distinct values that are filled in at least that share of the rows. One row of counts decides."""
+    names = [f.name for f in df.schema if f.dataType.simpleString() == "string" and f.name not in leave_out and not f.name.endswith(("_path", "_conf", "_id"))]
+    if not names:
+        return []
+    row = df.agg(F.count("*").alias("n"), *[F.countDistinct(c).alias(f"d{i}") for i, c in enumerate(names)], *[F.count(c).alias(f"f{i}") for i, c in enumerate(names)]).first()
+    return [c for i, c in enumerate(names) if least <= row[f"d{i}"] <= most and row[f"f{i}"] >= filled * row["n"]]

@@ -58,3 +58,19 @@ def outfits(tops: DataFrame, bottoms: DataFrame, per_bottom: int = 3) -> DataFra
     slots = bottoms.select(F.col("sku").alias("bottom"), "place", F.explode(F.sequence(F.lit(0), F.lit(per_bottom - 1))).alias("k"))
     slots = slots.withColumn("_at", (F.col("place") * per_bottom + F.col("k")) % n)
     return slots.join(tops.select(F.col("sku").alias("top"), F.col("place").alias("_at")), "_at").select("bottom", "k", "top")
+
+
+def week_plan(graded: DataFrame, association: DataFrame, styles: int = 12, new: float = 0.65) -> DataFrame:
+    """New styles of one week: categories by their share, largest first; the k-th style of a category takes the k-th best option of each attribute (or the last there is)."""
+    n_new = int(round(styles * new))
+    mix = graded.groupBy("category").agg(F.countDistinct("sku").alias("_n")).withColumn("_share", F.col("_n") / F.sum("_n").over(Window.partitionBy(F.lit(0))))
+    seats = mix.withColumn("_seats", F.greatest(F.bround(F.col("_share") * n_new, 0).cast("int"), F.lit(1)))
+    slots = seats.select("category", "_share", F.explode(F.sequence(F.lit(1), F.col("_seats"))).alias("k"))
+    order = Window.partitionBy(F.lit(0)).orderBy("k", F.desc("_share"), "category")  # a row for each style of a week
+    slots = slots.withColumn("seq", F.row_number().over(order).cast("long")).where(F.col("seq") <= n_new)
+    recipe = winning_recipe(association, top=3)
+    depth = recipe.groupBy("category", "attribute").agg(F.max("place").alias("_deep"))
+    chosen = slots.join(depth, "category").withColumn("place", F.least(F.col("k").cast("long"), F.col("_deep"))).join(recipe, ["category", "attribute", "place"])
+    told = F.transform(F.array_sort(F.collect_list(F.struct("attribute", "option"))), lambda x: F.concat(x["attribute"], F.lit("="), x["option"]))
+    designs = chosen.groupBy("seq").agg(F.array_join(told, " / ").alias("design"))
+    return slots.select("seq", "category").join(designs, "seq", "left").withColumn("design", F.coalesce("design", F.lit("free")))

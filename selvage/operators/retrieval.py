@@ -105,3 +105,29 @@ def idf_rank(items: DataFrame, terms: dict[str, float], name: str = "product_nam
     for t in without:
         score = score - F.when(F.col(name).contains(t), penalty).otherwise(0.0)
     return items.select(key, name, F.bround(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(top)
+
+
+def shortlist(ranked: DataFrame, n: int, score: str = "score", key: str = "sku") -> DataFrame:
+    """The first n by score and all that tie with the last of them."""
+    edge = ranked.select(score).orderBy(F.desc(score)).limit(n).agg(F.min(score)).first()[0]
+    return ranked.where(F.col(score) >= edge) if edge is not None else ranked.where("false")
+
+
+def cascade(items: DataFrame, terms: dict[str, float], query: list[float], n: int = 40, top: int = 15, key: str = "sku") -> DataFrame:
+    """Items found by words first and by their vector among those: the shortlist by terms (with ties), then the nearest to the query's vector; whether the best stands out."""
+    listed = shortlist(idf_rank(items, terms, key=key, top=max(n, 1) * 50), n)
+    q = F.array(*[F.lit(float(x)) for x in query])
+    near = items.join(F.broadcast(listed.select(key, "score")), key)  # at most the shortlist and its ties
+    near = near.withColumn("similarity", F.bround(F.try_divide(dot(q, F.col("embedding")), norm(q) * norm(F.col("embedding"))), 6))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("similarity"), key)  # a row for each of the shortlist
+    out = near.withColumns({"rank": F.row_number().over(order).cast("long"), "_lead": F.col("similarity") - F.lead("similarity").over(order)})
+    out = out.withColumn("stands_out", (F.col("rank") == 1) & (F.col("_lead") >= 0.02))
+    return out.where(F.col("rank") <= top).select("rank", key, "product_name", "score", "similarity", "stands_out")
+
+
+def tag_rows(scores: DataFrame, applies: DataFrame, declared: DataFrame, **limits) -> DataFrame:
+    """scores: query, attribute, option, similarity; applies: category, attribute; declared: query, category. Tags of the attributes that apply to the category; "n/a" for the others."""
+    tagged = softmax_tags(scores.withColumn("query", F.struct("query", "attribute")), "option", **limits).select("query.*", "tag", "conf", "margin")
+    rows = tagged.join(declared, "query").join(F.broadcast(applies.withColumn("_on", F.lit(True))), ["category", "attribute"], "left")
+    on = F.coalesce("_on", F.lit(False))
+    return rows.select("query", "category", "attribute", F.when(on, F.col("tag")).otherwise("n/a").alias("tag"), F.when(on, F.col("conf")).alias("conf"))

@@ -165,3 +165,53 @@ def stratified_interval(spark, sf_dir):
 @query(f"WITH {TERMS_SQL} SELECT sku, min(season) AS first_season, max(season) AS last_season, count(*) AS n_terms FROM terms GROUP BY sku")
 def style_spans(spark, sf_dir):
     return terms(spark, sf_dir).groupBy("sku").agg(F.min("season").alias("first_season"), F.max("season").alias("last_season"), F.count("*").alias("n_terms"))
+
+
+@query("""WITH t AS (SELECT doc_id AS id, text FROM documents) SELECT id, nullif(upper(regexp_extract(text, '(^|[^0-9A-Za-z])#?([0-9A-Fa-f]{6})([^0-9A-Za-z]|$)', 2)), '') AS hex FROM t WHERE regexp_matches(text, '(^|[^0-9A-Za-z])#?([0-9A-Fa-f]{6})([^0-9A-Za-z]|$)')""")
+def hex_codes(spark, sf_dir):
+    """The first six-digit colour in each document that has one."""
+    from selvage.operators import names
+
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), names.hex_in(F.col("text")).alias("hex")).where("hex is not null")
+
+
+@query("""WITH w AS (SELECT p_partkey AS sku, string_split(p_name, ' ') AS ws FROM part) SELECT sku, array_to_string(list_filter(ws, lambda x: x IN ('hot', 'ring', 'red', 'box')), ' ') AS terms FROM w WHERE len(list_filter(ws, lambda x: x IN ('hot', 'ring', 'red', 'box'))) = len(ws)""")
+def title_terms(spark, sf_dir):
+    """Names of which every word is a term, read as titles."""
+    from selvage.operators import names
+
+    words = ["hot", "ring", "red", "box"]
+    parts = names.title_parts(F.col("p_name"), words, ["sale"])
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), parts["terms"].alias("t"))
+    whole = F.forall("t", lambda x: x.isin(words))
+    return rows.where(whole & (F.size("t") > 0)).select("sku", F.array_join("t", " ").alias("terms"))
+
+
+@query("""WITH e AS (SELECT p_partkey AS sku, p_name AS product_name, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM part JOIN embeddings ON p_partkey = vec_id), q AS (SELECT v AS q FROM e ORDER BY sku LIMIT 1),
+  c AS (SELECT count(*) AS n, count(*) FILTER (WHERE contains(product_name, 'ring')) AS a, count(*) FILTER (WHERE contains(product_name, 'red')) AS b FROM e),
+  s AS (SELECT e.*, round_even(CASE WHEN contains(product_name, 'ring') THEN ln((n + 1) / (a + 1)) ELSE 0 END + CASE WHEN contains(product_name, 'red') THEN ln((n + 1) / (b + 1)) * 0.8::DOUBLE ELSE 0 END, 6) AS score FROM e, c),
+  l AS (SELECT * FROM s WHERE score >= (SELECT min(score) FROM (SELECT score FROM s ORDER BY score DESC LIMIT 10))),
+  d AS (SELECT sku, product_name, score, round_even(list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v))), 6) AS similarity FROM l, q),
+  r AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, sku) AS rank, similarity - lead(similarity) OVER (ORDER BY similarity DESC, sku) AS lead FROM d) SELECT rank, sku, product_name, score, similarity, (rank = 1 AND lead >= 0.02) AS stands_out FROM r WHERE rank <= 15""")
+def search_cascade(spark, sf_dir):
+    """Words, then vectors among those found: the first item asks for what is like it."""
+    from selvage.operators import retrieval
+
+    items = read(spark, sf_dir, "part").join(read(spark, sf_dir, "embeddings"), F.col("p_partkey") == F.col("vec_id")).select(F.col("p_partkey").alias("sku"), F.col("p_name").alias("product_name"), "embedding")
+    asked = items.orderBy("sku").first()["embedding"]
+    return retrieval.cascade(items, {"ring": 1.0, "red": 0.8}, asked, n=10)
+
+
+@query("")
+def week_plan(spark, sf_dir):
+    from .findings import _association
+
+    return planning.week_plan(graded(spark, sf_dir), _association(spark, sf_dir))
+
+
+@query("")
+def placement_counts(spark, sf_dir):
+    from selvage.operators import names
+
+    items = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), F.col("p_name").alias("product_name"))
+    return names.placement_counts(names.placements(items, ["ring", "box"], ["hot", "red", "large"]))
