@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WORD, written
+from ._common import WORD, discard, written
 from .shingles import chunks
 
 _WORDS = re.compile(WORD)
@@ -91,30 +91,35 @@ def _lang(c: Column) -> Column:
 def count_grams(docs: DataFrame, order: int) -> DataFrame:
     """_lang, _g, _c: how often each n-gram of bytes is in all texts. docs: _lang, _text. Counted in each task first."""
 
-    def work(batches):
-        held: dict[int, list] = {}
+    def merged(parts):
+        grams, counts = (np.concatenate(x) for x in zip(*parts))
+        grams, at = np.unique(grams, return_inverse=True)
+        return grams, np.bincount(at, counts, len(grams)).astype(np.int64)
 
-        def told(lang):
-            grams, counts = (np.concatenate(x) for x in zip(*held.pop(lang)))
-            grams, at = np.unique(grams, return_inverse=True)
-            counts = np.bincount(at, counts, len(grams)).astype(np.int64)
-            return grams, counts
+    def told(lang, parts):
+        grams, counts = merged(parts)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), lang)), pa.array(grams), pa.array(counts)], names=["_lang", "_g", "_c"])
 
+    def work(batches):
+        held: dict[int, list] = {}  # of all languages together at most `most` entries, and one run's more
+        most, size = 2_000_000, 0
         for batch in batches:
             langs, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for lang in np.unique(langs).tolist():
                 own = [t.encode("utf-8", "surrogatepass") for t, k in zip(texts, langs) if k == lang and t]
-                for run in chunks(own, 2_000_000):
+                for run in chunks(own, 1_000_000):
                     held.setdefault(lang, []).append(np.unique(np.concatenate([_grams(t, order) for t in run]), return_counts=True))
-                    if sum(len(g) for g, _ in held[lang]) > 3_000_000:
-                        grams, counts = told(lang)
-                        held[lang] = [(grams, counts)]
-                        if len(grams) > 1_500_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), lang)), pa.array(grams), pa.array(counts)], names=["_lang", "_g", "_c"])
-                            del held[lang]
-        for lang in list(held):
-            grams, counts = told(lang)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), lang)), pa.array(grams), pa.array(counts)], names=["_lang", "_g", "_c"])
+                    size += len(held[lang][-1][0])
+                    if size <= most:
+                        continue
+                    held = {k: [merged(parts)] for k, parts in held.items()}
+                    size = sum(len(parts[0][0]) for parts in held.values())
+                    while size > most // 2:  # the largest goes as it is; Spark adds it up
+                        k = max(held, key=lambda k: len(held[k][0][0]))
+                        size -= len(held[k][0][0])
+                        yield told(k, held.pop(k))
+        for lang, parts in held.items():
+            yield told(lang, parts)
 
     return docs.mapInArrow(work, "_lang long, _g long, _c long").groupBy("_lang", "_g").agg(F.sum("_c").alias("_c"))
 
@@ -123,12 +128,12 @@ def kneser_ney(top: DataFrame, order: int) -> DataFrame:
     """key, value, context: log-probabilities (kinds 1 to order) and log-weights of contexts (kind 8 + length), from the counts of the longest n-grams."""
     tables, counts = {order: top}, top
     for k in range(order - 1, 0, -1):
-        counts = counts.groupBy("_lang", F.col("_g").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("_g")).agg(F.count("*").alias("_c"))
+        counts = written(counts.groupBy("_lang", F.col("_g").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("_g")).agg(F.count("*").alias("_c")), f"counts{k}")
         tables[k] = counts
     entry = lambda kind, gram: F.shiftleft("_lang", 44).bitwiseOR(F.lit(kind << 40)).bitwiseOR(gram)
     below, out = None, []
     for k in range(1, order + 1):
-        of = tables[k]
+        of = of_counts = tables[k]
         tally = of.groupBy("_lang").agg(*[F.count_if(F.col("_c") == n).cast("double").alias(f"n{n}") for n in range(1, 5)])
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
         fine = F.least("n1", "n2", "n3", "n4") > 0
@@ -147,6 +152,7 @@ def kneser_ney(top: DataFrame, order: int) -> DataFrame:
         below = written(of.select("_lang", "_g", "_h", "_p", "_gamma"), f"grams{k}")
         context = F.when(F.lit(k > 1), F.col("_lang") * 31 + F.col("_h").bitwiseAND(F.lit(255)))
         out.append(below.select(entry(k, F.col("_g")).alias("key"), F.log("_p").cast("float").alias("value"), context.alias("context")))
+        discard(of_counts)
         out.append(below.select("_lang", "_h", "_gamma").distinct().select(entry(8 + k - 1, F.col("_h")).alias("key"), F.log("_gamma").cast("float").alias("value"), context.alias("context")))
     model = out[0]
     for more in out[1:]:
