@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import chunks
+from .shingles import chunks, slices
 
 _UNITS = re.compile(r"[^ \t\r\n]+")
 #: Fixed: this vocabulary's pattern of pre-tokens, with the letters, digits and white space of Latin-1 in lower case written out.
@@ -94,7 +94,7 @@ def tokenize(df: DataFrame, path: str, end: int, id_col: str = "doc_id", text: s
 
     def work(batches):
         tokens, last = _tokens(path), struct.pack("<I", end)
-        for batch in batches:
+        for batch in slices(batches):
             at = 0
             for run in chunks([t or "" for t in batch.column(1).to_pylist()], 2_000_000):
                 ids = pa.array([x + last for x in tokens.encode(run)], pa.binary())

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import WORD, discard, written
-from .shingles import chunks
+from .shingles import chunks, slices
 
 _WORDS = re.compile(WORD)
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -103,7 +103,7 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
     def work(batches):
         held: dict[int, list] = {}  # of all languages together at most `most` entries, and one run's more
         most, size = 2_000_000, 0
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for lang in np.unique(langs).tolist():
                 own = [t.encode("utf-8", "surrogatepass") for t, k in zip(texts, langs) if k == lang and t]

@@ -29,18 +29,24 @@ def _powers(base: int, size: int) -> np.ndarray:
     return np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(size - 1, base, _U)]))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word (A-Z lower-cased), and the number of words of each text."""
-    data = _LOWER[np.frombuffer(b" ".join([*texts, b""]), np.uint8)] if texts else np.zeros(0, np.uint8)
+def word_hashes(texts: list[bytes], block: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word (A-Z lower-cased), and the number of words of each text. Worked on in blocks of about `block` bytes, cut between words."""
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8) if texts else np.zeros(0, np.uint8)
     blank = np.ones(len(data) + 1, bool)
     blank[1:] = _BLANK[data]
     starts = np.flatnonzero(blank[:-1] & ~blank[1:])
     ends = np.flatnonzero(~blank[:-1] & blank[1:])
-    size = 1 << max(16, int(len(data)).bit_length())
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * _powers(_BASE, size)[: len(data)], out=sums[1:])
     ends = np.append(ends, len(data))[: len(starts)]
-    hashes = mix((sums[ends] - sums[starts]) * _powers(_INVERSE, size)[starts] + _U(0xD6E8FEB86659FD93) * (ends - starts).astype(_U))
+    hashes, at = np.zeros(len(starts), _U), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + block)))
+        first, last = int(starts[at]), int(ends[to - 1])
+        size = 1 << max(16, (last - first).bit_length())
+        sums = np.zeros(last - first + 1, _U)
+        np.cumsum((_LOWER[data[first:last]].astype(_U) + _U(1)) * _powers(_BASE, size)[: last - first], out=sums[1:])
+        begun, done = starts[at:to] - first, ends[at:to] - first
+        hashes[at:to] = mix((sums[done] - sums[begun]) * _powers(_INVERSE, size)[begun] + _U(0xD6E8FEB86659FD93) * (done - begun).astype(_U))
+        at = to
     bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
     return hashes, np.diff(np.searchsorted(starts, bounds))
 
@@ -82,7 +88,7 @@ def minhashes(sets: np.ndarray, sizes: np.ndarray, count: int, seed: int = 1) ->
     return out
 
 
-def chunks(texts: list, most: int = 4_000_000):
+def chunks(texts: list, most: int = 1_000_000):
     """Runs of texts, or of tuples of texts, of about `most` bytes (or characters)."""
     run, size = [], 0
     for t in texts:
@@ -93,3 +99,10 @@ def chunks(texts: list, most: int = 4_000_000):
             run, size = [], 0
     if run:
         yield run
+
+
+def slices(batches, rows: int = 200):
+    """The batches in pieces of at most `rows` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
