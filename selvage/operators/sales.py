@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +14,11 @@ ATTRIBUTES = ["product_name", "category", "product_line", "sub_category", "color
 SUMS = ["stock_in", "sales_qty", "return_qty", "sales_amount", "stock_on_hand", "stock_on_hand_alt"]
 
 
-def aggregate_to_sku_season(lines: DataFrame, gift: Column, sample_stock: float = 2) -> DataFrame:
+def aggregate_to_sku_season(lines: DataFrame, gift: Column, sample_stock: float = 2, snapshot: date | None = None) -> DataFrame:
     """Sums, dates and rates of each sku and season. A sum without values is 0; a reported rate (sell_through_reported)
-    wins over the computed one; weeks on sale count to the last date of all lines."""
-    last = lines.agg(F.max("ship_date")).first()[0]
+    wins over the computed one; weeks on sale count to the snapshot, by default the last date of all lines (which costs
+    a pass over them)."""
+    last = snapshot or lines.agg(F.max("ship_date")).first()[0]
     grouped = lines.groupBy("sku", "season").agg(
         *[F.min(c).alias(c) for c in ATTRIBUTES],
         F.median("list_price").alias("list_price"),

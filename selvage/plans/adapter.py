@@ -44,9 +44,14 @@ def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def snapshot(spark: SparkSession, sf_dir: str):
+    """The last date of all lines, from its one column."""
+    return read(spark, sf_dir, "lineitem").agg(F.max(F.col("l_shipdate").cast("date"))).first()[0]
+
+
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each sku and season."""
-    return aggregate_to_sku_season(sales_lines(spark, sf_dir), gift=F.col("category") == GIFT)
+    return aggregate_to_sku_season(sales_lines(spark, sf_dir), gift=F.col("category") == GIFT, snapshot=snapshot(spark, sf_dir))
 
 
 LINES_SQL = """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from selvage.operators import commercial, performance, sales, season, stock
 
-from .adapter import GRADED_SQL, LINES_SQL, MASTER_SQL, master, sales_lines
+from .adapter import GRADED_SQL, LINES_SQL, MASTER_SQL, master, sales_lines, snapshot
 
 QUERIES, ORACLES = {}, {}
 
@@ -133,7 +133,7 @@ def season_changes(spark, sf_dir):
 def terms(spark, sf_dir):
     """Master by sku and term of the year."""
     lines = sales_lines(spark, sf_dir).withColumn("season", F.col("season") * 10 + F.col("term"))
-    rows = sales.aggregate_to_sku_season(lines, gift=F.col("category") == "PROMO")
+    rows = sales.aggregate_to_sku_season(lines, gift=F.col("category") == "PROMO", snapshot=snapshot(spark, sf_dir))
     return rows.where(~F.col("is_gift") & ~F.col("is_sample") & F.col("sell_through_rate").isNotNull()).withColumn("term", F.col("season") % 10).withColumn("year", F.floor(F.col("season") / 10))
 
 
