@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from selvage.functions.columns import pct_rank
-
 BANDS = ["STAR", "CORE", "STEADY", "SLOW", "EXCLUDED"]
 MIN_STOCK, MIN_WEEKS = 30, 4
 
@@ -18,12 +18,20 @@ def eligible() -> Column:
 
 def grade(master: DataFrame, by: tuple[str, ...] = ("season", "category"), metric: str = "sell_through_rate") -> DataFrame:
     """master with the percentile rank of the metric among eligible rows of the group, the band, and the group's sizes."""
-    ranked = pct_rank(master.withColumn("_ok", F.coalesce(eligible(), F.lit(False))), list(by), metric, "_pct", F.col("_ok"))
-    p = F.col("_pct")
+    rows = master.withColumn("_ok", F.coalesce(eligible(), F.lit(False)))
+    # ranks and sizes come from one count of rows by value
+    cells = rows.groupBy(*by, "_ok", metric).agg(F.count("*").alias("_ties"))
+    group, ranked = Window.partitionBy(*by), Window.partitionBy(*by, "_ok")
+    before = F.sum("_ties").over(ranked.orderBy(metric).rowsBetween(Window.unboundedPreceding, -1))
+    p = F.when(F.col("_ok"), (F.coalesce(before, F.lit(0)) + 1 + (F.col("_ties") - 1) / 2) / F.sum("_ties").over(ranked))
     band = F.when(p.isNull(), "EXCLUDED").when(p >= 0.8, "STAR").when(p >= 0.5, "CORE").when(p >= 0.2, "STEADY").otherwise("SLOW")
-    sizes = master.groupBy(*by).agg(F.count("*").alias("perf_group_n"), F.count_if(F.coalesce(eligible(), F.lit(False))).alias("perf_group_n_eligible"))
-    out = ranked.withColumn("perf_band", band).withColumn("perf_pct", F.bround(p, 4)).drop("_ok", "_pct")
-    return out.join(sizes, list(by)).withColumn("perf_reliable", F.col("perf_group_n") >= 10)
+    eligible_n = F.sum(F.when(F.col("_ok"), F.col("_ties")).otherwise(0)).over(group)
+    graded = cells.select(
+        *[F.col(k).alias(f"_k{n}") for n, k in enumerate((*by, "_ok", metric))], F.bround(p, 4).alias("perf_pct"), band.alias("perf_band"), F.sum("_ties").over(group).alias("perf_group_n"), eligible_n.alias("perf_group_n_eligible"),
+    )
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate((*by, "_ok", metric))])
+    out = rows.join(graded, same).drop("_ok", *[f"_k{n}" for n in range(len(by) + 2)])
+    return out.withColumn("perf_reliable", F.col("perf_group_n") >= 10)
 
 
 def summary_by_group(graded: DataFrame, by: tuple[str, ...] = ("season", "category")) -> DataFrame:
