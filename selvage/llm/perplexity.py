@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WORD, discard, written
+from ._common import WORD, discard, small_batches, written
 from .shingles import chunks, slices
 
 _WORDS = re.compile(WORD)
@@ -234,10 +234,13 @@ def judge(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     half = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(2)), F.lit(2))
     docs = df.select(_lang(F.col(lang)).alias("_of"), half.alias("_half"), F.col(text).alias("_text"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text)).alias("_r"), *[F.col(f"`{c}`").alias(f"c_{n}") for n, c in enumerate(carry)])
     grams = count_grams(docs.select((F.col("_of") * 2 + F.col("_half")).alias("_lang"), "_text"), order)
-    model = written(kneser_ney(written(grams, "grams"), order), "model")
+    with small_batches(df.sparkSession):
+        grams = written(grams, "grams")
+    model = written(kneser_ney(grams, order), "model")
     # the counts' own pass over the text is the scores' pass: both come from the same scan
     asked = docs.withColumn("_lang", F.col("_of") * 2 + 1 - F.col("_half")).withColumn("_counts", rule_counts("_text"))
-    scored = written(log_perplexity(asked, model, order), "scored")
+    with small_batches(df.sparkSession):
+        scored = written(log_perplexity(asked, model, order), "scored")
     x = F.when(F.col("_bytes") > 0, F.col("_sum") / F.col("_bytes"))
     scored = scored.withColumn("log_perplexity", x)
     error = F.sqrt(F.try_divide(F.greatest(F.try_divide("_squares", "_bytes") - F.col("log_perplexity") ** 2, F.lit(0.0)), F.col("_bytes")))
