@@ -6,7 +6,7 @@ that these totals match the targets: accelerated projected-gradient least square
 documents' second moments of p, so that its step is 1. From a rate of 1 each step takes rate = max(least, ahead -
 p . theta), where theta is the whitened residual at `ahead`, a vector of as many numbers as there are domains, and
 ahead = rate + momentum * (rate - the rate before). A document's rate follows from the thetas alone, so nothing but sums
-over all documents is gathered, and no rate is stored before the end.
+over all documents is gathered.
 
 The classifier (softmax over hashed byte pairs) is fitted on the driver from a bounded sample: at most `most_docs`
 labelled texts of each domain, of at most `most_chars` characters, in order of a hash. All else covers every document.
@@ -20,11 +20,11 @@ the outputs' names are replaced; an empty table gives an empty table.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import aside, written
+from ._common import aside, discard, small_batches, written
 
 _SIZE = 1024
 
@@ -87,14 +87,16 @@ def with_posteriors(df: DataFrame, weights: np.ndarray, text: str = "text") -> D
     """df (columns of other names) with _tokens (words) and _p0, _p1, ... of every whole text."""
     n = weights.shape[1]
 
-    @F.pandas_udf("_tokens long, " + ", ".join(f"_p{k} double" for k in range(n)))
-    def score(texts: pd.Series) -> pd.DataFrame:
-        x = np.zeros((len(texts), n))
-        for at in range(0, len(texts), 250):
-            x[at : at + 250] = np.stack([features(t) for t in texts[at : at + 250]]) @ weights
+    @F.arrow_udf("_tokens long, " + ", ".join(f"_p{k} double" for k in range(n)))
+    def score(texts: pa.Array) -> pa.Array:
+        x, tokens = np.zeros((len(texts), n)), np.zeros(len(texts), np.int64)
+        for at in range(0, len(texts), 100):  # few texts are Python objects at a time
+            some = texts.slice(at, 100).to_pylist()
+            x[at : at + 100] = np.stack([features(t) for t in some]) @ weights
+            tokens[at : at + 100] = [n_words(t) for t in some]
         p = np.exp(x - x.max(1, keepdims=True)) if len(x) else x
         p = p / p.sum(1, keepdims=True)
-        return pd.DataFrame({"_tokens": np.array([n_words(t) for t in texts], np.int64)} | {f"_p{k}": p[:, k] for k in range(n)})
+        return pa.StructArray.from_arrays([pa.array(tokens), *[pa.array(p[:, k]) for k in range(n)]], names=["_tokens", *[f"_p{k}" for k in range(n)]])
 
     return df.withColumn("_posterior", score(F.col(text))).select(*df.columns, "_posterior.*")
 
@@ -109,12 +111,13 @@ def momenta(n: int) -> list[float]:
     return out
 
 
-def state_of(thetas: list[np.ndarray], least: float) -> Column:
-    """Struct of a document's rate and the point ahead of it after these steps."""
-    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
+def state_of(thetas: list[np.ndarray], least: float, before: int = 0) -> Column:
+    """Struct of a document's rate and the point ahead of it after these steps, from a rate of 1, or from _rate and _ahead if steps have gone before."""
+    one = F.lit(1.0)
+    start = F.struct((F.col("_rate") if before else one).alias("rate"), (F.col("_ahead") if before else one).alias("ahead"))
     if not thetas:
         return start
-    steps = F.array(*[F.array(*[F.lit(float(v)) for v in (*theta, m)]) for theta, m in zip(thetas, momenta(len(thetas)))])
+    steps = F.array(*[F.array(*[F.lit(float(v)) for v in (*theta, m)]) for theta, m in zip(thetas, momenta(before + len(thetas))[before:])])
 
     def step(state: Column, s: Column) -> Column:
         moved = F.greatest(F.lit(float(least)), state["ahead"] - sum((F.col(f"_p{k}") * s[k] for k in range(len(thetas[0]))), F.lit(0.0)))
@@ -127,9 +130,11 @@ def rate_of(thetas: list[np.ndarray], least: float) -> Column:
     return state_of(thetas, least)["rate"]
 
 
-def fit_rates(posteriors: DataFrame, targets: list[float], least: float = 0.0, total: float | None = None, rounds: int = 60, close: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray]:
+def fit_rates(posteriors: DataFrame, targets: list[float], least: float = 0.0, total: float | None = None, rounds: int = 60, close: float = 1e-4, steps_between: int = 8) -> tuple[list[np.ndarray], np.ndarray]:
     """The steps' thetas and the targets in tokens. posteriors: a written table with _tokens and _p<k>.
 
+    Rates are written after every `steps_between` steps, so that no step repeats more than so many before it.
+
     total: the tokens wanted; by default as many as there are, but at least so many that no domain has to shrink below
     `least` times what it has."""
     n = len(targets)
@@ -147,6 +152,7 @@ def fit_rates(posteriors: DataFrame, targets: list[float], least: float = 0.0, t
     inverse = np.linalg.pinv(moments[np.ix_(use, use)], rcond=1e-9)
     thetas: list[np.ndarray] = []
     ahead, off = have, []
+    rates, before = posteriors, 0
     for _ in range(rounds):
         off.append(np.abs(np.where(use, have - want, 0.0)).max())
         # done when close, or when eight steps have brought nothing: least_rate may keep the targets out of reach
@@ -155,18 +161,31 @@ def fit_rates(posteriors: DataFrame, targets: list[float], least: float = 0.0, t
         theta = np.zeros(n)
         theta[use] = inverse @ (ahead - want)[use]
         thetas.append(theta)
-        state = posteriors.select(state_of(thetas, least).alias("_s"), "_tokens", *p)
+        state = rates.select("_tokens", *p, state_of(thetas[before:], least, before).alias("_s"))
+        if len(thetas) - before == steps_between:
+            reached = written(state.select("_tokens", *p, F.col("_s.rate").alias("_rate"), F.col("_s.ahead").alias("_ahead")), "rates")
+            if before:
+                discard(rates)
+            rates, before = reached, len(thetas)
+            state = rates.select("_tokens", *p, state_of([], least, before).alias("_s"))
         sums = state.agg(*[F.sum(F.col(f"_s.{at}") * F.col("_tokens") * x) for at in ("rate", "ahead") for x in p]).first()
         have, ahead = np.array(sums[:n], float), np.array(sums[n:], float)
+    if before:
+        discard(rates)
     return thetas, want
 
 
 def mix(df: DataFrame, weights: np.ndarray, targets: dict[str, float], id_col: str = "doc_id", text: str = "text", least_rate: float = 0.0, total: float | None = None, seed: int = 11) -> DataFrame:
     """df with n_words, posterior (one share for each domain of targets, in their order), rate, and copies: the rate rounded up or down by a hash of the row."""
     out = ("n_words", "posterior", "rate", "copies")
-    posteriors = written(with_posteriors(df.select(F.col(text).alias("_text")), weights, "_text").drop("_text"), "posteriors")
+    with small_batches(df.sparkSession):
+        posteriors = written(with_posteriors(df.select(F.col(text).alias("_text")), weights, "_text").drop("_text"), "posteriors")
     thetas, _ = fit_rates(posteriors, list(targets.values()), least_rate, total)
+    discard(posteriors)
     put, back = aside(df, out)
     chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    rows = with_posteriors(df.select(*put, F.col(text).alias("_text"), chance.alias("_chance")), weights, "_text").withColumn("_rate", rate_of(thetas, least_rate))
+    # rows wait for their scores with all their columns, so the text isn't put there twice
+    own = [F.col(text).alias("_text")] if text in out else []
+    name = "_text" if own else f"_u{df.columns.index(text)}_"
+    rows = with_posteriors(df.select(*put, *own, chance.alias("_chance")), weights, name).withColumn("_rate", rate_of(thetas, least_rate))
     return rows.select(*back, F.col("_tokens").alias("n_words"), F.array(*[F.col(f"_p{k}") for k in range(len(targets))]).alias("posterior"), F.col("_rate").alias("rate"), F.floor(F.col("_rate") + F.col("_chance")).cast("int").alias("copies"))
