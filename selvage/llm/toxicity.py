@@ -139,7 +139,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 256, negatives: int
     numbers: dict[str, int] = {}
     bags = []
     for text in texts:
-        words = {w for u in units_of(text) if len(w := word_of(u)) >= 3}
+        words = sorted({w for u in units_of(text) if len(w := word_of(u)) >= 3})  # a set's order changes with each process
         bags.append(np.array(sorted(numbers.setdefault(w, len(numbers)) for w in words), np.int64))
     words = list(numbers)
     flat = np.concatenate(bags) if bags else np.zeros(0, np.int64)

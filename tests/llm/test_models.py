@@ -1,8 +1,12 @@
 """Perplexity, toxicity, host reputation and mixing."""
 
 import math
+import os
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -220,3 +224,18 @@ def test_rates_equal_a_plain_projected_gradient(spark):
         rate, ahead = moved, moved + momentum * (moved - rate)
     got = np.array([r["r"] for r in df.select(mixing.rate_of(thetas, 0.0).alias("r")).collect()])
     assert np.sort(got) == pytest.approx(np.sort(rate)) and (rate * tokens) @ p == pytest.approx(want, rel=1e-3)
+
+
+def test_toxicity_machine_is_the_same_in_each_process():
+    code = (
+        "import hashlib, numpy as np\n"
+        "from selvage.llm import toxicity\n"
+        "r = np.random.default_rng(3)\n"
+        "word = lambda: ''.join(chr(97 + c) for c in r.integers(0, 26, 5))\n"
+        "texts = [' '.join([word() for _ in range(12)] + ['idiot'] * (n % 3 == 0)) for n in range(60)]\n"
+        "m = toxicity.fit(texts, [int(n % 3 == 0) for n in range(60)], landmarks=32, negatives=100)\n"
+        "print(hashlib.sha256(m.weights.tobytes()).hexdigest(), m.offset, m.slope, m.shift)\n"
+    )
+    root = str(Path(toxicity.__file__).resolve().parents[2])
+    said = {subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": seed, "PYTHONPATH": root, "OMP_NUM_THREADS": "1"}, capture_output=True, text=True, check=True).stdout for seed in "123"}
+    assert len(said) == 1
