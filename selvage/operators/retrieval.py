@@ -95,8 +95,8 @@ def reference_penalty(n: Column, per_ref: float = 0.01) -> Column:
     return F.when(n > 1, per_ref * F.sqrt(2 * F.log(n.cast("double")))).otherwise(0.0)
 
 
-def idf_rank(items: DataFrame, terms: dict[str, float], name: str = "product_name", key: str = "sku", without: tuple[str, ...] = (), top: int = 20, penalty: float = 1.6) -> DataFrame:
-    """Items by the sum over terms in their name of ln((N + 1) / (df + 1)) * confidence, less `penalty` for each word to avoid."""
+def idf_scores(items: DataFrame, terms: dict[str, float], name: str = "product_name", without: tuple[str, ...] = (), penalty: float = 1.6) -> DataFrame:
+    """All items with score: the sum over terms in their name of ln((N + 1) / (df + 1)) * confidence, less `penalty` for each word to avoid."""
     has = {t: F.col(name).contains(t) for t in terms}
     counts = items.agg(F.count("*").alias("n"), *[F.count_if(c).alias(f"d{i}") for i, c in enumerate(has.values())]).first()  # one number for each term
     score = F.lit(0.0)
@@ -104,7 +104,12 @@ def idf_rank(items: DataFrame, terms: dict[str, float], name: str = "product_nam
         score = score + F.when(c, math.log((counts["n"] + 1) / (counts[f"d{i}"] + 1)) * terms[t]).otherwise(0.0)
     for t in without:
         score = score - F.when(F.col(name).contains(t), penalty).otherwise(0.0)
-    return items.select(key, name, F.bround(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(top)
+    return items.withColumn("score", F.bround(score, 6))
+
+
+def idf_rank(items: DataFrame, terms: dict[str, float], name: str = "product_name", key: str = "sku", without: tuple[str, ...] = (), top: int = 20, penalty: float = 1.6) -> DataFrame:
+    """The `top` items of the highest scores by their terms."""
+    return idf_scores(items, terms, name, without, penalty).select(key, name, "score").orderBy(F.desc("score"), key).limit(top)
 
 
 def shortlist(ranked: DataFrame, n: int, score: str = "score", key: str = "sku") -> DataFrame:
@@ -115,11 +120,11 @@ def shortlist(ranked: DataFrame, n: int, score: str = "score", key: str = "sku")
 
 def cascade(items: DataFrame, terms: dict[str, float], query: list[float], n: int = 40, top: int = 15, key: str = "sku") -> DataFrame:
     """Items found by words first and by their vector among those: the shortlist by terms (with ties), then the nearest to the query's vector; whether the best stands out."""
-    listed = shortlist(idf_rank(items, terms, key=key, top=max(n, 1) * 50), n)
+    listed = shortlist(idf_scores(items, terms), n)
     q = F.array(*[F.lit(float(x)) for x in query])
-    near = items.join(F.broadcast(listed.select(key, "score")), key)  # at most the shortlist and its ties
-    near = near.withColumn("similarity", F.bround(F.try_divide(dot(q, F.col("embedding")), norm(q) * norm(F.col("embedding"))), 6))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("similarity"), key)  # a row for each of the shortlist
+    near = listed.withColumn("similarity", F.bround(F.try_divide(dot(q, F.col("embedding")), norm(q) * norm(F.col("embedding"))), 6))
+    near = near.select(key, "product_name", "score", "similarity").orderBy(F.desc("similarity"), key).limit(max(top, 1) + 1)  # the last only for the first's lead
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("similarity"), key)  # at most top + 1 rows
     out = near.withColumns({"rank": F.row_number().over(order).cast("long"), "_lead": F.col("similarity") - F.lead("similarity").over(order)})
     out = out.withColumn("stands_out", (F.col("rank") == 1) & (F.col("_lead") >= 0.02))
     return out.where(F.col("rank") <= top).select("rank", key, "product_name", "score", "similarity", "stands_out")

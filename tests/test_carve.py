@@ -58,3 +58,11 @@ def test_candidates_and_tags(spark):
     assert {r["attribute"]: r["tag"] for r in out.collect()} == {"neck": "v", "heel": "n/a"}
     ranked = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("c", 2.0), ("d", 1.0)], "sku string, score double")
     assert {r["sku"] for r in retrieval.shortlist(ranked, 2).collect()} == {"a", "b", "c"} and retrieval.shortlist(ranked.where("false"), 2).count() == 0
+
+
+def test_a_cascade_takes_every_tie(spark):
+    """More ties with the shortlist's last than 50 times its length; the nearest is the last of them by key."""
+    rows = [(n, "red ring", [1.0, 0.001 * (1200 - n)]) for n in range(1200)] + [(5000 + n, "box", [1.0, 0.0]) for n in range(300)]
+    items = spark.createDataFrame(rows, "sku long, product_name string, embedding array<double>")
+    got = retrieval.cascade(items, {"ring": 1.0, "red": 0.8}, [1.0, 0.0], n=10, top=3).collect()
+    assert [(r["rank"], r["sku"]) for r in got] == [(1, 1199), (2, 1198), (3, 1197)]
