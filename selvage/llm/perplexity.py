@@ -6,7 +6,8 @@ half, so neither it nor its copies make themselves likely. Spark counts the n-gr
 continuation counts, discounts and probabilities; the result is a table of (hash, value), of which scoring tasks get
 sorted arrays. A hash packs 19 bits of language and half, 4 of the kind of entry, and the n-gram itself. Entries are dealt to shards by the byte before the last, so
 that all an n-gram needs is in one shard; one shard has about `shard_entries` entries at most, and texts are scored in
-one pass for each shard. The number of entries is bounded by the n-grams of a language, not by the documents.
+one pass for each shard; with more than one, the rows are written once with a key of their own, by which their
+shards' sums are added. The number of entries is bounded by the n-grams of a language, not by the documents.
 
 A language's band is its median of the log-perplexity, up and down by `width` times the spread (1.4826 times the median
 absolute deviation) or `least_up` and `least_down` nats, whichever is more; a text's own band is wider by three standard
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -206,10 +208,13 @@ def _scorer(shared, order: int, shard: int, shards: int):
 
 
 def log_perplexity(docs: DataFrame, model: DataFrame, order: int, shard_entries: int = 6_000_000) -> DataFrame:
-    """docs (_lang, _text, _id, _r) with _bytes, _sum and _squares of the bytes' negative log-probabilities, for each _id, _r; model: a written table."""
+    """docs (_lang, _text and others) without the text, with _bytes, _sum and _squares of the bytes' negative log-probabilities: a written table of a row for each of docs; model: a written table."""
     spark = docs.sparkSession
     shards = max(1, -(-model.count() // shard_entries))
-    found = None
+    if shards > 1:
+        # a key that is written once is the row's own in the pass of every shard
+        docs = written(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    others, parts = [c for c in docs.columns if c != "_text"], []
     for shard in range(shards):
         part = model if shards == 1 else model.where(F.col("context").isNull() | (F.pmod("context", F.lit(shards)) == shard))
         entries = part.select("key", "value").toArrow()  # at most about shard_entries rows of 12 bytes
@@ -217,17 +222,18 @@ def log_perplexity(docs: DataFrame, model: DataFrame, order: int, shard_entries:
         by_key = np.argsort(keys)
         shared = spark.sparkContext.broadcast((keys[by_key], values[by_key]))
         del entries, keys, values
-        got = docs.withColumn("_score", _scorer(shared, order, shard, shards)("_lang", "_text")).select(*[c for c in docs.columns if c != "_text"], "_score.*")
-        if shards > 1:
-            got = written(got.dropDuplicates(["_id", "_r"]), "scores")
-        found = got if found is None else found.unionByName(got)
-    if shards > 1:
-        keep = [c for c in found.columns if c not in ("_bytes", "_sum", "_squares")]
-        found = found.groupBy(*keep).agg(F.sum("_bytes").alias("_bytes"), F.sum("_sum").alias("_sum"), F.sum("_squares").alias("_squares"))
-    return found
+        got = docs.withColumn("_score", _scorer(shared, order, shard, shards)("_lang", "_text"))
+        parts.append(written(got.select(*(others if shards == 1 else ["_key"]), "_score.*"), "scores"))
+    if shards == 1:
+        return parts[0]
+    sums = reduce(DataFrame.unionByName, parts).groupBy("_key").agg(*[F.sum(c).alias(c) for c in ("_bytes", "_sum", "_squares")])
+    out = written(docs.select(*others).join(sums, "_key").drop("_key"), "scored")
+    for done in (docs, *parts):
+        discard(done)
+    return out
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 5, width: float = 10.0, least_up: float = 0.8, least_down: float = 0.6, errors: float = 3.0) -> DataFrame:
+def judge(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 5, width: float = 10.0, least_up: float = 0.8, least_down: float = 0.6, errors: float = 3.0, shard_entries: int = 6_000_000) -> DataFrame:
     """df without its text: the counts, log_perplexity (per byte), base_failed and kept. The model is that of all of df's texts."""
     out = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", "base_failed", "kept")
     carry = [c for c in df.columns if c not in (*out, text)]
@@ -240,7 +246,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     # the counts' own pass over the text is the scores' pass: both come from the same scan
     asked = docs.withColumn("_lang", F.col("_of") * 2 + 1 - F.col("_half")).withColumn("_counts", rule_counts("_text"))
     with small_batches(df.sparkSession):
-        scored = written(log_perplexity(asked, model, order), "scored")
+        scored = log_perplexity(asked, model, order, shard_entries)
     x = F.when(F.col("_bytes") > 0, F.col("_sum") / F.col("_bytes"))
     scored = scored.withColumn("log_perplexity", x)
     error = F.sqrt(F.try_divide(F.greatest(F.try_divide("_squares", "_bytes") - F.col("log_perplexity") ** 2, F.lit(0.0)), F.col("_bytes")))

@@ -130,6 +130,16 @@ def test_a_text_far_out_of_the_band_goes(spark):
     assert got[990] is False and all(got[n] for n in range(300))
 
 
+def test_judge_gives_every_row_with_many_shards(spark):
+    """Repeated rows, rows without id, and rows that differ only in the language or in a carried column."""
+    rows = [(*r, 1) for r in rows_of(40)]
+    rows += [rows[3], rows[3], (None, "the house", "en", 1), (None, None, "en", 1), (None, None, "en", 1), (*rows[4][:2], "en", 1), (*rows[5][:3], 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, own int")
+    one, many = perplexity.judge(df, order=3), perplexity.judge(df, order=3, shard_entries=150)
+    told = lambda out: sorted((tuple((c, -9 if r[c] is None else round(r[c], 5) if c == "log_perplexity" else r[c]) for c in out.columns) for r in out.collect()), key=repr)
+    assert len(told(one)) == len(rows) and told(many) == told(one)
+
+
 def toxic_rows(n):
     random = np.random.default_rng(5)
     calm = ["river", "stone", "green", "house", "walking", "table", "window", "garden", "other", "music", "paper", "with", "and", "the"]
