@@ -3,12 +3,15 @@
 Each text has one signature of minima. A tree of the forest orders the texts by the signature, begun at the tree's own
 place and going round; the neighbours of a text are those with the longest common prefix. A region is what shares a
 prefix: it starts at `shallow` minima and, while it holds more than `region` texts, is cut at a greater depth, so dense
-parts of the order are compared at long prefixes only, and sparse parts at short ones. A region that is cut also
-compares each of its texts with its smallest one, so what lies on both sides of a cut stays comparable.
+parts of the order are compared at long prefixes first, and sparse parts at short ones. A region that is cut also
+compares each of its texts with its smallest one; when the links of these pairs are known, all texts of a cut region
+that are still in different groups are compared, in blocks, so what lies on both sides of a cut is compared whole. That
+takes time by the square of a region's texts only where it holds more than one group.
 
 Within a region the signatures estimate all likenesses; the surely alike are reduced to a spanning tree, and of the
-rest all pairs go on that are not surely below the threshold. Pairs are confirmed on full sets in two rounds: first the
-best one of each text, then all that still join different groups.
+rest all pairs go on that are not surely below the threshold. Pairs are confirmed on full sets in rounds: first the
+best one of each text, then all that still join different groups; of a cut region's rest first the likeliest of each two
+groups, then all that still join different ones.
 
 Copies (equal sets) are one node from the start, so a group of copies never meets in one task.
 
@@ -146,35 +149,30 @@ def _depths(shallow: int, count: int) -> list[int]:
     return out
 
 
-def candidates(nodes: DataFrame, threshold: float, trees: int, count: int, region: int, shallow: int, others: int = 12) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]], list[DataFrame]]:
-    """a, b, alike: pairs to confirm; for each cut the texts that it leaves alone (_node, _up) and some of the regions cut (_up, _some);
-    and tables to discard in the end. nodes: _node, _n, _sig, a written table."""
+def candidates(nodes: DataFrame, threshold: float, trees: int, count: int, region: int, shallow: int) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """a, b, alike: pairs to confirm first; the texts of the regions cut at `shallow` (_h, _node), in which those cut deeper lie; and tables to discard in the end. nodes: _node, _n, _sig, a written table."""
     step = count // trees
     round_sig = F.concat("_sig", "_sig")
-    active = nodes.select("_node", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree"), "_sig", F.lit(None).cast("long").alias("_up"))
-    levels, stars, lonely, some = [], [], [], None
+    active = nodes.select("_node", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree"), "_sig")
+    levels, stars, cut = [], [], None
     for depth in _depths(shallow, count):
         prefix = F.xxhash64("_tree", round_sig.substr(1 + F.col("_tree") * (4 * step), F.lit(4 * depth)))
-        keyed = active.select("_node", "_tree", "_up", prefix.alias("_h"))
-        sizes = keyed.groupBy("_h").agg(F.count("*").alias("_size"), F.min("_node").alias("_hub"))
-        sizes = sizes.where("_size > 1") if some is None else sizes  # at first the lonely are nearly all
-        level = written(keyed.join(sizes, "_h").withColumn("_cut", (F.col("_size") > region) | F.lit(depth == count) & (F.col("_size") > 1)), "forest")
+        keyed = active.select("_node", "_tree", prefix.alias("_h"))
+        sizes = keyed.groupBy("_h").agg(F.count("*").alias("_size"), F.min("_node").alias("_hub")).where("_size > 1")
+        level = written(keyed.join(sizes, "_h").withColumn("_cut", (F.col("_size") > region) | F.lit(depth == count)), "forest")
         levels.append(level)
-        if some is not None:
-            lonely.append((level.where("_size = 1").select("_node", "_up"), some))
         large = level.where("_cut")
         if not large.head(1):
             break
         stars.append(large.select("_node", "_hub"))
-        chosen = [F.min_by("_node", F.xxhash64("_node", F.lit(n))) for n in range(others)]
-        some = large.groupBy(F.col("_h").alias("_up")).agg(F.array_distinct(F.array(*chosen)).alias("_some"))
-        active = large.select("_node", "_tree", F.col("_h").alias("_up")).join(nodes.select("_node", "_sig"), "_node")
-    small = reduce(DataFrame.unionByName, [level.where("not _cut and _size > 1") for level in levels]).select("_h", "_node").join(nodes, "_node")
+        cut = large.select("_h", "_node") if cut is None else cut
+        active = large.select("_node", "_tree").join(nodes.select("_node", "_sig"), "_node")
+    small = reduce(DataFrame.unionByName, [level.where("not _cut") for level in levels]).select("_h", "_node").join(nodes, "_node")
     pairs = _region_pairs(small.select("_h", "_node", "_n", "_sig").repartition("_h").sortWithinPartitions("_h", "_node"), threshold, count)
     if stars:
         pairs = pairs.unionByName(_with_hubs(reduce(DataFrame.unionByName, stars), nodes, threshold, count))
     out = written(pairs.where("a <> b").groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs")
-    return out, lonely, levels
+    return out, cut, levels
 
 
 def _with_hubs(stars: DataFrame, nodes: DataFrame, threshold: float, count: int) -> DataFrame:
@@ -184,26 +182,35 @@ def _with_hubs(stars: DataFrame, nodes: DataFrame, threshold: float, count: int)
     return _hub_pairs(stars.join(hubs, "_hub").select("_node", "_n", "_sig", "_hub", "_hub_n", "_hub_sig"), threshold, count)
 
 
-def _late_pairs(alone: DataFrame, some: DataFrame, nodes: DataFrame, threshold: float, count: int) -> DataFrame:
-    """The pairs of texts left alone (_node, _up) with some of their region (_up, _some) that may be linked. A region's few texts travel as one row."""
+def _rest_pairs(cut: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float, count: int, block: int) -> DataFrame:
+    """All pairs of texts of one region (_h, _node) but of different groups (node, label) that aren't surely below the threshold.
+
+    A region of several groups is dealt, in order of the groups, to blocks of `block` texts; each two blocks meet in one task, so no task's group is larger than 2 * block."""
     least = threshold - 4.2 * (threshold * (1 - threshold) / count) ** 0.5
 
-    def work(frames):
-        for frame in frames:
-            out = []
-            for node, n, sig, others in zip(frame["_node"], frame["_n"], frame["_sig"], frame["_others"]):
-                own = np.frombuffer(sig, ">u4")
-                for other in others:
-                    m = other["_n"]
-                    if other["_node"] != node and min(n, m) >= threshold * max(n, m):
-                        alike = float((own == np.frombuffer(other["_sig"], ">u4")).mean())
-                        if alike >= least:
-                            out.append((max(node, other["_node"]), min(node, other["_node"]), alike))
-            yield pd.DataFrame(out, columns=["a", "b", "alike"]).astype({"a": "int64", "b": "int64", "alike": "float64"})
-
-    few = some.select("_up", F.explode("_some").alias("_node")).join(nodes, "_node").groupBy("_up").agg(F.collect_list(F.struct("_node", "_n", "_sig")).alias("_others"))
-    rows = alone.join(nodes, "_node").join(few, "_up").select("_node", "_n", "_sig", "_others")
-    return rows.mapInPandas(work, "a long, b long, alike double")
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        group, node, n = (frame[c].to_numpy() for c in ("_group", "_node", "_n"))
+        one, two = (np.flatnonzero((frame["_own"] == frame[c]).to_numpy()) for c in ("_i", "_j"))
+        if (group == group[0]).all():
+            return pd.DataFrame({"a": node[:0], "b": node[:0], "alike": np.zeros(0)})
+        sig = np.frombuffer(b"".join(frame["_sig"]), ">u4").reshape(-1, count).astype(np.uint32)
+        left, right = np.ascontiguousarray(sig[one].T), np.ascontiguousarray(sig[two].T)
+        same = np.zeros((len(one), len(two)), np.int16)
+        for x, y in zip(left, right):
+            same += x[:, None] == y
+        keep = (same >= least * count) & (group[one][:, None] != group[two])
+        keep &= np.minimum(n[one][:, None], n[two]) >= threshold * np.maximum(n[one][:, None], n[two])
+        p, q = np.nonzero(keep)
+        a, b = node[one[p]], node[two[q]]
+        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "alike": same[p, q] / count})
+
+    rows = cut.join(groups.withColumnRenamed("node", "_node"), "_node", "left").select("_h", "_node", F.coalesce("label", "_node").alias("_group"))
+    mixed = rows.groupBy("_h").agg(F.count("*").alias("_size"), F.min("_group").alias("_least"), F.max("_group").alias("_most")).where("_least <> _most").select("_h", "_size")
+    place = F.row_number().over(Window.partitionBy("_h").orderBy("_group", "_node")) - 1
+    rows = rows.join(mixed, "_h").withColumn("_own", F.floor(place / block)).join(nodes, "_node")
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_size") - 1) / block))))
+    rows = rows.select("_h", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_group", "_node", "_n", "_sig")
+    return rows.groupBy("_h", "_i", "_j").applyInPandas(work, "a long, b long, alike double")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -258,6 +265,22 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
+def _between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs of texts of different groups (node, label), with these as ka, kb. A text without a group is its own."""
+    label = lambda c: groups.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    both = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    return both.select("a", "b", "alike", F.coalesce("a_label", "a").alias("ka"), F.coalesce("b_label", "b").alias("kb")).where("ka <> kb")
+
+
+def _onward(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups (node, label) after links (a, b) between groups."""
+    if not links.head(1):
+        return groups
+    further = components(links)
+    moved = groups.join(further.select(F.col("node").alias("label"), F.col("label").alias("_further")), "label", "left").select("node", F.coalesce("_further", "label").alias("label"))
+    return written(moved.unionByName(further.where("node <> label")), "groups")
+
+
 def _texts_of(rows: DataFrame, pairs: DataFrame, but: DataFrame | None = None) -> DataFrame:
     """_node, _text of the pairs' texts that `but` hasn't. Their ids are sent to all tasks if they take less than 16 MB."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
@@ -271,7 +294,7 @@ def _texts_of(rows: DataFrame, pairs: DataFrame, but: DataFrame | None = None) -
     return out
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, trees: int = 16, count: int = 128, region: int = 40, shallow: int = 2) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, trees: int = 16, count: int = 128, region: int = 40, shallow: int = 2, block: int = 1000) -> DataFrame:
     """df with n_shingles, component_id (the smallest id reachable over links) and kept (whether that is the row's own id)."""
     threshold, out_of = percent / 100, ("n_shingles", "component_id", "kept")
     ident, text_hash = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), F.xxhash64(F.col(text))
@@ -282,28 +305,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     real = signed.where(F.col("_sig").isNotNull() & (F.col("_id") != _NO_ID))
     sets = written(real.groupBy("_s1", "_s2").agg(F.min("_id").alias("_node"), F.first("n_shingles").alias("_n"), F.first("_sig").alias("_sig")), "sets")
     nodes = sets.select("_node", "_n", "_sig")
-    pairs, lonely, levels = candidates(nodes, threshold, trees, count, region, shallow)
+    pairs, cut, levels = candidates(nodes, threshold, trees, count, region, shallow)
     texts = _texts_of(rows, pairs)
     used = [*levels, pairs, texts]
+
+    def links_of(asked: DataFrame) -> DataFrame:
+        with small_batches(df.sparkSession):
+            return written(confirmed(asked, texts, words, percent).distinct(), "links")
+
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("alike", -F.col("b"))).alias("b")).withColumns({"ka": F.col("a"), "kb": F.col("b")})
-    with small_batches(df.sparkSession):
-        links = written(confirmed(best, texts, words, percent).select(F.col("a").alias("node"), F.col("b").alias("label")).groupBy("node").agg(F.min("label").alias("label")), "links")
-    groups = roots(links)
-    if lonely:
-        linked = groups.select("node").unionByName(groups.select(F.col("label").alias("node"))).distinct().withColumnRenamed("node", "_node")
-        alone, some = (reduce(DataFrame.unionByName, x) for x in zip(*lonely))
-        late = written(_late_pairs(alone.join(linked, "_node", "left_anti"), some, nodes, threshold, count).distinct(), "pairs")
-        used += [late, _texts_of(rows, late, but=texts)]
-        texts, pairs = texts.unionByName(used[-1]), pairs.unionByName(late)
-    label = lambda c: groups.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    rest = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").select("a", "b", F.coalesce("a_label", "a").alias("ka"), F.coalesce("b_label", "b").alias("kb"))
-    with small_batches(df.sparkSession):
-        more = written(confirmed(rest.where("ka <> kb"), texts, words, percent).distinct(), "links")
+    groups = roots(links_of(best).select(F.col("a").alias("node"), F.col("b").alias("label")))
+    groups = _onward(groups, links_of(_between(pairs, groups)))
+    if cut is not None:
+        late = _rest_pairs(cut, nodes, groups, threshold, count, block).groupBy("a", "b").agg(F.max("alike").alias("alike"))
+        late = written(late.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")  # those were asked, and did not link
+        used.append(late)
+        if late.head(1):
+            used.append(_texts_of(rows, late, but=texts))
+            texts = texts.unionByName(used[-1])
+            # the likeliest pair of each two groups, then all that still lie between groups
+            of = _between(late, groups)
+            first = of.groupBy(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).agg(F.max_by(F.struct("a", "b"), F.struct("alike", "a", "b")).alias("_pair")).select("_pair.*", "ka", "kb")
+            first = written(first, "pairs")
+            used.append(first)
+            groups = _onward(groups, links_of(first))
+            groups = _onward(groups, links_of(_between(late.join(first.select("a", "b"), ["a", "b"], "left_anti"), groups)))
     component = F.coalesce("label", "_node")
     sets_labels = sets.select("_s1", "_s2", "_node").join(groups.withColumnRenamed("node", "_node"), "_node", "left").select("_s1", "_s2", component.alias("_component"))
-    if more.head(1):
-        joined = components(more).select(F.col("node").alias("_component"), F.col("label").alias("_joined"))
-        sets_labels = sets_labels.join(joined, "_component", "left").select("_s1", "_s2", F.coalesce("_joined", "_component").alias("_component"))
     for done in used:
         discard(done)
 

@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,26 @@ def test_a_dense_group_stays_whole(spark):
     assert {r["doc_id"]: r["component_id"] for r in out} == expected
 
 
+def grown(family, n=80):
+    """Texts that each change a few words of an earlier one."""
+    random = np.random.default_rng(family)
+    texts = [[f"f{family}w{k}" for k in range(120)]]
+    while len(texts) < n:
+        own = list(texts[int(random.integers(max(0, len(texts) - 25), len(texts)))])
+        for k in random.choice(120, int(random.integers(1, 5)), replace=False):
+            own[k] = f"v{len(texts)}x{k}"
+        texts.append(own)
+    return [(family * 1000 + int(i), " ".join(t)) for i, t in zip(random.permutation(n), texts)]
+
+
+def test_what_a_cut_parts_is_joined_by_any_pair(spark):
+    """Groups of one dense region whose links are with none of the region's smallest texts."""
+    families = [grown(f) for f in range(1, 25)]
+    out = near_duplicates(spark.createDataFrame([r for f in families for r in f], "doc_id long, text string"), region=6, block=30).collect()
+    expected = {i: c for f in families for i, c in plain_components(f).items()}
+    assert {r["doc_id"]: r["component_id"] for r in out} == expected
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(empty).collect() == []
