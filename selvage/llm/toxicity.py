@@ -4,7 +4,9 @@ The kernel of two words is the normalized sum over their common subsequences of
 `decay` for every character that it skips, up to a span of `span`; so a word with characters inserted, or with other
 endings, stays close to what it came from. Landmarks are words of labelled sentences; the machine is linear in the
 landmarks' whitened kernel values (Nyström) and is trained as a multiple-instance machine: a toxic text's most toxic
-word is its witness, every word of a clean text is a negative. As the margin is linear in the kernel values, it folds
+word is its witness, every word of a clean text is a negative, but for words that tell: those whose share of toxic
+texts is at least twice that of clean ones (less 1.645 standard errors), as labels may be wrong and clean texts quote.
+Witnesses that tell are positives, each by how far it leans to toxic texts; if none tells, all that lean there are. As the margin is linear in the kernel values, it folds
 into one weight for each subsequence, and a text's margin is that of its most toxic word, scaled to 0..1.
 
 Runs of single letters are one word; digits and signs that stand for letters count as these.
@@ -13,7 +15,8 @@ The machine is fitted on the driver from a bounded sample: at most `most_docs` l
 most `most_chars` characters each, taken in order of a hash. Scoring covers every whole text and shuffles nothing.
 
 Defined cases: null and empty text, or text without a word of three letters, has the score of a text with no evidence;
-without labels of both classes every score is the share of toxic labels (0 if there are none); labels that are null
+without labels of both classes, or if no word leans to toxic texts or none is left as a negative, every score is the
+share of toxic labels (0 if there are none); labels that are null
 are left out, and of several labels of one document the largest counts; other columns pass through, and one of the
 output's name is replaced; an empty table gives an empty table.
 """
@@ -130,12 +133,13 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 25
     return w
 
 
-def fit(texts: list[str], toxic: list[int], landmarks: int = 256, negatives: int = 4000, rounds: int = 4, decay: float = 0.7, span: int = 6, seed: int = 7) -> Machine:
+def fit(texts: list[str], toxic: list[int], landmarks: int = 256, negatives: int = 4000, rounds: int = 4, decay: float = 0.7, span: int = 6, seed: int = 7, tell: float = 2 / 3) -> Machine:
     """A machine from labelled texts."""
     y = np.array(toxic, np.int64)
+    share = float(y.mean()) if len(y) else 0.0
+    even = Machine(slope=0.0, shift=float(np.clip(np.log(max(share, 1e-20) / max(1 - share, 1e-20)), -50, 50)))
     if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return Machine(slope=0.0, shift=float(np.clip(np.log(max(share, 1e-20) / max(1 - share, 1e-20)), -50, 50)))
+        return even
     numbers: dict[str, int] = {}
     bags = []
     for text in texts:
@@ -147,19 +151,24 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 256, negatives: int
     bad, good = np.bincount(flat[label == 1], minlength=len(words)), np.bincount(flat[label == 0], minlength=len(words))
     odds = (np.log((bad + 0.5) / (y.sum() + 1)) - np.log((good + 0.5) / ((1 - y).sum() + 1))) * np.sqrt(bad)
     margin, random = odds, np.random.default_rng(seed)
-    clean = np.flatnonzero(good > 0)
-    machine = Machine()
+    in_bad, in_good = bad / y.sum(), good / (1 - y).sum()
+    lean = in_bad / np.maximum(in_bad + in_good, 1e-300)  # 1: in toxic texts only
+    telling = lean - 1.645 * np.sqrt(lean * (1 - lean) / np.maximum(bad + good, 1)) >= tell
+    clean = np.flatnonzero((good > 0) & ~telling)
+    machine = None
     hard = clean[np.argsort(-odds[clean], kind="stable")[: negatives // 4]]
     for _ in range(rounds):
         witness = np.array([b[np.argmax(margin[b])] for b, t in zip(bags, y) if t and len(b)], np.int64)
         chosen, times = np.unique(witness, return_counts=True)
-        chosen, times = chosen[good[chosen] == 0], times[good[chosen] == 0]
-        if not len(chosen) or not len(clean):
-            return machine
+        own = telling[chosen] if telling[chosen].any() else lean[chosen] > 0.5
+        chosen, times = chosen[own], times[own] * lean[chosen[own]]
+        rest = np.setdiff1d(clean, chosen)
+        if not len(chosen) or not len(rest):
+            break
         top = np.argsort(-times, kind="stable")[:negatives]
         chosen, times = chosen[top], times[top]
-        often = clean[np.argsort(-good[clean], kind="stable")[: negatives // 2]]
-        against = np.unique(np.concatenate([hard, often, random.choice(clean, min(len(clean), negatives), replace=False)]))
+        often, hard = rest[np.argsort(-good[rest], kind="stable")[: negatives // 2]], hard[np.isin(hard, rest)]
+        against = np.unique(np.concatenate([hard, often, random.choice(rest, min(len(rest), negatives), replace=False)]))
         marks = [words[i] for i in chosen[: landmarks * 3 // 4]] + [words[i] for i in hard[: landmarks // 8]] + [words[i] for i in often[: landmarks // 8]]
         vocabulary = np.unique(subsequences(marks, decay, span)[1])
         at_marks = _kernel_rows(marks, vocabulary, decay, span)
@@ -177,6 +186,8 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 256, negatives: int
         machine = Machine(vocabulary, at_marks.T.astype(np.float64) @ (whiten @ w[:-1]), float(w[-1]), decay=decay, span=span)
         margin = np.concatenate([machine.margins(words[i : i + 20_000]) for i in range(0, len(words), 20_000)])
         hard = clean[np.argsort(-margin[clean], kind="stable")[: negatives // 2]]
+    if machine is None:
+        return even
     best = np.array([margin[b].max() if len(b) else machine.offset for b in bags])
     # scale: logistic regression on the texts' margins, classes weighted alike, with a small ridge
     x, weight, v = np.stack([best, np.ones(len(best))], 1), np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()), np.array([1.0, 0.0])

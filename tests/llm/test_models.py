@@ -168,6 +168,21 @@ def test_toxicity_held_out_and_disguised(spark):
     assert all(got[i] >= 0.5 for i in (1000, 1001, 1002, 1003, 1008)) and all(got[i] < 0.5 for i in (1004, 1005, 1006, 1007))
 
 
+@pytest.mark.parametrize("flipped", [range(0, 16, 4), [*range(0, 32, 4), *range(1, 25, 4)]])
+def test_toxicity_with_flipped_labels(flipped):
+    """Clean labels on texts with each insult, and toxic ones on clean texts."""
+    rows = toxic_rows(400)
+    machine = toxicity.fit([t for _, t, _ in rows[:300]], [y ^ (i in flipped) for i, _, y in rows[:300]])
+    best = np.array([machine.margins([toxicity.word_of(u) for u in toxicity.units_of(t)]).max() for _, t, _ in rows[300:]])
+    assert np.mean((machine.score(best) >= 0.5) == [y for _, _, y in rows[300:]]) >= 0.97
+
+
+def test_toxicity_where_nothing_tells():
+    same = ["river stone green", "house table window"] * 10
+    assert toxicity.fit(same, [0, 0, 1, 1] * 5).score(np.zeros(1))[0] == pytest.approx(0.5)
+    assert toxicity.fit(["river stone"] * 3 + ["... 1"], [1, 1, 1, 0]).score(np.zeros(1))[0] == pytest.approx(0.75)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
