@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: White space as the contracts define it: space, tab, line feed, vertical tab, form feed, carriage return.
 WS = r"\x20\x09-\x0D"
+BLANKS = " \t\n\x0b\x0c\r"
 WORD_BYTES = rb"[^\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,6 +55,19 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def spread_join(rows: DataFrame, other: DataFrame, on: list[str], counts: DataFrame, total: int, by: list[str], how: str = "inner", share: int = 1000, salts: int = 64) -> DataFrame:
+    """rows joined with other (few rows a key) where one key may hold a large part of rows.
+
+    counts: `on` and _n, how many rows a key has (keys with few may be absent); total: how many rows there are. A key of
+    more than total / share rows, of which there can't be more than `share`, is dealt to `salts` tasks by a hash of the
+    columns `by`; the rows of `other` for such keys go to each of these tasks."""
+    hot = F.broadcast(counts.where(F.col("_n") * share > max(total, salts * share)).select(*on).withColumn("_hot", F.lit(True)))
+    dealt = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    places = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")
+    spread = other.join(hot, on, "left").withColumn("_salt", F.explode(places)).drop("_hot")
+    return dealt.join(spread, [*on, "_salt"], how).drop("_salt")
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

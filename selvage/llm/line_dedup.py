@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WS, aside, discard, lower_ascii, parts, shared_dir, written
+from ._common import BLANKS, aside, discard, lower_ascii, parts, shared_dir, spread_join, written
 
 _HASH = ["_h1", "_h2"]
 _NO_ID = -(1 << 63)
@@ -28,7 +28,7 @@ _NO_ID = -(1 << 63)
 
 def line_key(line: Column) -> Column:
     """The line without white space at both ends, A-Z in lower case."""
-    return lower_ascii(F.regexp_replace(line, f"^[{WS}]+|[{WS}]+$", ""))
+    return lower_ascii(F.btrim(line, F.lit(BLANKS)))
 
 
 class LineRuns:
@@ -117,10 +117,12 @@ def drop_shared_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text",
         for n in range(len(edges) + 1):
             own = lines.where(F.col("_batch") == n).select("_d", *_HASH).distinct()
             runs.add(own.groupBy(*_HASH).agg(F.count("*").alias("n_docs"), F.max("_d").alias("holder")))
-        frequent = written(runs.merged(runs.entries(runs.runs())).where(F.col("n_docs") >= min_docs).select(*_HASH, "holder"), "frequent")
+        frequent = written(runs.merged(runs.entries(runs.runs())).where(F.col("n_docs") >= min_docs), "frequent")
     finally:
         runs.close()
-    gone = lines.join(frequent, _HASH).where(F.col("_d") != F.col("holder"))
+    # a very common line's rows are dealt to many tasks
+    counts = frequent.select(*_HASH, F.col("n_docs").alias("_n"))
+    gone = spread_join(lines.select("_d", "_r", "_pos", *_HASH), frequent.select(*_HASH, "holder"), _HASH, counts, lines.count(), ["_d", "_r", "_pos"]).where(F.col("_d") != F.col("holder"))
     drops = gone.groupBy("_d", "_r").agg(F.collect_set("_pos").alias("_drop"))
     put, back = aside(df, ("n_lines", "n_dropped"))
     docs = df.select(*put, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_d"), F.xxhash64(text).alias("_r"))

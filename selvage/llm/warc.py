@@ -5,11 +5,16 @@ record (JSON of status, headers, title, language and links) and a conversion rec
 the response by its record id, keep its target and date, carry digests of their own block and payload, and keep the
 response's digests and source headers. Record ids are derived from the response's id, so a repeated run gives the same.
 
-Everything is done row by row in Arrow batches; nothing is shuffled.
+All headers of the source are kept, in order: those that the new record says of itself come as WARC-Source-..., the
+others (WARC-Warcinfo-ID, WARC-Concurrent-To, WARC-Profile, ones of the crawler's own) under their own names.
+
+Everything is done row by row in Arrow batches; nothing is shuffled. read_warc() reads files of records by Spark's text
+source with the end of a record as the line separator, so plain files are split and gzipped ones are streamed.
 
 Defined cases: a null block is empty; a block without HTTP headers is all payload, with status null; bytes that no
-charset explains are replaced; a null uri, date or id gives no such header (records refer to what has an id); repeated
-rows give repeated records; an empty table gives an empty table.
+charset explains are replaced; markup that is no HTML (unknown declarations and marked sections, unclosed ones) is left
+out up to its end or read as text, and never fails; a null uri, date or id gives no such header (records refer to what
+has an id); repeated rows give repeated records; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,7 +27,8 @@ import uuid
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORDS = "warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, headers array<struct<name:string,value:string>>, block binary, block_digest string, payload_digest string"
@@ -80,11 +86,35 @@ class _Page(HTMLParser):
         elif not self.hidden:
             self.parts.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        """<![ ... up to the next >, whatever it is called."""
+        return self.parse_bogus_comment(i, report)
+
+    def unknown_decl(self, data):
+        pass
+
+    def read(self, text: str) -> None:
+        try:
+            self.feed(text)
+            self.close()
+        except (AssertionError, ValueError):  # what the parser has not got through is text
+            if not self.hidden:
+                self.parts.append(self.rawdata)
+
     def text(self) -> str:
         lines = (_SPACE.sub(" ", line).strip() for line in "".join(self.parts).split("\n"))
         return "\n".join(line for line in lines if line)
 
 
+#: Fixed: headers of a source that its derived records tell anew, and headers that a record says of itself.
+_RETOLD = {"warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "warc-block-digest", "warc-payload-digest"}
+_OF_ITSELF = {"content-type": "WARC-Source-Content-Type", "content-length": "WARC-Source-Content-Length", "warc-ip-address": "WARC-Source-IP-Address", "warc-identified-payload-type": "WARC-Source-Identified-Payload-Type", "warc-truncated": "WARC-Source-Truncated"}
+
+
+def _source_name(name: str) -> str:
+    return _OF_ITSELF.get(name.lower(), name)
+
+
 def sha1_digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -94,10 +124,9 @@ def split_http(block: bytes) -> tuple[int | None, list[tuple[str, str]], bytes]:
     if not block.startswith(b"HTTP/"):
         return None, [], block
     head, _, payload = block.partition(b"\r\n\r\n")
-    first, *lines = head.decode("latin-1").split("\r\n")
+    first, _, rest = head.decode("latin-1").partition("\r\n")
     found = re.match(r"HTTP/\S+ (\d{3})", first)
-    headers = [(n.strip(), v.strip()) for n, colon, v in (line.partition(":") for line in lines) if colon]
-    return int(found[1]) if found else None, headers, payload
+    return int(found[1]) if found else None, _fields(rest), payload
 
 
 def _text_of(payload: bytes, headers: list[tuple[str, str]]) -> str:
@@ -106,7 +135,7 @@ def _text_of(payload: bytes, headers: list[tuple[str, str]]) -> str:
     for name in ([charset[1]] if charset else []) + ["utf-8"]:
         try:
             return payload.decode(name)
-        except (LookupError, UnicodeDecodeError):
+        except (LookupError, ValueError):
             continue
     return payload.decode("utf-8", "replace")
 
@@ -115,14 +144,14 @@ def derived(record_id: str | None, uri: str | None, date: str | None, headers: l
     """The metadata and the conversion record of one response, in RECORDS' columns."""
     status, http, payload = split_http(block)
     page = _Page()
-    page.feed(_text_of(payload, http))
-    page.close()
-    source = dict(headers)
-    payload_digest = source.get("WARC-Payload-Digest") or sha1_digest(payload)
-    block_digest = source.get("WARC-Block-Digest") or sha1_digest(block)
+    page.read(_text_of(payload, http))
+    told = {n.lower(): v for n, v in reversed(headers)}
+    payload_digest = told.get("warc-payload-digest") or sha1_digest(payload)
+    block_digest = told.get("warc-block-digest") or sha1_digest(block)
+    digests = [(n, v) for n, v in (("WARC-Block-Digest", block_digest), ("WARC-Payload-Digest", payload_digest)) if not told.get(n.lower())]
     about = {
         "Envelope": {
-            "WARC-Header-Metadata": source | {"WARC-Block-Digest": block_digest, "WARC-Payload-Digest": payload_digest},
+            "WARC-Header-Metadata": [{"name": n, "value": v} for n, v in [*headers, *digests]],
             "Payload-Metadata": {
                 "HTTP-Response-Metadata": {
                     "Status": status,
@@ -135,11 +164,11 @@ def derived(record_id: str | None, uri: str | None, date: str | None, headers: l
         }
     }
     out = []
-    for kind, content_type, data in (("metadata", "application/json", json.dumps(about, ensure_ascii=False, sort_keys=True).encode()), ("conversion", "text/plain", page.text().encode("utf-8", "replace"))):
+    for kind, content_type, data in (("metadata", "application/json", json.dumps(about, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")), ("conversion", "text/plain", page.text().encode("utf-8", "replace"))):
         own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{record_id or uri or block_digest}#{kind}')}>"
         digest = sha1_digest(data)
         fields = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", record_id), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Block-Digest", digest), ("WARC-Payload-Digest", digest), ("WARC-Source-Block-Digest", block_digest), ("WARC-Source-Payload-Digest", payload_digest), ("Content-Type", content_type), ("Content-Length", str(len(data)))]
-        kept = [(f"WARC-Source-{n}" if not n.startswith("WARC-") else n.replace("WARC-", "WARC-Source-", 1), v) for n, v in headers if n in ("WARC-IP-Address", "WARC-Identified-Payload-Type", "WARC-Truncated", "Content-Type", "Content-Length")]
+        kept = [(_source_name(n), v) for n, v in headers if n.lower() not in _RETOLD]
         out.append((kind, own, record_id, uri, date, content_type, [{"name": n, "value": v} for n, v in fields + kept if v is not None], data, digest, digest))
     return out
 
@@ -154,7 +183,7 @@ def derivatives(responses: DataFrame, keep: list[str] | None = None) -> DataFram
             for at in range(0, max(1, len(frame)), 500):
                 part, out, own = frame.iloc[at : at + 500], [], []
                 for n, (record_id, uri, date, headers, block) in enumerate(zip(part["record_id"], part["target_uri"], part["date"], part["headers"], part["block"])):
-                    records = derived(record_id, uri, date, [] if headers is None else [(h["name"], h["value"]) for h in headers], b"" if block is None else bytes(block))
+                    records = derived(record_id, uri, date, [] if headers is None else [(h["name"], h["value"]) for h in headers if h is not None and h["name"] is not None], b"" if block is None else bytes(block))
                     out += records
                     own += [n] * len(records)
                 made = pd.DataFrame(out, columns=columns)
@@ -187,18 +216,51 @@ def to_bytes(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.0\r\n" + "".join(f"{n}: {v}\r\n" for n, v in headers).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def _fields(head: str) -> list[tuple[str, str]]:
+    return [(n.strip(), v.strip()) for n, colon, v in (line.partition(":") for line in head.split("\r\n")) if colon]
+
+
 def parse(data: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
     """Headers and block of each record of a file's bytes."""
     out, at = [], 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.index(b"\r\n\r\n", at)
-        headers = [(n.strip(), v.strip()) for n, colon, v in (line.partition(":") for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]) if colon]
+        headers = _fields(data[at:end].decode("utf-8", "replace"))
         size = int(next((v for n, v in headers if n.lower() == "content-length"), "0"))
         out.append((headers, data[end + 4 : end + 4 + size]))
         at = end + 4 + size
     return out
 
 
+def read_warc(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Records of WARC files, plain or gzipped: record_type, record_id, target_uri, date, headers, block, and whole.
+
+    The files are read with the end of a record and the start of the next as separator, so no file is held whole. A block
+    that itself holds this separator comes in parts: the first, with whole = false as it is shorter than its
+    Content-Length, and rows without a record id or type, with whole = false. Files may differ in their version."""
+    fields = "record_type string, record_id string, target_uri string, date string, headers array<struct<name:string,value:string>>, block binary, whole boolean"
+
+    def work(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                rows = []
+                for raw in batch.column(0).slice(at, 200).to_pylist():
+                    head, ended, rest = re.sub(rb"\A(?:WARC/1\.)?\d[^\r\n]*\r\n", b"", raw or b"", count=1).partition(b"\r\n\r\n")
+                    headers = _fields(head.decode("utf-8", "replace"))
+                    told = {n.lower(): v for n, v in reversed(headers)}
+                    size = told.get("content-length", "")
+                    size = int(size) if size.isdecimal() else len(rest)
+                    if not raw or not raw.strip():
+                        continue
+                    rows.append((told.get("warc-type"), told.get("warc-record-id"), told.get("warc-target-uri"), told.get("warc-date"), [{"name": n, "value": v} for n, v in headers], rest[:size], bool(ended) and len(rest) >= size and "warc-type" in told))
+                columns = list(zip(*rows)) if rows else [[]] * len(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
+
+    schema = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("block", pa.binary()), ("whole", pa.bool_())])
+    raw = spark.read.option("lineSep", "\r\n\r\nWARC/1.").text(paths).select(F.col("value").cast("binary"))
+    return raw.mapInArrow(work, fields)
+
+
 def file_bytes(records: DataFrame) -> DataFrame:
     """records with column `record`: the bytes that a file of records concatenates."""
 

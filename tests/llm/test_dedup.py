@@ -134,6 +134,7 @@ def test_shared_lines_equal_the_plain_version(spark, batches, fanout):
     rows = [(n, f"{common if n % 3 else spaced}\nonly in document number {n} and nowhere\n{'short' if n % 2 else ''}\n{common}") for n in range(40)]
     rows += [(50 + n, f"twice only, so it stays in both\nx{n}") for n in range(2)]
     rows += [(60, None), (61, ""), (62, "\n\n"), (None, common), (None, f"{common}\nown line of a row without id"), (7, f"{common}\nsecond row of one id"), (39, common), (63, f"{common}\n" * 2000)]
+    rows += [(200 + n, f"abcdefghijklmnopqrst\t{c}\n\t{c} abcdefghijklmnopqrst \x0b") for n in range(4) for c in ["\x85", "\u2028", "\u2029", "\x1c", ""][n:]]
     df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, _h1 int")
     got = [(r["doc_id"], r["text"] or "", r["n_lines"], r["n_dropped"]) for r in drop_shared_lines(df, batches=batches, fanout=fanout).collect()]
     assert sorted(got, key=repr) == plain_lines(rows)

@@ -1,10 +1,15 @@
 """Fingerprints, WARC records, the queries and the pipeline."""
 
+import gzip
 import hashlib
 import json
+import re
 import sys
+from html import unescape
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -84,8 +89,9 @@ def test_derivatives_link_and_keep(spark):
     assert html["Status"] == 200 and html["HTML-Metadata"]["Title"] == "A & B" and html["HTML-Metadata"]["Lang"] == "en"
     assert html["HTML-Metadata"]["Links"] == [{"path": "A@/href", "url": "/x"}, {"path": "IMG@/src", "url": "i.png"}]
     response = by_id[first["refers_to"].iloc[0]]
-    assert about["WARC-Header-Metadata"]["WARC-Record-ID"] == response["record_id"]
-    assert html["Entity-Digest"] == warc.sha1_digest(PAGE.encode()) and about["WARC-Header-Metadata"]["WARC-Block-Digest"] == warc.sha1_digest(bytes(response["block"]))
+    source = [(h["name"], h["value"]) for h in about["WARC-Header-Metadata"]]
+    assert source[: len(response["headers"])] == [(h["name"], h["value"]) for h in response["headers"]] and ("WARC-Record-ID", response["record_id"]) in source
+    assert html["Entity-Digest"] == warc.sha1_digest(PAGE.encode()) and dict(source)["WARC-Block-Digest"] == warc.sha1_digest(bytes(response["block"]))
     for row in out.itertuples():
         headers = {h["name"]: h["value"] for h in row.headers}
         assert headers["WARC-Refers-To"] == row.refers_to in by_id and headers["WARC-Block-Digest"] == row.block_digest == warc.sha1_digest(bytes(row.block))
@@ -107,6 +113,74 @@ def test_odd_blocks(block):
     assert [r[0] for r in records] == ["metadata", "conversion"] and all(r[8] == warc.sha1_digest(r[7]) for r in records)
 
 
+def test_source_headers_are_kept():
+    source = [("warc-warcinfo-id", "<urn:uuid:1>"), ("WARC-Concurrent-To", "<urn:uuid:2>"), ("WARC-Concurrent-To", "<urn:uuid:3>"), ("X-Own", "é"), ("Content-Type", "application/http"), ("WARC-Payload-Digest", "sha1:X")]
+    for record in warc.derived("<urn:uuid:0>", "http://h/", None, source, b"HTTP/1.1 200 OK\r\n\r\n<p>x"):
+        headers = [(h["name"], h["value"]) for h in record[6]]
+        assert [h for h in headers if h[0].lower() in ("warc-warcinfo-id", "warc-concurrent-to", "x-own")] == source[:4]
+        assert ("WARC-Source-Content-Type", "application/http") in headers and ("WARC-Source-Payload-Digest", "sha1:X") in headers
+        assert sum(n == "Content-Type" for n, _ in headers) == 1
+        if record[0] == "metadata":
+            assert [(h["name"], h["value"]) for h in json.loads(record[7])["Envelope"]["WARC-Header-Metadata"]][:6] == source
+
+
+MARKUP = ["<p>", "</p>", "<![weird[ y ]]>", "<![", "<!", "<!--", "-->", "<?x", "<!DOCTYPE", "<![CDATA[x]]>", "]]>", "<a href='", "'>", "<script>", "</script", "&#xD800;", "&#99999999;", "&amp", "text ", "\x00", "<br/>", "<title>", ">", "\n", "<![if !IE]>", "<![endif]>", "</"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(MARKUP), max_size=25))
+def test_any_markup(parts):
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + "".join(parts).encode()
+    records = warc.derived("r", "u", None, [], block)
+    assert [r[0] for r in records] == ["metadata", "conversion"] and json.loads(records[0][7])
+
+
+def test_what_follows_odd_markup_is_kept():
+    for odd in ("<![weird[ y ]]>", "<![if !IE]>", "<!ELEMENT x>", "<?php x ?>"):
+        assert b"after" in warc.derived("r", None, None, [], f"<p>before</p>{odd}<p>after</p>".encode())[1][7]
+
+
+def plain_text(html):
+    """Text in lines and links of well-formed markup, by regular expressions."""
+    links = re.findall(r"<(?:a|link)\b[^>]*?\bhref=[\"']([^\"']+)[\"']|<(?:img|script)\b[^>]*?\bsrc=[\"']([^\"']+)[\"']", html)
+    html = re.sub(r"(?s)<!--.*?-->|<!doctype[^>]*>", "", html, flags=re.I)
+    html = re.sub(r"(?is)<(head|script|style|noscript|template)\b[^>]*>.*?</\1\s*>", "", html)
+    names = "|".join(sorted(warc._LINES, key=len, reverse=True))
+    html = re.sub(rf"(?i)</?(?:{names})\b[^>]*>", "\n", html)
+    text = unescape(re.sub(r"<[^>]*>", "", html))
+    lines = (re.sub(r"[ \t\r\f\v\xa0]+", " ", x).strip() for x in text.split("\n"))
+    return "\n".join(x for x in lines if x), [a or b for a, b in links]
+
+
+def test_all_pages_equal_a_plain_extraction(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    html = {r["page_id"]: r["html"] or "" for r in pages.collect()}
+    out = warc.derivatives(warc.responses_of(pages, "2024-01-01T00:00:00Z"), keep=["page_id"]).select("page_id", "warc_type", "block").collect()
+    texts = {r["page_id"]: bytes(r["block"]).decode() for r in out if r["warc_type"] == "conversion"}
+    assert set(texts) == set(html)
+    same = sum(texts[i] == plain_text(h)[0] for i, h in html.items())
+    assert same >= 0.98 * len(html), (same, len(html))
+    links = {r["page_id"]: [x["url"] for x in json.loads(bytes(r["block"]))["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["HTML-Metadata"]["Links"]] for r in out if r["warc_type"] == "metadata"}
+    assert sum(links[i] == [unescape(x) for x in plain_text(h)[1]] for i, h in html.items()) >= 0.98 * len(html)
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_files_are_read_by_spark(spark, tmp_path, packed):
+    pages = spark.createDataFrame([(n, f"http://h/{n}", f"<p>page {n} é\r\n\r\n</p>" * n) for n in range(9)], "page_id long, url string, html string")
+    responses = warc.responses_of(pages, "2024-01-01T00:00:00Z").orderBy("page_id").collect()
+    for part in range(3):
+        records = [warc.to_bytes([(h["name"], h["value"]) for h in r["headers"]], bytes(r["block"])) for r in responses[part * 3 : part * 3 + 3]]
+        data = b"".join(gzip.compress(r) for r in records) if packed else b"".join(records)
+        (tmp_path / f"{part}.warc{'.gz' if packed else ''}").write_bytes(data)
+    got = {r["record_id"]: r for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert len(got) == 9 and all(r["whole"] for r in got.values())
+    for r in responses:
+        own = got[r["record_id"]]
+        assert own["headers"] == r["headers"] and own["block"] == r["block"] and own["target_uri"] == r["target_uri"] and own["record_type"] == "response"
+    again = warc.derivatives(warc.read_warc(spark, str(tmp_path)))
+    assert sorted(r["record_id"] for r in again.collect()) == sorted(r["record_id"] for r in warc.derivatives(warc.responses_of(pages, "2024-01-01T00:00:00Z")).collect())
+
+
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
