@@ -4,10 +4,13 @@ import gzip
 import hashlib
 import json
 import re
+import struct
 import sys
 from html import unescape
 
+import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -34,10 +37,10 @@ def plain_occurrences(values):
 
 
 def test_occurrences_are_numbered(spark):
-    hashes = sorted([5 << 24] * 7 + [9 << 24 | 1] + [12 << 24] * 3 + [(-4) << 24] * 9)
-    keys = [h >> 24 for h in hashes]
+    hashes = sorted([5 << 28] * 7 + [9 << 28 | 1] + [12 << 28] * 3 + [(-4) << 28] * 9)
+    keys = [h >> 28 for h in hashes]
     df = spark.createDataFrame([(hashes, plain_occurrences(keys))], "s array<long>, o array<int>")
-    expected = F.transform(F.arrays_zip("s", "o"), lambda z: F.xxhash64(F.shiftright(z["s"], 24), z["o"]).bitwiseAND(F.lit(~order_minhash._POS)).bitwiseOR(z["s"].bitwiseAND(F.lit(order_minhash._POS))))
+    expected = F.transform(F.arrays_zip("s", "o"), lambda z: F.xxhash64(F.shiftright(z["s"], 28), z["o"]).bitwiseAND(F.lit(~order_minhash._POS)).bitwiseOR(z["s"].bitwiseAND(F.lit(order_minhash._POS))))
     row = df.select(order_minhash._numbered(F.col("s")).alias("a"), expected.alias("b")).first()
     assert row["a"] == row["b"] and len(set(row["a"])) == len(hashes)
 
@@ -51,12 +54,80 @@ def test_order_and_repeats_count(spark):
     assert any(x != "." * 8 for x in f)
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def of_text(*texts):
+    h = 42
+    for t in texts:
+        h = xxhash.xxh64_intdigest(t.encode(), h)
+    return signed(h)
+
+
+def plain_tokens(text, token_chars=16, reach=2):
+    out = []
+    for run in re.findall(r"[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+", text):
+        if len(run) <= token_chars:
+            out.append(run)
+            continue
+        hashes = [of_text(a, b) for a, b in zip(run, run[1:])]
+        at = [0] + [i + 1 for i, h in enumerate(hashes) if all(h <= hashes[j] for j in range(max(0, i - reach), min(len(hashes), i + reach + 1)))]
+        out += [run[a:b] for a, b in zip(at, [*at[1:], len(run)])]
+    return out
+
+
+def plain_fingerprint(text, k=2, slots=64, per_slot=2):
+    tokens = plain_tokens(text)
+    mask = ~((1 << 28) - 1)
+    if not tokens:
+        return ["." * 8] * slots
+    kmers = [(of_text("".join(tokens)) & mask, 0)] if len(tokens) < k else [(of_text(*tokens[i : i + k]) & mask, i) for i in range(len(tokens) - k + 1)]
+    seen, numbered = {}, []
+    for h, i in sorted(kmers):
+        o = seen.get(h, 0)
+        seen[h] = o + 1
+        first = xxhash.xxh64_intdigest(struct.pack("<q", h >> 28), 42)
+        numbered.append((signed(xxhash.xxh64_intdigest(struct.pack("<i", o), first)) >> 28, i))
+    numbered.sort()
+    out = []
+    for n in range(-slots // 2, slots // 2):
+        later = [x for x in numbered if x[0] >> 30 >= n] + [x for x in numbered if x[0] >> 30 < n]
+        own = sorted(later[:per_slot], key=lambda x: x[1])
+        out.append(f"{of_text(','.join(str(h) for h, _ in own)) & ((1 << 64) - 1):016x}"[:8])
+    return out
+
+
+def test_fingerprints_equal_a_plain_version(spark):
+    texts = ["", " ", "a", "one two", "a b a b a b a b", "字" * 300, "".join(chr(97 + i * i % 23) for i in range(700)), "x" * 60 + " \U0001f600 yz" + "-" * 40, "word " * 90, " ".join(f"w{i * i % 37}" for i in range(500)), " " * 50 + "end", "https://example.org/a/long/path?with=query and words"]
+    got = prints(spark, texts)
+    assert got == [plain_fingerprint(t) for t in texts]
+
+
+def alike(x, y):
+    return sum(p == q for p, q in zip(x, y)) / len(x)
+
+
+def test_an_edit_is_seen_in_proportion(spark):
+    """One character inserted into 3,000: most slots stay, with and without white space. Moved halves of a short text are seen."""
+    random = np.random.default_rng(3)
+    solid = "".join(chr(97 + i) for i in random.integers(0, 26, 3000))
+    spaced = " ".join(solid[i : i + 6] for i in range(0, 3000, 6))
+    han = "".join(chr(0x4E00 + i) for i in random.integers(0, 3000, 3000))
+    period = "abcdefg" * 430
+    short = [f"tok{i}" for i in range(30)]
+    texts = [t for s in (solid, spaced, han, period) for t in (s, s[:1500] + "Q" + s[1500:])] + [" ".join(short), " ".join(short[15:] + short[:15])]
+    got = prints(spark, texts)
+    assert [alike(a, b) > 0.9 for a, b in zip(got[:8:2], got[1:8:2])] == [True] * 4
+    assert alike(got[8], got[9]) < 0.75
+
+
 def test_edit_pairs_follow_the_contract(spark):
     rows = [(5, "abc def ghi jkl"), (9, None), (2, ""), (7, "x" * 50_000), (1, "\U0001f600é one two three"), (8, "abc def ghi jkl"), (None, "no id"), (4, "a"), (3, " ")]
     rows += [(100 + n, f"some text of row {n} " * (n % 13 + 1)) for n in range(300)]
     df = spark.createDataFrame([(i, t, "e") for i, t in rows], "doc_id long, text string, fp string")
     order = sorted(rows, key=lambda r: -(1 << 63) if r[0] is None else r[0], reverse=True)
-    for params in ({}, {"rows_per_block": 7, "ranges": 8}):
+    for params in ({}, {"rows_per_block": 7, "ranges": 8}, {"rows_per_block": 1, "ranges": 3, "most_cuts": 16}, {"ranges": 400}):
         got = {r["doc_id"]: r for r in order_minhash.with_next(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", ["text"], **params).collect()}
         assert len(got) == len(rows)
         for n, (i, _) in enumerate(order):
