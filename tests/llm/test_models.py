@@ -216,6 +216,25 @@ def test_reputation_shrinks_and_blocks(spark):
     assert [tuple(x["r"]) for x in r] == [("co.uk", "b.co.uk"), ("com", "y.com"), ("host", "host"), ("", ""), ("uk", "co.uk")]
 
 
+def test_suffixes_from_a_table(spark):
+    rules = spark.createDataFrame([("com",), ("co.uk",), ("*.ck",), ("!www.ck",), ("Blog.example.com",), ("",)], "rule string")
+    hosts = {"a.b.co.uk": ("co.uk", "b.co.uk"), "x.y.com": ("com", "y.com"), "me.blog.example.com": ("blog.example.com", "me.blog.example.com"), "example.com": ("com", "example.com"), "a.b.c.ck": ("c.ck", "b.c.ck"), "a.www.ck": ("ck", "www.ck"), "www.ck": ("ck", "www.ck"), "c.ck": ("c.ck", "c.ck"), "host": ("host", "host"), "": ("", ""), "a.b.net": ("net", "b.net"), "co.uk": ("co.uk", "co.uk"), ".".join("x" * 3000) + ".com": ("com", "x.com")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r["host"]: (r["suffix"], r["domain"]) for r in host_reputation.with_domains(df, rules).collect()} == hosts
+    pages, labels = [(n, f"http://h{n}.bad.co.uk/") for n in range(20)], [(n, 0, 0) for n in range(20)]
+    judged = host_reputation.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), [], suffixes=rules).collect()
+    assert len(judged) == 20 and {r["verdict"] for r in judged} == {"block"}
+
+
+def test_a_hot_host_is_whole(spark):
+    pages = [(n, f"http://hot.example.org/{n % 7}" if n % 3 else (None if n % 2 else f"http://h{n}.net/x"), n) for n in range(3000)] + [(None, "http://hot.example.org/", 1)] * 50
+    labels = [(n, 0, 1) for n in range(0, 3000, 5)]
+    judged = host_reputation.judge_urls(spark.createDataFrame(pages, "page_id long, url string, host long"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), []).collect()
+    assert sorted(map(str, (r["page_id"] for r in judged))) == sorted(map(str, (p[0] for p in pages)))
+    hot = {(r["n_labelled"], r["verdict"]) for r in judged if r["host"] == "hot.example.org"}
+    assert hot == {(sum(1 for n in range(3000) if n % 3 and n % 5 == 0), "block")}
+
+
 def test_mixing_meets_targets(spark):
     random = np.random.default_rng(2)
     kinds = [("prose", "abcdefgh "), ("code", "{}();=+_"), ("tables", "0123456|")]
