@@ -8,23 +8,30 @@ p . theta), where theta is the whitened residual at `ahead`, a vector of as many
 ahead = rate + momentum * (rate - the rate before). A document's rate follows from the thetas alone, so nothing but sums
 over all documents is gathered.
 
+Tokens are those of the given vocabulary, counted in every whole text. Rows are read once: posteriors and tokens are
+written with the columns that go on.
+
 The classifier (softmax over hashed byte pairs) is fitted on the driver from a bounded sample: at most `most_docs`
 labelled texts of each domain, of at most `most_chars` characters, in order of a hash. All else covers every document.
 
 Defined cases: a null or empty text has no tokens and the domains' priors; without labels all domains are equally
-likely; a target domain without labels or expected tokens can't be reached and is left out of the fit; repeated rows
-count each; rates are at least `least_rate`, and the totals grow accordingly; other columns pass through, and those of
-the outputs' names are replaced; an empty table gives an empty table.
+likely; a target domain without labels or expected tokens can't be reached and is left out of the fit; where least_rate
+keeps targets out of reach, the fit ends at the nearest rates and `gap` tells each domain's distance; repeated rows count
+each; rates are at least `least_rate`, and the totals grow accordingly; other columns pass through, and those of the
+outputs' names are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import aside, discard, small_batches, written
+from ._common import discard, small_batches, written
+from .packing import token_counts
 
 _SIZE = 1024
 
@@ -40,10 +47,6 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
-def n_words(text: str | None) -> int:
-    return len(text.split()) if text else 0
-
-
 def fit(texts: list[str], classes: list[int], n: int, ridge: float = 1e-4, rounds: int = 300) -> np.ndarray:
     """Weights (features x classes) of a softmax classifier, classes weighted by how often they come; accelerated gradient."""
     weights = np.zeros((_SIZE + 1, n))
@@ -83,8 +86,8 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str]
     return weights
 
 
-def with_posteriors(df: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
-    """df (columns of other names) with _tokens (words) and _p0, _p1, ... of every whole text."""
+def with_posteriors(df: DataFrame, weights: np.ndarray, tokenizer: str, text: str = "text") -> DataFrame:
+    """df (columns of other names) with _tokens and _p0, _p1, ... of every whole text."""
     n = weights.shape[1]
 
     @F.arrow_udf("_tokens long, " + ", ".join(f"_p{k} double" for k in range(n)))
@@ -93,7 +96,7 @@ def with_posteriors(df: DataFrame, weights: np.ndarray, text: str = "text") -> D
         for at in range(0, len(texts), 100):  # few texts are Python objects at a time
             some = texts.slice(at, 100).to_pylist()
             x[at : at + 100] = np.stack([features(t) for t in some]) @ weights
-            tokens[at : at + 100] = [n_words(t) for t in some]
+            tokens[at : at + 100] = token_counts(tokenizer, some)
         p = np.exp(x - x.max(1, keepdims=True)) if len(x) else x
         p = p / p.sum(1, keepdims=True)
         return pa.StructArray.from_arrays([pa.array(tokens), *[pa.array(p[:, k]) for k in range(n)]], names=["_tokens", *[f"_p{k}" for k in range(n)]])
@@ -130,8 +133,22 @@ def rate_of(thetas: list[np.ndarray], least: float) -> Column:
     return state_of(thetas, least)["rate"]
 
 
-def fit_rates(posteriors: DataFrame, targets: list[float], least: float = 0.0, total: float | None = None, rounds: int = 60, close: float = 1e-4, steps_between: int = 8) -> tuple[list[np.ndarray], np.ndarray]:
-    """The steps' thetas and the targets in tokens. posteriors: a written table with _tokens and _p<k>.
+@dataclass
+class Fit:
+    """The steps' thetas, and the tokens of each domain: wanted, and expected at the rates reached."""
+
+    thetas: list[np.ndarray]
+    want: np.ndarray
+    have: np.ndarray
+
+    @property
+    def gap(self) -> np.ndarray:
+        """What each domain has over its target, as a share of all tokens wanted."""
+        return (self.have - self.want) / max(float(self.want.sum()), 1e-300)
+
+
+def fit_rates(posteriors: DataFrame, targets: list[float], least: float = 0.0, total: float | None = None, rounds: int = 60, close: float = 1e-4, steps_between: int = 8) -> Fit:
+    """The fit to the targets. posteriors: a written table with _tokens and _p<k>.
 
     Rates are written after every `steps_between` steps, so that no step repeats more than so many before it.
 
@@ -141,7 +158,7 @@ def fit_rates(posteriors: DataFrame, targets: list[float], least: float = 0.0, t
     p = [F.col(f"_p{k}") for k in range(n)]
     sums = posteriors.agg(F.sum("_tokens"), *[F.sum(F.col("_tokens") * x) for x in p], *[F.sum(F.col("_tokens") * p[j] * p[k]) for j in range(n) for k in range(n)]).first()
     if not sums[0]:
-        return [], np.zeros(n)
+        return Fit([], np.zeros(n), np.zeros(n))
     have = np.array(sums[1 : n + 1], float)
     moments = np.array(sums[n + 1 :], float).reshape(n, n)
     share = np.where(have > 1e-9 * sums[0], np.array(targets, float), 0.0)
@@ -172,20 +189,31 @@ def fit_rates(posteriors: DataFrame, targets: list[float], least: float = 0.0, t
         have, ahead = np.array(sums[:n], float), np.array(sums[n:], float)
     if before:
         discard(rates)
-    return thetas, want
+    return Fit(thetas, want, have)
 
 
-def mix(df: DataFrame, weights: np.ndarray, targets: dict[str, float], id_col: str = "doc_id", text: str = "text", least_rate: float = 0.0, total: float | None = None, seed: int = 11) -> DataFrame:
-    """df with n_words, posterior (one share for each domain of targets, in their order), rate, and copies: the rate rounded up or down by a hash of the row."""
-    out = ("n_words", "posterior", "rate", "copies")
-    with small_batches(df.sparkSession):
-        posteriors = written(with_posteriors(df.select(F.col(text).alias("_text")), weights, "_text").drop("_text"), "posteriors")
-    thetas, _ = fit_rates(posteriors, list(targets.values()), least_rate, total)
-    discard(posteriors)
-    put, back = aside(df, out)
+def mix(df: DataFrame, weights: np.ndarray, targets: dict[str, float], tokenizer: str, id_col: str = "doc_id", text: str = "text", least_rate: float = 0.0, total: float | None = None, seed: int = 11, carry: list[str] | None = None) -> DataFrame:
+    """df (all columns, or those in `carry`) with n_tokens, posterior (one share for each domain of targets, in their
+    order), rate, copies (the rate rounded up or down by a hash of the row), and gap: how far each domain's expected
+    tokens end above its target, as a share of all, the same in every row."""
+    out = ("n_tokens", "posterior", "rate", "copies", "gap")
+    carry = df.columns if carry is None else carry
+    names = {c: f"_u{n}_" for n, c in enumerate(carry) if c not in out}
     chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    # rows wait for their scores with all their columns, so the text isn't put there twice
-    own = [F.col(text).alias("_text")] if text in out else []
-    name = "_text" if own else f"_u{df.columns.index(text)}_"
-    rows = with_posteriors(df.select(*put, *own, chance.alias("_chance")), weights, name).withColumn("_rate", rate_of(thetas, least_rate))
-    return rows.select(*back, F.col("_tokens").alias("n_words"), F.array(*[F.col(f"_p{k}") for k in range(len(targets))]).alias("posterior"), F.col("_rate").alias("rate"), F.floor(F.col("_rate") + F.col("_chance")).cast("int").alias("copies"))
+    # the text waits for its scores once, under its own name or another
+    scored_by = names.get(text, "_text")
+    own = [] if text in names else [F.col(text).alias("_text")]
+    rows = df.select(*[F.col(f"`{c}`").alias(u) for c, u in names.items()], *own, chance.alias("_chance"))
+    with small_batches(df.sparkSession):
+        scored = with_posteriors(rows, weights, tokenizer, scored_by)
+        scored = written(scored.drop("_text"), "posteriors")
+    fit = fit_rates(scored.select("_tokens", *[f"_p{k}" for k in range(len(targets))]), list(targets.values()), least_rate, total)
+    done = scored.withColumn("_rate", rate_of(fit.thetas, least_rate))
+    return done.select(
+        *[F.col(u).alias(c) for c, u in names.items()],
+        F.col("_tokens").alias("n_tokens"),
+        F.array(*[F.col(f"_p{k}") for k in range(len(targets))]).alias("posterior"),
+        F.col("_rate").alias("rate"),
+        F.floor(F.col("_rate") + F.col("_chance")).cast("int").alias("copies"),
+        F.array(*[F.lit(float(g)) for g in fit.gap]).alias("gap"),
+    )

@@ -1,9 +1,16 @@
 """Vector bin packing of tokenized examples into training sequences.
 
-An example is a vector of tokens, segments and loss-bearing tokens. A sequence has a limit on each. The open sequence
-takes, again and again, the example with the largest dot product of its demand and the sequence's free room, both as
-shares of the limits, among those that fit. Where none fits whole, the best one is cut, if cutting is allowed. What is
-left when a shard's examples run out goes into sequences whose sizes are powers of two, as those need no padding.
+An example is a vector of tokens, segments and loss-bearing tokens, which are its last ones: first comes what the model
+reads, then what it learns to say. A sequence has a limit on each. The open sequence takes, again and again, the example
+with the largest dot product of its demand and the sequence's free room, both as shares of the limits, among those that
+fit. Where none fits whole, the best of those of which a part fits is cut, if cutting is allowed. An example that is over
+a limit by itself opens sequences with parts of it, which others then fill. A sequence that can't be filled (the shard's
+examples run out, or a limit other than that of tokens is reached) is dealt into sequences whose sizes are powers of
+two, as those need no padding.
+
+Of a document (tokenize), by default every token bears loss. With loss="last line" the last line that has a character
+other than blanks is the answer and bears loss, with what follows it and the end token; what precedes it is context. A
+document of one line has no answer and bears none.
 
 Examples are dealt to shards by a hash of their id and their text, so a hot source or a group of copies spreads
 evenly; each shard is packed by one task and holds about `shard_tokens` tokens (and one example more).
@@ -31,7 +38,7 @@ _UNITS = re.compile(r"[^ \t\r\n]+")
 #: Fixed: this vocabulary's pattern of pre-tokens, with the letters, digits and white space of Latin-1 in lower case written out.
 _LETTER, _DIGIT, _BLANK = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_BLANK}{_LETTER}{_DIGIT}]+")
-PIECES = "id long, start long, length long, segments long, loss_tokens long, doc_tokens long, sequence long, offset long, ids binary"
+PIECES = "id long, start long, length long, segments long, loss_tokens long, doc_tokens long, sequence long, offset long, ids binary, sequence_tokens long, sequence_segments long, sequence_loss long"
 
 
 class Tokens:
@@ -89,21 +96,42 @@ def _tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
-def tokenize(df: DataFrame, path: str, end: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, ids (little-endian unsigned 32-bit, the end token last), n_tokens, loss_tokens (all) and a hash of the text for dealing."""
+def token_counts(path: str, texts: list[str | None]) -> list[int]:
+    """Tokens of each text, without an end token."""
+    return [len(x) // 4 for run in chunks([t or "" for t in texts], 2_000_000) for x in _tokens(path).encode(run)]
+
+
+def parted(text: str) -> tuple[str, str]:
+    """What precedes the last line with a character other than blanks, and the rest; a text of one line has no rest."""
+    at = text.rfind("\n", 0, len(text.rstrip(" \t\n\r\x0b\x0c")))
+    return (text, "") if at < 0 else (text[:at], text[at:])
+
+
+def tokenize(df: DataFrame, path: str, end: int, id_col: str = "doc_id", text: str = "text", loss: str = "all") -> DataFrame:
+    """id, ids (little-endian unsigned 32-bit, the end token last), n_tokens, loss_tokens (of the last ones) and a hash of the text for dealing."""
+    if loss not in ("all", "last line"):
+        raise ValueError(loss)
 
     def work(batches):
         tokens, last = _tokens(path), struct.pack("<I", end)
         for batch in slices(batches):
             at = 0
             for run in chunks([t or "" for t in batch.column(1).to_pylist()], 2_000_000):
-                ids = pa.array([x + last for x in tokens.encode(run)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), batch.column(2).slice(at, len(run)), ids], names=["id", "deal", "ids"])
+                if loss == "all":
+                    whole = [x + last for x in tokens.encode(run)]
+                    bearing = [len(x) // 4 for x in whole]
+                else:  # pre-tokens never cross a line's end, so the parts' ids are the text's
+                    halves = tokens.encode([x for t in run for x in parted(t)])
+                    whole = [a + b + last for a, b in zip(halves[::2], halves[1::2])]
+                    bearing = [len(b) // 4 + 1 if b else 0 for b in halves[1::2]]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(run)), batch.column(2).slice(at, len(run)), pa.array(whole, pa.binary()), pa.array([len(x) // 4 for x in whole], pa.int64()), pa.array(bearing, pa.int64())],
+                    names=["id", "deal", "ids", "n_tokens", "loss_tokens"],
+                )
                 at += len(run)
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(id_col), F.col(text)).alias("deal"))
-    out = rows.mapInArrow(work, "id long, deal long, ids binary")
-    return out.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long")).withColumn("loss_tokens", F.col("n_tokens"))
+    return rows.mapInArrow(work, "id long, deal long, ids binary, n_tokens long, loss_tokens long")
 
 
 def _pow2_sizes(n: int) -> list[int]:
@@ -111,33 +139,54 @@ def _pow2_sizes(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
+def _even(row: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """The pieces of one sequence in sequences whose sizes are powers of two."""
+    out, at, row = [], 0, list(row)
+    for want in _pow2_sizes(sum(length for _, _, length in row)):
+        part: list[tuple[int, int, int]] = []
+        while want:
+            i, start, length = row[at]
+            take = min(want, length)
+            part.append((i, start, take))
+            want -= take
+            row[at] = (i, start + take, length - take)
+            at += take == length
+        out.append(part)
+    return out
+
+
 def place(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int], cut: bool = True) -> list[list[tuple[int, int, int]]]:
-    """Sequences as lists of (example, start, length). Examples of the same vector form one class; each step scores the classes."""
+    """Sequences as lists of (example, start, length). loss: how many of an example's last tokens bear loss. Examples of the same vector form one class; each step scores the classes."""
     width, most_segments, most_loss = limits
+    if not cut and ((tokens > width) | (loss > most_loss)).any():
+        raise ValueError(f"{int(((tokens > width) | (loss > most_loss)).sum())} examples are over a sequence's limits, and cutting is off")
     sequences: list[list[tuple[int, int, int]]] = []
+    openings: list[tuple[int, int, int]] = []
     begun = np.zeros(len(tokens), np.int64)
-    share = loss / np.maximum(tokens, 1)
-    if cut:  # what surely fills sequences of its own
-        own = np.minimum(width, np.where(share > 0, np.floor(most_loss / np.maximum(share, 1e-9)), width)).astype(np.int64)
-        for i in np.flatnonzero(tokens > own):
-            while tokens[i] - begun[i] > own[i]:
-                sequences.append([(int(i), int(begun[i]), int(own[i]))])
-                begun[i] += own[i]
+    for i in np.flatnonzero((tokens > width) | (loss > most_loss)).tolist():
+        n, ahead = int(tokens[i]), int(tokens[i] - loss[i])  # parts that none can hold with the rest
+        at = 0
+        while n - at > width or n - max(at, ahead) > most_loss:
+            take = min(n - at, width, max(0, ahead - at) + most_loss)
+            (sequences.append([(i, at, take)]) if take == width else openings.append((i, at, take)))
+            at += take
+        begun[i] = at
     left = tokens - begun
-    bad = (left > width) | (np.ceil(left * share) > most_loss)
-    if bad.any():
-        raise ValueError(f"{int(bad.sum())} examples are over a sequence's limits, and cutting is off")
-    need = np.ceil(left * share - 1e-9).astype(np.int64)
-    classes, member = np.unique(np.stack([left, need], 1), axis=0, return_inverse=True)
+    classes, member = np.unique(np.stack([left, np.minimum(loss, left)], 1), axis=0, return_inverse=True)
     order = np.argsort(member.ravel(), kind="stable")
     pools = [list(x) for x in np.split(order, np.cumsum(np.bincount(member.ravel(), minlength=len(classes)))[:-1])] if len(classes) else []
     size, cost = classes[:, 0].copy(), classes[:, 1].copy()
     alive = np.array([len(p) for p in pools], np.int64)
+    alive[size == 0] = 0
     scale = np.array([1 / width, 1 / most_segments, 1 / most_loss])
     demand = np.stack([size * scale[0], np.full(len(size), scale[1]), cost * scale[2]], 1)
     n = int(alive.sum())
-    while n:
+    while n or openings:
         room, row = np.array([width, most_segments, most_loss], np.int64), []
+        if openings:
+            i, start, take = openings.pop()
+            row.append((i, start, take))
+            room -= (take, 1, start + take - max(start, min(start + take, int(tokens[i] - loss[i]))))
         while n and room[0] > 0 and room[1] > 0:
             score = demand @ (room * scale)
             fits = (size <= room[0]) & (cost <= room[2]) & (alive > 0)
@@ -146,23 +195,20 @@ def place(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int], cu
                 i, take = int(pools[c].pop()), int(size[c])
                 alive[c] -= 1
                 n -= 1
-                used = int(cost[c])
                 row.append((i, int(begun[i]), take))
-                room -= (take, 1, used)
+                room -= (take, 1, int(cost[c]))
                 continue
-            if not cut:
-                break
-            c = int(np.argmax(np.where(alive > 0, score, -1.0)))
-            i = int(pools[c][-1])
-            take = int(room[0] if share[i] == 0 else min(room[0], np.floor(room[2] / share[i])))
-            if take <= 0:
+            most = np.minimum(room[0], size - cost + room[2])
+            part = (alive > 0) & (most > 0)
+            if not cut or not part.any():
                 break
-            pools[c].pop()
+            c = int(np.argmax(np.where(part, score, -1.0)))
+            i, take = int(pools[c].pop()), int(most[c])
             alive[c] -= 1
             row.append((i, int(begun[i]), take))
-            room -= (take, 1, min(room[2], int(np.ceil(take * share[i] - 1e-9))))
+            room -= (take, 1, max(0, take - int(size[c] - cost[c])))
             begun[i] += take
-            rest = np.array([size[c] - take, np.ceil((size[c] - take) * share[i] - 1e-9)], np.int64)
+            rest = int(size[c]) - take, min(int(cost[c]), int(size[c]) - take)
             same = np.flatnonzero((size == rest[0]) & (cost == rest[1]))
             if len(same):
                 pools[same[0]].append(i)
@@ -171,28 +217,15 @@ def place(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int], cu
                 size, cost, alive = np.append(size, rest[0]), np.append(cost, rest[1]), np.append(alive, 1)
                 demand = np.vstack([demand, [rest[0] * scale[0], scale[1], rest[1] * scale[2]]])
                 pools.append([i])
-        if cut and not n and 0 < room[0] and room[0] < width:  # the last one: sizes without padding
-            sizes, at = _pow2_sizes(int(width - room[0])), 0
-            for want in sizes:
-                part: list[tuple[int, int, int]] = []
-                while want:
-                    i, start, length = row[at]
-                    take = min(want, length)
-                    part.append((i, start, take))
-                    want -= take
-                    row[at] = (i, start + take, length - take)
-                    at += take == length
-                sequences.append(part)
-        else:
-            sequences.append(row)
+        sequences += _even(row) if cut and room[0] > 0 else [row]
     return sequences
 
 
 def pack(examples: DataFrame, width: int = 4096, max_segments: int = 512, max_loss: int | None = None, cut: bool = True, shards: int | None = None, shard_tokens: int = 4_000_000) -> DataFrame:
     """Pieces of the examples (columns id, deal, ids, n_tokens, loss_tokens), each with its sequence, its offset there and its ids.
 
-    A piece is a segment; its loss-bearing tokens are its share of the example's, rounded up. Without `shards` the
-    examples are read once more, to sum their tokens."""
+    A piece is a segment; its loss-bearing tokens are those of the example's last loss_tokens that it has. Each piece also
+    tells its sequence's three loads. Without `shards` the examples are read once more, to sum their tokens."""
     shards = shards or max(1, round((examples.agg(F.sum("n_tokens")).first()[0] or 0) / shard_tokens))
     limits = (width, max_segments, max_loss or width)
 
@@ -203,9 +236,10 @@ def pack(examples: DataFrame, width: int = 4096, max_segments: int = 512, max_lo
         out = []
         for n, sequence in enumerate(place(tokens, loss, limits, cut)):
             offset = 0
-            for i, start, length in sequence:
-                own = -(-length * int(loss[i]) // max(1, int(tokens[i])))
-                out.append((ids[i], start, length, 1, own, int(tokens[i]), int(key[0]) << 32 | n, offset, raw[i][4 * start : 4 * (start + length)]))
+            own = [start + length - max(start, min(start + length, int(tokens[i] - loss[i]))) for i, start, length in sequence]
+            loads = sum(length for _, _, length in sequence), len(sequence), sum(own)
+            for (i, start, length), bearing in zip(sequence, own):
+                out.append((ids[i], start, length, 1, bearing, int(tokens[i]), int(key[0]) << 32 | n, offset, raw[i][4 * start : 4 * (start + length)], *loads))
                 offset += length
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
         frame["id"] = frame["id"].astype("Int64")
@@ -215,7 +249,7 @@ def pack(examples: DataFrame, width: int = 4096, max_segments: int = 512, max_lo
     return dealt.groupBy("shard").applyInPandas(work, PIECES)
 
 
-def pack_documents(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text: str = "text", width: int = 4096, shard_bytes: int = 12_000_000, **limits) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text: str = "text", width: int = 4096, shard_bytes: int = 12_000_000, loss: str = "all", **limits) -> DataFrame:
     """pack() of whole texts; the bytes of the texts fix the number of shards, so that each is tokenized once."""
     total = docs.agg(F.sum(F.octet_length(text) + 8)).first()[0] or 0
-    return pack(tokenize(docs, path, end, id_col, text), width, shards=max(1, round(total / shard_bytes)), **limits)
+    return pack(tokenize(docs, path, end, id_col, text, loss), width, shards=max(1, round(total / shard_bytes)), **limits)

@@ -21,12 +21,16 @@ def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+#: A sequence's limits beside 4096 tokens, and which tokens bear loss.
+PACKING = {"loss": "last line", "max_segments": 32, "max_loss": 1536}
+
+
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = pack_documents(docs, _tokenizer("word_bpe_49k.json"), end=2)
-    return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", F.col("sequence").alias("sequence_id"), "offset", "segments", "loss_tokens")
+    pieces = pack_documents(docs, _tokenizer("word_bpe_49k.json"), end=2, **PACKING)
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", F.col("sequence").alias("sequence_id"), "offset", "segments", "loss_tokens", "sequence_tokens", "sequence_segments", "sequence_loss")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +78,8 @@ def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     domain = F.when(F.col("toxic") == 1, F.lit("toxic")).when(F.col("quality") == 1, F.lit("high")).when(F.col("quality") == 0, F.lit("low"))
     weights = train(docs, table(spark, sf_dir, "labels"), domain, list(DOMAIN_TARGETS))
-    mixed = mix(docs, weights, DOMAIN_TARGETS)
-    return mixed.select("doc_id", "n_words", F.round(F.col("posterior")[0], 6).alias("p_high"), F.round(F.col("posterior")[1], 6).alias("p_low"), F.round(F.col("posterior")[2], 6).alias("p_toxic"), F.round("rate", 6).alias("rate"), "copies")
+    mixed = mix(docs, weights, DOMAIN_TARGETS, _tokenizer("word_bpe_49k.json"), carry=["doc_id"])
+    return mixed.select("doc_id", "n_tokens", F.round(F.col("posterior")[0], 6).alias("p_high"), F.round(F.col("posterior")[1], 6).alias("p_low"), F.round(F.col("posterior")[2], 6).alias("p_toxic"), F.round("rate", 6).alias("rate"), "copies", F.round(F.array_max(F.transform("gap", lambda g: F.abs(g))), 6).alias("worst_gap"))
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,12 +9,16 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from selvage.llm import host_reputation, mixing, perplexity, toxicity
 from selvage.llm._common import written
 
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
 
 def rows_of(n=60):
     """Texts of two languages, some odd."""
@@ -243,24 +247,31 @@ def test_mixing_meets_targets(spark):
     targets = {"prose": 0.4, "code": 0.35, "tables": 0.25}
     weights = mixing.train(df, df.where("doc_id < 150 or doc_id is null"), F.col("domain"), list(targets))
     for least in (0.0, 1.0):
-        got = mixing.mix(df, weights, targets, least_rate=least).collect()
+        got = mixing.mix(df, weights, targets, WORDS, least_rate=least).collect()
         assert len(got) == 303 and all(r["rate"] >= least and abs(r["rate"] - r["copies"]) <= 1 for r in got)
         assert all(abs(sum(r["posterior"]) - 1) < 1e-9 for r in got)
-        totals = np.sum([np.array(r["posterior"]) * r["rate"] * r["n_words"] for r in got], axis=0)
+        totals = np.sum([np.array(r["posterior"]) * r["rate"] * r["n_tokens"] for r in got], axis=0)
         assert totals / totals.sum() == pytest.approx(list(targets.values()), abs=2e-3)
         right = [max(range(3), key=lambda k: r["posterior"][k]) == list(targets).index(r["domain"]) for r in got if r["doc_id"] is not None and 150 <= r["doc_id"] < 300]
         assert np.mean(right) > 0.95
-    empty = mixing.mix(df.where("false"), weights, targets)
+        assert got[0]["gap"] == pytest.approx([t / totals.sum() - s for t, s in zip(totals, targets.values())], abs=1e-3)
+        library = Tokenizer.from_file(WORDS)
+        assert all(r["n_tokens"] == len(library.encode(r["text"] or "", add_special_tokens=False).ids) for r in got[::20])
+    few = mixing.mix(df, weights, targets, WORDS, least_rate=1.0, total=1.0, carry=["doc_id"])
+    assert few.columns == ["doc_id", "n_tokens", "posterior", "rate", "copies", "gap"]
+    assert {r["rate"] for r in few.collect()} == {1.0} and max(few.first()["gap"]) > 100  # out of reach, and told
+    empty = mixing.mix(df.where("false"), weights, targets, WORDS)
     assert empty.collect() == [] and empty.columns.count("rate") == 1
     unlabelled = mixing.train(df, df.where("false"), F.col("domain"), list(targets))
-    assert {tuple(np.round(r["posterior"], 9)) for r in mixing.mix(df, unlabelled, targets).collect()} == {(0.333333333,) * 3}
+    assert {tuple(np.round(r["posterior"], 9)) for r in mixing.mix(df, unlabelled, targets, WORDS).collect()} == {(0.333333333,) * 3}
 
 
 def test_rates_equal_a_plain_projected_gradient(spark):
     random = np.random.default_rng(4)
     tokens, p = random.integers(1, 50, 200), random.dirichlet([0.3, 0.3], 200)
     df = written(spark.createDataFrame([(int(t), *map(float, x)) for t, x in zip(tokens, p)], "_tokens long, _p0 double, _p1 double"), "posteriors")
-    thetas, want = mixing.fit_rates(df, [0.95, 0.05])
+    fit = mixing.fit_rates(df, [0.95, 0.05])
+    thetas, want = fit.thetas, fit.want
     rate, ahead, moments = np.ones(200), np.ones(200), (p * tokens[:, None]).T @ p
     for theta, momentum in zip(thetas, mixing.momenta(len(thetas))):
         assert np.linalg.solve(moments, (ahead * tokens) @ p - want) == pytest.approx(theta, rel=1e-6, abs=1e-9)

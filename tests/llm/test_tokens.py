@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from selvage.llm.packing import Tokens, pack, pack_documents, place
+from selvage.llm.packing import Tokens, pack, pack_documents, parted, place
 from selvage.llm.token_counts import TokenCounter, count_tokens
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -99,6 +99,8 @@ def test_packing_instruction_examples(spark):
     for p in pieces:
         by.setdefault(p["sequence"], []).append(p)
     assert all(sum(p["length"] for p in s) <= 128 and len(s) <= 4 and sum(p["loss_tokens"] for p in s) <= 64 for s in by.values())
+    for s in by.values():
+        assert {(p["sequence_tokens"], p["sequence_segments"], p["sequence_loss"]) for p in s} == {(sum(p["length"] for p in s), len(s), sum(p["loss_tokens"] for p in s))}
     assert pack(df.where("false")).collect() == []
 
 
@@ -108,3 +110,58 @@ def test_checksums_are_those_of_the_ids(spark):
     df = spark.createDataFrame([(1, "some words here"), (2, None)], "doc_id long, text string")
     got = {r["id"]: r["c"] for r in pack_documents(df, WORDS, end=2).select("id", F.crc32("ids").alias("c")).collect()}
     assert got == {1: zlib.crc32(np.array([*expected(WORDS, ["some words here"])[0], 2], "<u4").tobytes()), 2: zlib.crc32(np.array([2], "<u4").tobytes())}
+
+
+def test_last_lines_bear_loss():
+    assert [parted(t) for t in ("", "a b", "a\nb", "a\n\nb c\n \n", "\n", "\nx", "x\n")] == [("", ""), ("a b", ""), ("a", "\nb"), ("a\n", "\nb c\n \n"), ("\n", ""), ("", "\nx"), ("x\n", "")]
+
+
+@settings(max_examples=100, deadline=None)
+@given(
+    examples=st.lists(st.tuples(st.integers(1, 400), st.integers(0, 100)), max_size=60),
+    limits=st.tuples(st.integers(5, 100), st.integers(1, 6), st.integers(1, 100)),
+)
+def test_any_examples_keep_all_limits(examples, limits):
+    tokens = np.array([n for n, _ in examples], np.int64)
+    loss = np.array([n * share // 100 for n, share in examples], np.int64)
+    sequences = place(tokens, loss, limits)
+    seen = [[] for _ in examples]
+    for s in sequences:
+        size, bearing = sum(n for _, _, n in s), sum(sum(k >= tokens[i] - loss[i] for k in range(a, a + n)) for i, a, n in s)
+        assert 0 < size <= limits[0] and len(s) <= limits[1] and bearing <= limits[2]
+        assert size == limits[0] or size & (size - 1) == 0
+        for i, a, n in s:
+            seen[i].append((a, n))
+    for i, own in enumerate(seen):
+        own.sort()
+        assert [a for a, _ in own] == np.cumsum([0] + [n for _, n in own[:-1]]).tolist()[: len(own)] and sum(n for _, n in own) == tokens[i]
+
+
+def test_limits_bind(spark):
+    """Answers of three fifths of each text: sequences end at the limit of loss-bearing tokens, and texts of one line fill them."""
+    rows = [(n, "some words of context " * 30 + "\n" + "an answer of many more words " * 36) for n in range(60)] + [(100 + n, "one line only " * 300) for n in range(40)]
+    pieces = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, end=2, loss="last line", max_segments=32, max_loss=1536).collect()
+    loads = {p["sequence"]: (p["sequence_tokens"], p["sequence_loss"]) for p in pieces}
+    assert max(x[1] for x in loads.values()) == 1536 and sum(x == (4096, 1536) for x in loads.values()) > 3
+
+
+def test_limits_hold_in_the_query(spark):
+    import __spark_entry__
+
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    pieces = __spark_entry__.queries()["op2_vector_packing"](spark, "/root/testdata/sf0.01").collect()
+    halves = {i: [len(x) for x in expected(WORDS, list(parted(t)))] for i, t in docs.items()}
+    loads, bearing = {}, {}
+    for p in pieces:
+        context, answer = halves[p["doc_id"]]
+        assert p["doc_tokens"] == context + answer + 1
+        first = context if answer else context + 1
+        own = max(0, p["start"] + p["length"] - max(p["start"], first))
+        assert p["loss_tokens"] == own
+        load = loads.setdefault(p["sequence_id"], [0, 0, 0, p])
+        load[:3] = load[0] + p["length"], load[1] + 1, load[2] + own
+    for size, segments, loss, p in loads.values():
+        assert (size, segments, loss) == (p["sequence_tokens"], p["sequence_segments"], p["sequence_loss"])
+        assert size <= 4096 and segments <= 32 and loss <= 1536
+    full = [x for x in loads.values() if x[0] == 4096]
+    assert 4096 * len(full) > 0.95 * sum(x[0] for x in loads.values())
