@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import aside, discard, small_batches, written
+from ._common import aside, discard, small_batches, spread_join, written
 from .shingles import chunks, minhashes, mix, shingle_sets, slices
 
 _SIGNED = np.int64
@@ -158,8 +158,11 @@ def candidates(nodes: DataFrame, threshold: float, trees: int, count: int, regio
     for depth in _depths(shallow, count):
         prefix = F.xxhash64("_tree", round_sig.substr(1 + F.col("_tree") * (4 * step), F.lit(4 * depth)))
         keyed = active.select("_node", "_tree", prefix.alias("_h"))
-        sizes = keyed.groupBy("_h").agg(F.count("*").alias("_size"), F.min("_node").alias("_hub")).where("_size > 1")
-        level = written(keyed.join(sizes, "_h").withColumn("_cut", (F.col("_size") > region) | F.lit(depth == count)), "forest")
+        sizes = written(keyed.groupBy("_h").agg(F.count("*").alias("_size"), F.min("_node").alias("_hub")).where("_size > 1"), "sizes")
+        total = sizes.agg(F.sum("_size")).first()[0] or 0
+        met = spread_join(keyed, sizes, ["_h"], sizes.select("_h", F.col("_size").alias("_n")), total, ["_node"])
+        level = written(met.withColumn("_cut", (F.col("_size") > region) | F.lit(depth == count)), "forest")
+        discard(sizes)
         levels.append(level)
         large = level.where("_cut")
         if not large.head(1):
@@ -175,17 +178,24 @@ def candidates(nodes: DataFrame, threshold: float, trees: int, count: int, regio
     return out, cut, levels
 
 
+def _tally(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """key and _n, how many rows a key has, and the number of rows. rows: a written table."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    return counts, rows.count()
+
+
 def _with_hubs(stars: DataFrame, nodes: DataFrame, threshold: float, count: int) -> DataFrame:
     """The pairs of _node, _hub that may be linked."""
-    stars = stars.where("_node <> _hub").distinct().join(nodes, "_node")
+    stars = written(stars.where("_node <> _hub").distinct(), "stars")
     hubs = nodes.select(F.col("_node").alias("_hub"), F.col("_n").alias("_hub_n"), F.col("_sig").alias("_hub_sig"))
-    return _hub_pairs(stars.join(hubs, "_hub").select("_node", "_n", "_sig", "_hub", "_hub_n", "_hub_sig"), threshold, count)
+    met = spread_join(stars.join(nodes, "_node"), hubs, ["_hub"], *_tally(stars, "_hub"), ["_node"])
+    return _hub_pairs(met.select("_node", "_n", "_sig", "_hub", "_hub_n", "_hub_sig"), threshold, count)
 
 
 def _rest_pairs(cut: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float, count: int, block: int) -> DataFrame:
     """All pairs of texts of one region (_h, _node) but of different groups (node, label) that aren't surely below the threshold.
 
-    A region of several groups is dealt, in order of the groups, to blocks of `block` texts; each two blocks meet in one task, so no task's group is larger than 2 * block."""
+    A region of several groups is dealt, in order of the groups, to blocks of about `block` texts; each two blocks meet in one task, so no task's group is larger than about 2 * block."""
     least = threshold - 4.2 * (threshold * (1 - threshold) / count) ** 0.5
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
@@ -204,10 +214,16 @@ def _rest_pairs(cut: DataFrame, nodes: DataFrame, groups: DataFrame, threshold:
         a, b = node[one[p]], node[two[q]]
         return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "alike": same[p, q] / count})
 
-    rows = cut.join(groups.withColumnRenamed("node", "_node"), "_node", "left").select("_h", "_node", F.coalesce("label", "_node").alias("_group"))
-    mixed = rows.groupBy("_h").agg(F.count("*").alias("_size"), F.min("_group").alias("_least"), F.max("_group").alias("_most")).where("_least <> _most").select("_h", "_size")
-    place = F.row_number().over(Window.partitionBy("_h").orderBy("_group", "_node")) - 1
-    rows = rows.join(mixed, "_h").withColumn("_own", F.floor(place / block)).join(nodes, "_node")
+    rows = written(cut.join(groups.withColumnRenamed("node", "_node"), "_node", "left").select("_h", "_node", F.coalesce("label", "_node").alias("_group")), "rest")
+    # the groups of a region lie side by side, in order of their labels; a text's place in its group comes from a hash
+    sizes = rows.groupBy("_h", "_group").agg(F.count("*").alias("_own_size"))
+    of_region = sizes.groupBy("_h").agg(F.sum("_own_size").alias("_size"), F.count("*").alias("_groups")).where("_groups > 1").select("_h", "_size")
+    before = F.sum("_own_size").over(Window.partitionBy("_h").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1))
+    places = written(sizes.join(of_region, "_h").withColumn("_before", F.coalesce(before, F.lit(0))), "places")
+    counts, total = places.select("_h", "_group", F.col("_own_size").alias("_n")), places.agg(F.sum("_own_size")).first()[0] or 0
+    rows = spread_join(rows, places, ["_h", "_group"], counts, total, ["_node"])
+    place = F.col("_before") + F.pmod(F.xxhash64("_node"), F.col("_own_size"))
+    rows = rows.withColumn("_own", F.floor(place / block)).join(nodes, "_node")
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_size") - 1) / block))))
     rows = rows.select("_h", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_group", "_node", "_n", "_sig")
     return rows.groupBy("_h", "_i", "_j").applyInPandas(work, "a long, b long, alike double")
@@ -233,15 +249,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
     one = texts.select(F.col("_node").alias("a"), F.col("_text").alias("one"))
     two = texts.select(F.col("_node").alias("b"), F.col("_text").alias("two"))
-    return pairs.select("a", "b", "ka", "kb").join(one, "a").join(two, "b").select("ka", "kb", "one", "two").mapInArrow(work, "a long, b long")
+    # a text of many pairs is given to many tasks
+    pairs = written(pairs.select("a", "b", "ka", "kb"), "asked")
+    met = spread_join(pairs, one, ["a"], *_tally(pairs, "a"), ["b"])
+    met = spread_join(met, two, ["b"], *_tally(pairs, "b"), ["a"])
+    return met.select("ka", "kb", "one", "two").mapInArrow(work, "a long, b long")
 
 
 def roots(parents: DataFrame) -> DataFrame:
-    """node, label of a forest given as node, label (a smaller node, one for each): labels' labels, until nothing changes."""
+    """node, label of a forest given as node, label (a smaller node, one for each; a written table): labels' labels, until nothing changes."""
     labels = parents
     while True:
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = written(labels.join(jump, "label", "left").select("node", F.coalesce("further", "label").alias("label"), F.col("further").isNotNull().alias("moved")), "labels")
+        met = spread_join(labels, jump, ["label"], *_tally(labels, "label"), ["node"], "left")
+        new = written(met.select("node", F.coalesce("further", "label").alias("label"), F.col("further").isNotNull().alias("moved")), "labels")
         discard(labels)
         moved, labels = new.where("moved").head(1), new
         if not moved:
@@ -252,11 +273,14 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node it reaches) of every node with an edge: each takes its neighbours' smallest label and that label's label."""
     both = written(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
+    ends = _tally(both, "b")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        own = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = spread_join(both, labels.withColumnRenamed("node", "b"), ["b"], *ends, ["a"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        own = written(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "own")
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = written(own.join(jump, "label", "left").select("node", "old", F.least("label", "further").alias("label")), "labels")
+        met = spread_join(own, jump, ["label"], *_tally(own, "label"), ["node"], "left")
+        new = written(met.select("node", "old", F.least("label", "further").alias("label")), "labels")
+        discard(own)
         changed = new.where("old <> label").head(1)
         discard(labels)
         labels = new
@@ -277,7 +301,8 @@ def _onward(groups: DataFrame, links: DataFrame) -> DataFrame:
     if not links.head(1):
         return groups
     further = components(links)
-    moved = groups.join(further.select(F.col("node").alias("label"), F.col("label").alias("_further")), "label", "left").select("node", F.coalesce("_further", "label").alias("label"))
+    onward = further.select(F.col("node").alias("label"), F.col("label").alias("_further"))
+    moved = spread_join(groups, onward, ["label"], *_tally(groups, "label"), ["node"], "left").select("node", F.coalesce("_further", "label").alias("label"))
     return written(moved.unionByName(further.where("node <> label")), "groups")
 
 
@@ -303,7 +328,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
         signed = written(_signatures(rows, words, count), "signatures")
     # the set decides the number of shingles and the signature
     real = signed.where(F.col("_sig").isNotNull() & (F.col("_id") != _NO_ID))
-    sets = written(real.groupBy("_s1", "_s2").agg(F.min("_id").alias("_node"), F.first("n_shingles").alias("_n"), F.first("_sig").alias("_sig")), "sets")
+    sets = written(real.groupBy("_s1", "_s2").agg(F.min("_id").alias("_node"), F.first("n_shingles").alias("_n"), F.first("_sig").alias("_sig"), F.count("*").alias("_rows")), "sets")
     nodes = sets.select("_node", "_n", "_sig")
     pairs, cut, levels = candidates(nodes, threshold, trees, count, region, shallow)
     texts = _texts_of(rows, pairs)
@@ -332,13 +357,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
             groups = _onward(groups, links_of(_between(late.join(first.select("a", "b"), ["a", "b"], "left_anti"), groups)))
     component = F.coalesce("label", "_node")
     sets_labels = sets.select("_s1", "_s2", "_node").join(groups.withColumnRenamed("node", "_node"), "_node", "left").select("_s1", "_s2", component.alias("_component"))
-    for done in used:
-        discard(done)
 
+    # each id and text once; copies of one text are many, and texts without shingles meet nobody
+    once = written(signed.groupBy("_id", "_r").agg(F.first("n_shingles").alias("n_shingles"), F.first("_s1").alias("_s1"), F.first("_s2").alias("_s2"), F.count("*").alias("_rows")), "once")
+    full = once.where("n_shingles > 0")
+    joined = spread_join(full, sets_labels, ["_s1", "_s2"], sets.select("_s1", "_s2", F.col("_rows").alias("_n")), sets.agg(F.sum("_rows")).first()[0] or 0, ["_id", "_r"], "left")
+    by_row = joined.select("_id", "_r", "n_shingles", "_component").unionByName(once.where("n_shingles = 0").select("_id", "_r", "n_shingles", F.lit(None).cast("long").alias("_component")))
     # rows of one id share the smallest component of its texts
-    by_row = signed.select("_id", "_r", "n_shingles", "_s1", "_s2").join(sets_labels, ["_s1", "_s2"], "left")
-    of_row = by_row.withColumn("component_id", F.min("_component").over(Window.partitionBy("_id", F.when(F.col("_id") == _NO_ID, F.col("_r"))))).dropDuplicates(["_id", "_r"]).select("_id", "_r", "n_shingles", "component_id")
+    of_row = by_row.withColumn("component_id", F.min("_component").over(Window.partitionBy("_id", F.when(F.col("_id") == _NO_ID, F.col("_r"))))).select("_id", "_r", "n_shingles", "component_id")
+    of_row = written(of_row, "rows")
+    for done in used:
+        discard(done)
     put, back = aside(df, out_of)
-    out = df.select(*put, ident.alias("_id"), text_hash.alias("_r")).join(of_row, ["_id", "_r"], "left")
+    # null texts have a hash too, so every row finds its own; rows without id and text may be many
+    asked = df.select(*put, ident.alias("_id"), text_hash.alias("_r"))
+    out = spread_join(asked.withColumn("_at", F.monotonically_increasing_id()), of_row, ["_id", "_r"], once.select("_id", "_r", F.col("_rows").alias("_n")), once.agg(F.sum("_rows")).first()[0] or 0, ["_at"], "left")
     component = F.when(F.col("_id") != _NO_ID, F.coalesce("component_id", "_id"))
     return out.select(*back, "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("_id"), F.lit(True)).alias("kept"))

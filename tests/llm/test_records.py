@@ -299,6 +299,17 @@ def test_stages_take_odd_rows(spark):
             assert rows or table is not odd
 
 
+def test_stages_leave_callers_columns_alone(spark):
+    own = ["n_dropped", "n_lines", "kept", "component_id", "n_shingles", "rate", "copies", "copy", "n_tokens", "posterior", "toxicity", "_toxicity", "gap", "_copy", "a.b", "_id", "_text", "_own0_"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 40")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id")).alias(c) for c in own])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        rows = out.collect()
+        assert out.columns == docs.columns and rows
+        assert all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in own), name
+
+
 def test_edited_digest_of_the_query(spark):
     rows = __spark_entry__.queries()["op7_order_minhash"](spark, SMALL).collect()
     texts = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()), reverse=True)
