@@ -25,10 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str, mode: str = "error") -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: its lineage ends there and survives lost executors."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: its lineage ends there and survives lost executors. by: a column of few values that has a folder for each."""
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode(mode).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.selvage_path = path
     return out

@@ -4,10 +4,12 @@ The model is a modified Kneser-Ney model of the bytes of the corpus (A-Z in lowe
 language and half of the texts. Halves are dealt by a hash of the text, and a text is scored by the model of the other
 half, so neither it nor its copies make themselves likely. Spark counts the n-grams of every whole text and derives
 continuation counts, discounts and probabilities; the result is a table of (hash, value), of which scoring tasks get
-sorted arrays. A hash packs 19 bits of language and half, 4 of the kind of entry, and the n-gram itself. Entries are dealt to shards by the byte before the last, so
-that all an n-gram needs is in one shard; one shard has about `shard_entries` entries at most, and texts are scored in
-one pass for each shard; with more than one, the rows are written once with a key of their own, by which their
-shards' sums are added. The number of entries is bounded by the n-grams of a language, not by the documents.
+sorted arrays. A hash packs 19 bits of language and half, 4 of the kind of entry, and the n-gram itself. What tasks get
+at once has at most `shard_entries` entries: models are put together up to that number, and each text is read in the
+pass of its own model only. A model of more entries is dealt to shards by the byte before the last, so that all an
+n-gram needs is in one shard, and its texts are read once for each. With more than one pass, the rows are written once
+with a key of their own, by which the passes' sums are added. The number of entries is bounded by the n-grams of a
+language, not by the documents.
 
 A language's band is its median of the log-perplexity, up and down by `width` times the spread (1.4826 times the median
 absolute deviation) or `least_up` and `least_down` nats, whichever is more; a text's own band is wider by three standard
@@ -207,28 +209,48 @@ def _scorer(shared, order: int, shard: int, shards: int):
     return score
 
 
+def _passes(sizes: dict[int, int], most: int) -> tuple[dict[int, int], list[int]]:
+    """The pass of each model (by its number of entries), and into how many shards each pass's entries are dealt."""
+    of, shards, room = {}, [], 0
+    for lang, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        if n > room:
+            shards.append(max(1, -(-n // most)))
+            room = shards[-1] * most if shards[-1] == 1 else n  # one dealt to shards stays by itself
+        of[lang] = len(shards) - 1
+        room -= n
+    return of, shards or [1]
+
+
 def log_perplexity(docs: DataFrame, model: DataFrame, order: int, shard_entries: int = 6_000_000) -> DataFrame:
     """docs (_lang, _text and others) without the text, with _bytes, _sum and _squares of the bytes' negative log-probabilities: a written table of a row for each of docs; model: a written table."""
     spark = docs.sparkSession
-    shards = max(1, -(-model.count() // shard_entries))
-    if shards > 1:
-        # a key that is written once is the row's own in the pass of every shard
-        docs = written(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
-    others, parts = [c for c in docs.columns if c != "_text"], []
-    for shard in range(shards):
-        part = model if shards == 1 else model.where(F.col("context").isNull() | (F.pmod("context", F.lit(shards)) == shard))
-        entries = part.select("key", "value").toArrow()  # at most about shard_entries rows of 12 bytes
-        keys, values = (entries[c].to_numpy() for c in ("key", "value"))
-        by_key = np.argsort(keys)
-        shared = spark.sparkContext.broadcast((keys[by_key], values[by_key]))
-        del entries, keys, values
-        got = docs.withColumn("_score", _scorer(shared, order, shard, shards)("_lang", "_text"))
-        parts.append(written(got.select(*(others if shards == 1 else ["_key"]), "_score.*"), "scores"))
-    if shards == 1:
+    of_model = F.shiftrightunsigned("key", 44).alias("_lang")
+    sizes = dict(model.groupBy(of_model).count().collect())  # one number for each language and half
+    found, dealt = _passes(sizes, shard_entries)
+    several, others, parts = len(dealt) > 1 or dealt[0] > 1, [c for c in docs.columns if c != "_text"], []
+    if several:
+        # a key that is written once is the row's own in every pass; a language without a model goes with the first
+        passes = F.broadcast(spark.createDataFrame(list(found.items()), "_lang long, _pass int"))
+        docs = docs.withColumn("_key", F.monotonically_increasing_id()).join(passes, "_lang", "left").withColumn("_pass", F.coalesce("_pass", F.lit(0)))
+        docs = written(docs, "keyed", by="_pass")
+        model = written(model.select("*", of_model).join(passes, "_lang").drop("_lang"), "model", by="_pass")
+    for number, shards in enumerate(dealt):
+        for shard in range(shards):
+            part = model.where(F.col("_pass") == number) if several else model
+            part = part if shards == 1 else part.where(F.col("context").isNull() | (F.pmod("context", F.lit(shards)) == shard))
+            entries = part.select("key", "value").toArrow()  # about shard_entries rows of 12 bytes at most
+            keys, values = (entries[c].to_numpy() for c in ("key", "value"))
+            by_key = np.argsort(keys)
+            shared = spark.sparkContext.broadcast((keys[by_key], values[by_key]))
+            del entries, keys, values
+            got = (docs.where(F.col("_pass") == number) if several else docs).withColumn("_score", _scorer(shared, order, shard, shards)("_lang", "_text"))
+            parts.append(written(got.select(*(["_key"] if several else others), "_score.*"), "scores"))
+            shared.unpersist()
+    if not several:
         return parts[0]
     sums = reduce(DataFrame.unionByName, parts).groupBy("_key").agg(*[F.sum(c).alias(c) for c in ("_bytes", "_sum", "_squares")])
-    out = written(docs.select(*others).join(sums, "_key").drop("_key"), "scored")
-    for done in (docs, *parts):
+    out = written(docs.select("_key", *others).join(sums, "_key").drop("_key"), "scored")
+    for done in (docs, model, *parts):
         discard(done)
     return out
 
