@@ -26,6 +26,7 @@ import re
 import uuid
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,12 +52,17 @@ class _Page(HTMLParser):
         self.hidden: list[str] = []
         self.in_title = False
 
+    def updatepos(self, i, j):
+        """Lines and columns of the source aren't needed."""
+        return j
+
     def handle_starttag(self, tag, attrs):
-        found = dict(attrs)
-        if tag == "html" and found.get("lang"):
-            self.lang = found["lang"]
-        if tag in _LINKS and found.get(_LINKS[tag]):
-            self.links.append({"path": f"{tag.upper()}@/{_LINKS[tag]}", "url": found[_LINKS[tag]]})
+        if attrs:
+            found = dict(attrs)
+            if tag == "html" and found.get("lang"):
+                self.lang = found["lang"]
+            if tag in _LINKS and found.get(_LINKS[tag]):
+                self.links.append({"path": f"{tag.upper()}@/{_LINKS[tag]}", "url": found[_LINKS[tag]]})
         if tag == "title":
             self.in_title = True
         if tag == "body":
@@ -102,8 +108,8 @@ class _Page(HTMLParser):
                 self.parts.append(self.rawdata)
 
     def text(self) -> str:
-        lines = (_SPACE.sub(" ", line).strip() for line in "".join(self.parts).split("\n"))
-        return "\n".join(line for line in lines if line)
+        lines = map(str.strip, _SPACE.sub(" ", "".join(self.parts)).split("\n"))
+        return "\n".join(filter(None, lines))
 
 
 #: Fixed: headers of a source that its derived records tell anew, and headers that a record says of itself.
@@ -169,7 +175,7 @@ def derived(record_id: str | None, uri: str | None, date: str | None, headers: l
         digest = sha1_digest(data)
         fields = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", record_id), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Block-Digest", digest), ("WARC-Payload-Digest", digest), ("WARC-Source-Block-Digest", block_digest), ("WARC-Source-Payload-Digest", payload_digest), ("Content-Type", content_type), ("Content-Length", str(len(data)))]
         kept = [(_source_name(n), v) for n, v in headers if n.lower() not in _RETOLD]
-        out.append((kind, own, record_id, uri, date, content_type, [{"name": n, "value": v} for n, v in fields + kept if v is not None], data, digest, digest))
+        out.append((kind, own, record_id, uri, date, content_type, [(n, v) for n, v in fields + kept if v is not None], data, digest, digest))
     return out
 
 
@@ -177,21 +183,28 @@ def derivatives(responses: DataFrame, keep: list[str] | None = None) -> DataFram
     """Metadata and conversion records of responses (record_id, target_uri, date, headers, block), with the columns in `keep`."""
     keep = keep or []
     columns = [c.split(" ")[0] for c in RECORDS.split(", ")]
+    pair, fields = pa.struct([("name", pa.string()), ("value", pa.string())]), ["record_id", "target_uri", "date", "headers", "block"]
+
+    def headers_of(lists: list[list[tuple[str, str]]]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, lists)])
+        flat = pa.StructArray.from_arrays([pa.array([x[k] for own in lists for x in own], pa.string()) for k in (0, 1)], fields=list(pair))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
-    def work(frames):
-        for frame in frames:
-            for at in range(0, max(1, len(frame)), 500):
-                part, out, own = frame.iloc[at : at + 500], [], []
-                for n, (record_id, uri, date, headers, block) in enumerate(zip(part["record_id"], part["target_uri"], part["date"], part["headers"], part["block"])):
-                    records = derived(record_id, uri, date, [] if headers is None else [(h["name"], h["value"]) for h in headers if h is not None and h["name"] is not None], b"" if block is None else bytes(block))
+    def work(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part, out, own = batch.slice(at, 200), [], []
+                for n, (record_id, uri, date, headers, block) in enumerate(zip(*(part.column(len(keep) + k).to_pylist() for k in range(len(fields))))):
+                    records = derived(record_id, uri, date, [(h["name"], h["value"]) for h in headers or [] if h is not None and h["name"] is not None], block or b"")
                     out += records
                     own += [n] * len(records)
-                made = pd.DataFrame(out, columns=columns)
-                yield pd.concat([part[[f"k_{c}" for c in keep]].iloc[own].reset_index(drop=True), made], axis=1)
+                made = [headers_of(list(c)) if name == "headers" else pa.array(c, pa.binary() if name == "block" else pa.string()) for name, c in zip(columns, zip(*out))]
+                carried = [part.column(k).take(pa.array(own)) for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*carried, *made], names=[*[f"k_{c}" for c in keep], *columns])
 
     rows = responses.select(*[F.col(c).alias(f"k_{c}") for c in keep], "record_id", "target_uri", "date", "headers", "block")
     kinds = "".join(f"k_{c} {responses.schema[c].dataType.simpleString()}, " for c in keep)
-    out = rows.mapInPandas(work, kinds + RECORDS)
+    out = rows.mapInArrow(work, kinds + RECORDS)
     return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], *columns)
 
 
