@@ -57,6 +57,13 @@ class Tokens:
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.remember, self.longest = remember, longest
+        # whether a token ends a word; only vocabularies that say so
+        suffix = "</w>"
+        vocabulary = self.library.get_vocab()
+        self.ends = None
+        if getattr(self.library.model, "end_of_word_suffix", None) == suffix:
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[n for t, n in vocabulary.items() if t.endswith(suffix)]] = True
 
     def _pieces(self, text: str) -> list[str]:
         try:
@@ -67,7 +74,27 @@ class Tokens:
             return _UNITS.findall(text)
         return _PIECES.findall(text.lower())
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _learn(self, new: list[str]) -> None:
+        """Encodes pieces that aren't known: those that are one pre-token each as one text, told apart by the tokens that end a word."""
+        whole = [u for u in new if _PIECES.fullmatch(u)] if self.ends is not None else []
+        if whole:
+            ids = np.array(self.library.encode_batch_fast([" ".join(whole)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(whole):
+                raw, at = ids.tobytes(), 0
+                for u, end in zip(whole, (4 * ends).tolist()):
+                    self.known[u], at = raw[at:end], end
+                new = [u for u in new if u not in self.known]
+        if new:
+            got = self.library.encode(new, is_pretokenized=True, add_special_tokens=False)
+            ids, owner = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
+            ends = np.searchsorted(owner, np.arange(len(new)), side="right") if len(owner) else np.zeros(len(new), np.int64)
+            raw, at = ids.tobytes(), 0
+            for u, end in zip(new, (4 * ends).tolist()):
+                self.known[u], at = raw[at:end], end
+
+    def _known(self, texts: list[str | None], told) -> list:
+        """told(pieces' ids) of each text."""
         cut, known, before, new = [self._pieces(t or "") for t in texts], self.known, self.before, []
         for u in set().union(*cut):
             if u not in known:
@@ -75,14 +102,8 @@ class Tokens:
                     known[u] = before[u]
                 else:
                     new.append(u)
-        if new:
-            got = self.library.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids, owner = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
-            ends = np.searchsorted(owner, np.arange(len(new)), side="right") if len(owner) else np.zeros(len(new), np.int64)
-            raw, at = ids.tobytes(), 0
-            for u, end in zip(new, (4 * ends).tolist()):
-                known[u], at = raw[at:end], end
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        self._learn(new)
+        out = [told(map(known.__getitem__, pieces)) for pieces in cut]
         for u in new:
             if len(u) > self.longest:
                 del known[u]
@@ -90,6 +111,12 @@ class Tokens:
             self.before, self.known = known, {}
         return out
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return self._known(texts, b"".join)
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        return [n // 4 for n in self._known(texts, lambda ids: sum(map(len, ids)))]
+
 
 @functools.lru_cache(maxsize=2)
 def _tokens(path: str) -> Tokens:
@@ -98,7 +125,7 @@ def _tokens(path: str) -> Tokens:
 
 def token_counts(path: str, texts: list[str | None]) -> list[int]:
     """Tokens of each text, without an end token."""
-    return [len(x) // 4 for run in chunks([t or "" for t in texts], 2_000_000) for x in _tokens(path).encode(run)]
+    return [n for run in chunks([t or "" for t in texts], 2_000_000) for n in _tokens(path).count(run)]
 
 
 def parted(text: str) -> tuple[str, str]:
