@@ -27,6 +27,11 @@ def missing(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def narrow_forms(c: Column) -> Column:
+    """Full-width forms of ASCII as plain ones."""
+    return F.translate(c, _WIDE, _PLAIN)
+
+
 def plain_text(c: Column) -> Column:
     """Full-width forms as plain ones, lower case, no white space, underscores, hyphens or slashes: for matching headers and names."""
     return F.regexp_replace(F.lower(F.translate(c, _WIDE, _PLAIN)), r"[\s_\-/\\.()]+", "")
@@ -74,24 +79,67 @@ def ensure_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in have])
 
 
-def pct_rank(df: DataFrame, keys: list[str], metric: str, to: str, where: Column | None = None) -> DataFrame:
-    """df with `to`: (rank + (ties - 1) / 2) / rows among the rows of the same keys that `where` admits and whose metric isn't null.
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, in the checkpoint folder that the cluster names (or, where it names none, one beside the warehouse): what reads it several times doesn't compute it again, nor when executors are lost."""
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints")
+    return df.checkpoint()
+
+
+def ordered_counts(df: DataFrame, keys: list[str], metric: str, parts: int = 64) -> DataFrame:
+    """keys, _value, _ties (rows of it), _before (rows of smaller values) and _all (rows) of the values of each key.
+
+    Rows are counted by value first, and only the distinct values are ordered, so a group may hold any number of rows.
+    Without keys the values are dealt to `parts` ranges by approximate quantiles, which only decide who orders what."""
+    counts = df.groupBy(*keys, F.col(metric).alias("_value")).agg(F.count("*").alias("_ties"))
+    if keys:
+        group = Window.partitionBy(*keys)
+        before = F.sum("_ties").over(group.orderBy("_value").rowsBetween(Window.unboundedPreceding, -1))
+        return counts.withColumns({"_before": F.coalesce(before, F.lit(0)), "_all": F.sum("_ties").over(group)})
+    counts = settled(counts)
+    edges = counts.agg(F.percentile_approx("_value", [n / parts for n in range(1, parts)], 1000)).first()[0] or []
+    edges = F.array(*[F.lit(e) for e in sorted(set(edges))]) if edges else F.array().cast("array<double>")
+    counts = counts.withColumn("_part", F.size(F.filter(edges, lambda e: e < F.col("_value"))))
+    every = Window.orderBy("_part")  # at most `parts` rows
+    offsets = counts.groupBy("_part").agg(F.sum("_ties").alias("_n"))
+    offsets = offsets.select("_part", F.coalesce(F.sum("_n").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_from"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    within = Window.partitionBy("_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_in", F.coalesce(F.sum("_ties").over(within), F.lit(0))).join(F.broadcast(offsets), "_part")
+    return counts.select("_value", "_ties", (F.col("_from") + F.col("_in")).alias("_before"), "_all")
 
-    Rows are counted by value first, and only the distinct values are ordered, so a group may hold any number of rows."""
+
+def pct_rank(df: DataFrame, keys: list[str], metric: str, to: str, where: Column | None = None) -> DataFrame:
+    """df with `to`: (rank + (ties - 1) / 2) / rows among the rows of the same keys that `where` admits and whose metric isn't null."""
     admitted = (where if where is not None else F.lit(True)) & F.col(metric).isNotNull()
-    counts = df.where(admitted).groupBy(*keys, F.col(metric).alias("_value")).agg(F.count("*").alias("_ties"))
-    group = Window.partitionBy(*keys)
-    before = F.sum("_ties").over(group.orderBy("_value").rowsBetween(Window.unboundedPreceding, -1))
-    rank = (F.coalesce(before, F.lit(0)) + 1 + (F.col("_ties") - 1) / 2) / F.sum("_ties").over(group)
+    counts = ordered_counts(df.where(admitted), keys, metric)
+    rank = (F.col("_before") + 1 + (F.col("_ties") - 1) / 2) / F.col("_all")
     ranks = counts.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], "_value", rank.alias(to))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)], admitted & (F.col(metric) == F.col("_value")))
     return df.join(ranks, same, "left").drop("_value", *[f"_k{n}" for n in range(len(keys))])
 
 
+def quantiles(df: DataFrame, keys: list[str], metric: str, shares: list[float]) -> DataFrame:
+    """keys, _edges (the exact quantiles, between two values in proportion) and _n (rows) of the metric, nulls left out; no group is held in memory."""
+    counts = ordered_counts(df.where(F.col(metric).isNotNull()), keys, metric)
+    end = F.col("_before") + F.col("_ties")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_before") <= place) & (place < end), F.col("_value")))
+
+    def quantile(share: float) -> Column:
+        place = (F.col("_all") - 1) * F.lit(float(share))
+        low, high = F.floor(place), F.ceil(place)
+        return F.struct(at(low).alias("low"), at(high).alias("high"), F.max(place - low).alias("over"))
+
+    found = counts.groupBy(*keys).agg(F.array(*[quantile(s) for s in shares]).alias("_q"), F.max("_all").alias("_n"))
+    between = F.transform("_q", lambda q: F.when((q["over"] == 0) | (q["low"] == q["high"]), q["low"]).otherwise(q["low"] * (1 - q["over"]) + q["high"] * q["over"]))
+    return found.select(*keys, between.alias("_edges"), "_n")
+
+
 def quantile_edges(df: DataFrame, keys: list[str], metric: str, bins: int, least: int) -> DataFrame:
     """keys, _edges (distinct, ascending), _n for groups of `least` rows or more."""
-    shares = F.array(*[F.lit(n / bins) for n in range(bins + 1)])
-    edges = df.where(F.col(metric).isNotNull()).groupBy(*keys).agg(F.percentile(metric, shares).alias("_edges"), F.count("*").alias("_n"))
+    edges = quantiles(df, keys, metric, [n / bins for n in range(bins + 1)])
     return edges.where(F.col("_n") >= least).withColumn("_edges", F.array_distinct("_edges"))
 
 

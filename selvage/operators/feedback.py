@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from selvage.functions.columns import pct_rank
+from selvage.functions.columns import map_of, pct_rank, quantiles, settled
 
 #: Fixed: the groups of reason codes by their prefix, in the order in which they are asked for.
 TAG_GROUPS = {"P": "PRODUCT", "F": "FIT", "PR": "PRICE", "S": "SUPPLY", "C": "CHANNEL", "M": "MARKET"}
@@ -20,7 +20,7 @@ RULES = [
     (6, "STAR", ["S_QC"], "star at risk: settle quality first", "A_WATCH"),
 ]
 #: Fixed: the action for the group that most reasons name.
-GROUP_ACTIONS = {"FIT": "A_REVISE_FIT", "PRICE": "A_REPRICE", "SUPPLY": "A_REORDER", "CHANNEL": "A_RE_MERCH", "PRODUCT": "A_REVISE_COLOR", "MARKET": "A_WATCH"}
+GROUP_ACTIONS = {"FIT": "A_REVISE_FIT", "PRODUCT": "A_REVISE_FABRIC", "PRICE": "A_REPRICE", "SUPPLY": "A_REORDER", "CHANNEL": "A_RE_MERCH", "MARKET": "A_WATCH"}
 #: Fixed: the chance of being right that a stated confidence claims.
 CLAIMED = {"HIGH": 0.85, "MEDIUM": 0.65, "LOW": 0.50}
 
@@ -60,6 +60,13 @@ def summarize(feedback: DataFrame) -> DataFrame:
     return counts.join(verdict, "sku", "left").join(tags, "sku", "left")
 
 
+def action_of(tags: Column) -> Column:
+    """The action for the group that most tags name; of several the one named first; to watch where that is none of GROUP_ACTIONS."""
+    groups = F.transform(tags, group_of)
+    counted = F.transform(F.array_distinct(groups), lambda g: F.struct(F.size(F.filter(groups, lambda x: x == g)), -F.array_position(groups, g), g.alias("group")))
+    return F.coalesce(map_of(F.array_max(counted)["group"], GROUP_ACTIONS), F.lit("A_WATCH"))
+
+
 def diagnose(graded: DataFrame, summary: DataFrame) -> DataFrame:
     """The first rule that band and tags meet, whether feedback and grade agree, and what to do, with what priority."""
     rows = graded.join(summary, "sku", "left")
@@ -74,15 +81,10 @@ def diagnose(graded: DataFrame, summary: DataFrame) -> DataFrame:
     agreement = F.when(said.isNull(), "NO_FEEDBACK").when(said == "MIXED", "MIXED").when(F.coalesce(expected == said, F.lit(False)), "AGREE").otherwise("CONFLICT")
     rows = rows.withColumns({"rule": rule.cast("long"), "agreement": agreement})
     ruled, conflict, silent = F.col("rule").isNotNull(), F.col("agreement") == "CONFLICT", (F.col("agreement") == "NO_FEEDBACK") & band.isin("SLOW", "STAR")
-    counted = [(F.size(F.filter(tags, lambda t, g=g: group_of(t) == g)), g) for g in GROUP_ACTIONS]
-    most = F.greatest(*[n for n, _ in counted])
-    by_group = F.lit("A_WATCH")
-    for n, g in reversed(counted):
-        by_group = F.when((n == most) & (n > 0), GROUP_ACTIONS[g]).otherwise(by_group)
     return rows.withColumns(
         {
             "diagnosis": F.when(ruled, conclusion).when(conflict, "grade and feedback conflict").when(silent, "feedback is missing").when(band == "STAR", "star, agreed").when(band == "SLOW", "slow, agreed").otherwise("as expected"),
-            "action": F.when(ruled, action).when(conflict | silent, "A_WATCH").when(band == "STAR", "A_CARRYOVER").when(band == "SLOW", by_group).otherwise("A_WATCH"),
+            "action": F.when(ruled, action).when(conflict | silent, "A_WATCH").when(band == "STAR", "A_CARRYOVER").when(band == "SLOW", action_of(tags)).otherwise("A_WATCH"),
             "priority": F.when(ruled | conflict, "HIGH").when(silent | (band == "SLOW"), "MEDIUM").otherwise("LOW"),
         }
     )
@@ -117,15 +119,16 @@ def attribution(diagnosed: DataFrame, attributes: list[str], least: int = 4, top
 
 def coverage_gap(diagnosed: DataFrame, top: int = 50) -> DataFrame:
     """Best and worst rows without feedback, by impact: .6 of the stock's rank and .4 of the sales' among them."""
-    rows = diagnosed.where((F.col("agreement") == "NO_FEEDBACK") & F.col("perf_band").isin("STAR", "SLOW")).withColumn("_all", F.lit(1)).withColumn("_amount", F.bround("sales_amount", 0))
-    ranked = pct_rank(pct_rank(rows, ["_all"], "stock_in", "_a"), ["_all"], "_amount", "_b")
+    rows = diagnosed.where((F.col("agreement") == "NO_FEEDBACK") & F.col("perf_band").isin("STAR", "SLOW"))
+    rows = settled(rows.select("sku", "season", "perf_band", "stock_in", F.bround("sales_amount", 0).alias("_amount")))
+    ranked = pct_rank(pct_rank(rows, [], "stock_in", "_a"), [], "_amount", "_b")
     impact = F.bround(0.6 * F.col("_a") + 0.4 * F.col("_b"), 6)
     return ranked.select("sku", "season", "perf_band", "stock_in", impact.alias("impact")).orderBy(F.desc("impact"), "sku", "season").limit(top)
 
 
 def actual_verdict(outcomes: DataFrame, by: list[str], rate: str = "sell_through_rate") -> DataFrame:
     """STAR from the group's 70 % quantile, SLOW up to its 30 % quantile (which wins where both are equal), else OK."""
-    edges = outcomes.groupBy(*by).agg(F.percentile(rate, F.lit(0.7)).alias("_hi"), F.percentile(rate, F.lit(0.3)).alias("_lo"))
+    edges = quantiles(outcomes, by, rate, [0.3, 0.7]).select(*by, F.get("_edges", 0).alias("_lo"), F.get("_edges", 1).alias("_hi"))
     x = F.col(rate)
     return outcomes.join(edges, by).withColumn("actual", F.when(x <= F.col("_lo"), "SLOW").when(x >= F.col("_hi"), "STAR").otherwise("OK")).drop("_hi", "_lo")
 

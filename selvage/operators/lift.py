@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from selvage.functions.columns import all_matches, ratio, unpivoted
+from selvage.functions.columns import all_matches, quantiles, ratio, unpivoted
 
 
 def _cells(long: DataFrame, strata: list[str], keys: list[str], metric: str, totals: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def combo_lift(df: DataFrame, features: list[str], strata: list[str], metric: st
 def bestseller_shares(df: DataFrame, features: list[str], strata: list[str], metric: str = "sell_through_rate", high: float = 0.75, low: float = 0.25, least: int = 4) -> DataFrame:
     """Share of each feature value among the best and the worst quarter of its stratum, and their ratio."""
     rows = df.where(F.col(metric).isNotNull())
-    edges = rows.groupBy(*strata).agg(F.percentile(metric, F.lit(high)).alias("_hi"), F.percentile(metric, F.lit(low)).alias("_lo"))
+    edges = quantiles(rows, strata, metric, [low, high]).select(*strata, F.get("_edges", 0).alias("_lo"), F.get("_edges", 1).alias("_hi"))
     marked = rows.join(edges, strata).withColumn("_top", F.col(metric) >= F.col("_hi")).withColumn("_bottom", F.col(metric) <= F.col("_lo"))
     sums = marked.agg(F.count_if("_top").alias("t"), F.count_if("_bottom").alias("b")).first()  # two numbers
     long = unpivoted(marked.select("_top", "_bottom", *features), ["_top", "_bottom"], features, "feature", "value").where("value is not null")
@@ -136,6 +136,11 @@ def bootstrap_lift(df: DataFrame, rules: list[tuple[str, str]], part: list[str],
     return counted.groupBy("motif").applyInPandas(work, "motif string, n long, lift_points double, low double, high double")
 
 
+def evidence_of(n: Column) -> Column:
+    """How far a group of n rows can be relied on."""
+    return F.when(n >= 30, "enough").when(n >= 12, "weak").otherwise("very weak")
+
+
 def candidate_features(df: DataFrame, leave_out: list[str], least: int = 2, most: int = 40, filled: float = 0.05) -> list[str]:
     """Text columns with `least` to `most` distinct values that are filled in at least that share of the rows. One row of counts decides."""
     names = [f.name for f in df.schema if f.dataType.simpleString() == "string" and f.name not in leave_out and not f.name.endswith(("_path", "_conf", "_id"))]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from selvage.functions.columns import pct_rank
+from selvage.functions.columns import pct_rank, settled
 
 #: Fixed: selling waves (code, first week, last week) and the shares of a year's styles by category used without a mix.
 WAVES = [("SS-EARLY", 1, 6), ("SS-MAIN", 7, 18), ("SS-LATE", 19, 26), ("AW-EARLY", 27, 35), ("AW-MAIN", 36, 45), ("AW-LATE", 46, 52)]
@@ -13,10 +13,10 @@ WAVES = [("SS-EARLY", 1, 6), ("SS-MAIN", 7, 18), ("SS-LATE", 19, 26), ("AW-EARLY
 
 def carryover_candidates(graded: DataFrame, top: int = 60) -> DataFrame:
     """Best row of each style by .5 rank(rate) + .3 rank(price kept) - .2 rank(discount), the `top` of them."""
-    rows = graded.where(F.col("perf_band").isin("STAR", "CORE")).withColumn("_all", F.lit(1))
-    rows = rows.withColumns({"_r": F.bround("sell_through_rate", 6), "_p": F.bround("avg_selling_price", 2), "_d": F.bround("discount_depth", 4)})
+    rows = graded.where(F.col("perf_band").isin("STAR", "CORE")).select("sku", "season", "category", "sell_through_rate", "avg_selling_price", "discount_depth")
+    rows = settled(rows).withColumns({"_r": F.bround("sell_through_rate", 6), "_p": F.bround("avg_selling_price", 2), "_d": F.bround("discount_depth", 4)})
     for c in ("_r", "_p", "_d"):
-        rows = pct_rank(rows, ["_all"], c, f"{c}k")
+        rows = pct_rank(rows, [], c, f"{c}k")
     score = F.bround(0.5 * F.coalesce("_rk", F.lit(0.0)) + 0.3 * F.coalesce("_pk", F.lit(0.0)) - 0.2 * F.coalesce("_dk", F.lit(0.0)), 6)
     best = rows.withColumn("score", score).groupBy("sku").agg(F.max_by(F.struct("season", "category", "score"), F.struct("score", -F.col("season"))).alias("b"))
     return best.select("sku", "b.*").orderBy(F.desc("score"), "sku").limit(top)

@@ -44,12 +44,19 @@ def similarities(queries: DataFrame, vectors: DataFrame, unit: bool = False) ->
 
 
 def top_k(pairs: DataFrame, k: int, narrow: Column | None = None, least: int = 5) -> DataFrame:
-    """The k most similar of each query; narrowed only where `least` candidates are left."""
-    if narrow is not None:
-        fits = Window.partitionBy("query")
-        pairs = pairs.withColumn("_fits", narrow).withColumn("_n", F.count_if("_fits").over(fits)).where(F.col("_fits") | (F.col("_n") < least)).drop("_fits", "_n")
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
-    return pairs.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
+    """The k most similar of each query; narrowed only where `least` candidates are left.
+
+    Each task keeps its own best of a query before rows are shuffled, as the rank has a limit."""
+
+    def best(rows: DataFrame, most: int) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
+        return rows.withColumn("_place", place).where(F.col("_place") <= most).withColumn("rank", F.col("_place").cast("long")).drop("_place")
+
+    if narrow is None:
+        return best(pairs, k)
+    fitting = best(pairs.where(narrow), max(k, least))
+    enough = fitting.groupBy("query").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("query")
+    return fitting.where(F.col("rank") <= k).join(enough, "query", "left_semi").unionByName(best(pairs, k).join(enough, "query", "left_anti"))
 
 
 def best_per_sku(pairs: DataFrame, sku: str = "sku") -> DataFrame:
@@ -66,9 +73,10 @@ def evaluate(truth: DataFrame, predictions: DataFrame, ks: tuple[int, ...] = (1,
 
 def confidence(pairs: DataFrame) -> DataFrame:
     """How far each query's best stands out: its z score against what the best of n would reach by chance, and its lead."""
-    out = pairs.groupBy("query").agg(
-        F.count("*").alias("n"), F.max("similarity").alias("top"), F.get(F.slice(F.sort_array(F.collect_list("similarity"), asc=False), 2, 1), 0).alias("second"), F.avg("similarity").alias("_mean"), F.stddev_pop("similarity").alias("_sd"),
-    )
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity")))
+    second = pairs.select("query", "similarity").withColumn("_place", place).where(F.col("_place") <= 2).where(F.col("_place") == 2).select("query", F.col("similarity").alias("second"))
+    out = pairs.groupBy("query").agg(F.count("*").alias("n"), F.max("similarity").alias("top"), F.avg("similarity").alias("_mean"), F.stddev_pop("similarity").alias("_sd"))
+    out = out.join(second, "query", "left")
     z = F.try_divide(F.col("top") - F.col("_mean"), F.col("_sd"))
     chance = F.sqrt(2 * F.log(F.greatest(F.col("n"), F.lit(2)).cast("double")))
     out = out.withColumns({"z": F.bround(z, 4), "by_chance": F.bround(chance, 4), "lead": F.bround(F.col("top") - F.col("second"), 6)})
@@ -118,9 +126,14 @@ def shortlist(ranked: DataFrame, n: int, score: str = "score", key: str = "sku")
     return ranked.where(F.col(score) >= edge) if edge is not None else ranked.where("false")
 
 
-def cascade(items: DataFrame, terms: dict[str, float], query: list[float], n: int = 40, top: int = 15, key: str = "sku") -> DataFrame:
-    """Items found by words first and by their vector among those: the shortlist by terms (with ties), then the nearest to the query's vector; whether the best stands out."""
-    listed = shortlist(idf_scores(items, terms), n)
+def cascade(items: DataFrame, terms: dict[str, float], query: list[float], n: int = 40, top: int = 15, key: str = "sku", narrow: Column | None = None, apart: Column | None = None, most_apart: float | None = None) -> DataFrame:
+    """Items found by words first and by their vector among those: the shortlist by terms (with ties), then the nearest to the query's vector; whether the best stands out.
+
+    narrow: items to look among (a season, a category). apart: how far an item's colours or cells are from the query's;
+    of the items that words list, those that are `most_apart` or more away, or of unknown distance, go before vectors."""
+    listed = shortlist(idf_scores(items if narrow is None else items.where(narrow), terms), n)
+    if apart is not None:
+        listed = listed.where(apart < most_apart if most_apart is not None else apart.isNotNull())
     q = F.array(*[F.lit(float(x)) for x in query])
     near = listed.withColumn("similarity", F.bround(F.try_divide(dot(q, F.col("embedding")), norm(q) * norm(F.col("embedding"))), 6))
     near = near.select(key, "product_name", "score", "similarity").orderBy(F.desc("similarity"), key).limit(max(top, 1) + 1)  # the last only for the first's lead

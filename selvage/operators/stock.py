@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from selvage.functions.columns import ratio
+from selvage.functions.columns import narrow_forms, ratio
 
 
 def gap(df: DataFrame, book: str = "stock_on_hand", floor: str = "stock_on_hand_alt", base: str = "stock_in", units: float = 2, share: float = 0.02) -> DataFrame:
@@ -32,6 +32,12 @@ def worth_counting(gaps: DataFrame, keys: list[str], top: int = 30) -> DataFrame
     return gaps.where(~F.col("agrees")).orderBy(F.desc(F.abs("gap")), *keys).limit(top)
 
 
+def design_family_key(name: Column, price: Column) -> Column:
+    """Name (plain forms, without white space) and list price: what skus of one design have in common. Null without a name."""
+    plain = F.regexp_replace(narrow_forms(name), r"\s+", "")
+    return F.when(plain != "", F.concat_ws("|", plain, F.coalesce(price.cast("string"), F.lit(""))))
+
+
 def reissue_families(graded: DataFrame, family: list[str], least: float = 10) -> DataFrame:
     """Designs sold as two skus or more, in two seasons or more: best and worst, their spread, and a verdict."""
     rows = graded.where((F.col("stock_in") >= least) & F.col("sell_through_rate").isNotNull())

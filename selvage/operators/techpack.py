@@ -103,11 +103,13 @@ def code_notations(cells: DataFrame, patterns: dict[str, str], samples: int = 12
     return parts.groupBy("notation").agg(F.count("*").alias("n"), F.countDistinct("file").alias("n_files")).join(shown, "notation")
 
 
-def best_code_column(df: DataFrame, parse, first: int = 300, least: int = 3) -> str | None:
-    """The column with the most values that parse as codes among the first rows, if there are `least`."""
-    hits = df.limit(first).agg(*[F.count(parse(F.col(f"`{c}`").cast("string"))).alias(f"c{n}") for n, c in enumerate(df.columns)]).first()
-    n = max(range(len(df.columns)), key=lambda i: (hits[i], -i), default=None)
-    return df.columns[n] if n is not None and hits[n] >= least else None
+def best_code_column(df: DataFrame, parse, least: int = 3) -> str | None:
+    """The column with the most values that parse as codes, if there are `least`; of several the first."""
+    if not df.columns:
+        return None
+    hits = df.agg(*[F.count(parse(F.col(f"`{c}`").cast("string"))).alias(f"c{n}") for n, c in enumerate(df.columns)]).first()
+    n = max(range(len(df.columns)), key=lambda i: (hits[i], -i))
+    return df.columns[n] if hits[n] >= least else None
 
 
 def attach_colours(items: DataFrame, codes: DataFrame, sku: str = "sku") -> DataFrame:

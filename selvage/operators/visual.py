@@ -25,10 +25,29 @@ def signature_distance(a: Column, b: Column, cells: int, spreads: int, weight: f
 
 def nearest_signatures(windows: DataFrame, library: DataFrame, cells: int, spreads: int, top: int = 10) -> DataFrame:
     """windows: query, window, q (a stated set); library: id, signature. The nearest of each query by its best window."""
-    pairs = against_all(windows, library, F.lit(True)).select("query", "id", "window", F.bround(signature_distance(F.col("q"), F.col("signature"), cells, spreads), 5).alias("distance"))
-    best = pairs.where("distance is not null").groupBy("query", "id").agg(F.min("distance").alias("distance"), F.min_by("window", F.struct("distance", "window")).alias("window"))
+    # a query's windows, which are few, meet a row of the library together, so pairs aren't grouped again
+    queries = windows.groupBy("query").agg(F.collect_list(F.struct("window", "q")).alias("_windows"))
+    apart = F.transform("_windows", lambda w: F.struct(F.bround(signature_distance(w["q"], F.col("signature"), cells, spreads), 5).alias("distance"), w["window"].alias("window")))
+    nearest = F.array_min(F.filter(apart, lambda x: x["distance"].isNotNull()))
+    best = against_all(queries, library, F.lit(True)).select("query", "id", nearest.alias("_b")).where("_b is not null").select("query", "id", "_b.distance", "_b.window")
     place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
-    return best.withColumn("place", place.cast("long")).where(F.col("place") <= top)
+    return best.withColumn("_place", place).where(F.col("_place") <= top).withColumn("place", F.col("_place").cast("long")).drop("_place")
+
+
+def compare_cells(a: Column, b: Column) -> Column:
+    """Two pictures' cells (arrays of structs cell, code, pattern) side by side: how many both have, how many agree in colour and in pattern, the shares, and the cells one by one."""
+    other = F.map_from_entries(F.transform(b, lambda y: F.struct(y["cell"], y)))
+    both = F.filter(F.transform(a, lambda x: F.struct(x["cell"].alias("cell"), x.alias("a"), F.try_element_at(other, x["cell"]).alias("b"))), lambda z: z["b"].isNotNull())
+    rows = F.transform(
+        both,
+        lambda z: F.struct(
+            z["cell"].alias("cell"), z["a"]["code"].alias("code_a"), z["b"]["code"].alias("code_b"), F.coalesce(z["a"]["code"] == z["b"]["code"], F.lit(False)).alias("same_colour"),
+            z["a"]["pattern"].alias("pattern_a"), z["b"]["pattern"].alias("pattern_b"), z["a"]["pattern"].eqNullSafe(z["b"]["pattern"]).alias("same_pattern"),
+        ),
+    )
+    n, colour, pattern = F.size(rows), F.size(F.filter(rows, lambda r: r["same_colour"])), F.size(F.filter(rows, lambda r: r["same_pattern"]))
+    share = lambda k: F.bround(F.coalesce(F.try_divide(k, n), F.lit(0.0)), 3)
+    return F.struct(n.alias("n_cells"), colour.alias("n_colour"), pattern.alias("n_pattern"), share(colour).alias("colour_share"), share(pattern).alias("pattern_share"), rows.alias("cells"))
 
 
 def dominant(ranked: DataFrame, times: float = 4.0, least: float = 25.0) -> DataFrame:

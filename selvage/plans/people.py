@@ -67,14 +67,13 @@ def feedback_issues(spark, sf_dir):
     return feedback.issues(feedback_rows(spark, sf_dir), TAGS[:-1]).select("event_id", "sku", "issues")
 
 
-BY_GROUP = "CASE greatest(nf, np, ns, nc, nr, nm) WHEN 0 THEN 'A_WATCH' WHEN nf THEN 'A_REVISE_FIT' WHEN np THEN 'A_REPRICE' WHEN ns THEN 'A_REORDER' WHEN nc THEN 'A_RE_MERCH' WHEN nr THEN 'A_REVISE_COLOR' ELSE 'A_WATCH' END"
+BY_GROUP = "CASE list_sort(list_transform(list_distinct(gl), lambda g: {'n': -len(list_filter(gl, lambda x: x = g)), 'p': list_position(gl, g), 'g': g}))[1].g WHEN 'FIT' THEN 'A_REVISE_FIT' WHEN 'PRODUCT' THEN 'A_REVISE_FABRIC' WHEN 'PRICE' THEN 'A_REPRICE' WHEN 'SUPPLY' THEN 'A_REORDER' WHEN 'CHANNEL' THEN 'A_RE_MERCH' ELSE 'A_WATCH' END"
 DIAGNOSED_SQL = GRADED_SQL + ", " + FEEDBACK_SQL + f""", g0 AS (SELECT graded.*, fb_n, fb_verdict, coalesce(fb_tags, []) AS t FROM graded LEFT JOIN summary USING (sku)),
   g1 AS (SELECT *, CASE WHEN perf_band = 'SLOW' AND list_has_any(t, ['S_OOS_HOT','S_SIZE_BROKEN','S_LATE']) THEN 1 WHEN perf_band = 'SLOW' AND list_has_any(t, ['F_TOO_TIGHT','F_TOO_LOOSE','F_SHOULDER','F_WAIST_POS','F_BODY_LEN','F_NECK_OPEN','F_RISE']) THEN 2
       WHEN perf_band = 'SLOW' AND list_has_any(t, ['PR_TOO_HIGH','PR_COMPETITOR','PR_LOOK_CHEAP','PR_DISCOUNT_ONLY']) THEN 3 WHEN perf_band = 'SLOW' AND list_has_any(t, ['C_DISPLAY_BAD','C_STAFF_NOPUSH','C_EC_PHOTO','C_STORE_MISMATCH']) THEN 4
       WHEN perf_band = 'STAR' AND list_has_any(t, ['PR_DISCOUNT_ONLY']) THEN 5 WHEN perf_band = 'STAR' AND list_has_any(t, ['S_QC']) THEN 6 END AS rule,
     CASE WHEN fb_verdict IS NULL THEN 'NO_FEEDBACK' WHEN fb_verdict = 'MIXED' THEN 'MIXED' WHEN fb_verdict = CASE WHEN perf_band = 'STAR' THEN 'STAR' WHEN perf_band IN ('CORE', 'STEADY') THEN 'OK' WHEN perf_band = 'SLOW' THEN 'SLOW' END THEN 'AGREE' ELSE 'CONFLICT' END AS agreement,
-    len(list_filter(t, lambda x: starts_with(x, 'F_'))) AS nf, len(list_filter(t, lambda x: starts_with(x, 'PR_'))) AS np, len(list_filter(t, lambda x: starts_with(x, 'S_'))) AS ns, len(list_filter(t, lambda x: starts_with(x, 'C_'))) AS nc,
-    len(list_filter(t, lambda x: starts_with(x, 'P_'))) AS nr, len(list_filter(t, lambda x: starts_with(x, 'M_'))) AS nm FROM g0),
+    list_transform(t, lambda x: CASE regexp_extract(x, '^([A-Z]+)_', 1) WHEN 'P' THEN 'PRODUCT' WHEN 'F' THEN 'FIT' WHEN 'PR' THEN 'PRICE' WHEN 'S' THEN 'SUPPLY' WHEN 'C' THEN 'CHANNEL' WHEN 'M' THEN 'MARKET' ELSE 'OTHER' END) AS gl FROM g0),
   diagnosed AS (SELECT *, agreement = 'NO_FEEDBACK' AND perf_band IN ('SLOW', 'STAR') AS silent,
     CASE WHEN rule IS NOT NULL THEN (['not slow: a supply problem', 'slow: revise the fit', 'slow: review cost and price', 'not slow: it wasn''t seen', 'star by discount only: check the margin', 'star at risk: settle quality first'])[rule]
       WHEN agreement = 'CONFLICT' THEN 'grade and feedback conflict' WHEN agreement = 'NO_FEEDBACK' AND perf_band IN ('SLOW', 'STAR') THEN 'feedback is missing' WHEN perf_band = 'STAR' THEN 'star, agreed' WHEN perf_band = 'SLOW' THEN 'slow, agreed' ELSE 'as expected' END AS diagnosis,

@@ -1,6 +1,8 @@
 """Operators on small tables: rules, quirks and invariants."""
 
 import datetime
+import io
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,10 +135,12 @@ def test_master_joins_keep_rows(spark):
 
 
 def test_sheets_of_unknown_headers(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("貨號,品名,累進,銷量,定價,日期,其他\nKA1583008,熊棉T,\"1,200\",30,\"1,234元\",20260415,x\n合計,,9999,,,,\n,,1,,,,\nKA1365106,格紋上衣,10,68%,50,2026/4/20,y\nbad,帽子,1,1,1,,\n", encoding="utf-8")
+    (tmp_path / "a.csv").write_text("貨號,品名,累進,銷貨數量,定價,出貨日,其他\nKA1583008,熊棉T,\"1,200\",30,\"1,234元\",20260415,x\n合計,,9999,,,,\n,,1,,,,\nKA1365106,格紋上衣,10,68%,50,2026/4/20,y\nbad,帽子,1,1,1,,\n", encoding="utf-8")
     (tmp_path / "b.csv").write_text("foo,bar\n1,2\n", encoding="utf-8")
     lines, audit = pos.load_sales(spark, [str(tmp_path / f) for f in ("a.csv", "b.csv", "none.csv")])
-    assert [r["status"] for r in audit.collect()] == ["OK", "SKIPPED", "ERROR"]
+    told = {r["source_file"].rsplit("/", 1)[-1]: r for r in audit.collect()}
+    assert {f: r["status"] for f, r in told.items()} == {"a.csv": "OK", "b.csv": "SKIPPED", "none.csv": "ERROR"}
+    assert told["a.csv"]["n_rows"] == 5 and told["a.csv"]["unmapped"] == "其他" and "ship_date<-出貨日" in told["a.csv"]["mapped"]
     got = {r["sku"]: r for r in lines.collect()}
     assert set(got) == {"KA1583008", "KA1365106"}
     assert got["KA1583008"]["stock_in"] == 1200 and got["KA1583008"]["list_price"] == 1234 and got["KA1583008"]["category"] == "TOP" and got["KA1583008"]["season"] == "KA158"
@@ -145,6 +149,63 @@ def test_sheets_of_unknown_headers(spark, tmp_path):
     assert [tuple(r["p"]) for r in part] == [(2026, "SS", 2), (2024, "AW", 4)]
 
 
+def book(sheets):
+    """A workbook's bytes: shared strings for text, plain numbers else."""
+    words, parts = [], []
+    for rows in sheets.values():
+        lines = []
+        for r, row in enumerate(rows, 1):
+            cells = []
+            for c, v in enumerate(row):
+                if v is None:
+                    continue
+                at = f"{chr(65 + c)}{r}"
+                if isinstance(v, str):
+                    words.append(v)
+                    cells.append(f'<c r="{at}" t="s"><v>{len(words) - 1}</v></c>')
+                else:
+                    cells.append(f'<c r="{at}"><v>{v}</v></c>')
+            lines.append(f'<row r="{r}">{"".join(cells)}</row>')
+        parts.append("".join(lines))
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://x"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si><r><t>{w[:1]}</t></r><r><t>{w[1:]}</t></r><rPh><t>x</t></rPh></si>" for w in words) + "</sst>")
+        for i, p in enumerate(parts, 1):
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {ns}><sheetData>{p}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def test_sheets_in_folders(spark, tmp_path):
+    """The headers of the reports: 總銷 is sales and 銷量 another measure, 總存 is stock and 庫存 another; 款號 is the style."""
+    head = ["貨號", "款號", "品名", "累進", "總銷", "銷量", "總存", "庫存", "銷貨額", "銷售率", "平均售價", "入庫日", "出貨日", "設計師"]
+    rows = [["KA1583008", "S1", "熊 棉Ｔ", 100, 60, 55, 40, 38, 60000, "60%", 1000, 20260401, 20260415, "L"], ["合計", None, None, 9999], ["KA1583009", None, "帽T", 10, 1, 2, 9, 8, None, 0.1, None, None, None, None]]
+    for folder in ("KA136", "KA158"):
+        (tmp_path / folder).mkdir()
+    (tmp_path / "KA158" / "stock.xlsx").write_bytes(book({"one": [head, *rows], "two": [["foo"], ["x"]], "empty": []}))
+    (tmp_path / "KA136" / "2024 aw sales.csv").write_text("\ufeff貨號,總銷\nKA1360001,3\n", encoding="utf-8")
+    (tmp_path / "other.csv").write_text("總銷,品號\n4,KA1360002\n", encoding="utf-8")
+    (tmp_path / "2024-春夏 a+b.csv").write_text("總銷,品號\n5,KA1360003\n", encoding="utf-8")
+    (tmp_path / "broken.xlsx").write_bytes(b"no workbook")
+    (tmp_path / "~$stock.xlsx").write_bytes(b"lock")
+    spark.createDataFrame([("KA1360004", 7.0)], "sku string, qty_sold double").coalesce(1).write.parquet(str(tmp_path / "pq"))
+    lines, audit = pos.load_sales(spark, [str(tmp_path)])
+    got = {r["sku"]: r for r in lines.collect()}
+    assert set(got) == {"KA1583008", "KA1583009", "KA1360001", "KA1360002", "KA1360003", "KA1360004"}
+    r = got["KA1583008"]
+    assert (r["sales_qty"], r["sales_qty_alt"], r["stock_on_hand"], r["stock_on_hand_alt"], r["stock_in"], r["sales_amount"]) == (60, 55, 40, 38, 100, 60000)
+    assert (r["sell_through_reported"], r["avg_selling_price"], r["style_code"], r["designer"], r["source_sheet"]) == (0.6, 1000, "S1", "L", "one")
+    assert r["first_sale_date"] == datetime.date(2026, 4, 1) and r["snapshot_date"] == datetime.date(2026, 4, 15) and r["design_family"] == "熊棉T|"
+    assert got["KA1583009"]["style_code"] == "KA1583009"
+    assert {s: got[s]["season"] for s in got} == {"KA1583008": "KA158", "KA1583009": "KA158", "KA1360001": "KA136", "KA1360002": "KA136", "KA1360003": "2024-春夏", "KA1360004": "KA136"}
+    assert [got[f"KA136000{n}"]["sales_qty"] for n in (1, 2, 3, 4)] == [3, 4, 5, 7]
+    told = {(r["source_file"].rsplit("/", 1)[-1], r["source_sheet"]): (r["status"], r["n_rows"]) for r in audit.collect()}
+    assert told[("stock.xlsx", "one")] == ("OK", 3) and told[("stock.xlsx", "two")] == ("SKIPPED", 0) and told[("broken.xlsx", "")] == ("ERROR", 0) and told[("other.csv", "")] == ("OK", 1)
+    assert not any("~$" in f for f, _ in told)
+
+
 def test_files_and_codes(spark, tmp_path):
     for name in ("KA158/KA1583008_front.jpg", "KA158/KA1583008_back.jpg", "KA136/KA1583009.jpg", "KA136/~$KA1583009.jpg"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
