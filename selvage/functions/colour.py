@@ -108,3 +108,18 @@ def nearest_codes(colours: DataFrame, palette: list[tuple[str, float, float, flo
     scored = F.transform(entries, lambda p: F.struct(F.bround(delta_e_2000(lab, (p["x"], p["y"], p["z"])), 4).alias("delta_e"), p["code"].alias("code")))
     out = colours.select(key, F.posexplode(F.slice(F.array_sort(scored), 1, top)).alias("place", "m"))
     return out.select(key, (F.col("place") + 1).cast("long").alias("place"), "m.code", "m.delta_e", delta_verdict(F.col("m.delta_e")).alias("verdict"))
+
+
+def tone_of(lightness: Column, a: Column, b: Column) -> Column:
+    """How light and how strong a colour is."""
+    strong = chroma(a, b)
+    light = F.when(lightness >= 80, "pale").when(lightness >= 60, "light").when(lightness >= 35, "middle").otherwise("dark")
+    return F.when(strong < 12, F.concat(light, F.lit(" neutral"))).when(strong < 35, F.concat(light, F.lit(" muted"))).otherwise(F.concat(light, F.lit(" vivid")))
+
+
+def palette_coverage(codes: DataFrame, names: list[str], values: list[str]) -> DataFrame:
+    """How far a table of codes is filled: codes, those with any of the names, those with all of the values, and the share of the named that have values."""
+    named = F.greatest(*[F.coalesce(F.col(c) != "", F.lit(False)) for c in names], F.lit(False))
+    filled = F.least(*[F.col(c).isNotNull() for c in values], F.lit(True))
+    out = codes.agg(F.count("*").alias("n"), F.count_if(named).alias("n_named"), F.count_if(filled).alias("n_filled"))
+    return out.withColumn("share", F.bround(F.col("n_filled") / F.greatest("n_named", F.lit(1)), 3))

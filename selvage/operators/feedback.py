@@ -101,6 +101,11 @@ def diagnosis_summary(diagnosed: DataFrame) -> DataFrame:
     )
 
 
+def top_actions(diagnosed: DataFrame, top: int = 5) -> DataFrame:
+    """The commonest actions."""
+    return diagnosed.groupBy("action").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "action").limit(top)
+
+
 def attribution(diagnosed: DataFrame, attributes: list[str], least: int = 4, top: int = 3, lift: float = 1.2, share: float = 0.05) -> DataFrame:
     """For each tag of `least` rows or more: the options that are more common among its rows than among all, by share."""
     pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("option")) for a in attributes]))

@@ -65,6 +65,11 @@ def flag_samples(lines: DataFrame, words: list[str], sample_stock: float = 2) ->
     return lines.withColumn("sample_reason", reason).withColumn("is_sample", reason.isNotNull()).withColumn("sample_parent_sku", F.when(by_name & (parent != ""), F.concat(F.lit("KA"), parent)))
 
 
+def sample_report(flagged: DataFrame) -> DataFrame:
+    """Samples by season and reason: how many, how many with a style behind them, and the stock they hold."""
+    return flagged.where("is_sample").groupBy("season", "sample_reason").agg(F.count("*").alias("n"), F.count("sample_parent_sku").alias("n_with_parent"), F.sum("stock_in").alias("stock_in"))
+
+
 def body_parts(df: DataFrame, parts: dict[str, tuple[str, str]], code: str = "category_code") -> DataFrame:
     """body_part and body_half by the last digit of the category's code."""
     from selvage.functions.columns import map_of

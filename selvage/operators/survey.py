@@ -28,7 +28,7 @@ def read_export(df: DataFrame, hints: dict[str, list[str]], file: str) -> DataFr
 
 def codes_of(value: Column, codes: dict[str, str]) -> Column:
     """Choices (between ; , 、 or |) as codes; unknown ones stay as they are."""
-    words = F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), r"[;,、|]"), F.trim), lambda w: w != "")
+    words = F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), r"[;,、|]"), lambda w: F.trim(w)), lambda w: w != "")
     return F.transform(words, lambda w: F.coalesce(map_of(w, codes), w))
 
 

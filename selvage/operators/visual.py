@@ -97,6 +97,20 @@ def label_agreement(rows: DataFrame, stated: str, measured: str, least: int = 20
     return out.withColumn("trusted", (F.col("n") >= least) & (F.col("accuracy") >= good) & (F.col("accuracy") >= F.col("baseline") + margin))
 
 
+def measured_lift(measured: DataFrame, master: DataFrame, attribute: str, stated: str, part: list[str], metric: str = "sell_through_rate", least: int = 6, **gate) -> DataFrame:
+    """Sales by a measured attribute (measured: sku, attribute), where the measure agrees with what names state (a column of master): mean of (metric - the part's baseline) in points of each value.
+
+    Where it agrees too seldom no lift is told, only counts."""
+    rows = master.join(measured.select("sku", attribute), "sku").where(F.col(metric).isNotNull())
+    trust = label_agreement(rows, stated, attribute, **gate).select("trusted", F.col("accuracy").alias("agreement"))
+    base = master.where(F.col(metric).isNotNull()).groupBy(*part).agg(F.avg(metric).alias("_base"))
+    known = rows.where(F.col(attribute).isNotNull()).join(base, part)
+    out = known.groupBy(F.col(attribute).alias("value")).agg(F.count("*").alias("n"), F.avg(F.col(metric) - F.col("_base")).alias("_lift"), F.avg(metric).alias("_mean")).where(F.col("n") >= least)
+    out = out.join(F.broadcast(trust))  # one row
+    told = lambda c, places: F.when(F.col("trusted"), F.bround(c, places))
+    return out.select("value", "n", "agreement", "trusted", told(F.col("_lift") * 100, 5).alias("lift_points"), told(F.col("_mean"), 6).alias("mean_rate"))
+
+
 def blocks(vectors: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
     """id, block, distance to its centre, and whether it is the block's representative. k: a fifteenth of the rows, from 4 to 40."""
     from pyspark.ml.clustering import KMeans

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +69,29 @@ def unmatched(items: DataFrame, images: DataFrame) -> DataFrame:
     out = rest.withColumns({"_k1": plain(F.col("sku")), "_k2": digits(F.col("sku"))}).join(strict, "_k1", "left").join(loose, "_k2", "left")
     reason = F.when(F.col("_1").isNotNull(), "spelling").when(F.col("_2").isNotNull(), "digits only").otherwise("no image")
     return out.select("sku", reason.alias("reason"))
+
+
+def hunt(listed: DataFrame, sku: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "webp", "bmp"), others: tuple[str, ...] = ("psd", "ai", "tif", "tiff", "heic", "gif")) -> DataFrame:
+    """Every file whose path holds the sku, or its seven digits, whatever signs are between; and why the rules would or wouldn't take it."""
+    plain = lambda c: F.regexp_replace(F.upper(c), r"[^A-Z0-9]", "")
+    wanted, digits = re.sub(r"[^A-Z0-9]", "", sku.upper()), re.search(r"\d{7}", sku)
+    full = plain(F.col("path"))
+    rows = listed.where(full.contains(wanted) | (full.contains(digits[0]) if digits else F.lit(False)))
+    extension = F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1))
+    taken, in_name, in_folder = extension.isin(*extensions), F.upper("name").contains(sku.upper()), F.upper(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).contains(sku.upper())
+    why = (
+        F.when(taken & F.col("name").contains(sku.upper()) & F.col("name").rlike(r"KA\d{7}"), "taken")
+        .when(~taken & extension.isin(*others), "picture of a format that isn't taken").when(~taken, "no picture").when(in_name, "spelling of the name").when(in_folder, "in the folder's name").otherwise("digits only")
+    )
+    return rows.select("path", "name", extension.alias("extension"), why.alias("why"))
+
+
+def name_diagnosis(listed: DataFrame, bare: float = 0.9, like_code: float = 0.8) -> DataFrame:
+    """Whether file names tell colours: files with a sku, the share with nothing after it, files whose ending looks like a two-digit code, files for each sku, and the finding."""
+    rows = listed.where(F.col("name").rlike(r"KA\d{7}")).select(F.regexp_extract("name", r"(KA\d{7})", 1).alias("sku"), F.regexp_extract("name", r"KA\d{7}([^.]*)", 1).alias("suffix"))
+    two = F.regexp_extract("suffix", r"(?:^|\D)(\d{2})(?:\D|$)", 1).try_cast("int")
+    kinds = rows.withColumn("pattern", F.regexp_replace("suffix", r"\d", "#")).groupBy("pattern").agg(F.count("*").alias("n"), F.avg(F.coalesce(two.between(10, 92), F.lit(False)).cast("double")).alias("share"))
+    found = kinds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"), F.coalesce(F.sum(F.when(F.col("pattern") == "", F.col("n"))), F.lit(0)).alias("n_bare"), F.coalesce(F.sum(F.when(F.col("share") >= like_code, F.col("n"))), F.lit(0)).alias("n_like_code"))
+    out = found.join(rows.agg(F.countDistinct("sku").alias("n_skus")))  # one row beside one row
+    finding = F.when(F.col("n_files") == 0, "no file has a sku").when(F.col("n_bare") >= bare * F.col("n_files"), "names end with the style").when(F.col("n_like_code") > 0, "some names end with a colour code").otherwise("names end with something else")
+    return out.select("n_files", "n_skus", "n_bare", "n_like_code", F.bround(F.try_divide("n_files", "n_skus"), 4).alias("files_per_sku"), finding.alias("finding"))
