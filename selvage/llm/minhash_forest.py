@@ -10,8 +10,8 @@ takes time by the square of a region's texts only where it holds more than one g
 
 Within a region the signatures estimate all likenesses; the surely alike are reduced to a spanning tree, and of the
 rest all pairs go on that are not surely below the threshold. Pairs are confirmed on full sets in rounds: first the
-best one of each text, then all that still join different groups; of a cut region's rest first the likeliest of each two
-groups, then all that still join different ones.
+best one of each text, then all that still join different groups. A cut region's blocks confirm their pairs where they
+meet, and tell only the links that join groups.
 
 Copies (equal sets) are one node from the start, so a group of copies never meets in one task.
 
@@ -192,41 +192,78 @@ def _with_hubs(stars: DataFrame, nodes: DataFrame, threshold: float, count: int)
     return _hub_pairs(met.select("_node", "_n", "_sig", "_hub", "_hub_n", "_hub_sig"), threshold, count)
 
 
-def _rest_pairs(cut: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float, count: int, block: int) -> DataFrame:
-    """All pairs of texts of one region (_h, _node) but of different groups (node, label) that aren't surely below the threshold.
+def _rest_links(cut: DataFrame, nodes: DataFrame, groups: DataFrame, rows: DataFrame, sets: DataFrame, threshold: float, count: int, block: int, words: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """a, b: groups (node, label) of which texts of one region (_h, _node) are linked; and tables to discard in the end.
 
-    A region of several groups is dealt, in order of the groups, to blocks of about `block` texts; each two blocks meet in one task, so no task's group is larger than about 2 * block."""
+    The texts of a region of several groups are dealt to blocks of about `block` texts: a group of half a block or more
+    has blocks of its own, the others share some by a hash. Each two blocks meet in one task, but for those of one group,
+    so a task holds about 2 * block texts. It compares all signatures, confirms the pairs that aren't surely below the
+    threshold on full sets, the likeliest first, and tells one link for each two groups that it joins."""
     least = threshold - 4.2 * (threshold * (1 - threshold) / count) ** 0.5
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        group, node, n = (frame[c].to_numpy() for c in ("_group", "_node", "_n"))
+        labels, group = np.unique(frame["_group"].to_numpy(), return_inverse=True)
+        n = frame["_n"].to_numpy()
         one, two = (np.flatnonzero((frame["_own"] == frame[c]).to_numpy()) for c in ("_i", "_j"))
-        if (group == group[0]).all():
-            return pd.DataFrame({"a": node[:0], "b": node[:0], "alike": np.zeros(0)})
-        sig = np.frombuffer(b"".join(frame["_sig"]), ">u4").reshape(-1, count).astype(np.uint32)
-        left, right = np.ascontiguousarray(sig[one].T), np.ascontiguousarray(sig[two].T)
-        same = np.zeros((len(one), len(two)), np.int16)
-        for x, y in zip(left, right):
-            same += x[:, None] == y
-        keep = (same >= least * count) & (group[one][:, None] != group[two])
-        keep &= np.minimum(n[one][:, None], n[two]) >= threshold * np.maximum(n[one][:, None], n[two])
-        p, q = np.nonzero(keep)
-        a, b = node[one[p]], node[two[q]]
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "alike": same[p, q] / count})
-
-    rows = written(cut.join(groups.withColumnRenamed("node", "_node"), "_node", "left").select("_h", "_node", F.coalesce("label", "_node").alias("_group")), "rest")
-    # the groups of a region lie side by side, in order of their labels; a text's place in its group comes from a hash
-    sizes = rows.groupBy("_h", "_group").agg(F.count("*").alias("_own_size"))
-    of_region = sizes.groupBy("_h").agg(F.sum("_own_size").alias("_size"), F.count("*").alias("_groups")).where("_groups > 1").select("_h", "_size")
-    before = F.sum("_own_size").over(Window.partitionBy("_h").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1))
-    places = written(sizes.join(of_region, "_h").withColumn("_before", F.coalesce(before, F.lit(0))), "places")
+        above, links = np.arange(len(labels)), []
+
+        def top(i: int) -> int:
+            while above[i] != i:
+                above[i] = above[above[i]]
+                i = above[i]
+            return i
+
+        if len(labels) > 1:
+            sig = np.frombuffer(b"".join(frame["_sig"]), ">u4").reshape(-1, count).astype(np.uint32)
+            left, right = np.ascontiguousarray(sig[one].T), np.ascontiguousarray(sig[two].T)
+            same = np.zeros((len(one), len(two)), np.int16)
+            for x, y in zip(left, right):
+                same += x[:, None] == y
+            keep = (same >= least * count) & (group[one][:, None] != group[two])
+            keep &= np.minimum(n[one][:, None], n[two]) >= threshold * np.maximum(n[one][:, None], n[two])
+            p, q = np.nonzero(keep)
+            order = np.argsort(-same[p, q], kind="stable")
+            p, q, texts, known = one[p[order]], two[q[order]], frame["_text"], {}
+
+            def shingles(i: int) -> np.ndarray:
+                if i not in known:
+                    known[i] = shingle_sets([texts.iat[i].encode("utf-8", "surrogatepass")], words)[0]
+                return known[i]
+
+            for i, j in zip(p.tolist(), q.tolist()):
+                x, y = top(group[i]), top(group[j])
+                if x != y:
+                    a, b = shingles(i), shingles(j)
+                    inner = len(np.intersect1d(a, b, assume_unique=True))
+                    if 100 * inner >= percent * (len(a) + len(b) - inner):
+                        above[max(x, y)] = min(x, y)
+                        links.append((int(labels[max(x, y)]), int(labels[min(x, y)])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    alone = F.lit(_NO_ID)
+    rest = written(cut.join(groups.withColumnRenamed("node", "_node"), "_node", "left").select("_h", "_node", F.coalesce("label", "_node").alias("_group")), "rest")
+    sizes = rest.groupBy("_h", "_group").agg(F.count("*").alias("_own_size"))
+    large = F.col("_own_size") * 2 >= block
+    of_region = sizes.groupBy("_h").agg(
+        F.count("*").alias("_groups"),
+        F.coalesce(F.sum(F.when(~large, F.col("_own_size"))), F.lit(0)).alias("_small"),
+        F.collect_list(F.when(large, F.struct(F.col("_group").alias("g"), F.ceil(F.col("_own_size") / block).alias("n")))).alias("_large"),  # at most two for each block of the region's texts
+    )
+    places = written(sizes.join(of_region.where("_groups > 1"), "_h"), "places")
     counts, total = places.select("_h", "_group", F.col("_own_size").alias("_n")), places.agg(F.sum("_own_size")).first()[0] or 0
-    rows = spread_join(rows, places, ["_h", "_group"], counts, total, ["_node"])
-    place = F.col("_before") + F.pmod(F.xxhash64("_node"), F.col("_own_size"))
-    rows = rows.withColumn("_own", F.floor(place / block)).join(nodes, "_node")
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_size") - 1) / block))))
-    rows = rows.select("_h", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_group", "_node", "_n", "_sig")
-    return rows.groupBy("_h", "_i", "_j").applyInPandas(work, "a long, b long, alike double")
+    asked = written(spread_join(rest, places, ["_h", "_group"], counts, total, ["_node"]).drop("_groups"), "asked")
+    texts = _texts_for(rows, asked.select(F.col("_node").alias("_id")).distinct(), sets)
+    used = [rest, places, asked, texts]
+    name = lambda g, k: F.concat_ws(":", g, k)
+    n_small = F.ceil(F.col("_small") / block)
+    own = F.when(large, name(F.col("_group"), F.floor(F.pmod(F.xxhash64("_node"), F.col("_own_size")) / block))).otherwise(name(alone, F.pmod(F.xxhash64("_group"), F.greatest(n_small, F.lit(1)))))
+    shared = F.when(n_small > 0, F.transform(F.sequence(F.lit(0).cast("long"), n_small - 1), lambda k: name(alone, k))).otherwise(F.array().cast("array<string>"))
+    # no block of a large group meets one of the same
+    others = F.filter("_large", lambda x: ~large | (x["g"] != F.col("_group")))
+    others = F.concat(shared, F.flatten(F.transform(others, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["n"] - 1), lambda k: name(x["g"], k)))))
+    met = asked.join(nodes, "_node").join(texts, "_node").withColumn("_own", own).withColumn("_other", F.explode(others))
+    met = met.select("_h", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_group", "_node", "_n", "_sig", "_text")
+    return written(met.groupBy("_h", "_i", "_j").applyInPandas(work, "a long, b long").distinct(), "links"), used
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -306,20 +343,17 @@ def _onward(groups: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(further.where("node <> label")), "groups")
 
 
-def _texts_of(rows: DataFrame, pairs: DataFrame, but: DataFrame | None = None) -> DataFrame:
-    """_node, _text of the pairs' texts that `but` hasn't. Their ids are sent to all tasks if they take less than 16 MB."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    if but is not None:
-        needed = needed.join(but.select(F.col("_node").alias("_id")), "_id", "left_anti")
-    needed = written(needed, "needed")
-    few = F.broadcast(needed) if needed.count() * 16 < 16 << 20 else needed
-    texts = rows.join(few, "_id", "left_semi").select(F.col("_id").alias("_node"), F.coalesce("_text", F.lit("")).alias("_text"))
+def _texts_for(rows: DataFrame, ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """_node, _text of the nodes among ids (_id). These are sent to all tasks if they take less than 16 MB."""
+    needed = written(ids.join(sets.select(F.col("_node").alias("_id"), "_r"), "_id"), "needed")
+    few = F.broadcast(needed) if needed.count() * 24 < 16 << 20 else needed
+    texts = rows.join(few, ["_id", "_r"], "left_semi").select(F.col("_id").alias("_node"), F.coalesce("_text", F.lit("")).alias("_text"))
     out = written(texts, "texts")
     discard(needed)
     return out
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, trees: int = 16, count: int = 128, region: int = 40, shallow: int = 2, block: int = 1000) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, trees: int = 16, count: int = 128, region: int = 40, shallow: int = 2, block: int = 500) -> DataFrame:
     """df with n_shingles, component_id (the smallest id reachable over links) and kept (whether that is the row's own id)."""
     threshold, out_of = percent / 100, ("n_shingles", "component_id", "kept")
     ident, text_hash = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), F.xxhash64(F.col(text))
@@ -328,10 +362,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
         signed = written(_signatures(rows, words, count), "signatures")
     # the set decides the number of shingles and the signature
     real = signed.where(F.col("_sig").isNotNull() & (F.col("_id") != _NO_ID))
-    sets = written(real.groupBy("_s1", "_s2").agg(F.min("_id").alias("_node"), F.first("n_shingles").alias("_n"), F.first("_sig").alias("_sig"), F.count("*").alias("_rows")), "sets")
+    sets = written(real.groupBy("_s1", "_s2").agg(F.min("_id").alias("_node"), F.first("n_shingles").alias("_n"), F.first("_sig").alias("_sig"), F.min_by("_r", F.struct("_id", "_r")).alias("_r"), F.count("*").alias("_rows")), "sets")
     nodes = sets.select("_node", "_n", "_sig")
     pairs, cut, levels = candidates(nodes, threshold, trees, count, region, shallow)
-    texts = _texts_of(rows, pairs)
+    texts = _texts_for(rows, pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), sets)
     used = [*levels, pairs, texts]
 
     def links_of(asked: DataFrame) -> DataFrame:
@@ -342,19 +376,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     groups = roots(links_of(best).select(F.col("a").alias("node"), F.col("b").alias("label")))
     groups = _onward(groups, links_of(_between(pairs, groups)))
     if cut is not None:
-        late = _rest_pairs(cut, nodes, groups, threshold, count, block).groupBy("a", "b").agg(F.max("alike").alias("alike"))
-        late = written(late.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")  # those were asked, and did not link
-        used.append(late)
-        if late.head(1):
-            used.append(_texts_of(rows, late, but=texts))
-            texts = texts.unionByName(used[-1])
-            # the likeliest pair of each two groups, then all that still lie between groups
-            of = _between(late, groups)
-            first = of.groupBy(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).agg(F.max_by(F.struct("a", "b"), F.struct("alike", "a", "b")).alias("_pair")).select("_pair.*", "ka", "kb")
-            first = written(first, "pairs")
-            used.append(first)
-            groups = _onward(groups, links_of(first))
-            groups = _onward(groups, links_of(_between(late.join(first.select("a", "b"), ["a", "b"], "left_anti"), groups)))
+        links, more = _rest_links(cut, nodes, groups, rows, sets, threshold, count, block, words, percent)
+        used += [links, *more]
+        groups = _onward(groups, links)
     component = F.coalesce("label", "_node")
     sets_labels = sets.select("_s1", "_s2", "_node").join(groups.withColumnRenamed("node", "_node"), "_node", "left").select("_s1", "_s2", component.alias("_component"))
 

@@ -99,6 +99,34 @@ def test_what_a_cut_parts_is_joined_by_any_pair(spark):
     assert {r["doc_id"]: r["component_id"] for r in out} == expected
 
 
+def test_no_link_is_lost_among_templates(spark):
+    """Hundreds of texts that share half of their words, so that every region is cut, among them pairs and chains just at the threshold: all groups are those of an exact comparison."""
+    random = np.random.default_rng(8)
+    base = [f"t{k}" for k in range(100)]
+    rows = []
+    for n in range(260):
+        own = list(base)
+        for k in range(0, 100, 9):
+            own[k] = f"r{n}x{k}"
+        rows.append(own)
+        for _ in range(int(random.integers(0, 2))):
+            near = list(own)
+            for k in random.choice(100, int(random.integers(1, 4)), replace=False):
+                near[k] = f"n{len(rows)}x{k}"
+            rows.append(near)
+    rows = [(int(i), " ".join(t)) for i, t in zip(random.permutation(len(rows)), rows)]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), region=8, block=60).collect()
+    expected = plain_components(rows)
+    assert len(set(expected.values())) > 200
+    assert {r["doc_id"]: r["component_id"] for r in out} == expected
+
+
+def test_one_id_of_several_texts(spark):
+    rows = [(1, text(1, 60)), (1, text(2, 60)), (5, text(2, 60, [3])), (6, text(3, 60)), (7, text(1, 60, [50]))]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), region=1).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["n_shingles"]) for r in out) == sorted((i, 6 if i == 6 else 1, len(shingles(t))) for i, t in rows)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(empty).collect() == []
