@@ -45,9 +45,16 @@ def attribute_association(spark, sf_dir):
     return _association(spark, sf_dir)
 
 
-@query("")
+#: The chi-square tail as 1 less the series of the lower incomplete gamma function.
+TAIL_SQL = "1 - coalesce(list_sum(list_transform(range(0, 400), lambda i: exp((dof / 2 + i) * ln(greatest(chi2, 1e-300) / 2) - chi2 / 2 - lgamma(dof / 2 + i + 1)))), 0)"
+
+
+@query(f"""WITH {ASSOCIATION_SQL}, tt AS (SELECT category, attribute, max(chi2) AS chi2, CAST(max(dof) AS DOUBLE) AS dof FROM association GROUP BY ALL), p AS (SELECT category, attribute, {TAIL_SQL} AS p FROM tt),
+  n AS (SELECT *, row_number() OVER (ORDER BY p, category, attribute) AS place, count(*) OVER () AS m FROM p), q AS (SELECT *, least(1, min(p * m / place) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM n)
+  SELECT category, attribute, option, n, lift, round_even(p, 7) AS p, round_even(q, 7) AS q, q < 0.05 AS significant FROM association a JOIN q USING (category, attribute)""".replace("option, n, lift", "option, a.n, lift"))
 def association_q_values(spark, sf_dir):
-    return association.with_q_values(_association(spark, sf_dir), ["category", "attribute"])
+    found = association.with_q_values(_association(spark, sf_dir), ["category", "attribute"])
+    return found.select("category", "attribute", "option", "n", "lift", F.bround("p", 7).alias("p"), F.bround("q", 7).alias("q"), "significant")
 
 
 @query(f"""WITH {ASSOCIATION_SQL}, tt AS (SELECT category, attribute, 1 / (1 + max(chi2)) AS p FROM association GROUP BY ALL),

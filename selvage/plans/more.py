@@ -9,7 +9,7 @@ from selvage.operators import merge, planning, visual
 
 from .adapter import GRADED_SQL, LINES_SQL, MASTER_SQL, master, read, sales_lines
 from .sales_reports import TERMS_SQL, graded, terms
-from .search import PALETTE, swatches, vectors
+from .search import NEAREST_SQL, PALETTE, PLACED_SQL, swatches, vectors
 
 QUERIES, ORACLES = {}, {}
 
@@ -104,12 +104,15 @@ def matched_colours(spark, sf_dir):
     return near.join(vectors(spark, sf_dir).select("id", "label"), "id").select(F.floor(F.col("id") / 5).alias("style"), declared.alias("declared"), F.col("code").alias("matched"), "delta_e")
 
 
-@query("")
+DECLARED_SQL = NEAREST_SQL + """, d AS (SELECT id // 5 AS style, (['10', '19', '20', '30', '40', '50', '60', '70', '80', '90'])[CAST(label AS INT) + 1] AS declared, code AS matched, delta_e FROM nearest JOIN (SELECT vec_id AS id, label FROM embeddings) USING (id) WHERE place = 1)"""
+
+
+@query(f"""WITH {DECLARED_SQL} SELECT count(*) AS n, round_even(avg(CASE WHEN declared = matched THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS exact, round_even(avg(CASE WHEN left(declared, 1) = left(matched, 1) THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS family, round_even(median(delta_e), 6) AS median_delta_e, round_even(quantile_cont(delta_e, 0.9), 6) AS p90_delta_e, count(DISTINCT (declared, matched)) AS n_pairs FROM d""")
 def colour_accuracy(spark, sf_dir):
     return visual.colour_accuracy(matched_colours(spark, sf_dir))
 
 
-@query("")
+@query(f"""WITH {DECLARED_SQL}, s AS (SELECT style, declared, median(delta_e) AS d, avg(CASE WHEN declared = matched THEN 1.0 ELSE 0.0 END::DOUBLE) AS a FROM d GROUP BY ALL) SELECT declared, count(*) AS n_styles, round_even(median(d), 6) AS delta_e, round_even(avg(a), 6) AS accuracy, count(*) >= 8 AS calibratable FROM s GROUP BY declared""")
 def colour_per_code(spark, sf_dir):
     return visual.per_code(matched_colours(spark, sf_dir))
 
@@ -209,7 +212,7 @@ def week_plan(spark, sf_dir):
     return planning.week_plan(graded(spark, sf_dir), _association(spark, sf_dir))
 
 
-@query("")
+@query(f"WITH {PLACED_SQL} SELECT placement, count(*) AS n FROM placed GROUP BY placement")
 def placement_counts(spark, sf_dir):
     from selvage.operators import names
 

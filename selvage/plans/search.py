@@ -153,7 +153,14 @@ def family_verdicts(spark, sf_dir):
     return names.family_verdict(graded(spark, sf_dir), ["product_name", "category"])
 
 
-@query("")
+#: For each place word its feature at most 2 characters off, the nearest and then the first; no word comes twice in these names.
+PLACED_SQL = """n AS (SELECT p_partkey AS sku, p_name AS t FROM part), pl AS (SELECT * FROM (VALUES (1, 'ring'), (2, 'box')) AS v(k, place)), ft AS (SELECT * FROM (VALUES ('hot'), ('red'), ('large')) AS v(feature)),
+  m AS (SELECT sku, t, k, place, instr(t, place) AS s, instr(t, place) + length(place) AS e FROM n, pl WHERE contains(t, place)),
+  f AS (SELECT sku, k, feature, greatest(instr(t, feature) - e, s - instr(t, feature) - length(feature), 0) AS gap, instr(t, feature) AS spot FROM m, ft WHERE contains(t, feature)),
+  b AS (SELECT sku, k, feature FROM f WHERE gap <= 2 QUALIFY row_number() OVER (PARTITION BY sku, k ORDER BY gap, spot, feature) = 1), placed AS (SELECT m.sku, m.k, place || ':' || coalesce(feature, '') AS placement FROM m LEFT JOIN b ON m.sku = b.sku AND m.k = b.k)"""
+
+
+@query(f"WITH {PLACED_SQL} SELECT n.sku, any_value(t) AS product_name, coalesce(string_agg(placement, ' ' ORDER BY k), '') AS placed FROM n LEFT JOIN placed ON n.sku = placed.sku GROUP BY n.sku")
 def placements(spark, sf_dir):
     items = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), F.col("p_name").alias("product_name"))
     return names.placements(items, ["ring", "box"], ["hot", "red", "large"]).withColumn("placed", F.array_join("placed", " "))
@@ -190,7 +197,19 @@ def colour_families(spark, sf_dir):
     return swatches(spark, sf_dir).groupBy(family.alias("family")).agg(F.count("*").alias("n"))
 
 
-@query("")
+HUE_SQL = "CASE WHEN {0} = 0 AND {1} = 0 THEN 0 WHEN degrees(atan2({1}, {0})) < 0 THEN degrees(atan2({1}, {0})) + 360 ELSE degrees(atan2({1}, {0})) END"
+PALETTE_ROWS = ", ".join(f"('{code}', {l}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE)" for code, l, a, b in PALETTE)
+#: CIEDE2000 of each swatch and code, step by step, and the codes by distance.
+NEAREST_SQL = SWATCH_SQL + f""", pal AS (SELECT * FROM (VALUES {PALETTE_ROWS}) AS t(code, l2, a2, b2)), e0 AS (SELECT id, code, l AS l1, lab.a AS a1, lab.b AS b1, l2, a2, b2, pow((sqrt(lab.a * lab.a + lab.b * lab.b) + sqrt(a2 * a2 + b2 * b2)) / 2, 7) AS c7 FROM lab, pal),
+  e1 AS (SELECT *, a1 * (1 + 0.5::DOUBLE * (1 - sqrt(c7 / (c7 + pow(25::DOUBLE, 7))))) AS p1, a2 * (1 + 0.5::DOUBLE * (1 - sqrt(c7 / (c7 + pow(25::DOUBLE, 7))))) AS p2 FROM e0),
+  e2 AS (SELECT *, sqrt(p1 * p1 + b1 * b1) AS c1, sqrt(p2 * p2 + b2 * b2) AS c2, {HUE_SQL.format("p1", "b1")} AS h1, {HUE_SQL.format("p2", "b2")} AS h2 FROM e1),
+  e3 AS (SELECT *, CASE WHEN c1 * c2 = 0 THEN 0 WHEN h2 - h1 > 180 THEN h2 - h1 - 360 WHEN h2 - h1 < -180 THEN h2 - h1 + 360 ELSE h2 - h1 END AS turn, CASE WHEN c1 * c2 = 0 THEN h1 + h2 WHEN abs(h2 - h1) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2 + 360) / 2 ELSE (h1 + h2 - 360) / 2 END AS h, (c1 + c2) / 2 AS c, pow((l1 + l2) / 2 - 50, 2) AS low FROM e2),
+  e4 AS (SELECT *, 1 - 0.17::DOUBLE * cos(radians(h - 30)) + 0.24::DOUBLE * cos(radians(2 * h)) + 0.32::DOUBLE * cos(radians(3 * h + 6)) - 0.20::DOUBLE * cos(radians(4 * h - 63)) AS t, -2 * sqrt(pow(c, 7) / (pow(c, 7) + pow(25::DOUBLE, 7))) * sin(radians(60 * exp(-pow((h - 275) / 25, 2)))) AS r FROM e3),
+  e5 AS (SELECT *, (l2 - l1) / (1 + 0.015::DOUBLE * low / sqrt(20 + low)) AS dl, (c2 - c1) / (1 + 0.045::DOUBLE * c) AS dc, 2 * sqrt(c1 * c2) * sin(radians(turn / 2)) / (1 + 0.015::DOUBLE * c * t) AS dh FROM e4),
+  near AS (SELECT id, code, round_even(sqrt(dl * dl + dc * dc + dh * dh + r * dc * dh), 4) AS delta_e FROM e5), nearest AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY delta_e, code) AS place FROM near)"""
+
+
+@query(f"""WITH {NEAREST_SQL} SELECT id, place, code, delta_e, CASE WHEN delta_e < 1 THEN 'same' WHEN delta_e < 2 THEN 'very close' WHEN delta_e < 3.5 THEN 'close' WHEN delta_e < 5 THEN 'visible' ELSE 'different' END AS verdict FROM nearest WHERE place <= 3""")
 def colour_codes(spark, sf_dir):
     lightness, a, b = colour.lab_of_hex(F.col("hex"))
     return colour.nearest_codes(swatches(spark, sf_dir).select("id", lightness.alias("L"), a.alias("a"), b.alias("b")), PALETTE, "id")
