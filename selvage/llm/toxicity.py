@@ -5,7 +5,9 @@ The kernel of two words is the normalized sum over their common subsequences of
 endings, stays close to what it came from. Landmarks are words of labelled sentences; the machine is linear in the
 landmarks' whitened kernel values (Nyström) and is trained as a multiple-instance machine: a toxic text's most toxic
 word is its witness, every word of a clean text is a negative, but for words that tell: those whose share of toxic
-texts is at least twice that of clean ones (less 1.645 standard errors), as labels may be wrong and clean texts quote.
+texts is at least twice that of clean ones (by the lower end of Wilson's interval of 80 %), as labels may be wrong and
+clean texts quote. Of texts of one class that have half of their five-word
+runs in common, one takes part.
 Witnesses that tell are positives, each by how far it leans to toxic texts; if none tells, all that lean there are. As the margin is linear in the kernel values, it folds
 into one weight for each subsequence, and a text's margin is that of its most toxic word, scaled to 0..1.
 
@@ -32,6 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shingles import chunks, minhashes, shingle_sets
+
 _UNIT = re.compile(r"[^ \t\r\n]+")
 _SPELLED = re.compile(r"(?:(?<![^\W_])[^\W\d_][^\w\n]{1,3}){2,}[^\W\d_](?![^\W_])")
 #: Fixed: digits and signs often written for letters.
@@ -133,6 +137,32 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 25
     return w
 
 
+def _lower(share: np.ndarray, n: np.ndarray, z: float = 1.28) -> np.ndarray:
+    """Lower bound of a share seen in n cases, by Wilson's interval: of few cases, none is sure."""
+    n = np.maximum(n, 1e-9)
+    return (share + z * z / (2 * n) - z * np.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def _apart(texts: list[str], least: float = 0.5, count: int = 16) -> np.ndarray:
+    """Whether each text is no copy of an earlier one: of those that share one of `count` minima with it, none has `least` of both's five-word runs in common with it."""
+    sets, sizes = [], []
+    for run in chunks([t.encode("utf-8", "surrogatepass") for t in texts]):
+        own, n = shingle_sets(run)
+        sets += np.split(own, np.cumsum(n)[:-1])
+        sizes += n.tolist()
+    minima = iter(minhashes(np.concatenate(sets) if sets else np.zeros(0, _U), np.array(sizes, np.int64), count).tolist())
+    taken: dict[tuple[int, int], list[int]] = {}
+    out = np.zeros(len(texts), bool)
+    for i, own in enumerate(sets):
+        keys = list(enumerate(next(minima))) if len(own) else [(-1, 0)]
+        near = {j for k in keys for j in taken.get(k, ())}
+        out[i] = not any((n := len(np.intersect1d(own, sets[j], assume_unique=True))) >= least * (len(own) + len(sets[j]) - n) for j in near)
+        if out[i]:
+            for k in keys:
+                taken.setdefault(k, []).append(i)
+    return out
+
+
 def fit(texts: list[str], toxic: list[int], landmarks: int = 256, negatives: int = 4000, rounds: int = 4, decay: float = 0.7, span: int = 6, seed: int = 7, tell: float = 2 / 3) -> Machine:
     """A machine from labelled texts."""
     y = np.array(toxic, np.int64)
@@ -146,6 +176,12 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 256, negatives: int
         words = sorted({w for u in units_of(text) if len(w := word_of(u)) >= 3})  # a set's order changes with each process
         bags.append(np.array(sorted(numbers.setdefault(w, len(numbers)) for w in words), np.int64))
     words = list(numbers)
+    # copies of a text say nothing new of its words
+    kept = np.zeros(len(bags), bool)
+    for side in (0, 1):
+        own = np.flatnonzero(y == side)
+        kept[own] = _apart([texts[i] or "" for i in own])
+    bags, y = [b for b, k in zip(bags, kept) if k], y[kept]
     flat = np.concatenate(bags) if bags else np.zeros(0, np.int64)
     label = np.repeat(y, [len(b) for b in bags])
     bad, good = np.bincount(flat[label == 1], minlength=len(words)), np.bincount(flat[label == 0], minlength=len(words))
@@ -153,7 +189,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 256, negatives: int
     margin, random = odds, np.random.default_rng(seed)
     in_bad, in_good = bad / y.sum(), good / (1 - y).sum()
     lean = in_bad / np.maximum(in_bad + in_good, 1e-300)  # 1: in toxic texts only
-    telling = lean - 1.645 * np.sqrt(lean * (1 - lean) / np.maximum(bad + good, 1)) >= tell
+    telling = _lower(lean, bad + good) >= tell
     clean = np.flatnonzero((good > 0) & ~telling)
     machine = None
     hard = clean[np.argsort(-odds[clean], kind="stable")[: negatives // 4]]

@@ -294,3 +294,74 @@ def test_toxicity_machine_is_the_same_in_each_process():
     root = str(Path(toxicity.__file__).resolve().parents[2])
     said = {subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": seed, "PYTHONPATH": root, "OMP_NUM_THREADS": "1"}, capture_output=True, text=True, check=True).stdout for seed in "123"}
     assert len(said) == 1
+
+
+def plain_subsequences(word, decay, span):
+    """Weight of each three characters that the marked word has in order, within `span` characters."""
+    marked, out = f"<{word}>", Counter()
+    for i in range(len(marked)):
+        for j in range(i + 1, len(marked)):
+            for k in range(j + 1, min(len(marked), i + span)):
+                out[marked[i] + marked[j] + marked[k]] += decay ** (k - i - 2)
+    return out
+
+
+def plain_kernel(a, b, decay, span):
+    x, y = plain_subsequences(a, decay, span), plain_subsequences(b, decay, span)
+    norm = lambda v: math.sqrt(sum(w * w for w in v.values()))
+    return sum(w * y[k] for k, w in x.items()) / max(norm(x) * norm(y), 1e-9)
+
+
+def test_kernel_equals_a_plain_one():
+    words, marks = ["idiot", "idxiot", "idiiot", "aaaa", "abc", "größe", "字字字", "xyz"], ["idiot", "aaa", "größen", "abcabc"]
+    # one text's keys may come several times in a word, so rows are summed by key before they are multiplied
+    vocabulary = np.unique(toxicity.subsequences([*words, *marks], 0.7, 6)[1])
+    rows, at_marks = (toxicity._kernel_rows(x, vocabulary, 0.7, 6).astype(float) for x in (words, marks))
+    rows, at_marks = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rows, at_marks))
+    assert rows @ at_marks.T == pytest.approx(np.array([[plain_kernel(a, b, 0.7, 6) for b in marks] for a in words]), abs=1e-5)
+    assert plain_kernel("idiot", "idxiot", 0.7, 6) > 2 * plain_kernel("idiot", "abcdef", 0.7, 6)
+
+
+def test_landmarks_span_the_kernel():
+    """With every word a landmark the whitened values give the kernel itself."""
+    words = [f"word{i}{chr(97 + i)}" for i in range(30)] + ["idiot", "moron"]
+    vocabulary = np.unique(toxicity.subsequences(words, 0.7, 6)[1])
+    rows = toxicity._kernel_rows(words, vocabulary, 0.7, 6).astype(np.float64)
+    kernel = rows @ rows.T
+    values, vectors = np.linalg.eigh(kernel)
+    use = values > 1e-6 * values.max()
+    features = kernel @ (vectors[:, use] / np.sqrt(values[use]))
+    assert features @ features.T == pytest.approx(kernel, abs=1e-4)
+
+
+def test_scores_equal_plain_sums(spark):
+    random = np.random.default_rng(5)
+    word = lambda: "".join(chr(97 + c) for c in random.integers(0, 26, 5))
+    texts = [" ".join([word() for _ in range(12)] + ["idiot"] * (n % 3 == 0)) for n in range(90)]
+    machine = toxicity.fit(texts, [int(n % 3 == 0) for n in range(90)], landmarks=32, negatives=100)
+    weights = dict(zip(machine.keys.tolist(), machine.weights.tolist()))
+    odd = [*texts[:6], "", None, "ab", "i d i o t here", "1d10t!", "idi.xot word", "字字字", "x" * 400]
+
+    def plain(text):
+        best = machine.offset
+        for unit in set(toxicity.units_of(text)):
+            w = toxicity.word_of(unit)
+            if len(w) >= 3:
+                own = plain_subsequences(w, machine.decay, machine.span)
+                terms = Counter()
+                for (_, key, weight) in zip(*toxicity.subsequences([w], machine.decay, machine.span)):
+                    terms[int(key)] += weight
+                squares = sum(float(x) ** 2 for x in toxicity.subsequences([w], machine.decay, machine.span)[2])
+                assert sum(terms.values()) == pytest.approx(sum(own.values()))
+                best = max(best, machine.offset + sum(weights.get(k, 0.0) * x for k, x in terms.items()) / math.sqrt(squares))
+        return 1 / (1 + math.exp(-max(-50, min(50, machine.slope * best + machine.shift))))
+
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(odd)], "n int, text string")
+    got = {r["n"]: r["toxicity"] for r in toxicity.score_toxicity(df, machine).collect()}
+    assert [got[n] for n in range(len(odd))] == pytest.approx([plain(t) for t in odd], abs=1e-9)
+    assert got[9] > 0.5 and got[10] > 0.5 and got[11] > 0.5 and got[7] < 0.5
+
+
+def test_copies_count_once():
+    base = " ".join(f"w{n}" for n in range(40))
+    assert toxicity._apart([base, base + " more", "other text of a few words here", "", "", base.replace("w3 ", "x "), "two words"]).tolist() == [True, False, True, True, False, False, True]
