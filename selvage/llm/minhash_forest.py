@@ -242,18 +242,20 @@ def _rest_links(cut: DataFrame, nodes: DataFrame, groups: DataFrame, rows: DataF
 
     alone = F.lit(_NO_ID)
     rest = written(cut.join(groups.withColumnRenamed("node", "_node"), "_node", "left").select("_h", "_node", F.coalesce("label", "_node").alias("_group")), "rest")
-    sizes = rest.groupBy("_h", "_group").agg(F.count("*").alias("_own_size"))
+    sizes = written(rest.groupBy("_h", "_group").agg(F.count("*").alias("_own_size")), "sizes")
     large = F.col("_own_size") * 2 >= block
     of_region = sizes.groupBy("_h").agg(
         F.count("*").alias("_groups"),
         F.coalesce(F.sum(F.when(~large, F.col("_own_size"))), F.lit(0)).alias("_small"),
         F.collect_list(F.when(large, F.struct(F.col("_group").alias("g"), F.ceil(F.col("_own_size") / block).alias("n")))).alias("_large"),  # at most two for each block of the region's texts
     )
-    places = written(sizes.join(of_region.where("_groups > 1"), "_h"), "places")
+    of_region = written(of_region.where("_groups > 1"), "regions")
+    parts = of_region.select("_h", F.col("_groups").alias("_n"))
+    places = written(spread_join(sizes, of_region, ["_h"], parts, parts.agg(F.sum("_n")).first()[0] or 0, ["_group"]), "places")
     counts, total = places.select("_h", "_group", F.col("_own_size").alias("_n")), places.agg(F.sum("_own_size")).first()[0] or 0
     asked = written(spread_join(rest, places, ["_h", "_group"], counts, total, ["_node"]).drop("_groups"), "asked")
     texts = _texts_for(rows, asked.select(F.col("_node").alias("_id")).distinct(), sets)
-    used = [rest, places, asked, texts]
+    used = [rest, sizes, of_region, places, asked, texts]
     name = lambda g, k: F.concat_ws(":", g, k)
     n_small = F.ceil(F.col("_small") / block)
     own = F.when(large, name(F.col("_group"), F.floor(F.pmod(F.xxhash64("_node"), F.col("_own_size")) / block))).otherwise(name(alone, F.pmod(F.xxhash64("_group"), F.greatest(n_small, F.lit(1)))))
