@@ -55,16 +55,17 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def spread_join(rows: DataFrame, other: DataFrame, on: list[str], counts: DataFrame, total: int, by: list[str], how: str = "inner", share: int = 1000, salts: int = 64) -> DataFrame:
+def spread_join(rows: DataFrame, other: DataFrame, on: list[str], counts: DataFrame, by: list[str], how: str = "inner", share: int = 1000, salts: int = 64) -> DataFrame:
     """rows joined with other (few rows a key) where one key may hold a large part of rows.
 
-    counts: `on` and _n, how many rows a key has (keys with few may be absent); total: how many rows there are. A key of
-    more than total / share rows, of which there can't be more than `share`, is dealt to `salts` tasks by a hash of the
-    columns `by`; the rows of `other` for such keys go to each of these tasks."""
+    counts: `on` and _n, how many rows a key has, or about so many (keys with few may be absent). A key of more than a
+    `share`th of their sum, of which there can't be more than `share`, is dealt to `salts` tasks by a hash of the columns
+    `by`; the rows of `other` for such keys go to each of these tasks."""
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()  # two numbers
+    if not total or most * share <= max(total, salts * share):
+        return rows.join(other, on, how)
     keys = counts.where(F.col("_n") * share > max(total, salts * share)).select(*on)
     found = keys.collect()  # fewer than `share`
-    if not found:
-        return rows.join(other, on, how)
     hot = F.broadcast(rows.sparkSession.createDataFrame(found, keys.schema).withColumn("_hot", F.lit(True)))
     dealt = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("_hot")
     places = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")

@@ -128,12 +128,11 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     met = met.unionByName(seen.where("_page is null").select("host", F.lit(None).cast("int").alias("bad"), "n_rows"))
     hosts = written(reputations(met, suffixes), "rates")
     counts = hosts.select("host", F.col("n_rows").alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0  # one number
     lower = F.greatest(F.col("rate") - bound * F.col("deviation"), F.lit(0.0))
     rates = hosts.select("host", F.col("n").alias("n_labelled"), F.col("bad").alias("n_bad"), F.col("rate").alias("bad_rate"), lower.alias("bad_lower"))
     put, back = aside(pages, out)
     judged = pages.select(*put, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     judged = judged.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    judged = spread_join(judged, rates, ["host"], counts, total, ["path", f"_u{pages.columns.index(page_id)}_"], "left")
+    judged = spread_join(judged, rates, ["host"], counts, ["path", f"_u{pages.columns.index(page_id)}_"], "left")
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("bad_lower") > limit, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select(*back, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "n_labelled", "n_bad", "bad_rate", "bad_lower")

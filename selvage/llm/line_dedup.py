@@ -122,7 +122,7 @@ def drop_shared_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text",
         runs.close()
     # a very common line's rows are dealt to many tasks
     counts = frequent.select(*_HASH, F.col("n_docs").alias("_n"))
-    gone = spread_join(lines.select("_d", "_r", "_pos", *_HASH), frequent.select(*_HASH, "holder"), _HASH, counts, lines.count(), ["_d", "_r", "_pos"]).where(F.col("_d") != F.col("holder"))
+    gone = spread_join(lines.select("_d", "_r", "_pos", *_HASH), frequent.select(*_HASH, "holder"), _HASH, counts, ["_d", "_r", "_pos"]).where(F.col("_d") != F.col("holder"))
     drops = gone.groupBy("_d", "_r").agg(F.collect_set("_pos").alias("_drop"))
     put, back = aside(df, ("n_lines", "n_dropped"))
     docs = df.select(*put, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_d"), F.xxhash64(text).alias("_r"))

@@ -159,8 +159,7 @@ def candidates(nodes: DataFrame, threshold: float, trees: int, count: int, regio
         prefix = F.xxhash64("_tree", round_sig.substr(1 + F.col("_tree") * (4 * step), F.lit(4 * depth)))
         keyed = active.select("_node", "_tree", prefix.alias("_h"))
         sizes = written(keyed.groupBy("_h").agg(F.count("*").alias("_size"), F.min("_node").alias("_hub")).where("_size > 1"), "sizes")
-        total = sizes.agg(F.sum("_size")).first()[0] or 0
-        met = spread_join(keyed, sizes, ["_h"], sizes.select("_h", F.col("_size").alias("_n")), total, ["_node"])
+        met = spread_join(keyed, sizes, ["_h"], sizes.select("_h", F.col("_size").alias("_n")), ["_node"])
         level = written(met.withColumn("_cut", (F.col("_size") > region) | F.lit(depth == count)), "forest")
         discard(sizes)
         levels.append(level)
@@ -178,17 +177,16 @@ def candidates(nodes: DataFrame, threshold: float, trees: int, count: int, regio
     return out, cut, levels
 
 
-def _tally(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """key and _n, how many rows a key has, and the number of rows. rows: a written table."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    return counts, rows.count()
+def _tally(rows: DataFrame, key: str) -> DataFrame:
+    """key and _n, how many rows a key has. rows: a written table."""
+    return rows.groupBy(key).agg(F.count("*").alias("_n"))
 
 
 def _with_hubs(stars: DataFrame, nodes: DataFrame, threshold: float, count: int) -> DataFrame:
     """The pairs of _node, _hub that may be linked."""
     stars = written(stars.where("_node <> _hub").distinct(), "stars")
     hubs = nodes.select(F.col("_node").alias("_hub"), F.col("_n").alias("_hub_n"), F.col("_sig").alias("_hub_sig"))
-    met = spread_join(stars.join(nodes, "_node"), hubs, ["_hub"], *_tally(stars, "_hub"), ["_node"])
+    met = spread_join(stars.join(nodes, "_node"), hubs, ["_hub"], _tally(stars, "_hub"), ["_node"])
     return _hub_pairs(met.select("_node", "_n", "_sig", "_hub", "_hub_n", "_hub_sig"), threshold, count)
 
 
@@ -250,10 +248,8 @@ def _rest_links(cut: DataFrame, nodes: DataFrame, groups: DataFrame, rows: DataF
         F.collect_list(F.when(large, F.struct(F.col("_group").alias("g"), F.ceil(F.col("_own_size") / block).alias("n")))).alias("_large"),  # at most two for each block of the region's texts
     )
     of_region = written(of_region.where("_groups > 1"), "regions")
-    parts = of_region.select("_h", F.col("_groups").alias("_n"))
-    places = written(spread_join(sizes, of_region, ["_h"], parts, parts.agg(F.sum("_n")).first()[0] or 0, ["_group"]), "places")
-    counts, total = places.select("_h", "_group", F.col("_own_size").alias("_n")), places.agg(F.sum("_own_size")).first()[0] or 0
-    asked = written(spread_join(rest, places, ["_h", "_group"], counts, total, ["_node"]).drop("_groups"), "asked")
+    places = written(spread_join(sizes, of_region, ["_h"], of_region.select("_h", F.col("_groups").alias("_n")), ["_group"]), "places")
+    asked = written(spread_join(rest, places, ["_h", "_group"], places.select("_h", "_group", F.col("_own_size").alias("_n")), ["_node"]).drop("_groups"), "asked")
     texts = _texts_for(rows, asked.select(F.col("_node").alias("_id")).distinct(), sets)
     used = [rest, sizes, of_region, places, asked, texts]
     name = lambda g, k: F.concat_ws(":", g, k)
@@ -290,8 +286,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     two = texts.select(F.col("_node").alias("b"), F.col("_text").alias("two"))
     # a text of many pairs is given to many tasks
     pairs = written(pairs.select("a", "b", "ka", "kb"), "asked")
-    met = spread_join(pairs, one, ["a"], *_tally(pairs, "a"), ["b"])
-    met = spread_join(met, two, ["b"], *_tally(pairs, "b"), ["a"])
+    met = spread_join(pairs, one, ["a"], _tally(pairs, "a"), ["b"])
+    met = spread_join(met, two, ["b"], _tally(pairs, "b"), ["a"])
     return met.select("ka", "kb", "one", "two").mapInArrow(work, "a long, b long")
 
 
@@ -300,7 +296,7 @@ def roots(parents: DataFrame) -> DataFrame:
     labels = parents
     while True:
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        met = spread_join(labels, jump, ["label"], *_tally(labels, "label"), ["node"], "left")
+        met = spread_join(labels, jump, ["label"], _tally(labels, "label"), ["node"], "left")
         new = written(met.select("node", F.coalesce("further", "label").alias("label"), F.col("further").isNotNull().alias("moved")), "labels")
         discard(labels)
         moved, labels = new.where("moved").head(1), new
@@ -314,12 +310,11 @@ def components(edges: DataFrame) -> DataFrame:
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
     ends = _tally(both, "b")
     while True:
-        near = spread_join(both, labels.withColumnRenamed("node", "b"), ["b"], *ends, ["a"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        own = written(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "own")
+        near = spread_join(both, labels.withColumnRenamed("node", "b"), ["b"], ends, ["a"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        own = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        met = spread_join(own, jump, ["label"], *_tally(own, "label"), ["node"], "left")
+        met = spread_join(own, jump, ["label"], _tally(labels, "label"), ["node"], "left")  # as large as the labels were a step before
         new = written(met.select("node", "old", F.least("label", "further").alias("label")), "labels")
-        discard(own)
         changed = new.where("old <> label").head(1)
         discard(labels)
         labels = new
@@ -341,7 +336,7 @@ def _onward(groups: DataFrame, links: DataFrame) -> DataFrame:
         return groups
     further = components(links)
     onward = further.select(F.col("node").alias("label"), F.col("label").alias("_further"))
-    moved = spread_join(groups, onward, ["label"], *_tally(groups, "label"), ["node"], "left").select("node", F.coalesce("_further", "label").alias("label"))
+    moved = spread_join(groups, onward, ["label"], _tally(groups, "label"), ["node"], "left").select("node", F.coalesce("_further", "label").alias("label"))
     return written(moved.unionByName(further.where("node <> label")), "groups")
 
 
@@ -387,7 +382,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     # each id and text once; copies of one text are many, and texts without shingles meet nobody
     once = written(signed.groupBy("_id", "_r").agg(F.first("n_shingles").alias("n_shingles"), F.first("_s1").alias("_s1"), F.first("_s2").alias("_s2"), F.count("*").alias("_rows")), "once")
     full = once.where("n_shingles > 0")
-    joined = spread_join(full, sets_labels, ["_s1", "_s2"], sets.select("_s1", "_s2", F.col("_rows").alias("_n")), sets.agg(F.sum("_rows")).first()[0] or 0, ["_id", "_r"], "left")
+    joined = spread_join(full, sets_labels, ["_s1", "_s2"], sets.select("_s1", "_s2", F.col("_rows").alias("_n")), ["_id", "_r"], "left")
     by_row = joined.select("_id", "_r", "n_shingles", "_component").unionByName(once.where("n_shingles = 0").select("_id", "_r", "n_shingles", F.lit(None).cast("long").alias("_component")))
     # rows of one id share the smallest component of its texts
     of_row = by_row.withColumn("component_id", F.min("_component").over(Window.partitionBy("_id", F.when(F.col("_id") == _NO_ID, F.col("_r"))))).select("_id", "_r", "n_shingles", "component_id")
@@ -397,6 +392,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     put, back = aside(df, out_of)
     # null texts have a hash too, so every row finds its own; rows without id and text may be many
     asked = df.select(*put, ident.alias("_id"), text_hash.alias("_r"))
-    out = spread_join(asked.withColumn("_at", F.monotonically_increasing_id()), of_row, ["_id", "_r"], once.select("_id", "_r", F.col("_rows").alias("_n")), once.agg(F.sum("_rows")).first()[0] or 0, ["_at"], "left")
+    out = spread_join(asked.withColumn("_at", F.monotonically_increasing_id()), of_row, ["_id", "_r"], once.select("_id", "_r", F.col("_rows").alias("_n")), ["_at"], "left")
     component = F.when(F.col("_id") != _NO_ID, F.coalesce("component_id", "_id"))
     return out.select(*back, "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("_id"), F.lit(True)).alias("kept"))
