@@ -360,8 +360,3 @@ def test_scores_equal_plain_sums(spark):
     got = {r["n"]: r["toxicity"] for r in toxicity.score_toxicity(df, machine).collect()}
     assert [got[n] for n in range(len(odd))] == pytest.approx([plain(t) for t in odd], abs=1e-9)
     assert got[9] > 0.5 and got[10] > 0.5 and got[11] > 0.5 and got[7] < 0.5
-
-
-def test_copies_count_once():
-    base = " ".join(f"w{n}" for n in range(40))
-    assert toxicity._apart([base, base + " more", "other text of a few words here", "", "", base.replace("w3 ", "x "), "two words"]).tolist() == [True, False, True, True, False, False, True]
