@@ -38,7 +38,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = _over(docs, line_dedup.drop_shared_lines, "n_dropped")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_n_dropped_") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
