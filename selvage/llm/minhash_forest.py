@@ -259,7 +259,10 @@ def _rest_links(cut: DataFrame, nodes: DataFrame, groups: DataFrame, rows: DataF
     # no block of a large group meets one of the same
     others = F.filter("_large", lambda x: ~large | (x["g"] != F.col("_group")))
     others = F.concat(shared, F.flatten(F.transform(others, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["n"] - 1), lambda k: name(x["g"], k)))))
-    met = asked.join(nodes, "_node").join(texts, "_node").withColumn("_own", own).withColumn("_other", F.explode(others))
+    # a text meets its signature and its words once, with all its regions, of which it has one at most in each tree
+    of_text = asked.groupBy("_node").agg(F.collect_list(F.struct("_h", "_group", "_own_size", "_small", "_large")).alias("_at"))
+    met = of_text.join(nodes, "_node").join(texts, "_node").withColumn("_at", F.explode("_at")).select("_node", "_n", "_sig", "_text", "_at.*")
+    met = met.withColumn("_own", own).withColumn("_other", F.explode(others))
     met = met.select("_h", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_group", "_node", "_n", "_sig", "_text")
     return written(met.groupBy("_h", "_i", "_j").applyInPandas(work, "a long, b long").distinct(), "links"), used
 
