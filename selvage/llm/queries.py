@@ -106,6 +106,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_shared_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op13_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster_vectors
+
+    found = cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=8, rounds=10, dims=64, scale=1024, seed="3:")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
 OP10_SQL = r"""
 WITH l AS (
   SELECT doc_id, i, arr[i] AS line FROM (SELECT doc_id, arr, unnest(range(1, len(arr) + 1)) AS i
@@ -133,6 +140,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_line_dedup": op10_line_dedup,
+    "op13_bisector_clusters": op13_bisector_clusters,
 }
 
 OP1_SQL = r"""
@@ -203,4 +211,29 @@ SELECT page_id, host, path, rule,
 FROM j
 """
 
-ORACLES = {"op1_minhash_forest": OP1_SQL, "op5_host_reputation": OP5_SQL, "op10_line_dedup": OP10_SQL}
+
+def _op13_sql(rounds: int = 10) -> str:
+    """All distances to all centroids, one step of the query for each round."""
+    nearest = """SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT v.r, m.c, sum(pow(v.x - m.x, 2)::HUGEINT) AS d FROM v JOIN m{n} m USING (i) GROUP BY ALL) GROUP BY r"""
+    steps = [f"""a{n} AS MATERIALIZED ({nearest.format(n=n)}
+), m{n + 1} AS MATERIALIZED (
+  SELECT m.c, m.i, coalesce(f.x, m.x) AS x FROM m{n} m LEFT JOIN (
+    SELECT a.c, v.i, floor(sum(v.x) / count(*))::BIGINT AS x FROM v JOIN a{n} a USING (r) GROUP BY ALL) f ON f.c = m.c AND f.i = m.i
+)""" for n in range(rounds)]
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id), z) AS r, z FROM (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS z FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)
+), v AS MATERIALIZED (SELECT r, unnest(z) AS x, unnest(range(64)) AS i FROM k
+), m0 AS MATERIALIZED (SELECT r - 1 AS c, i, x FROM v WHERE r <= 8
+), {", ".join(steps)}, z AS MATERIALIZED ({nearest.format(n=rounds)}
+), s AS (SELECT c, sum(d)::BIGINT AS own FROM z GROUP BY c
+), h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS digest FROM m{rounds} GROUP BY c)
+SELECT k.vec_id, z.c::INT AS cluster, z.d::BIGINT AS distance, s.own AS cluster_inertia, (SELECT sum(own) FROM s)::BIGINT AS inertia, h.digest AS centroid_sha256
+FROM k JOIN z USING (r) JOIN s ON s.c = z.c JOIN h ON h.c = z.c
+"""
+
+
+ORACLES = {"op1_minhash_forest": OP1_SQL, "op5_host_reputation": OP5_SQL, "op10_line_dedup": OP10_SQL, "op13_bisector_clusters": _op13_sql()}
