@@ -148,4 +148,3 @@ def cluster_vectors(df: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64,
     joined = assigned.join(F.broadcast(of_cluster), "cluster")  # k rows
     long = lambda c: F.col(c).try_cast("long")
     return joined.select(*[F.col(f"_u{n}_").alias(c) for n, c in enumerate(kept)], "cluster", long("_far").alias("distance"), long("_own").alias("cluster_inertia"), long("_all").alias("inertia"), "centroid")
-

@@ -106,6 +106,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_shared_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op12_transducer_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexicon import build_lexicon, encode
+
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("word_bpe_49k.json")
+    encoded = encode(docs, path, build_lexicon(docs, path))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op13_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .centroids import cluster_vectors
 
@@ -140,6 +149,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_line_dedup": op10_line_dedup,
+    "op12_transducer_lexicon": op12_transducer_lexicon,
     "op13_bisector_clusters": op13_bisector_clusters,
 }
 
