@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import table, written
 
 
 def _tokenizer(name: str) -> str:
@@ -106,6 +106,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_shared_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_span_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align, pair_counts, with_counts
+
+    aligned = align(table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    kept = written(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "pairs", "links"), "aligned")
+    return with_counts(kept, pair_counts(kept)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_transducer_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lexicon import build_lexicon, encode
 
@@ -149,6 +158,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_line_dedup": op10_line_dedup,
+    "op11_span_alignment": op11_span_alignment,
     "op12_transducer_lexicon": op12_transducer_lexicon,
     "op13_bisector_clusters": op13_bisector_clusters,
 }
