@@ -27,9 +27,9 @@ from __future__ import annotations
 
 import functools
 import re
-import struct
-from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -110,14 +110,14 @@ class Aligner:
         offset = np.concatenate([[0], np.cumsum(1 + (sizes > 0x7F) + (sizes > 0x7FF) + (sizes > 0xFFFF))])
         got = self.first.encode(text, add_special_tokens=False)
         a = np.array(got.ids, np.int64)
-        spans = np.array(got.offsets, np.int64).reshape(-1, 2)
+        spans = np.fromiter(chain.from_iterable(got.offsets), np.int64).reshape(-1, 2)
         clean = np.append(spans[1:, 0] >= spans[:-1, 1], True)
         a_ends = byte_ends(offset[spans[:, 0]], offset[spans[:, 1]], clean, self.first_length[a])
         if b"".join(map(self.first_bytes.__getitem__, a.tolist())) != raw:
             a_ends = None
         # the proto's spans are bytes of the text without its first space; those of the byte tokens of a character end with its last
-        proto = [(p.id, p.begin, p.end) for p in self.second.encode(text[1:], return_type="proto").pieces]
-        b, begin, end = np.array(proto, np.int64).reshape(-1, 3).T
+        proto = self.second.encode(text[1:], return_type="proto").pieces
+        b, begin, end = (np.fromiter(map(attrgetter(name), proto), np.int64, len(proto)) for name in ("id", "begin", "end"))
         clean = np.ones(len(b), bool)
         if len(b):
             empty = begin == end
@@ -145,8 +145,9 @@ class Aligner:
             half = len(group) // 2  # what doesn't fit is found by halving
             return self._aligned(group[:half]) + self._aligned(group[half:]) if half else [None]
         bounds = np.cumsum([2, *(len(u.encode()) for u in group)])
-        both = np.intersect1d(a_ends, b_ends)
-        if not np.isin(bounds, both).all():
+        near = np.minimum(np.searchsorted(b_ends, a_ends), len(b_ends) - 1)
+        both = a_ends[b_ends[near] == a_ends]  # the ends ascend, as no token is empty
+        if not np.array_equal(both[np.minimum(np.searchsorted(both, bounds), len(both) - 1)], bounds):
             raise ValueError("a token reaches over the end of a unit")
         # the groups of a unit are those that end after the unit before
         a_group, b_group = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
@@ -160,26 +161,34 @@ class Aligner:
         links = np.concatenate([[0], np.cumsum(np.diff(a_at) * np.diff(b_at))])
         cuts = group_at.tolist()
         numbers = np.stack([np.diff(x) for x in (a_at[group_at], b_at[group_at], group_at, links[group_at])], 1).astype("<i8").tobytes()
-        return [(numbers[32 * n : 32 * n + 32], ";".join(texts[first:last]), self._pairs(a, b, a_cut, b_cut, first, last)) for n, (first, last) in enumerate(zip(cuts, cuts[1:]))]
+        pairs, pair_cut = self._pairs(np.array(a), np.array(b), a_at, b_at, group_at)
+        return [(numbers[32 * n : 32 * n + 32], ";".join(texts[first:last]), pairs[16 * pair_cut[n] : 16 * pair_cut[n + 1]]) for n, (first, last) in enumerate(zip(cuts, cuts[1:]))]
 
     @staticmethod
-    def _pairs(a: list[int], b: list[int], a_cut: list[int], b_cut: list[int], first: int, last: int) -> bytes:
-        """Distinct pairs of the groups with their links. A group's ids are counted before they are paired, so a long group of few ids stays small."""
-        found: dict[int, int] = {}
-        for g in range(first, last):
-            own, other = a[a_cut[g] : a_cut[g + 1]], b[b_cut[g] : b_cut[g + 1]]
-            if len(own) * len(other) <= 64:
-                for x in own:
-                    for y in other:
-                        pair = x << 32 | y
-                        found[pair] = found.get(pair, 0) + 1
-                continue
-            others = Counter(other).items()
-            for x, m in Counter(own).items():
-                for y, n in others:
-                    pair = x << 32 | y
-                    found[pair] = found.get(pair, 0) + m * n
-        return struct.pack(f"<{2 * len(found)}q", *[v for item in found.items() for v in item])
+    def _pairs(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray, group_at: np.ndarray) -> tuple[bytes, list[int]]:
+        """Distinct pairs of each unit's groups with their links, one unit after another, and where each unit's begin. The ids of a long group are counted before they are paired, so one of few ids stays small."""
+        groups = np.arange(int(group_at[0]), int(group_at[-1]))
+        many_a, many_b = np.diff(a_at)[groups], np.diff(b_at)[groups]
+        short = many_a * many_b <= 1024
+        which, own = groups[short], (many_a * many_b)[short]
+        place = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)  # of a link within its group
+        wide = np.repeat(many_b[short], own)
+        pair = a[np.repeat(a_at[which], own) + place // wide] << 32 | b[np.repeat(b_at[which], own) + place % wide]
+        of, n_links = [np.repeat(which, own)], [np.ones(len(pair), np.int64)]
+        pairs = [pair]
+        for g in groups[~short].tolist():
+            ids, n = np.unique(a[a_at[g] : a_at[g + 1]], return_counts=True)
+            other, m = np.unique(b[b_at[g] : b_at[g + 1]], return_counts=True)
+            pairs.append((ids[:, None] << 32 | other).ravel())
+            n_links.append((n[:, None] * m).ravel())
+            of.append(np.full(len(pairs[-1]), g))
+        pair, n_links = np.concatenate(pairs), np.concatenate(n_links)
+        unit = np.searchsorted(group_at, np.concatenate(of), side="right") - 1
+        order = np.lexsort((pair, unit))
+        pair, unit, n_links = pair[order], unit[order], n_links[order]
+        first = np.flatnonzero(np.append(True, (np.diff(pair) != 0) | (np.diff(unit) != 0))[: len(pair)])
+        told = np.stack([pair[first], np.add.reduceat(n_links, first)], 1) if len(first) else np.zeros((0, 2), np.int64)
+        return told.astype("<i8").tobytes(), np.searchsorted(unit[first], np.arange(len(group_at))).tolist()
 
     def texts(self, texts: list[str | None]) -> list[Aligned]:
         """Alignments of whole texts."""
@@ -207,10 +216,10 @@ class Aligner:
             return _NOTHING
         numbers, groups, raw = zip(*own)
         flat = np.frombuffer(b"".join(raw), "<i8")
-        pairs, at = np.unique(flat[::2], return_inverse=True)
-        links = np.zeros(len(pairs), np.int64)
-        np.add.at(links, at, flat[1::2])
-        both = np.stack([pairs, links], 1).astype("<i8").tobytes()
+        order = np.argsort(flat[::2])
+        pairs = flat[::2][order]
+        first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+        both = np.stack([pairs[first], np.add.reduceat(flat[1::2][order], first)], 1).astype("<i8").tobytes()
         return Aligned(*np.frombuffer(b"".join(numbers), "<i8").reshape(-1, 4).sum(0).tolist(), ";".join(groups), both)
 
 
