@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from selvage.operators import hamming, inliers, near_keys
+from selvage.functions.columns import settled
+from selvage.operators import beat, hamming, inliers, near_keys, palettes, rasters, visual
+from selvage.sources import carve
 
 from .adapter import read
 from .search import EVERY
@@ -101,3 +103,138 @@ def ratio_matches(spark, sf_dir):
 def geometric_inliers(spark, sf_dir):
     """The same with the matches that one homography agrees with."""
     return reranked(spark, sf_dir)
+
+
+# --- rasters ---------------------------------------------------------------------------------------------------------
+
+#: Where things are on a raster: name, top, bottom, left, right.
+ZONES = [("collar", 0.0, 0.25, 0.25, 0.75), ("chest", 0.25, 0.5, 0.0, 1.0), ("waist", 0.5, 0.75, 0.0, 1.0), ("pocket", 0.5, 0.75, 0.0, 0.5), ("hem", 0.75, 1.0, 0.0, 1.0)]
+
+#: The vectors' 64 numbers as pixels of 0 to 255.
+PIXELS_SQL = "e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(least(greatest(CAST(x AS DOUBLE) * 800 + 128, 0), 255)) AS INT)) AS p FROM embeddings WHERE len(embedding) = 64), px AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, p[i + 1] AS v FROM e, range(64) t(i))"
+
+
+def grey(vector):
+    return F.transform(vector, lambda x: F.floor(F.least(F.greatest(x.cast("double") * 800 + 128, F.lit(0.0)), F.lit(255.0))).cast("int"))
+
+
+def drawn(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
+    return rows.select("vec_id", grey(F.col("embedding")).alias("p"), F.lit(8).alias("width"))
+
+
+@query(f"""WITH RECURSIVE {PIXELS_SQL}, m AS (SELECT vec_id, median(v) AS m FROM px GROUP BY 1), d AS (SELECT vec_id, y, x, abs(v - m) AS d FROM px JOIN m USING (vec_id)),
+  s AS (SELECT vec_id, coalesce(nullif(median(d), 0), 1) AS s FROM d GROUP BY 1), k AS (SELECT vec_id, y, x FROM d JOIN s USING (vec_id) WHERE d > greatest(45, 1.5 * s)),
+  f AS (SELECT vec_id, y * 8 + x AS start, y, x FROM k UNION SELECT f.vec_id, f.start, k.y, k.x FROM f JOIN k ON k.vec_id = f.vec_id AND abs(k.y - f.y) + abs(k.x - f.x) = 1),
+  c AS (SELECT vec_id, y, x, min(start) AS label FROM f GROUP BY ALL), b AS (SELECT vec_id, label, count(*) AS area, min(y) AS top, min(x) AS "left", max(y) AS bottom, max(x) AS "right" FROM c GROUP BY ALL HAVING count(*) >= 64 * 0.04),
+  z AS (SELECT b.*, q.n, name, round_even(greatest(0, least((bottom + 1) / 8, zb) - greatest(top / 8, zt)) * greatest(0, least(("right" + 1) / 8, zr) - greatest("left" / 8, zl)) / ((bottom + 1 - top) * ("right" + 1 - "left") / 64), 3) AS share, (zb - zt) * (zr - zl) AS size
+    FROM b, (VALUES {", ".join(f"({k}, '{n}', {t}::DOUBLE, {b}::DOUBLE, {x}::DOUBLE, {y}::DOUBLE)" for k, (n, t, b, x, y) in enumerate(ZONES))}) q(n, name, zt, zb, zl, zr))
+  SELECT vec_id, area, top, "left", bottom, "right", max(share) AS share, arg_min(name, (-share, size, n)) AS zone FROM z WHERE share > 0 GROUP BY vec_id, label, area, top, "left", bottom, "right\"""")
+def decorations(spark, sf_dir):
+    """Connected parts of a raster that stand out, with the zone that holds most of each."""
+    found = rasters.decorations(drawn(spark, sf_dir), "p", "width", times=1.5, share=0.04)
+    part = F.struct("top", "left", "bottom", "right")
+    zone = F.get(rasters.zone_shares(part, F.col("width"), F.col("width"), ZONES), F.lit(0))
+    return found.select("vec_id", "area", "top", "left", "bottom", "right", zone["share"].alias("share"), zone["zone"].alias("zone"))
+
+
+@query(f"""WITH {PIXELS_SQL}, w AS (SELECT * FROM (VALUES {", ".join(f"({n}, {t}::DOUBLE, {h}::DOUBLE)" for n, (t, h) in enumerate(rasters.BANDS))}) b(win, t, h)),
+  r AS (SELECT win, CAST(floor(8 * t) AS INT) AS top, least(8, CAST(floor(8 * t) AS INT) + CAST(floor(8 * h) AS INT)) AS bottom FROM w), c AS (SELECT win, s, top + i * (bottom - top) // s AS y1, top + (i + 1) * (bottom - top) // s AS y2, j * 8 // s AS x1, (j + 1) * 8 // s AS x2, i * s + j AS cell
+    FROM r, (VALUES (2), (3)) q(s), range(3) a(i), range(3) b(j) WHERE bottom - top >= 3 AND i < s AND j < s)
+  SELECT vec_id, win AS "window", s AS scale, cell, round_even(avg(v) FILTER (WHERE v < 230), 6) AS mean, round_even(count(*) FILTER (WHERE v < 230) / count(*), 6) AS cover FROM c JOIN px ON y >= y1 AND y < y2 AND x >= x1 AND x < x2 GROUP BY ALL""")
+def window_cells(spark, sf_dir):
+    """Mean of the pixels that aren't white in every cell of every band and scale."""
+    rows = drawn(spark, sf_dir)
+    cells = rasters.cell_signatures(F.col("p"), F.transform("p", lambda v: v < 230), F.col("width"), scales=(2, 3), least_side=3)
+    found = rows.select("vec_id", F.explode(cells).alias("c")).select("vec_id", "c.*")
+    return found.select("vec_id", "window", "scale", "cell", F.bround("mean", 6).alias("mean"), F.bround("cover", 6).alias("cover"))
+
+
+@query(f"""WITH {PIXELS_SQL}, g AS (SELECT vec_id, median(v) AS bg FROM px WHERE y < 2 AND (x < 2 OR x > 5) GROUP BY 1), f AS (SELECT vec_id, x, abs(median(v) - any_value(bg)) <= 40 AS blank FROM px JOIN g USING (vec_id) GROUP BY ALL),
+  i AS (SELECT *, x - row_number() OVER (PARTITION BY vec_id, blank ORDER BY x) AS island FROM f), gaps AS (SELECT vec_id, min(x) AS a, max(x) + 1 AS b FROM i WHERE blank GROUP BY vec_id, island),
+  cuts AS (SELECT vec_id, (a + b) // 2 AS cut FROM gaps WHERE a > 0 AND b < 8 UNION ALL SELECT vec_id, 0 FROM e UNION ALL SELECT vec_id, 8 FROM e), p AS (SELECT vec_id, cut AS "start", lead(cut) OVER (PARTITION BY vec_id ORDER BY cut) AS "end" FROM cuts),
+  k AS (SELECT p.vec_id, "start", "end" FROM p JOIN f ON f.vec_id = p.vec_id AND x >= "start" AND x < "end" WHERE "end" IS NOT NULL GROUP BY ALL HAVING "end" - "start" >= 8 * 0.08 AND count(*) FILTER (WHERE blank) <= 0.95 * ("end" - "start")),
+  n AS (SELECT vec_id, count(*) AS n FROM k GROUP BY 1)
+  SELECT k.vec_id, CAST("start" AS INT) AS "start", CAST("end" AS INT) AS "end" FROM k JOIN n USING (vec_id) WHERE n >= 2 UNION ALL SELECT e.vec_id, 0, 8 FROM e LEFT JOIN n USING (vec_id) WHERE coalesce(n, 0) < 2""")
+def raster_panels(spark, sf_dir):
+    """Rasters cut at runs of columns in the background's colour."""
+    return drawn(spark, sf_dir).select("vec_id", F.explode(rasters.panels(F.col("p"), F.col("width"), tolerance=40, least_gap=1)).alias("panel")).select("vec_id", "panel.*")
+
+
+@query(f"""WITH {PIXELS_SQL}, r AS (SELECT vec_id, y, count(*) FILTER (WHERE v < 160) AS k, count(*) FILTER (WHERE NOT v < 160 AND x >= 1 AND x < 6) AS holes FROM px GROUP BY ALL), w AS (SELECT vec_id, y, holes, CASE WHEN k >= 3 THEN k ELSE 0 END AS k FROM r),
+  b AS (SELECT vec_id, coalesce(quantile_cont(k, 0.2) FILTER (WHERE y >= 4 AND y < 7 AND k > 0), quantile_cont(k, 0.5) FILTER (WHERE k > 0)) AS body FROM w GROUP BY 1),
+  s AS (SELECT w.vec_id, any_value(body) AS body, coalesce(min(y) FILTER (WHERE k >= body * 0.7), 0) AS shoulder, max(k) FILTER (WHERE y < 6) AS peak, arg_min(y, (-k, y)) FILTER (WHERE y < 6) AS cuff FROM w JOIN b USING (vec_id) WHERE body > 0 GROUP BY 1),
+  l AS (SELECT *, least(8, greatest(shoulder + 1, 2)) AS lim FROM s), n AS (SELECT l.vec_id, min(y) FILTER (WHERE k > 0 AND holes = 0) AS closed FROM l JOIN w ON w.vec_id = l.vec_id AND y < lim GROUP BY 1),
+  g AS (SELECT l.vec_id, body, shoulder, peak, cuff, lim, closed, max(holes) FILTER (WHERE k > 0 AND y < coalesce(closed, 99)) AS gap FROM l JOIN n USING (vec_id) JOIN w ON w.vec_id = l.vec_id AND y < lim GROUP BY ALL),
+  t AS (SELECT vec_id, round_even(body, 3) AS body, shoulder, round_even(depth / body, 3) AS neck_depth, round_even(coalesce(gap, 0) / body, 3) AS neck_width, CASE WHEN peak <= body * 1.06 THEN 0.0 ELSE round_even(greatest(0, (cuff - shoulder) / 8), 3) END AS sleeve_share, peak <= body * 1.06 AS bare, round_even((8 - shoulder) / body, 3) AS length_ratio FROM (SELECT *, coalesce(closed, lim) AS depth FROM g))
+  SELECT vec_id, body, shoulder, neck_depth, neck_width, CASE WHEN neck_width < 0.15 THEN 'high' WHEN neck_depth >= 0.26 THEN CASE WHEN neck_width < 0.62 THEN 'deep' ELSE 'open' END WHEN neck_depth <= 0.09 AND neck_width >= 0.62 THEN 'boat' WHEN neck_width >= 0.62 THEN 'wide' ELSE 'round' END AS neck,
+    CAST(sleeve_share AS DOUBLE) AS sleeve_share, CASE WHEN bare OR sleeve_share <= 0.06 THEN 'none' WHEN sleeve_share <= 0.16 THEN 'cap' WHEN sleeve_share <= 0.34 THEN 'short' WHEN sleeve_share <= 0.55 THEN 'middle' ELSE 'long' END AS sleeve,
+    length_ratio, CASE WHEN length_ratio < 1.02 THEN 'short' WHEN length_ratio < 1.45 THEN 'regular' WHEN length_ratio < 1.85 THEN 'long' ELSE 'tunic' END AS length FROM t""")
+def raster_silhouettes(spark, sf_dir):
+    """Neckline, sleeve and length by the widths of rows."""
+    rows = drawn(spark, sf_dir).select("vec_id", rasters.silhouette(F.transform("p", lambda v: v < 160), F.col("width")).alias("s"))
+    return rows.where("s is not null").select("vec_id", "s.*")
+
+
+def channels(rows):
+    """The raster and itself moved by 21 and 42 pixels as red, green and blue."""
+    moved = lambda n: F.concat(F.slice("p", n + 1, 64 - n), F.slice("p", 1, n)) if n else F.col("p")
+    return [moved(n) for n in (0, 21, 42)]
+
+
+COLOURS_SQL = f"{PIXELS_SQL}, c AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, p[i + 1] AS r, p[(i + 21) % 64 + 1] AS g, p[(i + 42) % 64 + 1] AS b FROM e, range(64) t(i))"
+
+
+@query(f"""WITH {COLOURS_SQL}, edge AS (SELECT c.* FROM c WHERE y < 3 UNION ALL SELECT * FROM c WHERE y > 4 UNION ALL SELECT * FROM c WHERE x < 3 UNION ALL SELECT * FROM c WHERE x > 4),
+  m AS (SELECT vec_id, median(r) AS mr, median(g) AS mg, median(b) AS mb FROM edge GROUP BY 1), o AS (SELECT vec_id, greatest(abs(r - mr), abs(g - mg), abs(b - mb)) AS off FROM edge JOIN m USING (vec_id)),
+  k AS (SELECT vec_id, median(r) AS mr, median(g) AS mg, median(b) AS mb FROM c GROUP BY 1), j AS (SELECT vec_id, y, x, greatest(abs(r - mr), abs(g - mg), abs(b - mb)) > 26 AS far FROM c JOIN k USING (vec_id)),
+  rr AS (SELECT vec_id, count(*) AS n, min(y) AS a, max(y) AS b FROM (SELECT vec_id, y FROM j GROUP BY ALL HAVING avg(far::INT) > 0.06) GROUP BY 1), cc AS (SELECT vec_id, count(*) AS n, min(x) AS a, max(x) AS b FROM (SELECT vec_id, x FROM j GROUP BY ALL HAVING avg(far::INT) > 0.06) GROUP BY 1),
+  bx AS (SELECT e.vec_id, CASE WHEN coalesce(rr.n, 0) < 0.8 OR coalesce(cc.n, 0) < 0.8 THEN 8 ELSE rr.b - rr.a + 1 END AS tall, CASE WHEN coalesce(rr.n, 0) < 0.8 OR coalesce(cc.n, 0) < 0.8 THEN 8 ELSE cc.b - cc.a + 1 END AS wide FROM e LEFT JOIN rr USING (vec_id) LEFT JOIN cc USING (vec_id)),
+  s AS (SELECT vec_id, avg((least(r, g, b) >= 230)::INT) AS white, coalesce(quantile_cont(greatest(r, g, b) - least(r, g, b), 0.75) FILTER (WHERE least(r, g, b) < 230), 0) AS sat, count(DISTINCT (r // 32) * 64 + (g // 32) * 8 + b // 32) AS ncolor FROM c GROUP BY 1),
+  t AS (SELECT vec_id, avg((off <= 55)::INT) AS edge_bg, median(off) AS ring_sd FROM o GROUP BY 1)
+  SELECT vec_id, round_even(white, 6) AS white, round_even(sat, 6) AS sat, round_even(tall * wide / 64, 6) AS fill, round_even(tall / wide, 6) AS aspect, round_even(edge_bg, 6) AS edge_bg, round_even(ring_sd, 6) AS ring_sd, CAST(ncolor AS DOUBLE) AS ncolor, 8.0::DOUBLE AS longest,
+    CASE WHEN edge_bg < 0.7 OR ring_sd > 20 THEN 'fabric' WHEN ncolor <= 24 AND white >= 0.55 THEN 'stamp' WHEN white >= 0.62 AND sat < 22 THEN 'line art' WHEN white >= 0.45 AND tall / wide < 1 THEN 'line art' ELSE 'other' END AS kind
+  FROM s JOIN t USING (vec_id) JOIN bx USING (vec_id)""")
+def raster_kinds(spark, sf_dir):
+    """Statistics of rasters of three channels, and the kind that they tell."""
+    rows = drawn(spark, sf_dir)
+    red, green, blue = channels(rows)
+    found = rows.select("vec_id", rasters.raster_statistics(red, green, blue, F.col("width")).alias("s")).select("vec_id", "s.*")
+    names = [c for c in found.columns if c != "vec_id"]
+    return found.select("vec_id", *[F.bround(c, 6).alias(c) for c in names], carve.kind_of_image().alias("kind"))
+
+
+@query("")
+def raster_palettes(spark, sf_dir):
+    """Main colours of every raster, and how far they are from those of the next vector of the same label."""
+    rows = drawn(spark, sf_dir)
+    red, green, blue = channels(rows)
+    own = settled(rows.select("vec_id", palettes.palette(red, green, blue).alias("palette")))
+    other = own.select((F.col("vec_id") - 1).alias("vec_id"), F.col("palette").alias("_next"))
+    joined = own.join(other, "vec_id", "left").withColumn("to_next", F.bround(visual.palette_distance(F.col("palette"), F.col("_next")), 6))
+    return joined.select("vec_id", "to_next", F.posexplode("palette").alias("place", "c")).select("vec_id", "place", *[F.bround(F.col(f"c.{x}"), 6).alias(x) for x in ("L", "a", "b", "w")], "to_next")
+
+
+# --- beat ------------------------------------------------------------------------------------------------------------
+
+HOURS_SQL = """h AS (SELECT user_id AS key, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS slot, count(*) AS level FROM events GROUP BY ALL), o AS (SELECT a.key, a.slot, a.level - coalesce(b.level, 0) AS onset FROM h a LEFT JOIN h b ON b.key IS NOT DISTINCT FROM a.key AND b.slot = a.slot - 1 WHERE a.level > coalesce(b.level, 0)),
+  lags AS (SELECT a.key, b.slot - a.slot AS lag, sum(a.onset * b.onset) AS lag_sum FROM o a JOIN o b ON a.key = b.key AND b.slot - a.slot BETWEEN 4 AND 72 GROUP BY ALL)"""
+
+
+def hourly(spark, sf_dir):
+    events = read(spark, sf_dir, "events").where("user_id is not null")
+    return beat.levels(events.select("user_id", F.floor(F.unix_timestamp("ts") / 3600).alias("hour"), F.lit(1).alias("n")), "user_id", "hour", "n")
+
+
+@query(f"WITH {HOURS_SQL} SELECT key AS user_id, lag, CAST(lag_sum AS DOUBLE) AS lag_sum FROM lags WHERE lag_sum > 0")
+def beat_lags(spark, sf_dir):
+    """How often a user's hours of more events are followed by such hours, by the hours between."""
+    return beat.lag_sums(hourly(spark, sf_dir), 4, 72, block=128).where("lag_sum > 0").select(F.col("key").alias("user_id"), "lag", "lag_sum")
+
+
+@query(f"""WITH {HOURS_SQL}, s AS (SELECT *, round_even(lag_sum * exp(-0.5 * power(log2(lag / 24) / 0.45, 2)), 6) AS score FROM lags), b AS (SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, lag) = 1),
+  p AS (SELECT o.key, slot % lag AS phase, sum(onset) AS phase_sum FROM o JOIN b USING (key) GROUP BY o.key, slot % lag QUALIFY row_number() OVER (PARTITION BY o.key ORDER BY phase_sum DESC, phase) = 1)
+  SELECT key AS user_id, lag, CAST(lag_sum AS DOUBLE) AS lag_sum, score, phase, CAST(phase_sum AS DOUBLE) AS phase_sum FROM b JOIN p USING (key)""")
+def user_beats(spark, sf_dir):
+    """Each user's interval of hours, near a day if there is no better one, and where in it the events rise."""
+    return beat.beats(hourly(spark, sf_dir), 4, 72, usual=24, block=128).withColumnRenamed("key", "user_id")

@@ -80,17 +80,36 @@ def embedded_images(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(work, "path string, sha1 string, width int, height int, image binary")
 
 
-def kind_of_image(stats: DataFrame) -> Column:
-    """Kind by statistics (edge_bg, ring_sd, ncolor, white, sat, aspect, fill, longest) of an image: the first rule that fits, hard facts before soft ones."""
-    c = F.col
-    return (
-        F.when((c("edge_bg") < 0.5) | (c("ring_sd") > 40), "fabric")
-        .when((c("ncolor") <= 6) & (c("white") >= 0.5), "stamp")
-        .when((c("white") >= 0.6) & (c("sat") < 12), "line art")
-        .when((c("white") >= 0.45) & (c("aspect") < 1.0), "line art")
-        .when((c("longest") >= 300) & (c("aspect") >= 1.05) & c("fill").between(0.15, 0.9) & (c("sat") >= 18), "sample photo")
-        .otherwise("other")
-    )
+#: Fixed: kinds of images and the bounds of their statistics, the first that holds. Bounds: a statistic, and the least and the most that it may be (None: any); `upright` stands for the least height by width of a garment.
+KINDS: list[tuple[str, list[tuple[str, float | str | None, float | None]]]] = [
+    ("stamp", [("ncolor", None, 24), ("white", 0.55, None)]),
+    ("line art", [("white", 0.62, None), ("sat", None, 22)]),
+    ("line art", [("white", 0.45, None), ("aspect", None, 1.0)]),
+    ("sample photo", [("longest", 400, None), ("aspect", "upright", None), ("fill", 0.12, 0.94), ("sat", 18, None)]),
+]
+#: Fixed: a picture with a background has a border of one colour, and that without much spread.
+BACKGROUND = [("edge_bg", 0.70, None), ("ring_sd", None, 20)]
+#: Fixed: these upper bounds are themselves outside.
+_OPEN = {("sat", 22), ("aspect", 1.0)}
+
+
+def kind_of_image(strict_photo: bool = True) -> Column:
+    """Kind by statistics (columns edge_bg, ring_sd, ncolor, white, sat, aspect, fill, longest) of an image: fabric without a background, else the first of KINDS, else other; null without statistics. strict_photo: a garment must be upright, else it may be a little wider."""
+    upright = 1.05 if strict_photo else 0.85
+
+    def within(bounds: list) -> Column:
+        held = F.lit(True)
+        for name, least, most in bounds:
+            if least is not None:
+                held &= F.col(name) >= F.lit(upright if least == "upright" else least)
+            if most is not None:
+                held &= (F.col(name) < F.lit(most)) if (name, most) in _OPEN else (F.col(name) <= F.lit(most))
+        return held
+
+    out = F.when(F.col("edge_bg").isNull(), F.lit(None)).when(~within(BACKGROUND), "fabric")
+    for label, bounds in KINDS:
+        out = out.when(within(bounds), label)
+    return out.otherwise("other")
 
 
 def suffix_patterns(files: DataFrame, top: int = 30) -> DataFrame:

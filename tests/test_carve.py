@@ -32,9 +32,10 @@ def test_images_in_files(spark):
 
 
 def test_kinds_and_patterns(spark):
-    stats = [(0.1, 5.0, 99, 0.1, 50.0, 1.2, 0.5, 900, "fabric"), (0.9, 5.0, 3, 0.8, 90.0, 1.0, 0.2, 400, "stamp"), (0.9, 5.0, 50, 0.9, 3.0, 1.5, 0.2, 900, "line art"), (0.9, 5.0, 99, 0.5, 60.0, 0.7, 0.2, 900, "line art"), (0.9, 5.0, 99, 0.3, 60.0, 1.4, 0.5, 900, "sample photo"), (0.9, 5.0, 99, 0.3, 60.0, 1.4, 0.5, 100, "other")]
+    stats = [(0.1, 5.0, 99, 0.1, 50.0, 1.2, 0.5, 900, "fabric"), (0.9, 5.0, 3, 0.8, 90.0, 1.0, 0.2, 400, "stamp"), (0.9, 5.0, 50, 0.9, 3.0, 1.5, 0.2, 900, "line art"), (0.9, 5.0, 99, 0.5, 60.0, 0.7, 0.2, 900, "line art"), (0.9, 5.0, 99, 0.3, 60.0, 1.4, 0.5, 900, "sample photo"), (0.9, 5.0, 99, 0.3, 60.0, 1.4, 0.5, 100, "other"), (0.9, 21.0, 99, 0.3, 60.0, 1.4, 0.5, 900, "fabric"), (0.9, 20.0, 24, 0.55, 60.0, 1.4, 0.5, 900, "stamp"), (0.9, 5.0, 99, 0.62, 22.0, 1.2, 0.5, 900, "sample photo"), (0.9, 5.0, 99, 0.3, 60.0, 0.9, 0.5, 900, "other")]
     df = spark.createDataFrame(stats, "edge_bg double, ring_sd double, ncolor int, white double, sat double, aspect double, fill double, longest int, kind string")
-    assert all(r["kind"] == r["k"] for r in df.select("kind", carve.kind_of_image(df).alias("k")).collect())
+    assert all(r["kind"] == r["k"] for r in df.select("kind", carve.kind_of_image().alias("k")).collect())
+    assert [r[0] for r in df.where("aspect = 0.9").select(carve.kind_of_image(strict_photo=False)).collect()] == ["sample photo"]
     files = spark.createDataFrame([("KA1583008-42.jpg",), ("KA1583009-43.jpg",), ("KA1583009_back.jpg",), ("other.jpg",)], "name string")
     assert [tuple(r) for r in carve.suffix_patterns(files).collect()] == [("-##", 2, 2, 1.0), ("_back", 1, 1, 0.0)]
     listed = spark.createDataFrame([("p", 3, "2026-01-01"), ("q", 3, "2026-02-27")], "path string, length int, d string").withColumn("modified", F.to_timestamp("d"))

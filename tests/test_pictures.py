@@ -2,14 +2,20 @@
 
 import itertools
 import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from selvage.operators import beat, palettes, rasters
 from selvage.operators.hamming import index_of, load_index, nearest_codes, sign_code, write_index
 from selvage.operators.inliers import consensus, geometric_rerank, good_matches
 from selvage.operators.near_keys import LAYERS, masks, match_images, near_keys
+from selvage.sources import carve
 
 
 def one_off(a, b):
@@ -132,3 +138,170 @@ def test_rerank_by_geometry(spark):
     assert got[1, 3] == got[1, 4] == got[1, 5] == got[1, 6] == (0, 0)
     tied = spark.range(1).select(good_matches(F.array(*[F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.array(F.lit(7).cast("long")).alias("code"))] * 6), F.array(*[F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y"), F.array(F.lit(7).cast("long")).alias("code"))] * 6), 1))
     assert tied.first()[0] == []  # two points as near as each other
+
+
+def flooded(mask):
+    """Parts of a mask by flooding."""
+    rest, out = {(y, x) for y, x in zip(*np.nonzero(mask))}, []
+    while rest:
+        todo = [min(rest)]
+        rest.discard(todo[0])
+        own = []
+        while todo:
+            y, x = todo.pop()
+            own.append((y, x))
+            for near in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                if near in rest:
+                    rest.discard(near)
+                    todo.append(near)
+        ys, xs = [p[0] for p in own], [p[1] for p in own]
+        out.append((len(own), min(ys), min(xs), max(ys), max(xs)))
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 9), st.integers(1, 9), st.randoms(use_true_random=False))
+def test_parts_are_those_of_flooding(height, width, rng):
+    mask = np.array([[rng.random() < 0.55 for _ in range(width)] for _ in range(height)])
+    assert sorted(rasters.parts_of(mask)) == sorted(flooded(mask))
+
+
+def test_parts_of_odd_rasters(spark):
+    rows = [(1, [True, False, True, True], 2), (2, [True, True, True], 2), (3, [], 2), (4, None, 2), (5, [True], None), (6, [False], 1)]
+    df = spark.createDataFrame(rows, "id int, mask array<boolean>, width int")
+    got = {r["id"]: r["p"] for r in df.select("id", rasters.connected_parts("mask", "width").alias("p")).collect()}
+    assert [tuple(p) for p in got[1]] == [(3, 0, 0, 1, 1)] and got[6] == [] and all(got[n] is None for n in (2, 3, 4, 5))
+    zones = [("all", 0, 1, 0, 1), ("left", 0, 1, 0, 0.5), ("top", 0, 0.5, 0, 1)]
+    part = F.struct(F.lit(1).alias("top"), F.lit(2).alias("bottom"), F.lit(0).alias("left"), F.lit(1).alias("right"))
+    shares = spark.range(1).select(rasters.zone_shares(part, F.lit(4), F.lit(4), zones)).first()[0]
+    assert [(z["zone"], z["share"]) for z in shares] == [("left", 1.0), ("all", 1.0), ("top", 0.5)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(3, 40), st.integers(3, 40), st.integers(0, 1000))
+def test_cells_are_direct_means(height, width, seed):
+    rng = np.random.default_rng(seed)
+    raster, mask = rng.uniform(0, 255, (height, width)), rng.random((height, width)) < 0.6
+    for window, scale, cell, mean, cover in rasters.cell_sums(raster, mask, rasters.BANDS, (1, 2, 3), 2):
+        top = int(height * rasters.BANDS[window][0])
+        bottom = min(height, top + int(height * rasters.BANDS[window][1]))
+        r, c = divmod(cell, scale)
+        box = np.s_[top + r * (bottom - top) // scale : top + (r + 1) * (bottom - top) // scale, c * width // scale : (c + 1) * width // scale]
+        own = raster[box][mask[box]]
+        assert (mean is None and not len(own)) or mean == pytest.approx(own.mean())
+        assert cover == pytest.approx(mask[box].mean() if mask[box].size else 0)
+    assert len(rasters.BANDS) == 21
+
+
+def test_panels_and_silhouettes_of_drawn_garments(spark):
+    two = [[255] * 20 for _ in range(12)]
+    for y in range(2, 11):
+        two[y][2:8] = [40] * 6
+        two[y][12:18] = [90] * 6
+    flat = lambda rows: [v for r in rows for v in r]
+    rows = [(1, flat(two), 20), (2, flat([r[:10] for r in two]), 10), (3, [255] * 60, 10), (4, [1, 2, 3], 2), (5, [], 2), (6, None, 2)]
+    df = spark.createDataFrame(rows, "id int, p array<int>, width int")
+    got = {r["id"]: r["x"] and [tuple(p) for p in r["x"]] for r in df.select("id", rasters.panels(F.col("p"), F.col("width")).alias("x")).collect()}
+    assert got == {1: [(0, 10), (10, 20)], 2: [(0, 10)], 3: [(0, 10)], 4: None, 5: None, 6: None}
+    shirt = np.zeros((40, 30), bool)
+    shirt[:, 8:22] = True  # the body
+    shirt[2:12, 2:28] = True  # short sleeves
+    shirt[12:14, 1:29] = True  # and cuffs
+    shirt[0:3, 13:17] = False  # a neck of 4
+    vest = np.zeros((40, 30), bool)
+    vest[:, 8:22] = True
+    rows = [(1, [bool(v) for v in shirt.ravel()], 30), (2, [bool(v) for v in vest.ravel()], 30), (3, [False] * 60, 10), (4, None, 3)]
+    df = spark.createDataFrame(rows, "id int, m array<boolean>, width int")
+    got = {r["id"]: r["s"] for r in df.select("id", rasters.silhouette(F.col("m"), F.col("width")).alias("s")).collect()}
+    assert got[3] is None and got[4] is None
+    assert (got[1]["body"], got[1]["shoulder"], got[1]["sleeve"], got[1]["sleeve_share"], got[1]["neck"], got[1]["neck_width"]) == (14.0, 0, "short", 0.3, "round", 0.571) and got[1]["length"] == "tunic"
+    assert (got[2]["sleeve"], got[2]["sleeve_share"], got[2]["length_ratio"]) == ("none", 0.0, 2.857)
+
+
+def test_statistics_of_decoded_files(spark, tmp_path):
+    def write(pixels, name):
+        """A PNG of eight bits a channel."""
+        part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        raw = b"".join(b"\0" + row.tobytes() for row in pixels)
+        (tmp_path / name).write_bytes(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">2I5B", pixels.shape[1], pixels.shape[0], 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b""))
+
+    a = np.full((60, 40, 3), 255, np.uint8)
+    a[10:50, 10:30] = (200, 30, 30)
+    write(a, "garment.png")
+    noise = np.random.default_rng(1).integers(0, 256, (300, 500, 3)).astype(np.uint8)
+    write(noise, "cloth.png")
+    (tmp_path / "broken.png").write_bytes(b"no picture")
+    images = spark.read.format("image").load(f"file://{tmp_path}")
+    got = {r["path"].rsplit("/", 1)[-1]: r for r in rasters.images_with_statistics(images).withColumn("kind", carve.kind_of_image()).collect()}
+    garment = got["garment.png"]
+    assert (garment["white"], garment["sat"], garment["fill"], garment["aspect"], garment["edge_bg"], garment["ring_sd"], garment["ncolor"], garment["longest"]) == (1 - 1 / 3, 170.0, 1 / 3, 2.0, 1.0, 0.0, 2.0, 60.0)
+    assert garment["kind"] == "stamp" and got["cloth.png"]["kind"] == "fabric" and got["cloth.png"]["longest"] == 500
+    assert "broken.png" not in got or (got["broken.png"]["white"] is None and got["broken.png"]["kind"] is None)
+    gray = rasters.statistics_of(np.repeat(np.arange(0, 240, dtype=np.int64).reshape(12, 20, 1), 3, 2))
+    assert gray["sat"] == 0 and gray["ncolor"] == 8
+
+
+def plain_palette(pixels, k=3, rounds=12, least=0.06):
+    """Farthest-point seeds and k-means over every pixel, in plain Python."""
+    n = len(pixels)
+    mean = [max(sum(p[c] for p in pixels) / n, 1.0) for c in range(3)]
+    gain = [min(max(sum(mean) / 3 / m, 0.75), 1.33) for m in mean]
+    groups = {}
+    for p in pixels:
+        groups[tuple(p)] = groups.get(tuple(p), 0) + 1
+    colours = sorted(groups)
+    lab = {c: tuple(palettes.lab_of(np.array([[min(max(v * g, 0), 255) for v, g in zip(c, gain)]]))[0]) for c in colours}
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    first = max(colours, key=lambda c: (groups[c], [-v for v in c]))
+    centres = [lab[first]]
+    while len(centres) < k:
+        best = max(colours, key=lambda c: (min(far(lab[c], m) for m in centres), [-v for v in c]))
+        if min(far(lab[best], m) for m in centres) == 0:
+            break
+        centres.append(lab[best])
+    near = lambda c: min(range(len(centres)), key=lambda n: (far(lab[c], centres[n]), n))
+    for _ in range(rounds):
+        own = {c: near(c) for c in colours}
+        for m in range(len(centres)):
+            members = [c for c in colours if own[c] == m]
+            if members:
+                total = sum(groups[c] for c in members)
+                centres[m] = tuple(sum(lab[c][d] * groups[c] for c in members) / total for d in range(3))
+    share = [0] * len(centres)
+    for c in colours:
+        share[near(c)] += groups[c] / n
+    return [(*centres[m], share[m]) for m in sorted(range(len(centres)), key=lambda m: (-round(share[m], 12), m)) if share[m] >= least]
+
+
+def test_palettes(spark):
+    rng = random.Random(4)
+    pictures = [[[rng.choice([10, 60, 200]) for _ in range(3)] for _ in range(60)] for _ in range(12)] + [[[9, 9, 9]] * 5, [[250, 0, 0]] * 30 + [[0, 0, 250]] * 2]
+    for pixels in pictures:
+        got, want = palettes.palette_of(np.array(pixels, float)), plain_palette(pixels)
+        assert len(got) == len(want) and np.allclose(got, want)
+    rows = [(n, *[[p[c] for p in pixels] for c in range(3)], None) for n, pixels in enumerate(pictures)]
+    rows += [(100, [1], [1, 2], [1], None), (101, None, [1], [1], None), (102, [], [], [], None), (103, [9, 200], [9, 0], [9, 0], [True, False])]
+    df = spark.createDataFrame(rows, "id int, r array<int>, g array<int>, b array<int>, keep array<boolean>")
+    got = {r["id"]: r["p"] for r in df.select("id", palettes.palette(F.col("r"), F.col("g"), F.col("b"), F.col("keep")).alias("p")).collect()}
+    assert all(np.allclose([tuple(c) for c in got[n]], plain_palette(pixels)) for n, pixels in enumerate(pictures))
+    assert got[100] is None and got[101] is None and got[102] == [] and len(got[103]) == 1 and got[103][0]["w"] == 1.0
+
+
+@pytest.mark.parametrize("block", [5, 64])
+def test_beats_of_hot_and_odd_series(spark, block):
+    """A series with a rise every seven slots, cut into many blocks; one that never rises again; rows without a slot or a key."""
+    rng = random.Random(6)
+    rows = [("hot", n, 5.0 if n % 7 == 3 else rng.choice([0.0, 1.0])) for n in range(-50, 300)] + [("once", 4, 2.0), ("once", None, 9.0), (None, 1, 1.0), (None, 5, 1.0), ("hot", 3, None)]
+    df = spark.createDataFrame(rows, "who string, n long, v double")
+    series = beat.levels(df, "who", "n", "v")
+    level = {}
+    for who, n, v in rows:
+        if n is not None:
+            level[who, n] = level.get((who, n), 0) + (v or 0)
+    onset = {k: v - level.get((k[0], k[1] - 1), 0) for k, v in level.items() if v > level.get((k[0], k[1] - 1), 0)}
+    got = {(r["key"], r["lag"]): r["lag_sum"] for r in beat.lag_sums(series, 2, 20, block).collect()}
+    for who in ("hot", "once", None):
+        assert [got[who, lag] for lag in range(2, 21)] == pytest.approx([sum(v * onset.get((who, n + lag), 0) for (w, n), v in onset.items() if w == who) for lag in range(2, 21)])
+    found = {r["key"]: r for r in beat.beats(series.where("key is not null"), 2, 20, usual=8, block=block).collect()}
+    assert set(found) == {"hot"} and (found["hot"]["lag"], found["hot"]["phase"]) == (7, 3)
+    assert beat.beats(series.where("false"), 2, 20, usual=8).collect() == []
