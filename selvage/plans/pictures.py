@@ -129,7 +129,7 @@ def drawn(spark, sf_dir):
   c AS (SELECT vec_id, y, x, min(start) AS label FROM f GROUP BY ALL), b AS (SELECT vec_id, label, count(*) AS area, min(y) AS top, min(x) AS "left", max(y) AS bottom, max(x) AS "right" FROM c GROUP BY ALL HAVING count(*) >= 64 * 0.04),
   z AS (SELECT b.*, q.n, name, round_even(greatest(0, least((bottom + 1) / 8, zb) - greatest(top / 8, zt)) * greatest(0, least(("right" + 1) / 8, zr) - greatest("left" / 8, zl)) / ((bottom + 1 - top) * ("right" + 1 - "left") / 64), 3) AS share, (zb - zt) * (zr - zl) AS size
     FROM b, (VALUES {", ".join(f"({k}, '{n}', {t}::DOUBLE, {b}::DOUBLE, {x}::DOUBLE, {y}::DOUBLE)" for k, (n, t, b, x, y) in enumerate(ZONES))}) q(n, name, zt, zb, zl, zr))
-  SELECT vec_id, area, top, "left", bottom, "right", max(share) AS share, arg_min(name, (-share, size, n)) AS zone FROM z WHERE share > 0 GROUP BY vec_id, label, area, top, "left", bottom, "right\"""")
+  SELECT vec_id, area, top, "left", bottom, "right", max(share) FILTER (WHERE share > 0) AS share, arg_min(name, (-share, size, n)) FILTER (WHERE share > 0) AS zone FROM z GROUP BY vec_id, label, area, top, "left", bottom, "right\"""")
 def decorations(spark, sf_dir):
     """Connected parts of a raster that stand out, with the zone that holds most of each."""
     found = rasters.decorations(drawn(spark, sf_dir), "p", "width", times=1.5, share=0.04)
