@@ -52,9 +52,10 @@ def number_of(c: Column) -> Column:
 
 
 def date_of(c: Column) -> Column:
-    """yyyymmdd (also as a number) or a date as text, else null."""
+    """yyyymmdd (also as a number) or a date as text, from 1900 to 2199; else null. So a bare number of five digits, as a workbook stores days, is no year."""
     text = F.regexp_replace(F.trim(c.cast("string")), r"\.0$", "")
-    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyyMMdd")), F.try_to_timestamp(text, F.lit("yyyy/M/d")), F.try_to_timestamp(text)).cast("date")
+    found = F.coalesce(F.try_to_timestamp(text, F.lit("yyyyMMdd")), F.try_to_timestamp(text, F.lit("yyyy/M/d")), F.try_to_timestamp(text)).cast("date")
+    return F.when(F.year(found).between(1900, 2199), found)
 
 
 def first_match(value: Column, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:
@@ -83,7 +84,10 @@ def settled(df: DataFrame) -> DataFrame:
     """df computed once, in the checkpoint folder that the cluster names (or, where it names none, one beside the warehouse): what reads it several times doesn't compute it again, nor when executors are lost."""
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
+        if not spark.sparkContext.master.startswith("local") and folder.startswith(("/", "file:")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 

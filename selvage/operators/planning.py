@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from selvage.functions.columns import pct_rank, settled
@@ -33,13 +33,12 @@ def year_plan(graded: DataFrame, styles: int = 450, new: float = 0.65) -> DataFr
     return out.select("wave", "category", F.bround("share", 6).alias("share"), "n_styles", "n_new", (F.col("n_styles") - F.col("n_new")).alias("n_carry"))
 
 
-def wave_of(spark: SparkSession, weeks: list[int]) -> DataFrame:
-    """The wave of each week, by its range."""
-    rows = spark.createDataFrame([(w,) for w in weeks], "week long")
+def wave_of(week: Column) -> Column:
+    """The wave of a week of the year, by its range; a 53rd week belongs to the last."""
     wave = F.lit(None).cast("string")
     for code, a, b in WAVES:
-        wave = F.when(F.col("week").between(a, b), code).otherwise(wave)
-    return rows.withColumn("wave", wave)
+        wave = F.when(F.least(week, F.lit(52)).between(a, b), code).otherwise(wave)
+    return wave
 
 
 def winning_recipe(association: DataFrame, by: str = "category", top: int = 2) -> DataFrame:

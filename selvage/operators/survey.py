@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from selvage.functions.columns import map_of
@@ -18,12 +18,24 @@ def match_headers(columns: list[str], hints: dict[str, list[str]]) -> tuple[dict
     return found, [c for c in columns if c not in found.values()]
 
 
-def read_export(df: DataFrame, hints: dict[str, list[str]], file: str) -> DataFrame:
-    """The export under its field names, all text; rows without an id get one of the file and the row's content."""
+def read_export(df: DataFrame, hints: dict[str, list[str]], file: str, row: str | None = None) -> DataFrame:
+    """The export under its field names, all text.
+
+    A response without an id gets one of the file and the row's place there (`row`, as read_cells tells it), or, where the
+    place isn't known, of its content and of how many alike come before it: people who answered alike stay several, and
+    the same file read again gives the same ids."""
     found, _ = match_headers(df.columns, hints)
     out = df.select(*[(F.nullif(F.trim(F.col(f"`{found[f]}`").cast("string")), F.lit("")) if f in found else F.lit(None).cast("string")).alias(f) for f in hints])
-    made = F.concat(F.lit(f"{file}-"), F.sha1(F.to_json(F.struct(*hints))))
-    return out.withColumn("response_id", F.coalesce("response_id", made) if "response_id" in hints else made)
+    content = F.sha1(F.to_json(F.struct(*hints)))
+    if row:
+        made = F.col(f"`{row}`").cast("string")
+        out = df.select(made.alias("_made"), *[(F.nullif(F.trim(F.col(f"`{found[f]}`").cast("string")), F.lit("")) if f in found else F.lit(None).cast("string")).alias(f) for f in hints])
+    else:
+        # rows of one content are alike, so their order doesn't matter
+        alike = F.row_number().over(Window.partitionBy("_content").orderBy("_content"))
+        out = out.withColumn("_content", content).withColumn("_made", F.concat_ws("-", "_content", alike.cast("string")))
+    made = F.concat(F.lit(f"{file}-"), "_made")
+    return out.withColumn("response_id", F.coalesce("response_id", made) if "response_id" in hints else made).drop("_content", "_made")
 
 
 def codes_of(value: Column, codes: dict[str, str]) -> Column:

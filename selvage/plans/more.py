@@ -71,9 +71,11 @@ def new_arrivals(spark, sf_dir):
     return first.where(F.col("weeks_ago") <= max(4, enough or 0))
 
 
-@query("SELECT CAST(w AS BIGINT) AS week, CASE WHEN w <= 6 THEN 'SS-EARLY' WHEN w <= 18 THEN 'SS-MAIN' WHEN w <= 26 THEN 'SS-LATE' WHEN w <= 35 THEN 'AW-EARLY' WHEN w <= 45 THEN 'AW-MAIN' ELSE 'AW-LATE' END AS wave FROM range(1, 53) t(w)")
+@query("SELECT w AS week, count(*) AS n_lines, sum(l_quantity) AS quantity, CASE WHEN w <= 6 THEN 'SS-EARLY' WHEN w <= 18 THEN 'SS-MAIN' WHEN w <= 26 THEN 'SS-LATE' WHEN w <= 35 THEN 'AW-EARLY' WHEN w <= 45 THEN 'AW-MAIN' ELSE 'AW-LATE' END AS wave FROM (SELECT CAST(weekofyear(l_shipdate) AS BIGINT) AS w, l_quantity FROM lineitem WHERE l_shipdate IS NOT NULL) GROUP BY w")
 def plan_weeks(spark, sf_dir):
-    return planning.wave_of(spark, list(range(1, 53)))
+    """Lines and pieces shipped in each week of the year, and its wave."""
+    weeks = read(spark, sf_dir, "lineitem").where("l_shipdate is not null").groupBy(F.weekofyear("l_shipdate").cast("long").alias("week"))
+    return weeks.agg(F.count("*").alias("n_lines"), F.sum("l_quantity").alias("quantity")).withColumn("wave", planning.wave_of(F.col("week")))
 
 
 @query(f"WITH {MASTER_SQL}, c AS (SELECT count(*) AS n_all, count(return_rate) AS return_rate, count(avg_selling_price) AS avg_selling_price, count(discount_depth) AS discount_depth FROM master), u AS (UNPIVOT c ON return_rate, avg_selling_price, discount_depth INTO NAME measure VALUE n) SELECT measure, n, round_even(n / n_all, 6) AS share FROM u")

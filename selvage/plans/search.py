@@ -110,8 +110,8 @@ def vocabulary_frequency(spark, sf_dir):
     return names.vocabulary_frequency(read(spark, sf_dir, "part").select(F.col("p_name").alias("product_name")), VOCABULARY)
 
 
-NGRAMS_SQL = """x AS (SELECT DISTINCT lower(p_name) AS s FROM part), l AS (SELECT s, unnest([2, 3, 4, 5]) AS n FROM x), i AS (SELECT s, n, unnest(range(1, length(s) - n + 2)) AS i FROM l WHERE length(s) >= n),
-  g AS (SELECT DISTINCT s, substring(s, i, n) AS gram FROM i), grams AS (SELECT gram, count(*) AS n_names FROM g WHERE NOT regexp_matches(gram, '[\\s\\d]') GROUP BY gram HAVING count(*) >= 3)"""
+NGRAMS_SQL = """x AS (SELECT regexp_replace(p_name, '[\\s\\d]+', '', 'g') AS s FROM part), l AS (SELECT s, unnest([2, 3, 4, 5]) AS n FROM x), i AS (SELECT s, n, unnest(range(1, length(s) - n + 2)) AS i FROM l WHERE length(s) >= n),
+  grams AS (SELECT substring(s, i, n) AS gram, count(*) AS n FROM i GROUP BY 1 HAVING count(*) >= 3)"""
 
 
 @query(f"WITH {NGRAMS_SQL} SELECT * FROM grams")
@@ -120,7 +120,7 @@ def ngram_counts(spark, sf_dir):
 
 
 def _level(n: int, above: str) -> str:
-    return f"""l{n} AS (SELECT g.* FROM grams g WHERE length(gram) = {n} AND NOT EXISTS (SELECT 1 FROM {above} a WHERE length(a.gram) > {n} AND contains(a.gram, g.gram) AND a.n_names >= 0.8 * g.n_names)), a{n} AS (SELECT * FROM {above} UNION ALL SELECT * FROM l{n})"""
+    return f"""l{n} AS (SELECT g.* FROM grams g WHERE length(gram) = {n} AND NOT EXISTS (SELECT 1 FROM {above} a WHERE length(a.gram) > {n} AND contains(a.gram, g.gram) AND a.n >= 0.8 * g.n)), a{n} AS (SELECT * FROM {above} UNION ALL SELECT * FROM l{n})"""
 
 
 @query(f"WITH {NGRAMS_SQL}, a5 AS (SELECT * FROM grams WHERE length(gram) = 5), {_level(4, 'a5')}, {_level(3, 'a4')}, {_level(2, 'a3')} SELECT * FROM a2")

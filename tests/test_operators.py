@@ -96,6 +96,34 @@ def test_name_rules(spark):
     assert [r["placed"] for r in sorted(placed)] == [["long:tee"], ["long:bear"], [], ["long:"]], placed
 
 
+def test_ngrams_cross_blanks_and_count_occurrences(spark):
+    df = spark.createDataFrame([("ab 1 ab",), ("ab 1 ab",), ("c",), ("",), (None,)], "name string")
+    assert {r["gram"]: r["n"] for r in names.ngram_counts(df, "name").collect()} == {"ab": 4}
+    assert {r["gram"]: r["n"] for r in names.ngram_counts(df, "name", least=1).collect()} == {"ab": 4, "ba": 2, "aba": 2, "bab": 2, "abab": 2}
+
+
+def test_dates_of_workbooks(spark):
+    """Days and times by their cells' styles, in both calendars; a number without such a style stays one, and is no year."""
+    from selvage.functions.columns import date_of
+    from selvage.sources.excel import cells_of
+
+    def dated(epoch):
+        ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        cells = [("A1", 1, "45123"), ("B1", 2, "45123.5"), ("C1", 3, "0.25"), ("D1", 0, "45123"), ("E1", 4, "3"), ("F1", 1, "59"), ("G1", 1, "-4"), ("H1", 9, "7")]
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://x"><workbookPr date1904="{epoch}"/><sheets><sheet name="s" sheetId="1" r:id="r1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+            z.writestr("xl/styles.xml", f"<styleSheet {ns}><numFmts><numFmt numFmtId=\"170\" formatCode=\"yyyy/m/d\\ hh:mm\"/><numFmt numFmtId=\"171\" formatCode='0.0\"days\"'/></numFmts><cellXfs>" + "".join(f'<xf numFmtId="{n}"/>' for n in (0, 14, 170, 20, 171)) + "</cellXfs></styleSheet>")
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1">' + "".join(f'<c r="{at}" s="{s}"><v>{v}</v></c>' for at, s, v in cells) + "</row></sheetData></worksheet>")
+        return [c[3] for c in cells_of(out.getvalue())]
+
+    assert dated(0) == ["2023-07-16", "2023-07-16 12:00:00", "06:00:00", "45123", "3", "1900-02-28", "-4", "7"]
+    assert dated(1)[:2] == ["2027-07-17", "2027-07-17 12:00:00"]
+    got = spark.createDataFrame([("45123",), ("2023-07-16",), ("20230716",), ("20230716.0",), ("2023-07-16 12:00:00",), ("0001-01-01",), (None,)], "d string").select(date_of(F.col("d")).alias("d")).collect()
+    assert [str(r["d"]) for r in got] == ["None", "2023-07-16", "2023-07-16", "2023-07-16", "2023-07-16", "None", "None"]
+
+
 def test_vocabulary_drops_fragments(spark):
     df = spark.createDataFrame([(f"small{n}",) for n in range(5)] + [("mall",)] * 1 + [(f"all{n}",) for n in range(9)], "name string")
     kept = {r["gram"] for r in names.learn_vocabulary(names.ngram_counts(df, "name")).collect()}

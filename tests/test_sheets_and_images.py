@@ -63,11 +63,14 @@ def test_variants_and_near_keys(spark):
 def test_surveys(spark):
     df = spark.createDataFrame([("1", "喜歡；其他", ""), ("2", None, "x"), ("1", "喜歡；其他", "")], "`Q1 你的 編號` string, `Q2 原因（可複選）` string, extra string")
     rows = survey.read_export(df, {"shop": ["編號"], "reason": ["原因", "複選"], "none": ["zzz"]}, "f")
-    assert rows.columns == ["shop", "reason", "none", "response_id"] and rows.select("response_id").distinct().count() == 2
+    assert rows.columns == ["shop", "reason", "none", "response_id"] and rows.select("response_id").distinct().count() == 3
     codes = rows.select(survey.codes_of(F.regexp_replace("reason", "；", ";"), {"喜歡": "LIKE"}).alias("c")).collect()
     assert [r["c"] for r in codes] == [["LIKE", "其他"], [], ["LIKE", "其他"]]
     fresh, counts = survey.append_new(rows, rows.where("shop = '2'"))
-    assert counts == {"new": 1, "repeated": 2} and fresh.first()["shop"] == "1"
+    assert counts == {"new": 2, "repeated": 1} and [r["shop"] for r in fresh.collect()] == ["1", "1"]  # two people who answered alike
+    assert survey.append_new(survey.read_export(df, {"shop": ["編號"], "reason": ["原因", "複選"], "none": ["zzz"]}, "f"), rows)[1] == {"new": 0, "repeated": 3}
+    placed = survey.read_export(df.withColumn("row", F.monotonically_increasing_id()), {"shop": ["編號"], "response_id": ["zzz"]}, "f", row="row")
+    assert placed.columns == ["shop", "response_id"] and placed.select("response_id").distinct().count() == 3
 
 
 def test_signatures_and_palettes(spark):
