@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from selvage.functions.columns import settled
-from selvage.operators import beat, hamming, inliers, near_keys, palettes, rasters, visual
-from selvage.sources import carve
+from selvage.functions import colour
+from selvage.functions.columns import let, settled
+from selvage.operators import beat, hamming, inliers, near_keys, palettes, rasters, retrieval, visual
+from selvage.sources import carve, files
 
 from .adapter import read
-from .search import EVERY
+from .search import EVERY, SWATCH_SQL, TERMS, swatches
 
 QUERIES, ORACLES = {}, {}
 
@@ -24,6 +25,10 @@ def query(sql: str):
     return keep
 
 
+TERM_SCORES_SQL = f"""t AS (SELECT * FROM (VALUES {", ".join(f"('{t}', {c}::DOUBLE)" for t, c in TERMS.items())}) v(term, conf)), c AS (SELECT term, conf, count(*) AS n, count(*) FILTER (WHERE contains(p_name, term)) AS k FROM part, t GROUP BY term, conf),
+  s AS (SELECT p_partkey AS sku, round_even(sum(CASE WHEN contains(p_name, term) THEN ln((n + 1) / (k + 1)) * conf ELSE 0 END), 6) AS score FROM part, c GROUP BY 1)"""
+
+
 # --- codes -----------------------------------------------------------------------------------------------------------
 
 
@@ -60,6 +65,40 @@ def images_by_layer(spark, sf_dir):
     return found.select("sku", "found", "path")
 
 
+@query(f"""WITH s AS (SELECT *, 'KA' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS sku FROM part), i AS (SELECT DISTINCT {PATHS_SQL} AS path FROM s),
+  n AS (SELECT path, regexp_extract(path, '([^/]+)$', 1) AS name, regexp_extract(path, '([^/]+)/[^/]+$', 1) AS folder FROM i WHERE path IS NOT NULL),
+  m AS (SELECT path, regexp_extract(name, '(KA[0-9]{{7}})', 1) AS sku, regexp_extract(name, 'KA[0-9]{{7}}[_-]?([^.]*)\\.', 1) AS view, folder FROM n WHERE regexp_matches(name, 'KA[0-9]{{7}}'))
+  SELECT path, sku, view, substr(sku, 1, 5) AS season_code, regexp_extract(folder, '(KA[0-9]{{3}})', 1) NOT IN ('', substr(sku, 1, 5)) AS misfiled, row_number() OVER (PARTITION BY sku ORDER BY view, path) = 1 AS is_primary FROM m""")
+def image_manifest(spark, sf_dir):
+    """Sku, view and season of the parts' images by their names, and each sku's one primary image."""
+    parts = read(spark, sf_dir, "part").withColumn("sku", F.concat(F.lit("KA"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")))
+    listed = parts.select(F.expr(PATHS_SQL).alias("path")).distinct()
+    listed = listed.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"))
+    return files.image_manifest(listed).select("path", "sku", "view", "season_code", "misfiled", "is_primary")
+
+
+@query("SELECT p_brand AS brand, count(*) AS n, CASE WHEN count(*) > 1 THEN round_even(0.01::DOUBLE * sqrt(2 * ln(count(*))), 6) ELSE 0 END AS penalty FROM part GROUP BY 1")
+def reference_penalties(spark, sf_dir):
+    """What the best of a brand's parts gains by their number alone."""
+    rows = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("n"))
+    return rows.withColumn("penalty", F.bround(retrieval.reference_penalty(F.col("n")), 6))
+
+
+@query(f"""WITH {TERM_SCORES_SQL} SELECT sku, score FROM s WHERE score >= (SELECT min(score) FROM (SELECT score FROM s ORDER BY score DESC LIMIT 40))""")
+def word_shortlist(spark, sf_dir):
+    """The forty parts that words score best, with all that tie with the last."""
+    items = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), F.col("p_name").alias("product_name"))
+    return retrieval.shortlist(retrieval.idf_scores(items, TERMS), 40).select("sku", "score")
+
+
+@query(f"""WITH {SWATCH_SQL} SELECT id, hex FROM l""")
+def hex_round_trip(spark, sf_dir):
+    """Colours to LAB and back: each is itself again."""
+    rows = swatches(spark, sf_dir)
+    lightness, a, b = colour.lab_of_hex(F.col("hex"))
+    return rows.select("id", let(lambda v: colour.hex_of_lab(v.lightness, v.a, v.b), lightness=lightness, a=a, b=b).alias("hex"))
+
+
 # --- binary codes and geometry ---------------------------------------------------------------------------------------
 
 CODES_SQL = """c AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS s, embedding AS e FROM embeddings),

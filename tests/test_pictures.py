@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from selvage.operators import beat, palettes, rasters
+from selvage.operators import beat, palettes, rasters, visual
 from selvage.operators.hamming import index_of, load_index, nearest_codes, sign_code, write_index
 from selvage.operators.inliers import consensus, geometric_rerank, good_matches
 from selvage.operators.near_keys import LAYERS, masks, match_images, near_keys
@@ -305,3 +305,13 @@ def test_beats_of_hot_and_odd_series(spark, block):
     found = {r["key"]: r for r in beat.beats(series.where("key is not null"), 2, 20, usual=8, block=block).collect()}
     assert set(found) == {"hot"} and (found["hot"]["lag"], found["hot"]["phase"]) == (7, 3)
     assert beat.beats(series.where("false"), 2, 20, usual=8).collect() == []
+
+
+def test_importance_of_a_planted_feature(spark):
+    """Success follows one feature; another is noise, and its drop stays within a few spreads of nothing."""
+    rng = random.Random(8)
+    rows = [("STAR" if (kind := rng.choice("ab")) == "a" and rng.random() < 0.95 else "POOR", f"s{n}", "S1", kind, rng.choice("xyz")) for n in range(600)]
+    df = spark.createDataFrame(rows, "perf_band string, sku string, season string, telling string, noise string")
+    found = {r["feature"]: r for r in visual.feature_importance(df, ["telling", "noise"], repeats=5, group=40).collect()}
+    assert found["telling"]["importance"] > 0.3 and 0 < found["telling"]["spread"] < 0.15 and found["telling"]["repeats"] == 5
+    assert abs(found["noise"]["importance"]) < 0.05 and found["telling"]["accuracy"] > 0.9
