@@ -3,7 +3,8 @@
 An example is a vector of tokens, segments and loss-bearing tokens, which are its last ones: first comes what the model
 reads, then what it learns to say. A sequence has a limit on each. The open sequence takes, again and again, the example
 with the largest dot product of its demand and the sequence's free room, both as shares of the limits, among those that
-fit. Where none fits whole, the best of those of which a part fits is cut, if cutting is allowed. An example that is over
+fit. Where none fits whole, the best of those of which a part fits is cut, if cutting is allowed. No limit is ever passed;
+which one ends a sequence is up to the scores, and it isn't promised that all are reached. An example that is over
 a limit by itself opens sequences with parts of it, which others then fill. A sequence that can't be filled (the shard's
 examples run out, or a limit other than that of tokens is reached) is dealt into sequences whose sizes are powers of
 two, as those need no padding.

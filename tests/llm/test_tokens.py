@@ -138,11 +138,21 @@ def test_any_examples_keep_all_limits(examples, limits):
 
 
 def test_limits_bind(spark):
-    """Answers of three fifths of each text: sequences end at the limit of loss-bearing tokens, and texts of one line fill them."""
-    rows = [(n, "some words of context " * 30 + "\n" + "an answer of many more words " * 36) for n in range(60)] + [(100 + n, "one line only " * 300) for n in range(40)]
-    pieces = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, end=2, loss="last line", max_segments=32, max_loss=1536).collect()
+    """Where answers are three fifths of all tokens, context can't fill many sequences: most end before their tokens do. Where texts of one line are there too, no limit is passed; which one ends a sequence is up to the scores."""
+    answers = [(n, "some words of context " * 30 + "\n" + "an answer of many more words " * 36) for n in range(60)]
+    lines = [(100 + n, "one line only " * 300) for n in range(40)]
+    packed = lambda rows: pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, end=2, loss="last line", max_segments=32, max_loss=1536)
+    pieces = packed(answers).collect()
     loads = {p["sequence"]: (p["sequence_tokens"], p["sequence_loss"]) for p in pieces}
-    assert max(x[1] for x in loads.values()) == 1536 and sum(x == (4096, 1536) for x in loads.values()) > 3
+    tokens, loss = sum(p["length"] for p in pieces), sum(p["loss_tokens"] for p in pieces)
+    assert sum(n for n, _ in loads.values()) == tokens and sum(x for _, x in loads.values()) == loss > 0.6 * tokens
+    assert all(x <= 1536 and n & (n - 1) == 0 for n, x in loads.values())
+    # a full sequence has 2560 tokens of context at least
+    full = sum(n == 4096 for n, _ in loads.values())
+    assert full <= (tokens - loss) // 2560 < tokens // 4096
+    both = {p["sequence"]: (p["sequence_tokens"], p["sequence_segments"], p["sequence_loss"]) for p in packed(answers + lines).collect()}
+    assert all(n <= 4096 and k <= 32 and x <= 1536 for n, k, x in both.values()) and sum(n == 4096 for n, _, _ in both.values()) > 3
+    assert max(x for _, _, x in both.values()) > 0.95 * 1536
 
 
 def test_limits_hold_in_the_query(spark):
