@@ -43,9 +43,11 @@ def _fitted(matches: np.ndarray) -> np.ndarray:
     left = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y], -1), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y], -1)], 1)
     right = np.concatenate([u, v], 1)[..., None]
     square, side = (left, right) if left.shape[1] == 8 else (np.swapaxes(left, 1, 2) @ left, np.swapaxes(left, 1, 2) @ right)
-    with np.errstate(all="ignore"):
-        scale = np.abs(square).max((1, 2), keepdims=True)
-        sound = np.abs(np.linalg.det(square / np.where(scale > 0, scale, 1))) > 1e-18
+    # what is solved is what the determinant is of: one that has a zero pivot has the determinant 0
+    scale = np.abs(square).max((1, 2), keepdims=True)
+    scale[scale == 0] = 1
+    square, side = square / scale, side / scale
+    sound = np.abs(np.linalg.det(square)) > 1e-18
     out = np.full((len(matches), 9), np.nan)
     if sound.any():
         out[sound, :8] = np.linalg.solve(square[sound], side[sound])[..., 0]

@@ -122,6 +122,9 @@ def test_planted_homographies_are_found():
     assert consensus(np.tile(matches[:1], (9, 1)), 1) == 0  # one match many times has no homography
     line = np.stack([np.arange(9.0), np.arange(9.0), np.arange(9.0), np.arange(9.0)], 1)
     assert consensus(line, 1) in (0, 9)  # points on a line
+    for seed in range(60):  # points of a small grid, many of them in line or in one place
+        grid = rng.integers(0, 8, (int(rng.integers(4, 14)), 4)).astype(float)
+        assert 0 <= consensus(grid, seed) <= len(grid)
 
 
 def test_rerank_by_geometry(spark):
