@@ -92,15 +92,20 @@ def consensus(matches: np.ndarray, seed: int, tolerance: float = TOLERANCE, trie
     return most
 
 
-@F.pandas_udf(LongType())
-def inliers(matches: pd.Series, seed: pd.Series) -> pd.Series:
+def inliers(matches: Column, seed: Column, tolerance: float = TOLERANCE) -> Column:
     """consensus() of each row's matches; null matches have none."""
-    return pd.Series([consensus(np.array([[m[c] for c in ("x", "y", "to_x", "to_y")] for m in own], float).reshape(-1, 4), int(s)) if own is not None else 0 for own, s in zip(matches, seed)], dtype="int64")
 
+    @F.pandas_udf(LongType())
+    def count(matches: pd.Series, seed: pd.Series) -> pd.Series:
+        told = (None if own is None else np.array([[m[c] for c in ("x", "y", "to_x", "to_y")] for m in own], float).reshape(-1, 4) for own in matches)
+        return pd.Series([0 if m is None else consensus(m, int(s), tolerance) for m, s in zip(told, seed)], dtype="int64")
 
-def geometric_rerank(pairs: DataFrame, points: DataFrame, words: int, ratio: int = RATIO) -> DataFrame:
+    return count(matches, seed)
+
+
+def geometric_rerank(pairs: DataFrame, points: DataFrame, words: int, ratio: int = RATIO, tolerance: float = TOLERANCE) -> DataFrame:
     """pairs (query, id) with n_good and n_inliers of their points. points: id, points. A picture without points has none."""
     a, b = points.select(F.col("id").alias("query"), F.col("points").alias("_a")), points.select("id", F.col("points").alias("_b"))
     rows = pairs.join(a, "query", "left").join(b, "id", "left").withColumn("_m", good_matches(F.col("_a"), F.col("_b"), words, ratio))
     n = F.coalesce(F.size("_m"), F.lit(0)).cast("long")
-    return rows.select(*pairs.columns, F.when(n > 0, n).otherwise(F.lit(0)).cast("long").alias("n_good"), inliers("_m", F.xxhash64("query", "id")).alias("n_inliers"))
+    return rows.select(*pairs.columns, F.when(n > 0, n).otherwise(F.lit(0)).cast("long").alias("n_good"), inliers(F.col("_m"), F.xxhash64("query", "id"), tolerance).alias("n_inliers"))

@@ -127,7 +127,7 @@ def raster_points(vector):
 
 def reranked(spark, sf_dir):
     points = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), raster_points(F.col("embedding")).alias("points"))
-    return inliers.geometric_rerank(nearest(spark, sf_dir).select("query", "id"), points, words=1)
+    return inliers.geometric_rerank(nearest(spark, sf_dir).select("query", "id"), points, words=1, tolerance=0.5)
 
 
 @query(f"""WITH {CODES_SQL}, d AS (SELECT id, i, array_to_string(list_transform(range(1, 64), lambda j: CASE WHEN e[(i + j) % 64 + 1] > e[i + 1] THEN '1' ELSE '0' END), '') AS code FROM c, range(64) t(i)),
@@ -140,7 +140,7 @@ def ratio_matches(spark, sf_dir):
 
 @query("")
 def geometric_inliers(spark, sf_dir):
-    """The same with the matches that one homography agrees with."""
+    """The same with the matches that one homography agrees with, to half a pixel."""
     return reranked(spark, sf_dir)
 
 
