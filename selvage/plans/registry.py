@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import findings, more, people, pictures, records, sales_reports, search
+from . import findings, more, people, pictures, records, sales_reports, search, sheets
 
-MODULES = [sales_reports, findings, people, search, more, records, pictures]
+MODULES = [sales_reports, findings, people, search, more, records, pictures, sheets]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 for module in MODULES:
