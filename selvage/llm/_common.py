@@ -17,10 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir if the session has it, else one beside the warehouse."""
+    """The folder that all executors share: spark.checkpoint.dir if the session has it, else one beside the warehouse, unless that is a disk of the driver's own on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared"
+        if not spark.sparkContext.master.startswith("local") and at.startswith(("/", "file:")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
@@ -55,20 +57,22 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def spread_join(rows: DataFrame, other: DataFrame, on: list[str], counts: DataFrame, by: list[str], how: str = "inner", share: int = 1000, salts: int = 64) -> DataFrame:
+def spread_join(rows: DataFrame, other: DataFrame, on: list[str], counts: DataFrame, by: list[str], how: str = "inner", share: int = 1000, salts: int = 64, most: int = 4_000_000) -> DataFrame:
     """rows joined with other (few rows a key) where one key may hold a large part of rows.
 
     counts: `on` and _n, how many rows a key has, or about so many (keys with few may be absent). A key of more than a
-    `share`th of their sum, of which there can't be more than `share`, is dealt to `salts` tasks by a hash of the columns
-    `by`; the rows of `other` for such keys go to each of these tasks."""
-    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()  # two numbers
-    if not total or most * share <= max(total, salts * share):
+    `share`th of their sum, or of more than `most` rows, is dealt to `salts` tasks, or to as many that each has about `most`
+    rows, by a hash of the columns `by`; the rows of `other` for such keys go to each of these tasks. There are at most
+    `share` keys of the first kind and a `most`th of the rows of the second (25,000 of 1e11)."""
+    total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()  # two numbers
+    bound = min(max((total or 0) / share, salts), most)
+    if not total or largest <= bound:
         return rows.join(other, on, how)
-    keys = counts.where(F.col("_n") * share > max(total, salts * share)).select(*on)
-    found = keys.collect()  # fewer than `share`
-    hot = F.broadcast(rows.sparkSession.createDataFrame(found, keys.schema).withColumn("_hot", F.lit(True)))
-    dealt = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("_hot")
-    places = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")
+    keys = counts.where(F.col("_n") > bound).select(*on, F.greatest(F.lit(salts), F.ceil(F.col("_n") / most)).cast("long").alias("_hot"))
+    found = keys.collect()  # as many as the docstring says
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, keys.schema))
+    dealt = rows.join(hot, on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_hot")), F.lit(0).cast("long"))).drop("_hot")
+    places = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0).cast("long"), F.col("_hot") - 1)).otherwise(F.array(F.lit(0).cast("long")))
     spread = other.join(hot, on, "left").withColumn("_salt", F.explode(places)).drop("_hot")
     return dealt.join(spread, [*on, "_salt"], how).drop("_salt")
 

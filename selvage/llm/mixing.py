@@ -76,7 +76,7 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str]
         part = known.where(F.col("_domain") == d).orderBy("_order", "_id").limit(most_docs)
         taken = part if taken is None else taken.unionByName(part)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).where(F.length("_text") <= most_chars)
-    rows = texts.join(F.broadcast(taken), "_id").select("_order", "_text", "_domain").collect()  # at most most_docs rows of each domain
+    rows = texts.join(F.broadcast(taken), "_id").groupBy("_id", "_order", "_domain").agg(F.min("_text").alias("_text")).collect()  # one of each id: at most most_docs rows of each domain
     rows.sort(key=lambda r: (r["_order"], r["_text"]))
     found = [domains.index(r["_domain"]) for r in rows]
     weights = fit([r["_text"] for r in rows], found, len(domains))

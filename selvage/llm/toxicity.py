@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     known = known.withColumn("_order", F.xxhash64("_id"))
     taken = known.where("_y = 1").orderBy("_order", "_id").limit(most_docs).unionByName(known.where("_y = 0").orderBy("_order", "_id").limit(most_docs))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).where(F.length("_text") <= most_chars)
-    rows = texts.join(F.broadcast(taken), "_id").select("_order", "_text", "_y").collect()  # at most 2 * most_docs rows of most_chars
+    rows = texts.join(F.broadcast(taken), "_id").groupBy("_id", "_order", "_y").agg(F.min("_text").alias("_text")).collect()  # one of each id: at most 2 * most_docs rows of most_chars
     rows.sort(key=lambda r: (r["_order"], r["_text"]))
     return fit([r["_text"] for r in rows], [r["_y"] for r in rows], **params)
 

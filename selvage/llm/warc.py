@@ -245,32 +245,71 @@ def parse(data: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
     return out
 
 
-def read_warc(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+_NEXT = "\r\n\r\nWARC/1."
+
+
+def _record(raw: bytes) -> tuple | None:
+    """A record's columns from its bytes without the start of the version; and how many bytes of its block aren't there."""
+    if not raw or not raw.strip():
+        return None
+    head, ended, rest = re.sub(rb"\A(?:WARC/1\.)?\d[^\r\n]*\r\n", b"", raw, count=1).partition(b"\r\n\r\n")
+    headers = _fields(head.decode("utf-8", "replace"))
+    told = {n.lower(): v for n, v in reversed(headers)}
+    size = told.get("content-length", "")
+    size = int(size) if size.isdecimal() else len(rest)
+    whole = bool(ended) and len(rest) >= size and "warc-type" in told
+    row = (told.get("warc-type"), told.get("warc-record-id"), told.get("warc-target-uri"), told.get("warc-date"), [{"name": n, "value": v} for n, v in headers], rest[:size], whole)
+    # a block that begins with a record: its head's end was taken for the separator's
+    return row, (size - len(rest) if ended else size and size + 4) if "warc-type" in told else 0
+
+
+def read_warc(spark: SparkSession, paths: str | list[str], most_bytes: int = 1 << 28) -> DataFrame:
     """Records of WARC files, plain or gzipped: record_type, record_id, target_uri, date, headers, block, and whole.
 
-    The files are read with the end of a record and the start of the next as separator, so no file is held whole. A block
-    that itself holds this separator comes in parts: the first, with whole = false as it is shorter than its
-    Content-Length, and rows without a record id or type, with whole = false. Files may differ in their version."""
+    The files are read with the end of a record and the start of the next as separator, so no file is held whole; pieces
+    that follow in the same split are put together up to a record's Content-Length, so a block may hold records itself.
+    Gzipped files aren't split. What stays open comes as pieces with whole = false: a record that its file ends before, one
+    that lacks more than most_bytes where the separator is found in it, and one of a plain file that holds the separator and
+    crosses the end of a split (the pieces beyond are rows of their own). Files may differ in their version."""
     fields = "record_type string, record_id string, target_uri string, date string, headers array<struct<name:string,value:string>>, block binary, whole boolean"
 
+    def put(rows):
+        columns = list(zip(*rows)) if rows else [[]] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
+
     def work(batches):
+        place, pieces, lacks = None, [], 0  # the record that is open
+
+        def closed():
+            """The open record if it is whole, else its pieces."""
+            found = [_record(b if lacks <= 0 or not n else b[len(_NEXT) :]) for n, b in enumerate([b"".join(pieces)] if lacks <= 0 else pieces)]
+            return [f[0] for f in found if f]
+
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 rows = []
-                for raw in batch.column(0).slice(at, 200).to_pylist():
-                    head, ended, rest = re.sub(rb"\A(?:WARC/1\.)?\d[^\r\n]*\r\n", b"", raw or b"", count=1).partition(b"\r\n\r\n")
-                    headers = _fields(head.decode("utf-8", "replace"))
-                    told = {n.lower(): v for n, v in reversed(headers)}
-                    size = told.get("content-length", "")
-                    size = int(size) if size.isdecimal() else len(rest)
-                    if not raw or not raw.strip():
+                for raw, *own in zip(*(batch.column(k).slice(at, 200).to_pylist() for k in range(3))):
+                    if pieces and own == place:
+                        pieces.append(_NEXT.encode() + (raw or b""))
+                        lacks -= len(pieces[-1])
+                        if lacks <= 0:
+                            rows += closed()
+                            pieces = []
                         continue
-                    rows.append((told.get("warc-type"), told.get("warc-record-id"), told.get("warc-target-uri"), told.get("warc-date"), [{"name": n, "value": v} for n, v in headers], rest[:size], bool(ended) and len(rest) >= size and "warc-type" in told))
-                columns = list(zip(*rows)) if rows else [[]] * len(schema)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
+                    if pieces:  # another file, or another split
+                        rows += closed()
+                        pieces = []
+                    found = _record(raw)
+                    if found and 0 < found[1] <= most_bytes:
+                        place, pieces, lacks = own, [raw], found[1]
+                    elif found:
+                        rows.append(found[0])
+                yield put(rows)
+        if pieces:
+            yield put(closed())
 
     schema = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("block", pa.binary()), ("whole", pa.bool_())])
-    raw = spark.read.option("lineSep", "\r\n\r\nWARC/1.").text(paths).select(F.col("value").cast("binary"))
+    raw = spark.read.option("lineSep", _NEXT).text(paths).select(F.col("value").cast("binary"), "_metadata.file_path", "_metadata.file_block_start")
     return raw.mapInArrow(work, fields)
 
 

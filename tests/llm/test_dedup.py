@@ -1,12 +1,13 @@
 """Near-duplicates and shared lines against plain versions."""
 
+import random
 import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from selvage.llm.line_dedup import drop_shared_lines
+from selvage.llm.line_dedup import LineRuns, drop_shared_lines
 from selvage.llm.minhash_forest import components, near_duplicates, roots
 from selvage.llm.shingles import shingle_sets
 
@@ -166,3 +167,45 @@ def test_shared_lines_equal_the_plain_version(spark, batches, fanout):
     df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, _h1 int")
     got = [(r["doc_id"], r["text"] or "", r["n_lines"], r["n_dropped"]) for r in drop_shared_lines(df, batches=batches, fanout=fanout).collect()]
     assert sorted(got, key=repr) == plain_lines(rows)
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2, 3, 4], [4, 3, 2, 1, 0], [2, 4, 0, 3, 1]])
+def test_runs_are_kept_between_calls(spark, tmp_path, order):
+    rng = random.Random(9)
+    shared = [f"a line that several documents share {n}" for n in range(12)]
+    rows = [(i, "\n".join(rng.sample(shared, 3) + [f"the own line of document {i}", "short"])) for i in range(60)]
+    of = lambda n: spark.createDataFrame([r for r in rows if r[0] % 5 == n], "doc_id long, text string")
+    folder = str(tmp_path / "runs")
+    seen = []
+    for n in order:
+        got = drop_shared_lines(of(n), folder=folder, name=f"batch {n}").collect()
+        seen += [r for r in rows if r[0] % 5 == n]
+        # of a batch, what all batches so far say
+        assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got), key=repr) == [r for r in plain_lines(sorted(seen)) if r[0] % 5 == n]
+    # once more, by another writer: nothing counts twice, and the runs are those of one call over all
+    again = [r for n in range(5) for r in drop_shared_lines(of(n), folder=folder, name=f"batch {n}").collect()]
+    assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in again), key=repr) == plain_lines(rows)
+    runs = LineRuns(spark, folder=folder)
+    assert len(runs.runs()) < 5 and sorted(runs.batches) == [f"batch {n}" for n in range(5)]
+    runs.close()
+    with pytest.raises(ValueError):
+        drop_shared_lines(of(0), folder=folder)
+
+
+def test_lost_call_leaves_runs_as_they_were(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "runs")
+    rows = [(i, "a line that all documents share") for i in range(4)]
+    first, second = (spark.createDataFrame(rows[n : n + 2], "doc_id long, text string") for n in (0, 2))
+    assert [r["n_dropped"] for r in drop_shared_lines(first, folder=folder, name="one").collect()] == [0, 0]
+
+    def lost(self):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(LineRuns, "_tell", lost)
+        with pytest.raises(RuntimeError):
+            drop_shared_lines(second, folder=folder, name="two")
+    runs = LineRuns(spark, folder=folder)
+    assert runs.batches == ["one"] and [r["n_docs"] for r in runs.entries(runs.runs()).collect()] == [2]
+    runs.close()
+    assert sorted(r["n_dropped"] for r in drop_shared_lines(second, folder=folder, name="two").collect()) == [0, 1]

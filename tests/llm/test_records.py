@@ -252,6 +252,23 @@ def test_files_are_read_by_spark(spark, tmp_path, packed):
     assert sorted(r["record_id"] for r in again.collect()) == sorted(r["record_id"] for r in warc.derivatives(warc.responses_of(pages, "2024-01-01T00:00:00Z")).collect())
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_records_within_blocks_stay_whole(spark, tmp_path, packed):
+    def record(name, block, size=None):
+        return warc.to_bytes([("WARC-Type", "resource"), ("WARC-Record-ID", name), ("Content-Length", str(len(block) if size is None else size))], block)
+
+    inner = record("<inner>", b"inner block")
+    blocks = {"<a>": b"plain", "<b>": inner + record("<c>", inner), "<d>": b"x\r\n\r\nWARC/1.", "<e>": b"", "<f>": b"\r\n\r\nWARC/1.\r\n\r\nWARC/1.0\r\n", "<g>": b"last"}
+    data = b"".join(record(n, b) for n, b in blocks.items())
+    cut = record("<h>", b"one\r\n\r\nWARC/1.two", 5000)
+    (tmp_path / f"x.warc{'.gz' if packed else ''}").write_bytes(gzip.compress(data) if packed else data)
+    (tmp_path / f"y.warc{'.gz' if packed else ''}").write_bytes(gzip.compress(cut) if packed else cut)
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    assert {r["record_id"]: bytes(r["block"]) for r in rows if r["whole"]} == blocks
+    # the file ends before the record does: its pieces, none of them whole
+    assert [r["record_id"] for r in rows if not r["whole"]].count("<h>") == 1 and len(rows) == len(blocks) + 2
+
+
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
