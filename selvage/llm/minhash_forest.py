@@ -4,14 +4,16 @@ Each text has one signature of minima. A tree of the forest orders the texts by
 place and going round; the neighbours of a text are those with the longest common prefix. A region is what shares a
 prefix: it starts at `shallow` minima and, while it holds more than `region` texts, is cut at a greater depth, so dense
 parts of the order are compared at long prefixes first, and sparse parts at short ones. A region that is cut also
-compares each of its texts with its smallest one; when the links of these pairs are known, all texts of a cut region
-that are still in different groups are compared, in blocks, so what lies on both sides of a cut is compared whole. That
-takes time by the square of a region's texts only where it holds more than one group.
+compares each of its texts with its smallest one. When the links of these pairs are known, the texts of all cut regions
+that still hold several groups are joined on their rarest shingles, a prefix filter that loses no link, so what lies on
+both sides of a cut is compared whole, and no region's texts meet all others.
 
 Within a region the signatures estimate all likenesses; the surely alike are reduced to a spanning tree, and of the
 rest all pairs go on that are not surely below the threshold. Pairs are confirmed on full sets in rounds: first the
-best one of each text, then all that still join different groups. A cut region's blocks confirm their pairs where they
-meet, and tell only the links that join groups.
+best one of each text, then all that still join different groups.
+
+The order of shingles is by the number of texts in their bucket, one of `buckets` (8 MB to every task, whatever the
+corpus), and then by hash: any order is exact, a finer one only makes fewer candidates.
 
 Copies (equal sets) are one node from the start, so a group of copies never meets in one task.
 
@@ -190,81 +192,82 @@ def _with_hubs(stars: DataFrame, nodes: DataFrame, threshold: float, count: int)
     return _hub_pairs(met.select("_node", "_n", "_sig", "_hub", "_hub_n", "_hub_sig"), threshold, count)
 
 
-def _rest_links(cut: DataFrame, nodes: DataFrame, groups: DataFrame, rows: DataFrame, sets: DataFrame, threshold: float, count: int, block: int, words: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """a, b: groups (node, label) of which texts of one region (_h, _node) are linked; and tables to discard in the end.
+def _commonness(texts: DataFrame, words: int, buckets: int) -> np.ndarray:
+    """How many texts hold a shingle of each bucket (its hash, modulo `buckets`, a power of two): counted in each task first. texts: _text."""
 
-    The texts of a region of several groups are dealt to blocks of about `block` texts: a group of half a block or more
-    has blocks of its own, the others share some by a hash. Each two blocks meet in one task, but for those of one group,
-    so a task holds about 2 * block texts. It compares all signatures, confirms the pairs that aren't surely below the
-    threshold on full sets, the likeliest first, and tells one link for each two groups that it joins."""
-    least = threshold - 4.2 * (threshold * (1 - threshold) / count) ** 0.5
+    def work(batches):
+        held = np.zeros(buckets, np.int64)
+        for batch in slices(batches):
+            for run in chunks([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]):
+                held += np.bincount((shingle_sets(run, words)[0] & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+        full = np.flatnonzero(held)
+        for at in range(0, len(full), 50_000):
+            part = full[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[part])], names=["_bucket", "_c"])
+
+    found = texts.select("_text").mapInArrow(work, "_bucket long, _c long").groupBy("_bucket").agg(F.sum("_c").alias("_c")).toArrow()  # `buckets` rows at most
+    out = np.zeros(buckets, np.int64)
+    out[found["_bucket"].to_numpy()] = found["_c"].to_numpy()
+    return out
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        labels, group = np.unique(frame["_group"].to_numpy(), return_inverse=True)
-        n = frame["_n"].to_numpy()
-        one, two = (np.flatnonzero((frame["_own"] == frame[c]).to_numpy()) for c in ("_i", "_j"))
-        above, links = np.arange(len(labels)), []
 
-        def top(i: int) -> int:
-            while above[i] != i:
-                above[i] = above[above[i]]
-                i = above[i]
-            return i
+def _prefixes(texts: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
+    """_s, _node, _group, _n, _place, _first: the rarest shingles of each text, in order of their bucket's texts and then their hash. texts: _node, _group, _text.
+
+    Of two linked texts, the smaller one shares one of its first n - ceil(2pn / (100 + p)) + 1 shingles (_first) with the
+    first n - ceil(pn / 100) + 1 of the other, as the order is the same for all. A shingle that is alone in its bucket meets none."""
+    shared = texts.sparkSession.sparkContext.broadcast(common)
+
+    def work(batches):
+        counts = shared.value
+        for batch in slices(batches):
+            at = 0
+            for run in chunks([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]):
+                sets, sizes = shingle_sets(run, words)
+                ends, out = np.cumsum(sizes), []
+                for i, n in enumerate(sizes.tolist()):
+                    own = sets[ends[i] - n : ends[i]]
+                    times = counts[(own & np.uint64(len(counts) - 1)).astype(np.int64)]
+                    order = np.lexsort((own, times))[: n + percent * -n // 100 + 1]
+                    place = np.flatnonzero(times[order] > 1)
+                    first = place < n + 2 * percent * -n // (100 + percent) + 1
+                    out.append((own[order[place]].view(_SIGNED), np.full(len(place), i), place, first))
+                s, i, place, first = (np.concatenate(x) for x in zip(*out))
+                row = pa.array(at + i)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(s), batch.column(0).take(row), batch.column(1).take(row), pa.array(sizes[i]), pa.array(place), pa.array(first)],
+                    names=["_s", "_node", "_group", "_n", "_place", "_first"],
+                )
+                at += len(run)
+
+    return texts.select("_node", "_group", "_text").mapInArrow(work, "_s long, _node long, _group long, _n long, _place long, _first boolean")
+
+
+def _rest_pairs(cut: DataFrame, nodes: DataFrame, groups: DataFrame, rows: DataFrame, sets: DataFrame, threshold: float, count: int, buckets: int, words: int, percent: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """a, b, alike: all pairs of different groups that may be linked, among the texts (_h, _node) of regions of several groups; these texts (_node, _text); and tables to discard in the end.
 
-        if len(labels) > 1:
-            sig = np.frombuffer(b"".join(frame["_sig"]), ">u4").reshape(-1, count).astype(np.uint32)
-            left, right = np.ascontiguousarray(sig[one].T), np.ascontiguousarray(sig[two].T)
-            same = np.zeros((len(one), len(two)), np.int16)
-            for x, y in zip(left, right):
-                same += x[:, None] == y
-            keep = (same >= least * count) & (group[one][:, None] != group[two])
-            keep &= np.minimum(n[one][:, None], n[two]) >= threshold * np.maximum(n[one][:, None], n[two])
-            p, q = np.nonzero(keep)
-            order = np.argsort(-same[p, q], kind="stable")
-            p, q, texts, known = one[p[order]], two[q[order]], frame["_text"], {}
-
-            def shingles(i: int) -> np.ndarray:
-                if i not in known:
-                    known[i] = shingle_sets([texts.iat[i].encode("utf-8", "surrogatepass")], words)[0]
-                return known[i]
-
-            for i, j in zip(p.tolist(), q.tolist()):
-                x, y = top(group[i]), top(group[j])
-                if x != y:
-                    a, b = shingles(i), shingles(j)
-                    inner = len(np.intersect1d(a, b, assume_unique=True))
-                    if 100 * inner >= percent * (len(a) + len(b) - inner):
-                        above[max(x, y)] = min(x, y)
-                        links.append((int(labels[max(x, y)]), int(labels[min(x, y)])))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    alone = F.lit(_NO_ID)
+    A prefix join: texts meet by their rarest shingles only, so what thousands share is no key. Of the texts of a shingle,
+    those outside of its largest group meet all others, so the texts of one group never meet each other by its pairs."""
     rest = written(cut.join(groups.withColumnRenamed("node", "_node"), "_node", "left").select("_h", "_node", F.coalesce("label", "_node").alias("_group")), "rest")
-    sizes = written(rest.groupBy("_h", "_group").agg(F.count("*").alias("_own_size")), "sizes")
-    large = F.col("_own_size") * 2 >= block
-    of_region = sizes.groupBy("_h").agg(
-        F.count("*").alias("_groups"),
-        F.coalesce(F.sum(F.when(~large, F.col("_own_size"))), F.lit(0)).alias("_small"),
-        F.collect_list(F.when(large, F.struct(F.col("_group").alias("g"), F.ceil(F.col("_own_size") / block).alias("n")))).alias("_large"),  # at most two for each block of the region's texts
-    )
-    of_region = written(of_region.where("_groups > 1"), "regions")
-    places = written(spread_join(sizes, of_region, ["_h"], of_region.select("_h", F.col("_groups").alias("_n")), ["_group"]), "places")
-    asked = written(spread_join(rest, places, ["_h", "_group"], places.select("_h", "_group", F.col("_own_size").alias("_n")), ["_node"]).drop("_groups"), "asked")
-    texts = _texts_for(rows, asked.select(F.col("_node").alias("_id")).distinct(), sets)
-    used = [rest, sizes, of_region, places, asked, texts]
-    name = lambda g, k: F.concat_ws(":", g, k)
-    n_small = F.ceil(F.col("_small") / block)
-    own = F.when(large, name(F.col("_group"), F.floor(F.pmod(F.xxhash64("_node"), F.col("_own_size")) / block))).otherwise(name(alone, F.pmod(F.xxhash64("_group"), F.greatest(n_small, F.lit(1)))))
-    shared = F.when(n_small > 0, F.transform(F.sequence(F.lit(0).cast("long"), n_small - 1), lambda k: name(alone, k))).otherwise(F.array().cast("array<string>"))
-    # no block of a large group meets one of the same
-    others = F.filter("_large", lambda x: ~large | (x["g"] != F.col("_group")))
-    others = F.concat(shared, F.flatten(F.transform(others, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["n"] - 1), lambda k: name(x["g"], k)))))
-    # a text meets its signature and its words once, with all its regions, of which it has one at most in each tree
-    of_text = asked.groupBy("_node").agg(F.collect_list(F.struct("_h", "_group", "_own_size", "_small", "_large")).alias("_at"))
-    met = of_text.join(nodes, "_node").join(texts, "_node").withColumn("_at", F.explode("_at")).select("_node", "_n", "_sig", "_text", "_at.*")
-    met = met.withColumn("_own", own).withColumn("_other", F.explode(others))
-    met = met.select("_h", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_group", "_node", "_n", "_sig", "_text")
-    return written(met.groupBy("_h", "_i", "_j").applyInPandas(work, "a long, b long").distinct(), "links"), used
+    mixed = written(rest.groupBy("_h").agg(F.min("_group").alias("_least"), F.max("_group").alias("_most"), F.count("*").alias("_n")).where("_least <> _most").select("_h", "_n"), "regions")
+    asked = written(spread_join(rest, mixed.select("_h"), ["_h"], mixed, ["_node"]).select("_node", "_group").distinct(), "asked")
+    texts = _texts_for(rows, asked.select(F.col("_node").alias("_id")), sets)
+    with small_batches(rows.sparkSession):
+        common = _commonness(texts, words, buckets)
+        keys = written(_prefixes(texts.join(asked, "_node"), words, percent, common), "prefixes")
+    of_group = keys.groupBy("_s", "_group").agg(F.count("*").alias("_c"))
+    of_key = written(of_group.groupBy("_s").agg(F.max_by("_group", F.struct("_c", "_group")).alias("_top"), F.count("*").alias("_groups"), F.sum("_c").alias("_n")).where("_groups > 1").drop("_groups"), "keys")
+    shared = written(spread_join(keys, of_key.select("_s", "_top"), ["_s"], of_key.select("_s", "_n"), ["_node"]), "shared")
+    one = shared.where("_group <> _top").select("_s", *[F.col(c).alias(f"{c}1") for c in ("_node", "_group", "_n", "_place", "_first")])
+    met = spread_join(shared, one, ["_s"], of_key.select("_s", "_n"), ["_node"]).where((F.col("_group") != F.col("_group1")) & ((F.col("_group") == F.col("_top")) | (F.col("_node") < F.col("_node1"))))
+    small, large = F.least("_n", "_n1"), F.greatest("_n", "_n1")
+    # what both have from here on, at most
+    left = F.least(F.col("_n") - F.col("_place"), F.col("_n1") - F.col("_place1"))
+    first = F.when(F.col("_n") < F.col("_n1"), F.col("_first")).when(F.col("_n") > F.col("_n1"), F.col("_first1")).otherwise(F.col("_first") & F.col("_first1"))
+    met = met.where((100 * small >= percent * large) & (left * (100 + percent) >= percent * (small + large)) & first)
+    pairs = met.select(F.col("_node"), F.col("_node1").alias("_hub"))
+    out = written(_with_hubs(pairs, nodes, threshold, count), "pairs")
+    return out, texts, [rest, mixed, asked, texts, keys, of_key, shared, out]
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -353,7 +356,7 @@ def _texts_for(rows: DataFrame, ids: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, trees: int = 16, count: int = 128, region: int = 40, shallow: int = 2, block: int = 500) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, trees: int = 16, count: int = 128, region: int = 40, shallow: int = 2, buckets: int = 1 << 20) -> DataFrame:
     """df with n_shingles, component_id (the smallest id reachable over links) and kept (whether that is the row's own id)."""
     threshold, out_of = percent / 100, ("n_shingles", "component_id", "kept")
     ident, text_hash = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), F.xxhash64(F.col(text))
@@ -368,7 +371,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     texts = _texts_for(rows, pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), sets)
     used = [*levels, pairs, texts]
 
-    def links_of(asked: DataFrame) -> DataFrame:
+    def links_of(asked: DataFrame, texts: DataFrame = texts) -> DataFrame:
         with small_batches(df.sparkSession):
             return written(confirmed(asked, texts, words, percent).distinct(), "links")
 
@@ -376,9 +379,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     groups = roots(links_of(best).select(F.col("a").alias("node"), F.col("b").alias("label")))
     groups = _onward(groups, links_of(_between(pairs, groups)))
     if cut is not None:
-        links, more = _rest_links(cut, nodes, groups, rows, sets, threshold, count, block, words, percent)
-        used += [links, *more]
-        groups = _onward(groups, links)
+        more, near, tables = _rest_pairs(cut, nodes, groups, rows, sets, threshold, count, buckets, words, percent)
+        used += tables
+        if more.head(1):
+            # the likeliest of each text first, then those of groups that are still apart
+            likeliest = _between(more, groups).groupBy("a").agg(F.max_by(F.struct("b", "ka", "kb"), F.struct("alike", -F.col("b"))).alias("_p")).select("a", "_p.*")
+            groups = _onward(groups, links_of(likeliest, near))
+            groups = _onward(groups, links_of(_between(more, groups), near))
     component = F.coalesce("label", "_node")
     sets_labels = sets.select("_s1", "_s2", "_node").join(groups.withColumnRenamed("node", "_node"), "_node", "left").select("_s1", "_s2", component.alias("_component"))
 

@@ -95,7 +95,7 @@ def grown(family, n=80):
 def test_what_a_cut_parts_is_joined_by_any_pair(spark):
     """Groups of one dense region whose links are with none of the region's smallest texts."""
     families = [grown(f) for f in range(1, 25)]
-    out = near_duplicates(spark.createDataFrame([r for f in families for r in f], "doc_id long, text string"), region=6, block=30).collect()
+    out = near_duplicates(spark.createDataFrame([r for f in families for r in f], "doc_id long, text string"), region=6, buckets=1 << 12).collect()
     expected = {i: c for f in families for i, c in plain_components(f).items()}
     assert {r["doc_id"]: r["component_id"] for r in out} == expected
 
@@ -116,7 +116,7 @@ def test_no_link_is_lost_among_templates(spark):
                 near[k] = f"n{len(rows)}x{k}"
             rows.append(near)
     rows = [(int(i), " ".join(t)) for i, t in zip(random.permutation(len(rows)), rows)]
-    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), region=8, block=60).collect()
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), region=8, buckets=1 << 8).collect()
     expected = plain_components(rows)
     assert len(set(expected.values())) > 200
     assert {r["doc_id"]: r["component_id"] for r in out} == expected
