@@ -141,6 +141,16 @@ def quantiles(df: DataFrame, keys: list[str], metric: str, shares: list[float])
     return found.select(*keys, between.alias("_edges"), "_n")
 
 
+def with_medians(found: DataFrame, df: DataFrame, keys: list[str], metrics: dict[str, str]) -> DataFrame:
+    """found (one row for each of df's keys) with the exact medians of df's metrics, as columns named by `metrics`' keys; null where a group has no value. All metrics go through one exchange, and no group is held in memory."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(to).alias("_name"), F.col(m).cast("double").alias("_metric")) for to, m in metrics.items()]))
+    long = df.select(*keys, pairs.alias("_pair")).select(*keys, "_pair.*")
+    middle = quantiles(long, [*keys, "_name"], "_metric", [0.5])
+    wide = middle.groupBy(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)]).agg(*[F.max(F.when(F.col("_name") == to, F.col("_edges")[0])).alias(to) for to in metrics])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)])
+    return found.join(wide, same, "left").drop(*[f"_k{n}" for n in range(len(keys))])
+
+
 def quantile_edges(df: DataFrame, keys: list[str], metric: str, bins: int, least: int) -> DataFrame:
     """keys, _edges (distinct, ascending), _n for groups of `least` rows or more."""
     edges = quantiles(df, keys, metric, [n / bins for n in range(bins + 1)])

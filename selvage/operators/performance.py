@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from selvage.functions.columns import with_medians
+
 BANDS = ["STAR", "CORE", "STEADY", "SLOW", "EXCLUDED"]
 MIN_STOCK, MIN_WEEKS = 30, 4
 
@@ -36,14 +38,14 @@ def grade(master: DataFrame, by: tuple[str, ...] = ("season", "category"), metri
 
 def summary_by_group(graded: DataFrame, by: tuple[str, ...] = ("season", "category")) -> DataFrame:
     """Styles, sums and medians of each group, and the styles of each band in columns of their own."""
-    return graded.groupBy(*by).agg(
+    found = graded.groupBy(*by).agg(
         F.countDistinct("sku").alias("n_styles"),
         F.sum("stock_in").alias("stock_in"),
         F.sum("net_sales_qty").alias("net_sales_qty"),
-        F.bround(F.median("sell_through_rate"), 4).alias("median_sell_through"),
-        F.bround(F.median("weeks_on_sale"), 4).alias("median_weeks"),
         *[F.countDistinct(F.when(F.col("perf_band") == b, F.col("sku"))).alias(b.lower()) for b in BANDS],
     )
+    found = with_medians(found, graded, list(by), {"median_sell_through": "sell_through_rate", "median_weeks": "weeks_on_sale"})
+    return found.withColumns({m: F.bround(m, 4) for m in ("median_sell_through", "median_weeks")})
 
 
 def top_and_bottom(graded: DataFrame, n: int = 20, by: str = "category") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from selvage.functions.columns import narrow_forms, ratio
+from selvage.functions.columns import narrow_forms, ratio, with_medians
 
 
 def gap(df: DataFrame, book: str = "stock_on_hand", floor: str = "stock_on_hand_alt", base: str = "stock_in", units: float = 2, share: float = 0.02) -> DataFrame:
@@ -56,6 +56,6 @@ def reissue_families(graded: DataFrame, family: list[str], least: float = 10) ->
 
 def drift(df: DataFrame, metric: str, by: str = "category") -> DataFrame:
     """Median of the metric for each group and season, and its change from the season before, by the seasons' order."""
-    medians = df.groupBy(by, "season").agg(F.median(metric).alias("median"), F.count("*").alias("n"))
+    medians = with_medians(df.groupBy(by, "season").agg(F.count("*").alias("n")), df, [by, "season"], {"median": metric})
     before = F.lag("median").over(Window.partitionBy(by).orderBy("season"))
     return medians.select(by, "season", "n", F.bround("median", 6).alias("median"), F.bround(F.col("median") - before, 6).alias("change"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from selvage.functions.columns import dot, ratio, settled
+from selvage.functions.columns import dot, quantiles, ratio, settled, with_medians
 
 from .retrieval import against_all
 
@@ -65,20 +65,23 @@ def palette_distance(a: Column, b: Column) -> Column:
 
 def colour_accuracy(measured: DataFrame) -> DataFrame:
     """measured: style, declared, matched, delta_e. Exact and family (first digit) accuracy, and how far off."""
-    return measured.agg(
+    measured = settled(measured)
+    off = quantiles(measured, [], "delta_e", [0.5, 0.9]).select(F.bround(F.col("_edges")[0], 6).alias("median_delta_e"), F.bround(F.col("_edges")[1], 6).alias("p90_delta_e"))
+    found = measured.agg(
         F.count("*").alias("n"),
         F.bround(F.avg((F.col("declared") == F.col("matched")).cast("double")), 6).alias("exact"),
         F.bround(F.avg((F.substring("declared", 1, 1) == F.substring("matched", 1, 1)).cast("double")), 6).alias("family"),
-        F.bround(F.median("delta_e"), 6).alias("median_delta_e"),
-        F.bround(F.percentile("delta_e", F.lit(0.9)), 6).alias("p90_delta_e"),
         F.countDistinct("declared", "matched").alias("n_pairs"),
     )
+    return found.join(F.broadcast(off), F.lit(True), "left")  # one row beside one row
 
 
 def per_code(measured: DataFrame, least: int = 8) -> DataFrame:
     """Each declared code: median over styles of the styles' medians, accuracy, and whether it can be calibrated."""
-    styles = measured.groupBy("style", "declared").agg(F.median("delta_e").alias("_d"), F.avg((F.col("declared") == F.col("matched")).cast("double")).alias("_a"))
-    return styles.groupBy("declared").agg(F.count("*").alias("n_styles"), F.bround(F.median("_d"), 6).alias("delta_e"), F.bround(F.avg("_a"), 6).alias("accuracy"), (F.count("*") >= least).alias("calibratable"))
+    styles = measured.groupBy("style", "declared").agg(F.avg((F.col("declared") == F.col("matched")).cast("double")).alias("_a"))
+    styles = with_medians(styles, measured, ["style", "declared"], {"_d": "delta_e"})
+    codes = styles.groupBy("declared").agg(F.count("*").alias("n_styles"), F.bround(F.avg("_a"), 6).alias("accuracy"), (F.count("*") >= least).alias("calibratable"))
+    return with_medians(codes, styles, ["declared"], {"delta_e": "_d"}).withColumn("delta_e", F.bround("delta_e", 6))
 
 
 def attribute_coverage(tags: DataFrame, attributes: list[str]) -> DataFrame:

@@ -83,3 +83,13 @@ def test_hex_round_trip(spark):
     rows = df.select("h", lab[0].alias("l"), lab[1].alias("a"), lab[2].alias("b"))
     rows = rows.select("h", "l", colour.hex_of_lab(F.col("l"), F.col("a"), F.col("b")).alias("back")).collect()
     assert all(r["back"] == (r["h"] if r["l"] is not None else None) for r in rows) and sum(r["l"] is None for r in rows) == 2
+
+
+def test_medians_equal_sparks_own(spark):
+    """Null keys, groups without a value, ties and empty tables."""
+    rows = [(k, float(v) if v % 5 else None, v % 3) for n, k in enumerate(["a", "b", None]) for v in range(n, 40, n + 2)] + [("c", None, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y int")
+    found = columns.with_medians(df.groupBy("k").agg(F.count("*").alias("n")), df, ["k"], {"x": "x", "y": "y"})
+    expected = df.groupBy("k").agg(F.count("*").alias("n"), F.median("x").alias("x"), F.median("y").alias("y"))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, expected.collect()), key=repr)
+    assert columns.with_medians(df.limit(0).groupBy("k").agg(F.count("*").alias("n")), df.limit(0), ["k"], {"x": "x"}).collect() == []
