@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from selvage.functions.columns import dot, quantiles, ratio, settled, with_medians
 
-from .retrieval import against_all
+from . import grid
 
 
 def signature_distance(a: Column, b: Column, cells: int, spreads: int, weight: float = 0.5) -> Column:
@@ -23,13 +25,71 @@ def signature_distance(a: Column, b: Column, cells: int, spreads: int, weight: f
     return mean + weight * F.coalesce(ratio(F.aggregate(tail, F.lit(0.0), lambda s, d: s + d), F.size(tail)), F.lit(0.0))
 
 
-def nearest_signatures(windows: DataFrame, library: DataFrame, cells: int, spreads: int, top: int = 10) -> DataFrame:
-    """windows: query, window, q (a stated set); library: id, signature. The nearest of each query by its best window."""
-    # a query's windows, which are few, meet a row of the library together, so pairs aren't grouped again
-    queries = windows.groupBy("query").agg(F.collect_list(F.struct("window", "q")).alias("_windows"))
-    apart = F.transform("_windows", lambda w: F.struct(F.bround(signature_distance(w["q"], F.col("signature"), cells, spreads), 5).alias("distance"), w["window"].alias("window")))
-    nearest = F.array_min(F.filter(apart, lambda x: x["distance"].isNotNull()))
-    best = against_all(queries, library, F.lit(True)).select("query", "id", nearest.alias("_b")).where("_b is not null").select("query", "id", "_b.distance", "_b.window")
+def _apart(a: np.ndarray, b: np.ndarray, cells: int, spreads: int, weight: float) -> np.ndarray:
+    """signature_distance of each row of a and column of b (a number in each row), nan where nothing is known."""
+    shape = len(a), b.shape[1]
+    gappy = bool(np.isnan(a).any() or np.isnan(b).any())
+
+    def mean_of(terms, count: int) -> np.ndarray:
+        total, known = np.zeros(shape), np.zeros(shape)
+        for term in terms:
+            if gappy:
+                there = ~np.isnan(term)
+                known += there
+                term = np.where(there, term, 0.0)
+            total += term
+        with np.errstate(all="ignore"):
+            return np.where(known > 0, total / known, np.nan) if gappy else total / count if count else np.full(shape, np.nan)
+
+    def gap(j: int) -> np.ndarray:
+        return a[:, j, None] - b[j]
+
+    def cell(n: int) -> np.ndarray:
+        out = np.zeros(shape)
+        for j in range(3 * n, 3 * n + 3):
+            d = gap(j)
+            d *= d
+            out += d
+        return np.sqrt(out, out=out)
+
+    mean = mean_of((cell(n) for n in range(cells)), cells)
+    tail = mean_of((np.abs(gap(j)) for j in range(3 * cells, 3 * cells + spreads)), spreads)
+    return mean + weight * np.where(np.isnan(tail), 0.0, tail)
+
+
+def nearest_signatures(windows: DataFrame, library: DataFrame, cells: int, spreads: int, top: int = 10, weight: float = 0.5) -> DataFrame:
+    """windows: query, window, q (a stated set); library: id, signature. The nearest of each query by its best window, the first of equals."""
+    width = 3 * cells + spreads
+
+    def numbers(column) -> np.ndarray:
+        found, _ = grid.matrix(column, np.nan)
+        return np.pad(found, ((0, 0), (0, max(0, width - found.shape[1]))), constant_values=np.nan)[:, :width]
+
+    def work(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        asked = asked.sort_by([("query", "ascending"), ("window", "ascending")])
+        a, b = numbers(asked["q"]), np.ascontiguousarray(numbers(rows["signature"]).T)
+        names = asked["query"].combine_chunks().dictionary_encode(null_encoding="encode")
+        names = pa.concat_arrays(names.chunks) if isinstance(names, pa.ChunkedArray) else names
+        of = names.indices.to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+        ends, found = np.append(starts[1:], len(of)), []
+        most = int((ends - starts).max(initial=1))
+        for tile in grid.tiles(len(starts), b.shape[1] * most):
+            first, last = starts[tile][0], ends[tile][-1]
+            apart = grid.rounded(_apart(a[first:last], b, cells, spreads, weight), 5)
+            value = np.where(np.isnan(apart), grid.OUT, -apart)
+            least = np.maximum.reduceat(value, starts[tile] - first, axis=0)
+            r, c = grid.best(least, top)
+            near = least[r, c]
+            at = starts[tile][r]
+            for _ in range(most - 1):  # on to the first window that is as near
+                at = at + (value[at - first, c] < near)
+            found.append((at, c, -near))
+        r, c, apart = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query": asked["query"].take(r), "id": rows["id"].take(c), "distance": pa.array(apart, pa.float64()), "window": asked["window"].take(r)})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    best = grid.in_blocks(windows, library.select("id", "signature"), work, f"query {kind(windows, 'query')}, id {kind(library, 'id')}, distance double, window {kind(windows, 'window')}")
     place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
     return best.withColumn("_place", place).where(F.col("_place") <= top).withColumn("place", F.col("_place").cast("long")).drop("_place")
 
@@ -50,6 +110,64 @@ def compare_cells(a: Column, b: Column) -> Column:
     return F.struct(n.alias("n_cells"), colour.alias("n_colour"), pattern.alias("n_pattern"), share(colour).alias("colour_share"), share(pattern).alias("pattern_share"), rows.alias("cells"))
 
 
+def _entries(column: pa.ChunkedArray) -> tuple[pa.StructArray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of arrays of structs: the structs, the row and the place of each, and each array's length, -1 for null."""
+    arrays = column.combine_chunks()
+    arrays = pa.concat_arrays(arrays.chunks) if isinstance(arrays, pa.ChunkedArray) else arrays
+    length = arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(length)), length)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+    return arrays.flatten(), row, place, np.where(arrays.is_null().to_numpy(zero_copy_only=False), -1, length)
+
+
+def compared_cells(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """query, id and compare_cells' counts and shares of every query (query, q) and every row (id, cells) but itself. No cell comes twice in a picture."""
+
+    def number(one: pa.Array, two: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+        both = pa.concat_arrays([one, two]).dictionary_encode(null_encoding="mask")
+        codes = both.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+        return codes[: len(one)], codes[len(one) :], len(both.dictionary)
+
+    def work(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        (a, ra, pa_, na), (b, rb, _, nb) = _entries(asked["q"]), _entries(rows["cells"])
+        cell, other, n_cells = number(pc.struct_field(a, "cell"), pc.struct_field(b, "cell"))
+        named = other >= 0
+        if len(np.unique(rb[named] * max(n_cells, 1) + other[named])) < named.sum():
+            raise ValueError("a picture has a cell twice")
+        held = {}
+        for c in ("code", "pattern"):
+            one, two, _ = number(pc.struct_field(a, c), pc.struct_field(b, c))
+            mine = np.full((len(na), int(na.max(initial=0))), -9, np.int32)
+            mine[ra, pa_] = one
+            theirs = np.full((n_cells + 1, len(nb)), -8, np.int32)  # the last row is for no cell
+            theirs[other[named], rb[named]] = two[named]
+            held[c] = mine, theirs
+        which = np.full((len(na), int(na.max(initial=0))), n_cells)
+        which[ra, pa_] = np.where(cell >= 0, cell, n_cells)
+        found = []
+        for tile in grid.tiles(len(na), len(nb)):
+            n, colour, pattern = (np.zeros((tile.stop - tile.start, len(nb)), np.int16) for _ in range(3))
+            for i in range(which.shape[1]):
+                at = which[tile, i]
+                one, two = held["code"][0][tile, i, None], held["code"][1][at]
+                there = two != -8
+                n += there
+                colour += (one == two) & (two >= 0)
+                pattern += (held["pattern"][0][tile, i, None] == held["pattern"][1][at]) & there
+            r, c = np.nonzero(grid.differ(asked, rows, tile))
+            found.append((tile.start + r, c, *(x[r, c].astype(np.int64) for x in (n, colour, pattern))))
+        r, c, n, colour, pattern = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 5
+        most = int(n.max(initial=0)) + 1
+        with np.errstate(all="ignore"):
+            shares = grid.rounded(np.nan_to_num(np.arange(most) / np.arange(most)[:, None], posinf=0.0), 3)  # of each n and each count
+        none = na[r] < 0
+        counts = {x: pa.array(v, pa.int64(), mask=none) for x, v in (("n_cells", n), ("n_colour", colour), ("n_pattern", pattern))}
+        return pa.table({"query": asked["query"].take(r), "id": rows["id"].take(c), **counts, "colour_share": shares[n, colour], "pattern_share": shares[n, pattern]})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return grid.in_blocks(queries, rows, work, f"query {kind(queries, 'query')}, id {kind(rows, 'id')}, n_cells long, n_colour long, n_pattern long, colour_share double, pattern_share double", most_queries=500, most_rows=2000)
+
+
 def dominant(ranked: DataFrame, times: float = 4.0, least: float = 25.0) -> DataFrame:
     """Whether the best count of each query is `times` the next one's and at least `least`. ranked: query, id, count."""
     order = Window.partitionBy("query").orderBy(F.desc("count"), "id")
@@ -63,6 +181,56 @@ def palette_distance(a: Column, b: Column) -> Column:
     return ratio(F.aggregate(a, F.lit(0.0), lambda s, x: s + x["w"] * near(x)), F.aggregate(a, F.lit(0.0), lambda s, x: s + x["w"]))
 
 
+def palette_distances(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """query, id and palette_distance, to six places, of every query (query, q) and every row (id, p) but itself."""
+
+    def parts(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """L, a, b and w of each place of each palette, what is null there, and the palettes' lengths (-1: null)."""
+        found, row, place, n = _entries(column)
+        numbers, null = np.full((4, len(n), int(n.max(initial=0))), np.nan), np.ones((4, len(n), int(n.max(initial=0))), bool)
+        for k, c in enumerate(("L", "a", "b", "w")):
+            own = pc.struct_field(found, c)
+            numbers[k, row, place] = own.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+            null[k, row, place] = own.is_null().to_numpy(zero_copy_only=False)
+        return numbers, null, n
+
+    def work(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        (a, a_null, na), (b, b_null, nb) = parts(asked["q"]), parts(rows["p"])
+        b = np.ascontiguousarray(np.swapaxes(b, 1, 2))
+        unplaced = b_null[:3].any(0).T  # places of b that have no distance
+        empty = unplaced.all(0) | (nb < 0) if len(unplaced) else np.ones(len(nb), bool)
+        gappy, found = bool(unplaced.any()), []
+        for tile in grid.tiles(len(na), len(nb)):
+            shape = tile.stop - tile.start, len(nb)
+            total, weight, null = np.zeros(shape), np.zeros((shape[0], 1)), np.repeat(na[tile, None] < 0, shape[1], axis=1)
+            for i in range(a.shape[2]):
+                near, there = np.full(shape, np.nan), i < na[tile, None]
+                for j in range(len(unplaced)):
+                    d = np.zeros(shape)
+                    for k in range(3):
+                        gap = a[k, tile, i, None] - b[k, j]
+                        gap *= gap
+                        d = gap if k == 0 else d + gap
+                    np.sqrt(d, out=d)
+                    if gappy:
+                        d[:, unplaced[j]] = np.nan
+                    near = d if j == 0 else np.fmin(near, d)
+                w = a[3, tile, i, None]
+                total = np.where(there, total + w * near, total)
+                weight = np.where(there, weight + w, weight)
+                null |= there & (a_null[:, tile, i].any(0)[:, None] | empty)
+            null |= weight == 0
+            with np.errstate(all="ignore"):
+                value = grid.rounded(total / weight, 6)
+            r, c = np.nonzero(grid.differ(asked, rows, tile))
+            found.append((tile.start + r, c, value[r, c], null[r, c]))
+        r, c, value, null = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))
+        return pa.table({"query": asked["query"].take(r), "id": rows["id"].take(c), "distance": pa.array(value, pa.float64(), mask=null)})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return grid.in_blocks(queries, rows, work, f"query {kind(queries, 'query')}, id {kind(rows, 'id')}, distance double", most_queries=500, most_rows=2000)
+
+
 def colour_accuracy(measured: DataFrame) -> DataFrame:
     """measured: style, declared, matched, delta_e. Exact and family (first digit) accuracy, and how far off."""
     measured = settled(measured)
