@@ -8,7 +8,7 @@ from selvage.operators import lift, retrieval, survey, techpack
 from selvage.sources import carve, pos, saved
 
 from .adapter import read
-from .search import PAIRS_SQL, pairs
+from .search import PAIRS_SQL, per_label
 
 QUERIES, ORACLES = {}, {}
 
@@ -113,7 +113,7 @@ def latest_events(spark, sf_dir):
   SELECT query, category, attribute, CASE WHEN NOT applies THEN 'n/a' WHEN c < 0.28 OR m < 0.05 THEN 'uncertain' ELSE CAST(best AS VARCHAR) END AS tag, CASE WHEN applies THEN round_even(c, 5) END AS conf FROM a""")
 def attribute_tags(spark, sf_dir):
     """Tags of two attributes for each query; one category has the first, one the second, one both."""
-    scores = pairs(spark, sf_dir).select("query", F.when(F.col("label") % 2 == 0, "even").otherwise("odd").alias("attribute"), F.col("label").alias("option"), "similarity")
+    scores = per_label(spark, sf_dir).select("query", F.when(F.col("label") % 2 == 0, "even").otherwise("odd").alias("attribute"), F.col("label").alias("option"), "similarity")
     applies = spark.createDataFrame([(0, "even"), (1, "odd"), (2, "even"), (2, "odd")], "category long, attribute string")
     declared = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query"), (F.col("vec_id") % 3).alias("category"))
     return retrieval.tag_rows(scores, applies, declared, scale=10.0)
