@@ -8,17 +8,25 @@ on. A pair is taken at the chunk with the fewest turned bits, the first of equal
 be made distinct. With all bits of a chunk turned every code has been met, so the result is exact for any data.
 
 Equal codes are one row of the index with their smallest id and their number: a hundred million copies cost one.
+
+An index pays where it is kept, is asked by few and has neighbours that are near. For a stated set of queries that grows
+with the rows, what rings meet grows with the square of the rows and is joined row by row; without a kept index the
+distances are counted in a grid of blocks instead, which is exact as well.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from selvage.functions.columns import settled
 
+from . import grid
+
 INDEX_VERSION = 1
 
 
@@ -66,14 +74,41 @@ def load_index(spark: SparkSession, folder: str, words: int, bits: int) -> DataF
     return rows.drop("_version", "_words", "_bits")
 
 
+def _scanned(queries: DataFrame, rows: DataFrame, k: int, words: int) -> DataFrame:
+    """nearest_codes by counting all distances, block by block."""
+
+    def numbers(column) -> np.ndarray:
+        arrays = column.combine_chunks()
+        arrays = pa.concat_arrays(arrays.chunks) if isinstance(arrays, pa.ChunkedArray) else arrays
+        return arrays.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, words)
+
+    def work(asked: pa.Table, held: pa.Table) -> pa.Table:
+        a, b = numbers(asked["code"]), np.ascontiguousarray(numbers(held["code"]).T)
+        found = []
+        for tile in grid.tiles(len(a), b.shape[1]):
+            apart = sum(np.bitwise_count(a[tile, w, None] ^ b[w]).astype(np.float32) for w in range(words))
+            r, c = grid.best(np.where(grid.differ(asked, held, tile), -apart, np.float32(grid.OUT)), k)
+            found.append((tile.start + r, c, apart[r, c].astype(np.int64)))
+        r, c, apart = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        return pa.table({"query": asked["query"].take(r), "id": held["id"].take(c), "distance": apart})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    whole = lambda df, c: df.where(F.size("code") >= words).select(c, F.slice("code", 1, words).alias("code"))
+    queries, rows = whole(queries, "query"), whole(rows, "id")
+    near = grid.in_blocks(queries, rows, work, f"query {kind(queries, 'query')}, id {kind(rows, 'id')}, distance long")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
+    return near.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
 def nearest_codes(queries: DataFrame, rows: DataFrame, k: int, words: int, bits: int = 8, index: DataFrame | None = None) -> DataFrame:
     """query, id, distance, rank: the k nearest rows of each query but itself, the smaller id first of equally near ones.
 
-    queries: query, code (a stated set); rows: id, code; index: what index_of gives for rows, if it is kept. Fewer than k
-    rows give as many. Each ring's candidates are cut to the k + 1 nearest codes of a query before the next."""
+    queries: query, code (a stated set); rows: id, code; index: what index_of gives for rows, if it is kept; without it all
+    rows are scanned. Fewer than k rows give as many. Each ring's candidates are cut to the k + 1 nearest codes of a query before the next."""
     if bits not in (1, 2, 4, 8, 16):
         raise ValueError("chunks have 1, 2, 4, 8 or 16 bits")
-    index = index if index is not None else settled(index_of(rows, words, bits))
+    if index is None:
+        return _scanned(queries, rows, k, words)
     n_chunks = 64 * words // bits
     open_ = queries.where("code is not null").select("query", F.col("code").alias("_q"))
     best = Window.partitionBy("query").orderBy("distance", "first_id")

@@ -126,8 +126,12 @@ def raster_points(vector):
 
 
 def reranked(spark, sf_dir):
-    points = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), raster_points(F.col("embedding")).alias("points"))
-    return inliers.geometric_rerank(nearest(spark, sf_dir).select("query", "id"), points, words=1, tolerance=0.5)
+    near = settled(nearest(spark, sf_dir).select("query", "id"))
+    # points are drawn of the rows that are in a pair, and by all tasks, however few splits the file has
+    met = near.select(F.explode(F.array("query", "id")).alias("vec_id")).distinct()
+    rows = read(spark, sf_dir, "embeddings").join(met, "vec_id", "left_semi").repartition(4 * spark.sparkContext.defaultParallelism, "vec_id")
+    points = settled(rows.select(F.col("vec_id").alias("id"), raster_points(F.col("embedding")).alias("points")))
+    return inliers.geometric_rerank(near, points, words=1, tolerance=0.5)
 
 
 @query(f"""WITH {CODES_SQL}, d AS (SELECT id, i, array_to_string(list_transform(range(1, 64), lambda j: CASE WHEN e[(i + j) % 64 + 1] > e[i + 1] THEN '1' ELSE '0' END), '') AS code FROM c, range(64) t(i)),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from selvage.functions.columns import dot
-from selvage.operators import grid, retrieval, visual
+from selvage.operators import grid, hamming, retrieval, visual
 from selvage.plans import registry
 
 NAN = float("nan")
@@ -89,3 +89,14 @@ def test_rounding_is_sparks(spark):
 def test_pairs_are_met_in_blocks(spark, name):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and ("FlatMapCoGroupsInArrow" in plan or name == "narrowed_topk")
+
+
+def test_scanned_codes_are_those_of_the_index(spark):
+    random.seed(7)
+    codes = [random.getrandbits(128) for _ in range(12)]
+    rows = [(n, [(c >> 64 * w & (1 << 64) - 1) - (1 << 63) for w in range(2)]) for n, c in enumerate(random.choice(codes) ^ (1 << random.randrange(128)) * random.choice([0, 1]) for _ in range(150))]
+    df = spark.createDataFrame(rows + [(500, None)], "id long, code array<long>")
+    asked = df.where("id % 25 = 0").select(F.col("id").alias("query"), "code")
+    scanned = hamming.nearest_codes(asked, df, 6, 2)
+    assert rows_of(scanned) == rows_of(hamming.nearest_codes(asked, df, 6, 2, index=hamming.index_of(df, 2)))
+    assert "SortMergeJoin" not in scanned._jdf.queryExecution().executedPlan().toString()
