@@ -10,7 +10,8 @@ So a series of any length, and one that holds most of the rows, is worked on by
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,17 +26,29 @@ def lag_sums(series: DataFrame, shortest: int, longest: int, block: int = 4096)
     first, last = F.floor((F.col("slot") - longest) / block), F.floor((F.col("slot") + 1) / block)
     dealt = series.withColumn("_block", F.explode(F.sequence(first, last)))
 
-    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        dense = np.zeros(block + longest + 1)
-        at = rows["slot"].to_numpy(np.int64) - (int(key[1]) * block - 1)
-        inside = (at >= 0) & (at < len(dense))
-        dense[at[inside]] = rows["level"].to_numpy(float)[inside]
-        onset = np.maximum(np.diff(dense), 0)
+    # a block has at most block + longest + 1 slots, and many blocks go through Python together
+    held = dealt.groupBy("key", "_block").agg(F.collect_list(F.struct("slot", "level")).alias("_s"))
+
+    def work(batches):
         lags = np.arange(shortest, longest + 1)
-        return pd.DataFrame({"key": [key[0]] * len(lags), "lag": lags, "part": [float(onset[:block] @ onset[n : n + block]) for n in lags.tolist()]})
+        for whole in batches:
+            for start in range(0, len(whole), 2000):
+                batch = whole.slice(start, 2000)
+                found = batch.column("_s")
+                size = found.value_lengths().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(batch)), size)
+                inner = found.flatten()
+                at = pc.struct_field(inner, "slot").to_numpy(zero_copy_only=False) - (batch.column("_block").to_numpy(zero_copy_only=False)[row] * block - 1)
+                inside = (at >= 0) & (at < block + longest + 1)
+                dense = np.zeros((len(batch), block + longest + 1))
+                dense[row[inside], at[inside]] = pc.struct_field(inner, "level").to_numpy(zero_copy_only=False)[inside]
+                onset = np.maximum(np.diff(dense, axis=1), 0)
+                part = np.stack([np.einsum("ij,ij->i", onset[:, :block], onset[:, n : n + block]) for n in lags.tolist()], 1)
+                own = pa.array(np.repeat(np.arange(len(batch)), len(lags)))
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(own), pa.array(np.tile(lags, len(batch))), pa.array(part.ravel())], names=["key", "lag", "part"])
 
     kind = series.schema["key"].dataType.simpleString()
-    parts = dealt.groupBy("key", "_block").applyInPandas(work, f"key {kind}, lag long, part double")
+    parts = held.mapInArrow(work, f"key {kind}, lag long, part double")
     return parts.groupBy("key", "lag").agg(F.sum("part").alias("lag_sum"))
 
 

@@ -100,3 +100,9 @@ def test_scanned_codes_are_those_of_the_index(spark):
     scanned = hamming.nearest_codes(asked, df, 6, 2)
     assert rows_of(scanned) == rows_of(hamming.nearest_codes(asked, df, 6, 2, index=hamming.index_of(df, 2)))
     assert "SortMergeJoin" not in scanned._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["beat_lags", "user_beats"])
+def test_blocks_of_series_share_batches(spark, name):
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
