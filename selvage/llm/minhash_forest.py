@@ -192,22 +192,35 @@ def _with_hubs(stars: DataFrame, nodes: DataFrame, threshold: float, count: int)
     return _hub_pairs(met.select("_node", "_n", "_sig", "_hub", "_hub_n", "_hub_sig"), threshold, count)
 
 
-def _commonness(texts: DataFrame, words: int, buckets: int) -> np.ndarray:
-    """How many texts hold a shingle of each bucket (its hash, modulo `buckets`, a power of two): counted in each task first. texts: _text."""
+def _commonness(texts: DataFrame, words: int, buckets: int, width: int = 1 << 12) -> np.ndarray:
+    """How many texts hold a shingle of each bucket (its hash, modulo `buckets`, a power of two). texts: _text.
+
+    Each task counts what it reads and gives a row for each run of `width` buckets; tasks that share out the runs add them up, a batch at a time."""
+    width = min(width, buckets)
 
     def work(batches):
         held = np.zeros(buckets, np.int64)
         for batch in slices(batches):
             for run in chunks([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]):
                 held += np.bincount((shingle_sets(run, words)[0] & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
-        full = np.flatnonzero(held)
-        for at in range(0, len(full), 50_000):
-            part = full[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[part])], names=["_bucket", "_c"])
-
-    found = texts.select("_text").mapInArrow(work, "_bucket long, _c long").groupBy("_bucket").agg(F.sum("_c").alias("_c")).toArrow()  # `buckets` rows at most
+        for part in range(0, buckets, width):
+            at = np.flatnonzero(held[part : part + width])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([at.astype("<i4").tobytes()]), pa.array([held[part + at].astype("<i8").tobytes()])], names=["_run", "_at", "_c"])
+
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for part, at, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                sums.setdefault(part, np.zeros(width, np.int64))[np.frombuffer(at, "<i4")] += np.frombuffer(counts, "<i8")
+        for part, held in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([held.astype("<i8").tobytes()])], names=["_run", "_c"])
+
+    counted = texts.select("_text").mapInArrow(work, "_run long, _at binary, _c binary")
+    found = counted.repartition("_run").mapInArrow(add, "_run long, _c binary").toArrow()  # `buckets` numbers at most
     out = np.zeros(buckets, np.int64)
-    out[found["_bucket"].to_numpy()] = found["_c"].to_numpy()
+    for part, held in zip(found["_run"].to_pylist(), found["_c"].to_pylist()):
+        out[part : part + width] = np.frombuffer(held, "<i8")
     return out
 
 

@@ -209,3 +209,15 @@ def test_lost_call_leaves_runs_as_they_were(spark, tmp_path, monkeypatch):
     assert runs.batches == ["one"] and [r["n_docs"] for r in runs.entries(runs.runs()).collect()] == [2]
     runs.close()
     assert sorted(r["n_dropped"] for r in drop_shared_lines(second, folder=folder, name="two").collect()) == [0, 1]
+
+
+def test_buckets_are_counted_in_few_rows(spark):
+    import numpy as np
+
+    from selvage.llm.minhash_forest import _commonness
+    from selvage.llm.shingles import shingle_sets
+
+    texts = [" ".join(f"w{(n * k) % 97}" for k in range(1, 40)) for n in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "_text string").repartition(7)
+    want = np.bincount((shingle_sets([t.encode() for t in texts], 5)[0] & np.uint64(1023)).astype(np.int64), minlength=1024)
+    assert (_commonness(df, 5, 1024, width=256) == want).all() and (_commonness(df.where("false"), 5, 1024) == 0).all()
