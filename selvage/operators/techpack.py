@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from selvage.functions.columns import date_of, number_of, plain_text
+from selvage.functions.columns import date_of, map_of, number_of, plain_text
+
+
+def _size(text_: Column, sizes: list[str]) -> Column:
+    """The text as the name of a size (a size word or a number of two digits), else null."""
+    text = F.upper(F.trim(text_))
+    return F.when(text.isin([s.upper() for s in sizes]) | text.rlike(r"^\d{2}$"), text)
+
+
+def _base_order(col: Column, q: Column, place: Column, n: Column) -> list[Column]:
+    """What orders the sizes of a sheet: the largest quantity first, then the nearest to the middle one, then the column."""
+    return [q.isNull().alias("_none"), (~F.isnan(q)).alias("_real"), (-q).alias("_less"), F.abs(place - F.floor((n + 1) / 2)).alias("_middle"), col.alias("col")]
 
 
 def size_columns(cells: DataFrame, sizes: list[str], least: int = 2) -> DataFrame:
     """file, row, col, size: the first row of each file that names `least` sizes or more (size words or numbers of two digits)."""
-    text = F.upper(F.trim("text"))
-    named = cells.where(text.isin([s.upper() for s in sizes]) | text.rlike(r"^\d{2}$")).select("file", "row", "col", text.alias("size"))
+    named = cells.select("file", "row", "col", _size(F.col("text"), sizes).alias("size")).where("size is not null")
     rows = named.groupBy("file", "row").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).groupBy("file").agg(F.min("row").alias("row"))
     return named.join(rows, ["file", "row"])
 
@@ -28,24 +38,61 @@ def base_size(cells: DataFrame, columns: DataFrame, quantity_labels: list[str])
     return sized.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("file", "size", "col")
 
 
-def labelled(cells: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
-    """file, row, col, measure: the cells whose text is a label of a measure."""
-    text, out = plain_text(F.col("text")), F.lit(None).cast("string")
-    for name, words in aliases.items():
-        out = F.when(text.isin(words), name).otherwise(out)
-    return cells.select("file", "row", "col", out.alias("measure")).where("measure is not null")
+def base_sizes(cells: DataFrame, sizes: list[str], quantity_labels: list[str], least: int = 2) -> DataFrame:
+    """base_size() with the columns of size_columns(): the cells go through one exchange by file, and what rows and columns hold comes from windows within a file, without joins."""
+    quantity = F.coalesce(plain_text(F.col("text")).isin(quantity_labels), F.lit(False))
+    marked = cells.select("file", "row", "col", "text", _size(F.col("text"), sizes).alias("size"), quantity.alias("_quantity")).repartition("file")
+    sheet, column = Window.partitionBy("file"), Window.partitionBy("file", "col")
+    marked = marked.sortWithinPartitions("file", "row").withColumn("_named", F.count("size").over(Window.partitionBy("file", "row")))
+    marked = marked.withColumns({"_sizes": F.min(F.when(F.col("size").isNotNull() & (F.col("_named") >= least), F.col("row"))).over(sheet), "_amounts": F.min(F.when(F.col("_quantity"), F.col("row"))).over(sheet)})
+    told = F.when(F.col("row") == F.col("_sizes"), F.col("size"))
+    few = marked.where((F.col("size").isNotNull() & (F.col("row") == F.col("_sizes"))) | (F.col("row") == F.col("_amounts")))
+    few = few.select("file", "col", told.alias("size"), F.when(F.col("row") == F.col("_amounts"), number_of(F.col("text"))).alias("_q")).sortWithinPartitions("file", "col")
+    sized = few.withColumn("_q", F.max("_q").over(column)).where("size is not null")
+    sized = sized.withColumns({"_at": F.row_number().over(sheet.orderBy("col")), "_n": F.count("*").over(sheet)})
+    best = sized.groupBy("file").agg(F.min(F.struct(*_base_order(F.col("col"), F.col("_q"), F.col("_at"), F.col("_n")), F.col("size").alias("size"))).alias("_b"))
+    return best.select("file", "_b.size", "_b.col")
+
+
+def _label(aliases: dict[str, list[str]]) -> Column:
+    """The name whose labels hold a cell's text, else null."""
+    return map_of(plain_text(F.col("text")), {word: name for name, words in aliases.items() for word in words})
 
 
-def harvest(cells: DataFrame, aliases: dict[str, list[str]], sizes: list[str], quantity_labels: list[str]) -> DataFrame:
-    """file, measure, value: under the base size in the label's row; else the first number right of the label; else the first below it."""
-    found = labelled(cells, aliases)
-    at_base = found.join(base_size(cells, size_columns(cells, sizes), quantity_labels).select("file", F.col("col").alias("_base")), "file", "left")
-    numbers = cells.select("file", F.col("row").alias("_r"), F.col("col").alias("_c"), number_of(F.col("text")).alias("value")).where("value is not null")
-    pairs = at_base.join(numbers, "file").where(((F.col("_r") == F.col("row")) & (F.col("_c") > F.col("col"))) | ((F.col("_c") == F.col("col")) & (F.col("_r") > F.col("row"))))
-    right = F.col("_r") == F.col("row")
-    rank = F.when(right & (F.col("_c") == F.col("_base")), 0).when(right, 1).otherwise(2)
-    best = F.row_number().over(Window.partitionBy("file", "measure").orderBy(rank, "row", F.when(right, F.col("_c")).otherwise(F.col("_r"))))
-    return pairs.withColumn("_p", best).where("_p = 1").select("file", "measure", "value")
+def labelled(cells: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """file, row, col, measure: the cells whose text is a label of a measure."""
+    return cells.select("file", "row", "col", _label(aliases).alias("measure")).where("measure is not null")
+
+
+def _next(when: Column, at: str, *found: Column, along: str) -> Column:
+    """The nearest cell behind a cell, along its row or its column, that `when` admits: its place and `found`."""
+    behind = Window.partitionBy("file", along).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(F.when(when, F.struct(F.col(at).alias("at"), *found)), ignorenulls=True).over(behind)
+
+
+def harvest(cells: DataFrame, aliases: dict[str, list[str]], sizes: list[str], quantity_labels: list[str], least: int = 2) -> DataFrame:
+    """file, measure, value: under the base size in the label's row; else the first number right of the label; else the first below it.
+
+    The cells go through one exchange by file. A file's cells are ordered twice, by rows and by columns, each from its end,
+    so that the next number right of a label and below it is the last one met; the base size comes along."""
+    text = F.col("text")
+    marked = cells.select("file", "row", "col", number_of(text).alias("value"), _label(aliases).alias("measure"), _size(text, sizes).isNotNull().alias("_size"), F.coalesce(plain_text(text).isin(quantity_labels), F.lit(False)).alias("_quantity")).repartition("file")
+    sheet, line, column = Window.partitionBy("file"), Window.partitionBy("file", "row"), Window.partitionBy("file", "col")
+    number, label = F.col("value").isNotNull(), F.col("measure").isNotNull()
+    across = marked.sortWithinPartitions("file", "row", F.desc("col"))
+    across = across.withColumn("_right", F.when(label, _next(number, "col", F.col("value"), along="row"))).withColumn("_named", F.count_if(F.col("_size")).over(line))
+    across = across.withColumns({"_sizes": F.min(F.when(F.col("_size") & (F.col("_named") >= least), F.col("row"))).over(sheet), "_amounts": F.min(F.when(F.col("_quantity"), F.col("row"))).over(sheet)})
+    across = across.select("file", "row", "col", "value", "measure", "_right", (F.col("_size") & (F.col("row") == F.col("_sizes"))).alias("_sized"), (F.col("row") == F.col("_amounts")).alias("_amount"))
+    down = across.sortWithinPartitions("file", "col", F.desc("row"))
+    down = down.withColumn("_below", F.when(label, _next(number, "row", F.col("value"), along="col"))).withColumn("_q", F.max(F.when(F.col("_amount"), F.col("value"))).over(column))
+    down = down.withColumns({"_at": F.count_if(F.col("_sized")).over(sheet.orderBy("col").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.count_if(F.col("_sized")).over(sheet)})
+    down = down.withColumn("_base", F.min(F.when(F.col("_sized"), F.struct(*_base_order(F.col("col"), F.col("_q"), F.col("_at"), F.col("_n"))))).over(sheet)["col"])
+    few = down.where(label | (number & (F.col("col") == F.col("_base")))).select("file", "row", "col", "value", "measure", "_right", "_below", "_base")
+    few = few.withColumn("_under", F.max(F.when(F.col("col") == F.col("_base"), F.col("value"))).over(line)).where(label)
+    at = lambda rank, place, value: F.struct(F.lit(rank).alias("rank"), F.col("row").alias("row"), place.cast("long").alias("at"), value.alias("value"))
+    beside = F.when(F.col("_under").isNotNull() & (F.col("_base") > F.col("col")), at(0, F.col("_base"), F.col("_under")))
+    offers = [beside, *[F.when(F.col(c).isNotNull(), at(n, F.col(f"{c}.at"), F.col(f"{c}.value"))) for n, c in ((1, "_right"), (2, "_below"))]]
+    return few.groupBy("file", "measure").agg(F.min(F.coalesce(*offers)).alias("_o")).where("_o is not null").select("file", "measure", "_o.value")
 
 
 def measures_wide(harvested: DataFrame, measures: list[str]) -> DataFrame:
@@ -56,14 +103,15 @@ def measures_wide(harvested: DataFrame, measures: list[str]) -> DataFrame:
 
 def metadata(cells: DataFrame, labels: dict[str, tuple[list[str], str]], reach: int = 3) -> DataFrame:
     """file, name, text, number, date: the value right of a label (at most `reach` cells), or below it if there is none; typed by the label's kind (text, number, date)."""
-    found = labelled(cells, {name: words for name, (words, _) in labels.items()}).withColumnRenamed("measure", "name")
-    words = F.array(*[F.lit(w) for ws, _ in labels.values() for w in ws])
-    other = cells.where(~F.array_contains(words, plain_text(F.col("text"))) & (F.trim("text") != "")).select("file", F.col("row").alias("_r"), F.col("col").alias("_c"), F.trim("text").alias("text"))
-    pairs = found.join(other, "file").where(((F.col("_r") == F.col("row")) & F.col("_c").between(F.col("col") + 1, F.col("col") + reach)) | ((F.col("_c") == F.col("col")) & F.col("_r").between(F.col("row") + 1, F.col("row") + reach)))
-    right = F.col("_r") == F.col("row")
-    best = F.row_number().over(Window.partitionBy("file", "name").orderBy(F.when(right, 0).otherwise(1), "row", F.when(right, F.col("_c")).otherwise(F.col("_r"))))
+    marked = cells.select("file", "row", "col", F.trim("text").alias("text"), _label({name: words for name, (words, _) in labels.items()}).alias("name")).repartition("file")
+    label = F.col("name").isNotNull()
+    value = ~label & (F.col("text") != "")
+    across = marked.sortWithinPartitions("file", "row", F.desc("col")).withColumn("_right", F.when(label, _next(value, "col", F.col("text"), along="row")))
+    down = across.sortWithinPartitions("file", "col", F.desc("row")).withColumn("_below", F.when(label, _next(value, "row", F.col("text"), along="col"))).where(label)
+    at = lambda rank, c, own: F.when(F.col(f"{c}.at") - F.col(own) <= reach, F.struct(F.lit(rank).alias("rank"), F.col("row").alias("row"), F.col(f"{c}.at").alias("at"), F.col(f"{c}.text").alias("text")))
+    best = down.groupBy("file", "name").agg(F.min(F.coalesce(at(0, "_right", "col"), at(1, "_below", "row"))).alias("_o")).where("_o is not null").select("file", "name", "_o.text")
     of = lambda kind: F.col("name").isin([n for n, (_, k) in labels.items() if k == kind])
-    return pairs.withColumn("_p", best).where("_p = 1").select("file", "name", "text", F.when(of("number"), number_of(F.col("text"))).alias("number"), F.when(of("date"), date_of(F.col("text"))).alias("date"))
+    return best.select("file", "name", "text", F.when(of("number"), number_of(F.col("text"))).alias("number"), F.when(of("date"), date_of(F.col("text"))).alias("date"))
 
 
 def keyword_vocabulary(cells: DataFrame, keywords: list[str], longest: int = 60) -> DataFrame:
