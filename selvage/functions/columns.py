@@ -38,24 +38,36 @@ def plain_text(c: Column) -> Column:
 
 
 def number_of(c: Column) -> Column:
-    """A measure as text ("22 1/2", "1/2", "36.0", "1,234元", "68%") as a double, else null. A percentage is scaled."""
+    """A measure as text ("22 1/2", "1/2", "36.0", "1,234元", "68%") as a double, else null. A percentage is scaled.
+
+    Only what has a number's shape is cast: a cast that fails costs many times one that fits."""
     text = F.trim(F.regexp_replace(F.translate(c, _WIDE, _PLAIN), r"[,$元\s]+$|^[$\s]+|,", ""))
-    mixed = r"^(-?\d+)\s+(\d+)/(\d+)$"
-    part = r"^(\d+)/(\d+)$"
-    get = lambda pattern, n: F.regexp_extract(text, pattern, n).try_cast("double")
+
+    def stroke(v):
+        mixed, part = r"^(-?\d+)\s+(\d+)/(\d+)$", r"^(\d+)/(\d+)$"
+        get = lambda pattern, n: F.regexp_extract(v.text, pattern, n).try_cast("double")
+        return F.when(v.text.rlike(mixed), get(mixed, 1) + F.try_divide(get(mixed, 2), get(mixed, 3))).when(v.text.rlike(part), F.try_divide(get(part, 1), get(part, 2)))
+
+    plain = text.try_cast("double")
+    percent = F.when(text.endswith("%"), F.regexp_replace(text, "%$", "").try_cast("double") / 100).otherwise(plain)
     return (
-        F.when(text.rlike(mixed), get(mixed, 1) + F.try_divide(get(mixed, 2), get(mixed, 3)))
-        .when(text.rlike(part), F.try_divide(get(part, 1), get(part, 2)))
-        .when(text.endswith("%"), F.regexp_replace(text, "%$", "").try_cast("double") / 100)
-        .otherwise(text.try_cast("double"))
+        F.when(c.rlike(r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)\s*$"), c.try_cast("double"))
+        .when(c.rlike("[/／]"), let(stroke, text=text))
+        .when(c.rlike("[%％]"), percent)
+        .when(c.rlike("(?i)nan|inf|0x|[Ａ-Ｚａ-ｚ]"), plain)  # names of numbers, or what only plain forms tell
+        .when(c.rlike("[0-9０-９]") & ~c.rlike("[G-Zg-z]"), plain)
     )
 
 
 def date_of(c: Column) -> Column:
-    """yyyymmdd (also as a number) or a date as text, from 1900 to 2199; else null. So a bare number of five digits, as a workbook stores days, is no year."""
+    """yyyymmdd (also as a number) or a date as text, from 1900 to 2199; else null. So a bare number of five digits, as a workbook stores days, is no year.
+
+    A format is tried only on texts of its shape: one that fails costs as much as many that fit."""
     text = F.regexp_replace(F.trim(c.cast("string")), r"\.0$", "")
-    found = F.coalesce(F.try_to_timestamp(text, F.lit("yyyyMMdd")), F.try_to_timestamp(text, F.lit("yyyy/M/d")), F.try_to_timestamp(text)).cast("date")
-    return F.when(F.year(found).between(1900, 2199), found)
+    other = F.try_to_timestamp(text).cast("date")
+    other = F.when(F.year(other).between(1900, 2199), other)
+    as_ = lambda form: F.coalesce(F.try_to_timestamp(text, F.lit(form)).cast("date"), other)
+    return F.when(text.rlike(r"^(?:19|20|21)\d{6}$"), as_("yyyyMMdd")).when(text.rlike(r"^(?:19|20|21)\d\d/\d+/\d+$"), as_("yyyy/M/d")).otherwise(other)
 
 
 def first_match(value: Column, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:
