@@ -42,7 +42,7 @@ def _sheets(spark, sf_dir):
         F.explode(F.array(cell(1, at, F.get(F.array(*[F.lit(s) for s in SIZES]), F.col("l_linenumber") - 1)), cell(2, at, F.col("q").cast("int").cast("string")), cell(3, at, chest))).alias("c"),
     )
     one = lambda row, col, text: cell(row, F.lit(col), text)
-    heads = orders.join(lines.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
+    heads = orders.join(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
     outer = heads.select(
         F.col("o_orderkey").alias("file"),
         F.explode(F.array(
@@ -63,8 +63,7 @@ SHEETS_SQL = """l AS (SELECT l_orderkey AS f, l_linenumber AS n, CAST(sum(l_quan
 @query(f"WITH {SHEETS_SQL} SELECT f AS file, ['XS', 'S', 'M', 'L', 'XL', '2XL', '3XL'][base] AS size, CAST(base + 1 AS INT) AS col FROM b")
 def spec_base_size(spark, sf_dir):
     """The size of each sheet that is ordered most; sheets of one size name none."""
-    cells = _sheets(spark, sf_dir)
-    return techpack.base_size(cells, techpack.size_columns(cells, SIZES), QUANTITY)
+    return techpack.base_sizes(_sheets(spark, sf_dir), SIZES, QUANTITY)
 
 
 @query(f"""WITH {SHEETS_SQL}, c AS (SELECT p.f, arg_min(CAST(round(d * 100) AS INT) + 0.5, CASE WHEN n = base THEN 0 ELSE n END) AS chest FROM p LEFT JOIN b USING (f) WHERE d > 0.02 GROUP BY p.f),
