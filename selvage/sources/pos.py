@@ -133,7 +133,7 @@ def clean(lines: DataFrame, pattern: str = r"^KA\d{7}$", share: float = 0.5) ->
     rows = rows.withColumn("category", F.when(known, F.col("category")).otherwise(category_of(F.col("sku"), F.col("product_name"))))
     rows = rows.withColumn("design_family", design_family_key(F.col("product_name"), F.col("list_price")))
     last = rows.groupBy("source_file").agg(F.max(F.greatest("first_sale_date", "ship_date")).alias("snapshot_date"))
-    return rows.join(last, "source_file", "left")
+    return rows.join(F.broadcast(last), "source_file", "left")  # one row a file; the lines stay where they are
 
 
 def _listed(spark: SparkSession, paths: list[str]) -> tuple[dict[str, list[str]], list[str]]:
