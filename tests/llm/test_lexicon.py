@@ -87,6 +87,23 @@ def test_any_texts(vocabulary, texts):
     assert got == ids and [vocabulary.decode(i) for i in got] == decoded
 
 
+@settings(max_examples=100, deadline=None)
+@given(words=st.lists(st.one_of(st.binary(min_size=1, max_size=60), st.text("aenrst'", min_size=1, max_size=60).map(str.encode)), max_size=30), block=st.integers(1, 200))
+def test_words_merged_side_by_side(vocabulary, words, block):
+    want = [vocabulary.merge(w) for w in words]
+    for longest in (0, 20, 48):
+        assert [tuple(np.frombuffer(x, "<i4").tolist()) for x in vocabulary.merge_all(words, longest, block)] == want
+
+
+def test_short_words_aren_t_merged_one_by_one(monkeypatch):
+    vocabulary = Vocabulary(WORDS)
+    texts = [" ".join(f"{a}{b}zq{c}" for a in "abcde" for b in "rstuv" for c in "xyz") + " <|endoftext|> don't", "", None]
+    ids, decoded = expected([t or "" for t in texts])
+    monkeypatch.setattr(vocabulary, "merge", None)
+    lists = Encoder(vocabulary, Lexicon(transducer([]))).lists(texts)
+    assert lists.to_pylist() == ids and vocabulary.decode_all(lists).to_pylist() == decoded
+
+
 def test_operator_with_odd_rows(spark, vocabulary):
     texts = [*ODD, None, ODD[3], "common words common words"]
     df = spark.createDataFrame([(None if n == 2 else n, t, n, "y") for n, t in enumerate(texts)], "doc_id long, text string, ids int, `a.b` string")
