@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from selvage.operators import association, feedback, leaderboard, lift, merge, names, performance, retrieval, sales, season, stock
-from selvage.plans import registry
+from selvage.plans import adapter, registry
 from selvage.sources import files, pos
 from selvage.streaming import new_rows, upsert_best, windowed_best
 
@@ -31,6 +31,27 @@ def test_grades_cover_and_audit_adds_up(spark):
     assert {r["perf_pct"] for r in performance.grade(tied, by=("category",)).where("perf_band <> 'EXCLUDED'").collect()} <= {round((1 + n) / 2 / n, 4) for n in range(1, 41)}
 
 
+def test_many_lines_meet_their_orders_and_parts_unsorted(spark):
+    items = spark.createDataFrame([(n // 3 if n % 7 else None, n % 5 if n % 11 else None, n) for n in range(60)], "l_orderkey long, l_partkey long, l_linenumber long")
+    orders = spark.createDataFrame([(k, f"o{k}") for k in [*range(15), 14]], "o_orderkey long, o_name string")  # one twice, some missing
+    parts = spark.createDataFrame([(k, f"p{k}") for k in range(4)], "p_partkey long, p_name string")
+    few = adapter.with_orders_and_parts(items, orders, parts)
+    many = adapter.with_orders_and_parts(items, orders, parts, most=5, few=10)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect())) and few.count() > 20
+    assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == 2 and "hashpartitioning(l_orderkey" in plan and ", 12), REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("name", ["variant_stock"])
+def test_reports_of_many_lines_sort_none(spark, name, monkeypatch):
+    want = sorted(map(tuple, registry.QUERIES[name](spark, SMALL).collect()))
+    monkeypatch.setattr(adapter, "FEW_LINES", 1000)
+    monkeypatch.setattr(adapter, "TASK_LINES", 500)
+    got = registry.QUERIES[name](spark, SMALL)
+    assert "SortMergeJoin" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and plan.count("ShuffledHashJoin") == 2
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_sums_of_nothing_and_negative_stock(spark):
     day = datetime.date(2024, 1, 1)
     base = {"sku": 1, "season": 1, "product_name": "x", "category": "c", "product_line": "p", "sub_category": "s", "color": "r", "size": 1, "designer": 1, "list_price": 5.0, "stock_in": None, "sales_qty": None, "return_qty": None, "sales_amount": None, "stock_on_hand": -3.0, "stock_on_hand_alt": None, "ship_date": day}
