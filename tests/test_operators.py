@@ -42,7 +42,7 @@ def test_many_lines_meet_their_orders_and_parts_unsorted(spark):
     assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == 2 and "hashpartitioning(l_orderkey" in plan and ", 12), REPARTITION_BY_NUM" in plan
 
 
-@pytest.mark.parametrize("name", ["variant_stock"])
+@pytest.mark.parametrize("name", ["variant_stock", "derived_columns"])
 def test_reports_of_many_lines_sort_none(spark, name, monkeypatch):
     want = sorted(map(tuple, registry.QUERIES[name](spark, SMALL).collect()))
     monkeypatch.setattr(adapter, "FEW_LINES", 1000)
